@@ -1,0 +1,401 @@
+"""Each operator against a plain version, and on nulls, empty texts, ties, repeated rows and clashing names."""
+
+import gzip
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from kgloom.llm import bpe, chat, decontaminate, line_dedup, pii, quality, queries, sharding, simhash, topk, warc
+from kgloom.llm.common import table
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, texts, extra="hash string"):
+    rows = [(i, t, "en", "s", None if t is None else len(t), "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, f"{DOCS}, {extra}")
+
+
+ODD = [None, "", " ", "\n", "a", "a\nb", "A\nb", "a\n\n b ", "x" * 5000, "é É ß", "a b c", "a b c", "one two three four five six seven eight"]
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+# ---------------------------------------------------------------- 1
+
+
+def test_sharding_bytes_law(spark, small):
+    docs = table(spark, small, "documents")
+    got = queries.op1_sharding(spark, small).toPandas()
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert len(got) == len(text)
+    assert all(zlib.crc32(text[r.doc_id]) == r.text_crc32 and len(text[r.doc_id]) + 8 == r.size for r in got.itertuples())
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    assert set(got["shard"]) == set(range(24))
+    load = got.groupby("shard")["size"].sum()
+    assert load.max() - load.min() <= got["size"].max()
+    assert got.groupby("virtual_slot")["shard"].nunique().max() == 1
+
+
+def test_sharding_moves_little_when_a_shard_is_added(spark, small):
+    totals = sharding.slot_totals(sharding.measured(table(spark, small, "documents"), 256))
+    one = sharding.build_map(totals, 4).cache()
+    two = sharding.build_map(totals, 5, previous=one)
+    moved = one.alias("a").join(two.alias("b"), "vslot").select("a.bytes", (F.col("a.shard") != F.col("b.shard")).alias("moved")).toPandas()
+    assert len(moved) == one.count()
+    assert 0.1 < moved[moved.moved]["bytes"].sum() / moved["bytes"].sum() < 0.3
+    same = sharding.build_map(totals, 4, previous=one)
+    assert rows_of(one.select("vslot", "shard")) == rows_of(same.select("vslot", "shard"))
+
+
+def test_sharding_odd_rows(spark):
+    df = docs_of(spark, ODD).unionByName(docs_of(spark, ODD)).withColumn("slot", F.lit("mine"))
+    df = df.unionByName(df.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    got = sharding.shard_documents(df, shards=3).toPandas()
+    assert len(got) == df.count()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    assert sharding.shard_documents(df.limit(0), shards=3).count() == 0
+
+
+# ---------------------------------------------------------------- 2
+
+
+def brute_topk(rows, k, every):
+    v = {i: [int(np.floor(256 * float(x))) for x in e] for i, e in rows}
+    out = []
+    for q in sorted(i for i in v if i % every == 0):
+        scored = sorted((-sum(a * b for a, b in itertools.zip_longest(v[q], v[c], fillvalue=0)), c) for c in v if c != q)
+        out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])]
+    return out
+
+
+@pytest.mark.parametrize("blocks", [(64, 8), (4096, 512)])
+def test_topk_against_all_pairs(spark, small, blocks):
+    df = table(spark, small, "embeddings")
+    got = topk.top_k(df, candidates=blocks[0], queries=blocks[1])
+    assert rows_of(got) == sorted(brute_topk([(r[0], r[1]) for r in df.collect()], 5, 50), key=str)
+
+
+def test_topk_odd_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (50, [1.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, []), (4, [-1.0, 0.5]), (100, [-1.0, -2.0])]
+    bad = [(5, None), (6, [None]), (7, [float("nan")]), (8, [float("inf")]), (None, [1.0])]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
+    assert rows_of(topk.top_k(df)) == sorted(brute_topk(rows, 5, 50), key=str)
+    assert topk.top_k(df.limit(0)).count() == 0
+    huge = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e9, 1.0]), (2, [-1e9, 1.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in topk.top_k(huge).orderBy("rank").collect()] == [1, 2]
+
+
+def test_nra_stops_early_and_is_exact():
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.normal(size=(3000, 16)) * 100)
+    x[:40] = x[0] + rng.integers(-2, 3, (40, 16))
+    q = x[:10]
+    got = topk.nra(np.arange(10), q, np.arange(3000), x, 5)
+    for i in range(10):
+        s = x @ q[i]
+        s[i] = -np.inf
+        assert [(a, b) for c, a, b in got if c == i] == [(int(j), int(s[j])) for j in np.lexsort((np.arange(3000), -s))[:5]]
+
+
+# ---------------------------------------------------------------- 3
+
+
+def test_viterbi_in_segments_is_viterbi_in_one():
+    rng = random.Random(5)
+    model = chat.Model.from_counts(np.random.default_rng(1).random((chat.STATES + 1, chat.STATES)), np.random.default_rng(2).random((chat.STATES, chat.SYMBOLS)))
+    for _ in range(20):
+        obs = [rng.randrange(chat.SYMBOLS) for _ in range(rng.randrange(3, 60))]
+        cuts = sorted(rng.sample(range(1, len(obs)), 2))
+        parts = [obs[a:b] for a, b in zip([0, *cuts], [*cuts, len(obs)])]
+        ends = chat.ends_of([(i, 0, "c", model.segment(p)) for i, p in enumerate(parts)])
+        pieces = [s for i, p in enumerate(parts) for s in model.decode(p, *ends[i, 0])]
+        assert pieces == model.decode(obs)
+
+
+def test_chat_roles(spark, small):
+    got = queries.op3_chat(spark, small).toPandas()
+    first = got[got.part == 0]
+    assert len(first) == table(spark, small, "conversations").count()
+    assert (first.role == first.recovered_role).mean() > 0.85
+
+
+def test_chat_markers_hot_conversation_and_odd_rows(spark):
+    text = "User: what is it?\nmore of it\nAssistant: it is that.\nand so on"
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", "is it so?" if i % 2 == 0 else "it is so, at length, as I have said before.\nit is") for i in range(400)]
+    rows += [(2, 0, None, text), (2, 0, None, text), (None, None, None, None), (3, 0, "odd", "")]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("obs", F.lit(1))).toPandas()
+    hot = got[got.conv_id == 1].sort_values("turn")
+    assert len(hot) == 400 and (hot.role == hot.recovered_role).all()
+    assert list(got[(got.conv_id == 2)].sort_values("part").recovered_role)[:2] == ["user", "user"]
+    assert "<|assistant|>\nit is that.\nand so on\n<|end|>\n" in set(got[got.conv_id == 2].rendered)
+    assert len(got) == 400 + 4 + 2
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(empty).count() == 0
+
+
+# ---------------------------------------------------------------- 4
+
+
+def brute_lines(texts, at_least):
+    blank = " \t\n\x0b\f\r"
+    lower = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+    lines = [(t or "").split("\n") for t in texts]
+    keys = [[lower(x.strip(blank)) for x in d] for d in lines]
+    count = {}
+    for d in keys:
+        for k in set(d):
+            count[k] = count.get(k, 0) + 1
+    bad = {k for k, n in count.items() if n >= at_least and k}
+    return [(len(d), sum(k in bad for k in ks), "\n".join(x for x, k in zip(d, ks) if k not in bad)) for d, ks in zip(lines, keys)]
+
+
+def test_line_dedup(spark):
+    rng = random.Random(2)
+    pool = ["Alpha", "alpha ", "\tALPHA\r", "", " ", "Éa", "éa", "beta", "gamma", "delta"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 6))) for _ in range(60)] + ODD
+    df = docs_of(spark, texts).withColumnsRenamed({"hash": "gone"}).withColumn("pos", F.lit(1))
+    got = line_dedup.dedup_lines(df, min_docs=10).orderBy("doc_id").collect()
+    assert [(r["n_lines"], r["n_dropped"], r["text"]) for r in got] == brute_lines(texts, 10)
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    twice = line_dedup.dedup_lines(df.unionByName(df), min_docs=20).where("doc_id = 3")
+    assert twice.count() == 2
+
+
+# ---------------------------------------------------------------- 5
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big, other = "x" * 999 + "é", "y" * 1000
+    rows = [(1, "http://a", big), (2, None, big), (3, "http://b\n c", other), (3, "http://b", other), (9, "u", other), (5, "u", "short"), (6, "u", "short"), (7, "u", None), (None, "u", big), (8, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    manifest = warc.write_archives(pages, root=f"file://{tmp_path}/w").cache()
+    for span in (40, 1 << 20):
+        got = warc.read_archives(manifest, span).toPandas()
+        assert len(got) == len(rows) and got.verified.all()
+        of = {r.page_id: (r.record_type, None if np.isnan(r.refers_to) else int(r.refers_to)) for r in got.dropna(subset=["page_id"]).itertuples()}
+        assert of[1] == ("revisit", 2) and of[2] == ("response", None) and of[3] == ("revisit", 9) and of[9] == ("response", None)
+        assert of[5] == of[6] == of[7] == of[8] == ("response", None)
+        assert set(got[got.page_id == 1].payload_digest) == {hashlib.sha1(big.encode()).hexdigest()} and set(got[got.page_id == 1].payload_bytes) == {1001}
+    one = manifest.first()["path"].removeprefix("file://")
+    assert gzip.open(one).read().startswith(b"WARC/1.1\r\n")
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+
+
+def test_warc_reader_skips_false_magic(tmp_path):
+    import pyarrow as pa
+
+    real = [warc.member(i, "u", "z" * i * 50, "d", None) for i in range(6)]
+    junk = warc.MAGIC + b"junk" + gzip.compress(b"not a record")
+    data = junk + junk.join(real)
+    for span in (7, 64, 1000, 10**6):
+        seen = [raw for a in range(0, len(data), span) for _, raw in warc.members(pa.BufferReader(data), len(data), a, min(len(data), a + span))]
+        assert [warc.parsed(r)["warc-record-id"] for r in seen] == [f"<urn:page:{i}>" for i in range(6)]
+
+
+# ---------------------------------------------------------------- 6
+
+
+def brute_leaks(texts, items):
+    out = []
+    for d, t in texts:
+        ws = decontaminate.words(t)
+        for i, it in items:
+            iw = decontaminate.words(it)
+            if len(iw) < 5 or len(ws) < 5:
+                continue
+            want = decontaminate.Counter(zip(*(iw[k:] for k in range(5))))
+            best = max(decontaminate.weighted_jaccard(decontaminate.Counter(zip(*(ws[s : s + len(iw)][k:] for k in range(5)))), want) for s in range(len(ws) - 4))
+            if best >= 0.8:
+                out.append((d, i, round(best, 9)))
+    return sorted(out)
+
+
+def test_decontamination_against_all_windows(spark, small):
+    docs = [(r.doc_id, r.text) for r in table(spark, small, "documents").where("length(text) < 3000").collect()]
+    items = [(r.item_id, r.text) for r in table(spark, small, "benchmark").collect()]
+    words = items[0][1].split()
+    docs += [(900, "Before it " + items[1][1] + " and after."), (901, " ".join(words[:-1])), (902, " ".join(["Odd"] + words[1:])), (903, " ".join(words[: len(words) // 2])), (904, None), (905, ""), (906, items[2][1].upper())]
+    docs += [(907, " ".join(["to"] * 3 + words + words))]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + [(77, None), (78, "a b")], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, round(r.similarity, 9)) for r in got.collect()) == brute_leaks(docs, items)
+    assert {(900, 1), (901, 0), (902, 0), (906, 2), (907, 0)} <= {(r.doc_id, r.item_id) for r in got.collect()}
+
+
+def test_decontaminated_keeps_the_rest(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    df = docs_of(spark, [item, "x " + item, "clean text", None]).withColumn("leaks", F.lit(1))
+    got = decontaminate.decontaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [2, 3]
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.decontaminated(df, none).count() == 4
+
+
+# ---------------------------------------------------------------- 7
+
+
+def test_bpe_is_tiktoken(spark, small):
+    import tiktoken
+
+    ranks = bpe.load_ranks(bpe.default_path())
+    told = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    odd = ["", "a" * 3000, "ab" * 700, " " * 40, "日本語テキスト" * 60, "".join(rng.choice("abcdeé ßñ\n\t.,!0123") for _ in range(4000)), "🙂" * 300, "".join(chr(rng.randrange(32, 0x3000)) for _ in range(3000)), "<|endoftext|>", "\r\n\r\n  x"]
+    texts = [r.text for r in table(spark, small, "documents").collect()] + odd
+    enc = bpe.encoder(bpe.default_path(), bpe.default_pattern())
+    for t, ids in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == told.encode_ordinary(t)
+        assert enc.decode(ids) == t.encode()
+
+
+def test_bpe_rows(spark):
+    df = docs_of(spark, ODD).withColumn("n_tokens", F.lit("mine"))
+    got = bpe.encode_documents(df).orderBy("doc_id").collect()
+    assert got[0]["n_tokens"] == 0 and got[0]["ids"] == [] and got[1]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert all(r["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for r, t in zip(got, ODD))
+    assert bpe.encode_documents(df.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- 8
+
+
+def brute_groups(texts, n=3, radius=2):
+    def fp(t):
+        ws = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        sh = [" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1)] if len(ws) >= n else [" ".join(ws)] if ws else []
+        hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    f = [fp(t) for t in texts]
+    root = list(range(len(f)))
+    for _ in range(len(f)):
+        old = root[:]
+        for i in range(len(f)):
+            for j in range(i):
+                if (f[i] ^ f[j]).bit_count() <= radius:
+                    root[i] = root[j] = min(root[i], root[j])
+        if old == root:
+            break
+    return f, root
+
+
+def test_simhash_groups_against_all_pairs(spark, small):
+    rng = random.Random(9)
+    base = [r.text for r in table(spark, small, "documents").limit(60).collect()]
+    texts = base + ODD + [" ".join(b.split()[: -rng.randrange(1, 3)]) for b in base[:30]] + base[:5]
+    texts += [" ".join(["same"] * 400 + [str(i)]) for i in range(70)]
+    f, root = brute_groups(texts)
+    got = simhash.near_duplicates(docs_of(spark, texts).withColumn("fp", F.lit(1))).orderBy("doc_id").collect()
+    assert [r["fp"][0] % 2**64 for r in got] == f
+    assert [r["component_id"] for r in got] == root
+    assert simhash.near_duplicates(docs_of(spark, ODD).limit(0)).count() == 0
+
+
+def test_cells_meet_for_all_pairs_in_radius():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 2**64, 500, np.uint64)
+    for flips in (0, 1, 2):
+        y = x.copy()
+        for _ in range(flips):
+            y ^= np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)
+        a, b = simhash.cells(x[:, None]), simhash.cells(y[:, None])
+        assert all(set(p) & set(q) for p, q in zip(a.tolist(), b.tolist()))
+
+
+def test_forest_of_long_runs_and_of_short_runs():
+    rng = np.random.default_rng(1)
+    near = np.bitwise_xor(np.uint64(12345), np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64))
+    fp = np.unique(near)[:, None]
+    fp = np.concatenate([fp, rng.integers(0, 2**64, (2500, 1), np.uint64)])
+    links = simhash._forest(np.zeros(len(fp), np.int64), np.arange(len(fp)), fp, simhash.pivots(1), 2)
+    assert {a for a, _ in links.tolist()} | {0} == set(range(len(np.unique(near)))) and len(links) == len(np.unique(near)) - 1
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i + 1, i) for i in range(100, 140)] + [(i, 7) for i in range(200, 260)] + [(260, 259), (9, 7), (9, 3)]
+    got = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert {got[i] for i in range(100, 141)} == {100} and got[260] == got[7] == got[9] == got[3] == 3
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_wide_tables_find_pairs_of_similarity(spark):
+    rng = random.Random(1)
+    texts, pairs = [], 60
+    for _ in range(pairs):
+        ws = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        other = ws[:]
+        for _ in range(4):
+            other[rng.randrange(300)] = "changed"
+        texts += [" ".join(ws), " ".join(other)]
+    got = simhash.near_duplicates(docs_of(spark, texts), n=5, lanes=4, radius=39, tables=simhash.tables_for(39, 256)).orderBy("doc_id").collect()
+    found = sum(got[2 * i + 1]["component_id"] == 2 * i for i in range(pairs))
+    assert found >= 0.9 * pairs and all(r["component_id"] // 2 == i // 2 for i, r in enumerate(got))
+
+
+# ---------------------------------------------------------------- 9
+
+
+def plain_spans(t):
+    t = t or ""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(d))) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return out
+
+
+def test_base_spans_are_the_patterns(spark, small):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aZ0123456789.@-+ ()%_") for _ in range(rng.randrange(0, 80))) for _ in range(4000)]
+    texts += ["4111 1111-1111 1111 é x@y.zz 1.2.3.4.5.6.7.8 999.1.1.1 +1 (234) 567-8901", "a@b@c.de", "@a.b", "a@@b.c", "a@b.c.d@e.f", "0001.02.3.255", None, ""]
+    texts += [r.text for r in table(spark, small, "documents").collect()]
+    for t in texts:
+        assert pii.base_spans(t) == plain_spans(t), t
+
+
+def test_sanitisation_of_disclosing_terms(spark):
+    fill = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice(fill) for _ in range(12))
+    texts = [f"{line()} Zorblatt wrote from jo@ex.org {line()}" for _ in range(6)] + [line() for _ in range(40)] + ["see Zorblatt, the alpha", None, ""]
+    got = pii.sanitise(docs_of(spark, texts).withColumn("spans", F.lit(1))).orderBy("doc_id").collect()
+    assert all("[EMAIL]" in r["text"] and "jo@ex" not in r["text"] and "orblatt" not in r["text"] for r in got[:6])
+    assert "orblatt" not in got[46]["text"] and got[46]["text"].endswith("alpha")
+    assert [r["text"] for r in got[6:46]] == texts[6:46] and got[47]["text"] == "" == got[48]["text"]
+    assert pii.sanitise(docs_of(spark, ODD).limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- 10
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op10_quality(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
+    assert len(got) > 500
+    assert (got.predicted == got.quality).mean() > 0.95
+    good, bad = got[got.quality == 1].score.rank().mean(), got[got.quality == 0].score.mean()
+    assert bad < got[got.quality == 1].score.mean() - 0.5 and good > 0
+    fold = [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]
+    assert all(fold)
+
+
+def test_quality_odd_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(13)] + [(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    df = docs_of(spark, ODD).withColumn("score", F.lit("mine"))
+    got = quality.classify(df, labels)
+    assert got.count() == len(ODD) and all(0 <= r["score"] <= 1 for r in got.collect())
+    assert quality.classify(df.limit(0), labels.limit(0)).count() == 0
+    assert {r["score"] for r in quality.classify(df, labels.limit(0)).collect()} == {0.5}
