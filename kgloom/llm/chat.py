@@ -73,17 +73,19 @@ class Model:
 
     @classmethod
     def from_counts(cls, trans: np.ndarray, emit: np.ndarray) -> Model:
-        """A marker and the other features of a line are independent given the state. What the corpus doesn't show: a turn
+        """A line without a marker shows its other features; of a marked line only the marker counts. What the corpus doesn't show: a turn
         goes on with its own role, and a marker belongs to the begin of its own role's turns."""
         t = trans + 0.1
         counts = emit.reshape(STATES, 4, SYMBOLS // 4)
-        marks, rest = counts.sum(axis=2) + 1e-4, counts.sum(axis=1) + 0.02
+        marks = counts.sum(axis=2) + 1e-4
         marks[:, 0] += 1
         for r in range(len(ROLES)):
             t[2 * r, 2 * r + 1] += 1
             t[2 * r + 1, 2 * r + 1] += 1
             marks[2 * r, r + 1] += 1 + 0.02 * marks[2 * r].sum()
+        rest = counts[:, 0] + 0.02
         e = (marks / marks.sum(axis=1, keepdims=True))[:, :, None] * (rest / rest.sum(axis=1, keepdims=True))[:, None, :]
+        e[:, 1:] = (marks[:, 1:] / marks.sum(axis=1, keepdims=True))[:, :, None] / rest.shape[1]
         return cls(np.log(t / t.sum(axis=1, keepdims=True)), np.log(e.reshape(STATES, SYMBOLS)))
 
     def segment(self, obs: list[int]) -> np.ndarray:
