@@ -82,6 +82,7 @@ class Model:
         for r in range(len(ROLES)):
             t[2 * r, 2 * r + 1] += 1
             t[2 * r + 1, 2 * r + 1] += 1
+            t[2 * r + 1, [2 * other for other in range(len(ROLES)) if other != r]] += 1
             marks[2 * r, r + 1] += 1 + 0.02 * marks[2 * r].sum()
         rest = counts[:, 0] + 0.02
         e = (marks / marks.sum(axis=1, keepdims=True))[:, :, None] * (rest / rest.sum(axis=1, keepdims=True))[:, None, :]
