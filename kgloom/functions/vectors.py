@@ -1,0 +1,21 @@
+"""Vector functions over ARRAY columns, in DOUBLE."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0).cast("double"), lambda s, x: s + x)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def unit(a: Column) -> Column:
+    """The vector at length 1 (a zero vector stays), so that cosine is one product."""
+    n = norm(a)
+    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
