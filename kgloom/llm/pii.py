@@ -94,7 +94,7 @@ def terms(text: str) -> Iterator[tuple[str, int, int]]:
 
 def contexts(text: str) -> set[tuple[str, str, str]]:
     """(entity, term, context) of the words around the base spans: a row for each entity and term of a text, with one
-    of their contexts, and a row with an empty term for each entity."""
+    of their contexts; a row with an empty term for each entity, and one with an empty entity for each term."""
     spans = base_spans(text)
     taken = [(a, b) for _, a, b in spans]
     out: dict[tuple[str, str], str] = {}
@@ -109,6 +109,7 @@ def contexts(text: str) -> set[tuple[str, str, str]]:
         entity = f"{kind}:{text[a:b]}"
         out[entity, ""] = ""
         for t in own:
+            out["", t] = ""
             out[entity, t] = min(place, out.get((entity, t), place))
     return {(*k, place) for k, place in out.items()}
 
@@ -124,11 +125,11 @@ def disclosing(docs: DataFrame, generalise: float = GENERALISE, min_contexts: in
     """term, disclosure and entity (the one disclosed most) of the terms to be sanitised. docs: text."""
     python_batches(docs.sparkSession)
     near = stored(docs.select("text").mapInArrow(_contexts, "entity string, term string, place string").groupBy("entity", "term", F.xxhash64("place").alias("place")).agg(F.count(F.lit(1)).alias("n")), "contexts")
-    pairs = near.where("term <> ''").groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("places"))
+    pairs = near.where("term <> '' and entity <> ''").groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("places"))
     # p(entity | term) >= p(entity) ** (1 - generalise), and p(entity) is at least one in all documents
     held = docs.count()
     floor = max(1, held) ** -(1 - generalise)
-    bound = pairs.groupBy("term").agg(F.max("both").alias("least"))
+    bound = near.where("entity = ''").groupBy("term").agg(F.sum("n").alias("least"))
     may = pairs.where(F.col("places") >= min_contexts).join(bound, "term").where(F.col("both") >= F.col("least") * floor)
     may = stored(may.select("entity", "term", "both"), "candidate-terms")
     some = stored(may.select("term").distinct(), "terms")
