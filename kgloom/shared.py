@@ -8,6 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def steady(spark: SparkSession) -> None:
+    """A union says nothing of its partitioning.
+
+    Spark 4.1 lets a union of equally partitioned inputs claim their partitioning; after adaptive execution has changed
+    the inputs, the claim can fail ("Can't zip RDDs with unequal numbers of partitions").
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own in a local session where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -16,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kgloom-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
