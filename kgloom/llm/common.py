@@ -1,16 +1,17 @@
-"""What the training-data operators share: the shared folder, table access and word splitting."""
+"""What the training-data operators share: table access, keys of rows and word splitting."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom.shared import scratch, shared_dir, steady, stored
+
+__all__ = ["BLANKS", "python_batches", "row_key", "scratch", "shared_dir", "steady", "stored", "table", "words"]
+
 #: White space of every contract here: [\x20\x09-\x0D]. bytes.split() splits at the same six bytes.
 BLANKS = " \t\n\x0b\f\r"
-#: Rows of one Arrow batch sent to Python; whole texts are sent, so batches are kept short.
+#: Rows of one Arrow batch sent to Python, besides Spark's own limit on its bytes.
 BATCH_ROWS = 500
 
 
@@ -18,33 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="kgloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage is cut, and a lost executor costs no more than a reread."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def python_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts short."""
+    steady(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
