@@ -15,8 +15,6 @@ a document; rows equal in doc_id and text are equal in what they lose. Extra col
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +24,21 @@ MIN_DOCS = 10
 MIN_CHARS = 1
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at both ends and with A-Z in lower case; other letters keep their case."""
-    bare = F.btrim(line, F.lit(BLANKS))
-    plain = F.octet_length(bare) == F.char_length(bare)  # ASCII only: lower() does the same, faster
-    return F.when(plain, F.lower(bare)).otherwise(F.translate(bare, string.ascii_uppercase, string.ascii_lowercase))
+def bare_line(line: Column) -> Column:
+    """The line without white space at both ends; btrim, which copies every character, runs only where there is some."""
+    edge = F.lit(False)
+    for c in BLANKS:
+        edge = edge | F.startswith(line, F.lit(c)) | F.endswith(line, F.lit(c))
+    return F.when(edge, F.btrim(line, F.lit(BLANKS))).otherwise(line)
+
+
+def folded(bare: Column) -> Column:
+    """Equal for two lines exactly if they are equal after A-Z have been put in lower case and all else left alone.
+
+    The UTF-8 bytes are read as Latin-1 and put in lower case: A-Z become a-z, and of the others only the first bytes of
+    two-byte characters change, to first bytes of longer ones, from which the number of bytes that follow still tells them.
+    """
+    return F.lower(F.decode(bare.cast("binary"), "ISO-8859-1"))
 
 
 def _lines(text: Column) -> Column:
@@ -41,11 +49,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     """docs with the text rebuilt from the lines that stay, and n_lines and n_dropped."""
     keys = row_key(doc_id, text)
 
-    def hashed(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
-
-    hashes = stored(docs.select(*keys, F.transform(_lines(F.col(text)), hashed).alias("hashes")), "line-hashes")
+    # one transform for each step: what a lambda computes is computed once for each time that it is named
+    bare = F.transform(_lines(F.col(text)), bare_line)
+    codes = F.transform(bare, lambda x: F.when(F.char_length(x) >= min_chars, folded(x)))
+    pairs = F.transform(codes, lambda k: F.when(k.isNotNull(), F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"))))
+    hashes = stored(docs.select(*keys, pairs.alias("hashes")), "line-hashes")
     found = hashes.select(F.explode(F.array_distinct("hashes")).alias("h")).where("h is not null").select("h.*")
     frequent = stored(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"), "frequent-lines")
     at = hashes.select("k1", "k2", F.posexplode("hashes").alias("pos", "h")).where("h is not null").select("k1", "k2", "pos", "h.*")
@@ -54,6 +62,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     marked = docs.withColumns({"__line_k1": keys[0], "__line_k2": keys[1]}).join(gone, ["__line_k1", "__line_k2"], "left").drop("__line_k1", "__line_k2")
     lines = _lines(F.col(text))
     gone_col = F.coalesce("__line_gone", F.array().cast("array<int>"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_col)  # a hash set, so linear; keeps the order
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    at_once = F.array(F.struct(lines.alias("lines"), gone_col.alias("gone")))  # split once, not for each line
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["gone"])  # noqa: E731  a hash set: linear
+    kept = F.transform(at_once, lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x["lines"], i)), "\n"))[0]
     return marked.withColumns({text: F.when(F.size(gone_col) == 0, F.coalesce(F.col(text), F.lit(""))).otherwise(kept), "n_lines": F.size(lines).cast("long"), "n_dropped": F.size(gone_col).cast("long")}).drop("__line_gone")
