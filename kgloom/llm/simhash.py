@@ -313,8 +313,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 2, lanes: int = 1
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """docs without the rows that aren't the first (by id) of their group; of rows equal in id, one stays."""
     found = near_duplicates(docs, **how)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("__again"))
     name = how.get("doc_id", "doc_id")
-    keep = docs.join(first.withColumnRenamed("doc_id", name), name, "left_semi")
+    keep = docs.join(kept.withColumnRenamed("doc_id", name), name)
     order = Window.partitionBy(name).orderBy(*[F.col(c) for c in docs.columns])
-    return keep.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank").unionByName(docs.where(F.col(name).isNull()))
+    again = keep.where("__again").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")  # only repeated ids are sorted
+    out = keep.where("not __again").select(docs.columns).unionByName(again.select(docs.columns))
+    return out.unionByName(docs.where(F.col(name).isNull()))
