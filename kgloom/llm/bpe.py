@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import python_batches
+from .common import short_batches
 
 #: Bytes up to which a match goes through the matrices, and the upper ends of the length classes.
 LONG, CLASSES = 256, (4, 8, 12, 16, 24, 32, 64, 128, 256)
@@ -201,7 +201,7 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
 
     path is a file of ranks that every executor has. Columns of docs that have these names are replaced.
     """
-    python_batches(docs.sparkSession)
+    short_batches(docs.sparkSession)
     path, pattern = path or default_path(), pattern or default_pattern()
     docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids")
     made = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]

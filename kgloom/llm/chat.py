@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_batches, shared_dir
+from .common import short_batches, shared_dir
 
 ROLES = ("system", "user", "assistant")
 #: State 2 * r begins a turn of role r, 2 * r + 1 goes on with it; the last row of the transitions is the start.
@@ -275,7 +275,7 @@ def canonical(role: str, text: str) -> str:
 def dealt(conversations: DataFrame) -> DataFrame:
     """Rows with observations, in ranges of (conversation, turn), checkpointed."""
     spark = conversations.sparkSession
-    python_batches(spark)
+    short_batches(spark)
     shared_dir(spark)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     seen = rows.mapInArrow(_observe, "conv_id long, turn long, role string, text string, obs array<int>")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from kgloom.shared import scratch, shared_dir, steady, stored
 
-__all__ = ["BLANKS", "python_batches", "row_key", "scratch", "shared_dir", "steady", "stored", "table", "words"]
+__all__ = ["BLANKS", "row_key", "scratch", "shared_dir", "short_batches", "steady", "stored", "table", "words"]
 
 #: White space of every contract here: [\x20\x09-\x0D]. bytes.split() splits at the same six bytes.
 BLANKS = " \t\n\x0b\f\r"
-#: Rows of one Arrow batch sent to Python, besides Spark's own limit on its bytes.
+#: Rows of one Arrow batch sent to Python, besides Spark's own limit on its bytes, and of one batch read from Parquet.
 BATCH_ROWS = 500
 
 
@@ -19,9 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def python_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts short."""
+def short_batches(spark: SparkSession) -> None:
+    """Keep batches of whole texts short: a reader's batch of 4096 long texts would be hundreds of MB in each task."""
     steady(spark)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

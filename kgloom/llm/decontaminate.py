@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import python_batches, words
+from .common import short_batches, words
 
 WORDS, SIMILARITY, RADIUS, LANES = 5, 0.8, 63, 4
 BLOCK_BYTES = 32 << 20
@@ -190,7 +190,7 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[t
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", n: int = WORDS, threshold: float = SIMILARITY) -> DataFrame:
     """docs with leaks, an array of the items found in each text; a column of that name is replaced."""
     spark = docs.sparkSession
-    python_batches(spark)
+    short_batches(spark)
     out, names = docs.drop("leaks"), []
     for k, block in enumerate(item_blocks(items)):
         sent = spark.sparkContext.broadcast(block)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, row_key, stored
+from .common import BLANKS, row_key, short_batches, stored
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -47,6 +47,7 @@ def _lines(text: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the text rebuilt from the lines that stay, and n_lines and n_dropped."""
+    short_batches(docs.sparkSession)
     keys = row_key(doc_id, text)
 
     # one transform for each step: what a lambda computes is computed once for each time that it is named
@@ -58,8 +59,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     frequent = stored(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"), "frequent-lines")
     at = hashes.select("k1", "k2", F.posexplode("hashes").alias("pos", "h")).where("h is not null").select("k1", "k2", "pos", "h.*")
     gone = at.join(frequent, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
+    # the narrow side is hashed, so that whole texts aren't sorted to be joined
     gone = gone.toDF("__line_k1", "__line_k2", "__line_gone")
-    marked = docs.withColumns({"__line_k1": keys[0], "__line_k2": keys[1]}).join(gone, ["__line_k1", "__line_k2"], "left").drop("__line_k1", "__line_k2")
+    marked = docs.withColumns({"__line_k1": keys[0], "__line_k2": keys[1]}).join(gone.hint("shuffle_hash"), ["__line_k1", "__line_k2"], "left").drop("__line_k1", "__line_k2")
     lines = _lines(F.col(text))
     gone_col = F.coalesce("__line_gone", F.array().cast("array<int>"))
     at_once = F.array(F.struct(lines.alias("lines"), gone_col.alias("gone")))  # split once, not for each line

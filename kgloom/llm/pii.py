@@ -26,12 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import python_batches, row_key, stored
+from .common import BLANKS, short_batches, row_key, stored
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, MIN_CONTEXTS, MIN_TERM = 6, 3, 3
 GENERALISE, REMOVE = 0.9, 1.0
 
+#: Characters that don't belong to a term at its ends.
+PUNCTUATION = ".,;:!?()[]{}<>\"'*#$%&|"
+
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A match starts at the first digit of a run: what starts later in a run matches only if the run's first digit does.
@@ -82,7 +85,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 def term_of(word: str) -> str:
     """A word as a term: without punctuation at its ends, in lower case."""
-    return word.strip(".,;:!?()[]{}<>\"'*#$%&|").lower()
+    return word.strip(PUNCTUATION).lower()
 
 
 def terms(text: str) -> Iterator[tuple[str, int, int]]:
@@ -123,7 +126,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def disclosing(docs: DataFrame, generalise: float = GENERALISE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """term, disclosure and entity (the one disclosed most) of the terms to be sanitised. docs: text."""
-    python_batches(docs.sparkSession)
+    short_batches(docs.sparkSession)
     near = stored(docs.select("text").mapInArrow(_contexts, "entity string, term string, place string").groupBy("entity", "term", F.xxhash64("place").alias("place")).agg(F.count(F.lit(1)).alias("n")), "contexts")
     pairs = near.where("term <> '' and entity <> ''").groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("places"))
     # p(entity | term) >= p(entity) ** (1 - generalise), and p(entity) is at least one in all documents
@@ -144,10 +147,23 @@ def disclosing(docs: DataFrame, generalise: float = GENERALISE, min_contexts: in
 
 
 def _terms(text: Column) -> Column:
-    """The terms of a text, as term_of gives them, in Spark's functions."""
-    words = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
-    cut = F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(".,;:!?()[]{}<>\"'*#$%&|"))))
-    return F.filter(cut, lambda t: F.char_length(t) >= MIN_TERM)
+    """The terms of a text, as term_of gives them, in Spark's functions.
+
+    Blanks are made one kind first, so that the split needs no pattern; btrim, which copies every character, runs only on
+    words that begin or end with punctuation.
+    """
+    plain = F.coalesce(text, F.lit(""))
+    for c in BLANKS[1:]:
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+
+    def bare(w: Column) -> Column:
+        edge = F.lit(False)
+        for c in PUNCTUATION:
+            edge = edge | F.endswith(w, F.lit(c)) | F.startswith(w, F.lit(c))
+        return F.when(edge, F.btrim(w, F.lit(PUNCTUATION))).otherwise(w)
+
+    long = F.filter(F.split(plain, " "), lambda w: F.octet_length(w) >= MIN_TERM)
+    return F.filter(F.transform(F.transform(long, bare), lambda w: F.lower(w)), lambda t: F.char_length(t) >= MIN_TERM)
 
 
 def _label(word: str, rate: float) -> str:
@@ -190,7 +206,7 @@ def _scan(batches: Iterator[pa.RecordBatch], text: str, with_text: bool) -> Iter
 
 def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = True, **how) -> DataFrame:
     """docs with spans (kind, start, end; code points) and, if asked for, the sanitised text in place of the text."""
-    python_batches(docs.sparkSession)
+    short_batches(docs.sparkSession)
     docs = docs.drop("spans")
     plain = docs.select(F.col(text).alias("text"))
     risky = stored(disclosing(plain, **how), "disclosing-terms")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import python_batches
+from .common import short_batches
 
 #: Labelled rows of each label that are fitted on; characters of each such row; bytes of a dictionary.
 FIT_ROWS, FIT_CHARS, DICT_BYTES = 1500, 20_000, 512 << 10
@@ -139,7 +139,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Iterat
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score, the probability of label 1; a column of that name is replaced."""
-    python_batches(docs.sparkSession)
+    short_batches(docs.sparkSession)
     docs = docs.drop("score")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICT_BYTES
     return docs.mapInArrow(lambda b: _score(b, sent.value, text), StructType([*docs.schema.fields, StructField("score", DoubleType())]))

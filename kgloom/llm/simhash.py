@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import python_batches, stored, words
+from .common import short_batches, stored, words
 
 SEED, BLOCK, BLOCKS = 42, 4, 16
 #: Random reference fingerprints besides the block masks.
@@ -114,7 +114,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], n: int, lanes: int) -> Itera
 
 def fingerprinted(docs: DataFrame, n: int = 3, lanes: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and fp, the fingerprint's 64-bit words, of every row."""
-    python_batches(docs.sparkSession)
+    short_batches(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return narrow.mapInArrow(lambda b: _fingerprint(b, n, lanes), StructType([StructField("doc_id", narrow.schema["doc_id"].dataType), StructField("fp", ArrayType(LongType(), False))]))
 
@@ -315,7 +315,7 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
     found = near_duplicates(docs, **how)
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("__again"))
     name = how.get("doc_id", "doc_id")
-    keep = docs.join(kept.withColumnRenamed("doc_id", name), name)
+    keep = docs.join(kept.withColumnRenamed("doc_id", name).hint("shuffle_hash"), name)  # whole texts aren't sorted
     order = Window.partitionBy(name).orderBy(*[F.col(c) for c in docs.columns])
     again = keep.where("__again").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")  # only repeated ids are sorted
     out = keep.where("not __again").select(docs.columns).unionByName(again.select(docs.columns))

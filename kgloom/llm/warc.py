@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_batches, scratch
+from .common import short_batches, scratch
 
 MIN_BYTES = 1000
 #: Pages with one digest are first reduced in so many parts.
@@ -96,7 +96,7 @@ def _write(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBa
 def write_archives(pages: DataFrame, root: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes the archives below root (a new folder in the shared one); gives the manifest: path, records, bytes."""
     spark = pages.sparkSession
-    python_batches(spark)
+    short_batches(spark)
     root = root or scratch(spark, "warc")
     files, base = fs.FileSystem.from_uri(root)
     files.create_dir(base, recursive=True)
