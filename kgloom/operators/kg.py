@@ -181,3 +181,30 @@ def inferred_type(names: DataFrame, entities: DataFrame) -> DataFrame:
 def merge_order(by: str, order: str) -> Column:
     """Order of occurrence within a group."""
     return F.row_number().over(Window.partitionBy(by).orderBy(order))
+
+
+def by_document(entities: DataFrame, rels: DataFrame, batch_ids: DataFrame | None = None) -> DataFrame:
+    """doc_id, entities, relationships: arrays of what was found for each document.
+
+    Documents of the batch for which nothing was found have empty arrays; documents outside it are added. Both inputs carry
+    doc_id; what one extraction of one document gives is bounded by the model's output.
+    """
+    gather = lambda df, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "doc_id"]))).alias(name))
+    e, r = gather(entities, "entities"), gather(rels, "relationships")
+    both = e.join(r, "doc_id", "full_outer")
+    if batch_ids is not None:
+        both = both.join(batch_ids.select("doc_id").distinct(), "doc_id", "full_outer")
+    empty = lambda c: F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c)
+    return both.select("doc_id", empty("entities"), empty("relationships"))
+
+
+def flattened(extractions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of entities and relationships with their chunk and their order: (chunk, position within the chunk).
+
+    extractions: chunk, result (struct of the arrays entities and relationships). seq orders all occurrences.
+    """
+    position = lambda name: F.posexplode(f"result.{name}").alias("pos", "x")
+    seq = (F.col("chunk").cast("long") * 100_000 + F.col("pos")).alias("seq")
+    entities = extractions.select("chunk", position("entities")).select("chunk", seq, "x.*")
+    rels = extractions.select("chunk", position("relationships")).select("chunk", seq, "x.*")
+    return entities, rels.withColumns({"keywords": F.array().cast("array<string>"), "semantic_type": F.col("type")})

@@ -43,3 +43,20 @@ def predictions(asked: DataFrame, retrieved: DataFrame, threshold: float = R.IDK
     contexts = F.coalesce(F.transform("rows", lambda r: F.struct(r["document_id"], r["text"], r["score"])), F.array().cast("array<struct<document_id:string,text:string,score:double>>"))
     made = PROVIDERS["answer"](F.col("question"), F.transform("rows", lambda r: r["text"]))
     return joined.select("query_id", contexts.alias("contexts"), R.gated(F.coalesce(made, F.lit(T.IDK_MESSAGE)), F.coalesce("max_score", F.lit(0.0)), threshold).alias("answer"))
+
+
+def asked_of(tasks: DataFrame) -> DataFrame:
+    """query_id (the task's), text of every task: what its first input says."""
+    return tasks.select(F.col("task_id").alias("query_id"), F.coalesce(F.get("input", F.lit(0))["text"], F.lit("")).alias("text"))
+
+
+def predicted_tasks(tasks: DataFrame, answered: DataFrame) -> DataFrame:
+    """Tasks with contexts and predictions, as prediction files have them; a task without an answer gets the gate's message.
+
+    answered: query_id, contexts, answer, as `predictions` gives them.
+    """
+    got = answered.select(F.col("query_id").alias("task_id"), F.col("contexts").alias("found"), "answer")
+    none = F.array().cast("array<struct<document_id:string,text:string,score:double>>")
+    joined = tasks.drop("contexts", "predictions").join(got, "task_id", "left")
+    made = F.array(F.struct(F.coalesce("answer", F.lit(T.IDK_MESSAGE)).alias("text")))
+    return joined.withColumns({"contexts": F.coalesce("found", none), "predictions": made}).drop("found", "answer")

@@ -27,9 +27,10 @@ def index_stream(docs: DataFrame, root: str, checkpoint: str, once: bool = True)
     """docs (doc, text) into <root>/batch=<id>, texts with their postings as an array. Each batch replaces itself."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.dropDuplicates(["doc"])
+        batch = batch.dropDuplicates(["doc"]).persist()  # read once, though it is used twice
         counts = postings(batch, "doc").groupBy("doc").agg(F.collect_list(F.struct("token", "tf", "weight")).alias("postings"))
         batch.join(counts, "doc", "left").write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        batch.unpersist()
 
     writer = docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -325,3 +325,53 @@ def test_run_that_found_nothing_answers_that(spark):
     none = spark.createDataFrame([], "query_id long, doc long, text string, position int, max_score double")
     got = rag.predictions(asked, none).first()
     assert got["answer"] == T.IDK_MESSAGE and got["contexts"] == []
+
+
+def test_results_by_document(spark):
+    e = spark.createDataFrame([(1, "a"), (9, "b")], "doc_id long, name string")
+    r = spark.createDataFrame([(1, "a", "b")], "doc_id long, source string, target string")
+    ids = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    got = {x["doc_id"]: (len(x["entities"]), len(x["relationships"])) for x in kg.by_document(e, r, ids).collect()}
+    assert got == {1: (1, 1), 2: (0, 0), 9: (1, 0)}
+
+
+@pytest.mark.parametrize("deduplicate", [True, False])
+def test_indexing_is_resumed_and_searched(spark, tmp_path, deduplicate):
+    from kgloom.plans import indexing
+
+    rows = [(1, "Then Napoleon met Louis."), (2, "It was Napoleon Bonaparte again, and Marie Curie."), (3, ""), (4, "nobody here at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    store, g = PointStore(spark, f"file://{tmp_path}/p"), GraphStore(spark, f"file://{tmp_path}/g")
+    indexing.index(docs.where("doc_id < 2"), store, g, deduplicate=deduplicate)
+    counts = indexing.index(docs, store, g, deduplicate=deduplicate)
+    assert counts["points"] == 3 and counts["has_sparse"] and counts == indexing.index(docs, store, g, deduplicate=deduplicate)
+    asked = spark.createDataFrame([(1, 1, "napoleon bonaparte")], "query_id long, entity_pos int, name string")
+    assert 2 in {r["chunk_id"] for r in graph.search(asked, g.mentions).collect()}
+    assert indexing.index(docs, store, deduplicate=deduplicate, resume=False)["points"] == 3
+
+
+def test_tasks_to_predictions(spark, tmp_path):
+    tasks = spark.createDataFrame([("c", "t1", "k", [("user", "hi")], None, None), ("c", "t2", "k", [], None, None)], jsonl.TASK_SCHEMA)
+    assert {r["query_id"]: r["text"] for r in rag.asked_of(tasks).collect()} == {"t1": "hi", "t2": ""}
+    answered = spark.createDataFrame([("t1", [("d", "x", 0.9)], "yes [1]")], "query_id string, contexts array<struct<document_id:string,text:string,score:double>>, answer string")
+    out = rag.predicted_tasks(tasks, answered)
+    jsonl.write_predictions(out, f"file://{tmp_path}/p")
+    lines = spark.read.text(f"file://{tmp_path}/p")
+    numbered = lines.select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    assert {r["code"] for r in evaluate.validated(numbered, "rag_taskc").collect()} == {"empty_contexts"}
+    assert {r["task_id"]: r["predictions"][0]["text"] for r in out.collect()} == {"t1": "yes [1]", "t2": T.IDK_MESSAGE}
+
+
+def test_streamed_memory_is_the_window(spark, tmp_path):
+    from kgloom.streaming.memory import remembered
+
+    rows = [(c, t, f"q{t}", f"a{t}") for c in (1, 2) for t in range(8)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, query string, response string")
+    for lo, hi in ((0, 3), (3, 8)):
+        frame.where(f"turn >= {lo} and turn < {hi}").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in.parquet")
+        stream = indexer.stream_table(spark, f"file://{tmp_path}/in.parquet")
+        q = remembered(stream).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/check").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {(r["conv_id"], r["turn"]): r["history"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    want = conversation.history(frame).select("conv_id", "turn", conversation.history_text(F.col("history")).alias("h"))
+    assert got == {(r["conv_id"], r["turn"]): r["h"] for r in want.collect()}
