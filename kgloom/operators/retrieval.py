@@ -18,12 +18,18 @@ DECIMALS = 9
 def postings(docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
     """doc, token, tf, weight: counts, and counts over the document's largest count. Texts without tokens have none.
 
-    Counted inside each row, so no shuffle is needed to count by document.
+    Tokens are sorted and counted by their runs inside each row, so postings are made without any shuffle.
     """
-    found = docs.select(F.col(doc_id).alias("doc"), T.tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    counts = found.select("doc", F.explode("t").alias("token")).groupBy("doc", "token").agg(F.count(F.lit(1)).alias("tf"))
-    top = F.max("tf").over(Window.partitionBy("doc"))
-    return counts.withColumn("weight", F.col("tf") / top)
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        counted = lambda b: F.transform(b, lambda p, j: F.struct(F.get(t, p).alias("token"), (F.coalesce(F.get(b, j + 1), F.size(t)) - p).cast("long").alias("tf")))
+        return F.when(F.size(t) > 0, T.let(starts, counted))
+
+    found = T.let(F.sort_array(T.tokens(F.col(text))), runs)
+    with_top = T.let(found, lambda r: F.struct(r.alias("runs"), F.array_max(F.transform(r, lambda x: x["tf"])).alias("top")))
+    rows = docs.select(F.col(doc_id).alias("doc"), with_top.alias("p"))
+    return rows.select("doc", F.col("p.top").alias("top"), F.inline("p.runs")).select("doc", "token", "tf", (F.col("tf") / F.col("top")).alias("weight"))
 
 
 def idf(posted: DataFrame, n_docs: DataFrame) -> DataFrame:
