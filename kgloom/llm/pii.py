@@ -149,21 +149,13 @@ def disclosing(docs: DataFrame, generalise: float = GENERALISE, min_contexts: in
 def _terms(text: Column) -> Column:
     """The terms of a text, as term_of gives them, in Spark's functions.
 
-    Blanks are made one kind first, so that the split needs no pattern; btrim, which copies every character, runs only on
-    words that begin or end with punctuation.
+    Blanks are made one kind first, so that the split needs no pattern.
     """
     plain = F.coalesce(text, F.lit(""))
     for c in BLANKS[1:]:
         plain = F.replace(plain, F.lit(c), F.lit(" "))
-
-    def bare(w: Column) -> Column:
-        edge = F.lit(False)
-        for c in PUNCTUATION:
-            edge = edge | F.endswith(w, F.lit(c)) | F.startswith(w, F.lit(c))
-        return F.when(edge, F.btrim(w, F.lit(PUNCTUATION))).otherwise(w)
-
     long = F.filter(F.split(plain, " "), lambda w: F.octet_length(w) >= MIN_TERM)
-    return F.filter(F.transform(F.transform(long, bare), lambda w: F.lower(w)), lambda t: F.char_length(t) >= MIN_TERM)
+    return F.filter(F.transform(long, lambda w: F.lower(F.btrim(w, F.lit(PUNCTUATION)))), lambda t: F.char_length(t) >= MIN_TERM)
 
 
 def _label(word: str, rate: float) -> str:
