@@ -9,8 +9,9 @@ window finds every item whose fingerprint is within RADIUS (63) bits: were all b
 would be at least 64. At similarity 0.8 the expected distance is 39 bits with a deviation of 6. Candidates within the
 radius are verified by the exact similarity.
 
-A window of length L with fewer than 2 L t / (1 + t) shingles of the item has similarity below t, so only windows with as
-many are fingerprinted; this drops nothing. Windows at the end of a text may be shorter than the item. Prefix sums of bit counts give all windows of a stretch at once. Documents are
+A window of M shingles that has fewer than t (L + M) / (1 + t) of the item's L shingles has similarity below t, so only
+windows with as many are fingerprinted; this drops nothing. M is L but for windows at the end of a text, which may be
+shorter than the item. Prefix sums of bit counts give all windows of a stretch at once. Documents are
 independent of each other: there is no shuffle, and no group that could be hot.
 
 The index is broadcast. Its size is bounded: items are taken in blocks of at most BLOCK_BYTES of text, and more items
@@ -128,11 +129,12 @@ class Index:
         for item in np.unique(owner).tolist():
             mine, size = np.unique(at[owner == item]), self.sizes[item]
             length = size - self.n + 1  # shingles of a window
-            need = 2 * length * threshold / (1 + threshold)  # shared shingles without which the similarity is below
             best: tuple[float, int] | None = None
             for first, last in self._stretches(mine, length):
                 starts = np.arange(first, last + 1)
                 inside = np.searchsorted(mine, starts + length) - np.searchsorted(mine, starts)
+                # shared shingles without which the similarity is below; windows at the end of the text are shorter
+                need = (length + np.minimum(length, len(sh) - starts)) * threshold / (1 + threshold)
                 starts = starts[inside >= need - 1e-9]
                 if len(starts):
                     best = self._stretch(sh, starts, length, item, threshold, best)

@@ -232,6 +232,17 @@ def test_decontamination_against_all_windows(spark, small):
     assert {(900, 1), (901, 0), (902, 0), (906, 2), (907, 0)} <= {(r.doc_id, r.item_id) for r in got.collect()}
 
 
+def test_decontamination_of_texts_that_end_inside_an_item(spark):
+    item = [f"w{i}" for i in range(39)]
+    docs = [(n, " ".join(item[:n])) for n in range(28, 40)] + [(100 + n, " ".join(["before"] * 50 + item[:n])) for n in range(28, 40)]
+    docs += [(200 + n, " ".join(item[-n:])) for n in range(28, 40)]
+    items = [(1, " ".join(item))]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = sorted((r.doc_id, r.item_id, round(r.similarity, 9)) for r in got.collect())
+    assert found == brute_leaks(docs, items)
+    assert {base + n for base in (0, 100, 200) for n in range(32, 40)} == {d for d, _, _ in found}
+
+
 def test_decontaminated_keeps_the_rest(spark):
     item = " ".join(f"w{i}" for i in range(30))
     df = docs_of(spark, [item, "x " + item, "clean text", None]).withColumn("leaks", F.lit(1))
