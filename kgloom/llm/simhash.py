@@ -14,6 +14,14 @@ pairs in less than quadratic time, so fingerprints are dealt to TABLES tables ke
 fingerprint are its distances to unit pivots), and met pairs go through the same discarding and verification. A pair at
 the radius is missed with a probability that the number of tables bounds (see `tables_for`).
 
+Links, by similarity of shingles. Two texts are linked if the exact weighted Jaccard similarity of their shingles is at
+least `similarity`. Each repeat of a shingle is an element of its own, so that this is the similarity of two sets. Texts
+are dealt to BANDS tables keyed by the least values of BAND_ROWS hash functions over the elements; a pair at similarity s
+shares no key with probability (1 - s ** BAND_ROWS) ** BANDS, 0.0004 at 0.8. In a cell, pairs are discarded whose 256-bit
+fingerprints differ by more than the radius. First each member of a cell is compared to the one nearest to the majority of
+all their bits, and links found are contracted, which leaves little of a group of near copies; then the sets of cells that
+aren't connected yet are compared in blocks, and a spanning forest is kept. Nodes are sets of elements, not fingerprints, which different texts may share.
+
 Equal fingerprints are one node from the start: a group of copies of any size is one row. In a cell only a spanning forest
 of the links is kept, not every pair. Components are found by alternating star operations on the stored links; nothing is
 collected to the driver.
@@ -35,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import short_batches, stored, words
+from .common import row_key, short_batches, stored, words
 
 SEED, BLOCK, BLOCKS = 42, 4, 16
 #: Random reference fingerprints besides the block masks.
@@ -43,6 +51,8 @@ PIVOTS = 24
 #: Shingles hashed at a time, and fingerprints compared at a time.
 STEP, SIDE = 1 << 16, 2048
 TABLES, TABLE_BITS = 48, 16
+BANDS, BAND_ROWS = 20, 5
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(ws: list[bytes], n: int) -> list[bytes] | map:
@@ -73,8 +83,17 @@ def _mixed(h: np.ndarray, salt: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hashes(text: str | None, n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles(words(text), n), repeat(SEED)), np.uint64)
+
+
 def fingerprints(texts: list[str | None], n: int, lanes: int = 1) -> np.ndarray:
     """len(texts) x lanes unsigned 64-bit words."""
+    return fingerprints_of([hashes(t, n) for t in texts], lanes)
+
+
+def fingerprints_of(texts: list[np.ndarray], lanes: int = 1) -> np.ndarray:
+    """fingerprints() of texts given as hashes of their shingles."""
     count, total = np.zeros((len(texts), lanes, 64), np.int64), np.zeros(len(texts), np.int64)
     owners: list[np.ndarray] = []
     held: list[np.ndarray] = []
@@ -90,8 +109,7 @@ def fingerprints(texts: list[str | None], n: int, lanes: int = 1) -> np.ndarray:
             held.clear()
 
     size = 0
-    for i, t in enumerate(texts):
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles(words(t), n), repeat(SEED)), np.uint64)
+    for i, h in enumerate(texts):
         total[i] = len(h)
         if len(h):
             held.append(h)
@@ -235,6 +253,113 @@ def _forest(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, refs: np.ndarray
     return np.column_stack([node[linked], node[root[linked]]])
 
 
+def _lists(column: pa.Array) -> np.ndarray:
+    """Lists as an array of arrays."""
+    flat, ends = column.flatten().to_numpy().view(np.uint64), np.cumsum(column.value_lengths().to_numpy())
+    out = np.empty(len(column), object)
+    out[:] = [flat[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
+    return out
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """cell, fp (or elements) and the named columns of whole cells; rows come sorted by cell, and a cell may span batches."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fp = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1) if "fp" in batch.schema.names else _lists(batch.column("elements"))
+        held.append((batch.column("cell").to_numpy(), fp, *(batch.column(c).to_numpy() for c in names)))
+        last = held[-1][0]
+        if held[0][0][0] == last[-1]:
+            continue  # all one cell so far
+        whole = [np.concatenate(x) for x in zip(*held)]
+        cut = int(np.searchsorted(whole[0], last[-1], "left"))
+        yield tuple(x[:cut] for x in whole)
+        held = [tuple(x[cut:] for x in whole)]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _runs(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of the cells with several rows."""
+    start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    size = np.diff(np.append(start, len(cell)))
+    return start[size > 1], size[size > 1]
+
+
+def _far(fp: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64)
+
+
+def _middle(fp: np.ndarray) -> int:
+    """The fingerprint nearest to the majority of all bits."""
+    bits = np.zeros(fp.shape[1] * 64, np.int64)
+    for a in range(0, len(fp), SIDE):
+        bits += np.unpackbits(np.ascontiguousarray(fp[a : a + SIDE]).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    centre = np.packbits(2 * bits > len(fp)).view(np.uint64)
+    return int(np.bitwise_count(fp ^ centre).sum(axis=1, dtype=np.int64).argmin())
+
+
+def _stars(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Each node of a cell with the middle one, and whether their fingerprints are within the radius."""
+    for cell, fp, node in _whole_cells(batches, ["node"]):
+        start, size = _runs(cell)
+        middle = start.copy()
+        for i in np.flatnonzero(size > 2).tolist():
+            middle[i] += _middle(fp[start[i] : start[i] + size[i]])
+        x = np.repeat(middle, size)
+        y = np.repeat(start - np.cumsum(size) + size, size) + np.arange(len(x))
+        x, y = x[x != y], y[x != y]
+        near = np.concatenate([_far(fp, x[a : a + STEP], y[a : a + STEP]) <= radius for a in range(0, len(x), STEP)] or [np.empty(0, bool)])
+        a, b = np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], ["a", "b", "near"])
+
+
+def _common(sets: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """How many elements the sets of two blocks have in common, block by block: the blocks' starts and the counts."""
+    owner = np.repeat(np.arange(len(sets)), [len(e) for e in sets])
+    _, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, column = owner[many[column] > 1], column[many[column] > 1]
+    column = np.unique(column, return_inverse=True)[1]
+    edge = np.searchsorted(owner, np.arange(0, len(sets) + SIDE // 4, SIDE // 4))
+    width = int(column.max(initial=-1)) + 1
+
+    def dense(k: int, c: int) -> np.ndarray:
+        o, e = owner[edge[k] : edge[k + 1]] - k * (SIDE // 4), column[edge[k] : edge[k + 1]]
+        here = (e >= c) & (e < c + SIDE)
+        out = np.zeros((min(SIDE // 4, len(sets) - k * (SIDE // 4)), SIDE), np.float32)
+        out[o[here], e[here] - c] = 1
+        return out
+
+    for a in range(len(edge) - 1):
+        for b in range(a, len(edge) - 1):
+            total = 0
+            for c in range(0, max(1, width), SIDE):
+                left = dense(a, c)
+                total = total + left @ (left if a == b else dense(b, c)).T
+            yield a * (SIDE // 4), b * (SIDE // 4), total
+
+
+def _unconnected(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of a spanning forest of each cell's sets with at least this similarity, besides those of one root."""
+    for cell, sets, node, root in _whole_cells(batches, ["node", "root"]):
+        found = []
+        for s, n in zip(*(x.tolist() for x in _runs(cell))):
+            _, known = np.unique(root[s : s + n], return_index=True)
+            group = known[np.unique(root[s : s + n], return_inverse=True)[1]]
+            size = np.array([len(e) for e in sets[s : s + n]])
+            for a, b, common in _common(list(sets[s : s + n])):
+                u, v = common.shape
+                both = size[a : a + u, None] + size[None, b : b + v] - common
+                x, y = np.nonzero((common >= similarity * both - 1e-9) & (group[a : a + u, None] != group[None, b : b + v]))
+                group = _joined(group, x + a, y + b)
+            at = np.flatnonzero(group != np.arange(n))
+            found.append(np.column_stack([node[s + at], node[s + group[at]]]))
+        links = np.concatenate([*found, np.empty((0, 2), np.int64)])
+        links = links[links[:, 0] != links[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(links.max(axis=1)), pa.array(links.min(axis=1))], ["a", "b"])
+
+
 def _meet(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by cell; a run of one cell may span batches."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -273,6 +398,104 @@ def links(nodes: DataFrame, radius: int, tables: int = 0, key_bits: int = TABLE_
     return together.mapInArrow(lambda b: _meet(b, radius), "a long, b long")
 
 
+# ---------------------------------------------------------------- similarity of shingles
+
+
+def elements(h: np.ndarray) -> np.ndarray:
+    """Hashes of shingles, sorted; each repeat of one is an element of its own, so that all are different."""
+    h = np.sort(h)
+    again = np.append(False, h[1:] == h[:-1])
+    if not again.any():
+        return h
+    place = np.arange(len(h))
+    nth = place - np.maximum.accumulate(np.where(again, 0, place))
+    h[again] = _mixed(h[again] + nth[again].astype(np.uint64) * _ODD, _SALTS[0])
+    return np.unique(h)
+
+
+def band_keys(texts: list[np.ndarray]) -> np.ndarray:
+    """Keys of each text (its elements, at least one) in every table: len(texts) x BANDS."""
+    factors = np.random.default_rng(13).integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.empty((len(texts), BANDS), np.uint64)
+    ends = np.cumsum([len(t) for t in texts])
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + STEP, "right")))
+        x = np.concatenate(texts[first:last])
+        x ^= x >> np.uint64(32)
+        starts = np.cumsum([0, *(len(t) for t in texts[first : last - 1])])
+        for band in range(BANDS):
+            key = np.full(last - first, band, np.uint64)
+            for f in factors[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
+                y = x * f
+                least = np.minimum.reduceat(y ^ (y >> np.uint64(29)), starts)
+                key = (key ^ (key >> np.uint64(29))) * _ODD + least
+            out[first:last, band] = key ^ (key >> np.uint64(32))
+        first = last
+    return out
+
+
+def _described(batches: Iterator[pa.RecordBatch], n: int, lanes: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [hashes(t, n) for t in batch.column("text").to_pylist()]
+        fp = fingerprints_of(sets, lanes).view(np.int64)
+        sets = [elements(h) for h in sets]
+        node = np.array([xxhash.xxh3_64_intdigest(e.tobytes()) for e in sets], np.uint64).view(np.int64)
+        some = [e for e in sets if len(e)]
+        keys = band_keys(some).view(np.int64).reshape(-1) if some else np.empty(0, np.int64)
+        key_ends = pa.array(np.cumsum([0, *(BANDS * bool(len(e)) for e in sets)]).astype(np.int32))
+        ends = pa.array(np.arange(0, fp.size + 1, lanes, dtype=np.int32))
+        made = [pa.array(node), pa.ListArray.from_arrays(ends, pa.array(fp.reshape(-1))), pa.ListArray.from_arrays(key_ends, pa.array(keys))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), *made], ["doc_id", "k1", "k2", "node", "fp", "keys"])
+
+
+def _elements(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [elements(hashes(t, n)).view(np.int64) for t in batch.column("text").to_pylist()]
+        ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))], ["node", "elements"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes with at least this similarity; sets: node, elements."""
+    both = pairs.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b")
+    small, large = F.least(F.size("ea"), F.size("eb")), F.greatest(F.size("ea"), F.size("eb"))
+    common = F.size(F.array_intersect("ea", "eb"))
+    alike = F.when(small >= large * similarity - 1e-9, common >= similarity * (F.size("ea") + F.size("eb") - common) - 1e-9)
+    return both.where(alike).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, n: int, similarity: float, radius: int, lanes: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, k1 and k2 (row_key), fp and component_id (the least doc_id of the group) of every row; groups are connected
+    by texts of at least the given similarity of shingles."""
+    spark = docs.sparkSession
+    short_batches(spark)
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row_key(doc_id, text))
+    schema = StructType([narrow.schema["doc_id"], *(StructField(c, LongType()) for c in ("k1", "k2", "node")), *(StructField(c, ArrayType(LongType(), False)) for c in ("fp", "keys"))])
+    prints = stored(narrow.mapInArrow(lambda b: _described(b, n, lanes), schema), "fingerprints")
+    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("at"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def met(dealt: DataFrame, how, limit: float, to: str) -> DataFrame:
+        return dealt.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(lambda b: how(b, limit), to)
+
+    dealt = nodes.select(F.explode("keys").alias("cell"), "node", "fp")
+    stars = stored(met(dealt, _stars, radius, "a long, b long, near boolean").distinct(), "stars")
+    shared = stored(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
+    at = nodes.join(shared, "node").select("at.k1", "at.k2", "node")
+    texts = narrow.select("k1", "k2", "text").join(at.hint("shuffle_hash"), ["k1", "k2"])
+    sets = stored(texts.select("node", "text").mapInArrow(lambda b: _elements(b, n), "node long, elements array<long>").dropDuplicates(["node"]), "elements")
+    first = stored(_similar(stars.where("near").select("a", "b"), sets, similarity), "similar")
+    rooted = nodes.join(shared, "node").join(components(first), "node", "left").select(F.explode("keys").alias("cell"), "node", F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "rooted")
+    # the only pair of a cell of two has been compared, and in a cell of one root nothing is left to connect
+    some = rooted.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low < high").select("cell")
+    left = stored(rooted.join(some.hint("shuffle_hash"), "cell"), "unconnected")
+    links = stored(met(left.join(sets, "node"), _unconnected, similarity, "a long, b long"), "links-of-cells")
+    groups = components(first.unionByName(links))
+    return _of_groups(prints, nodes, groups, "doc_id", "k1", "k2", "fp")
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -304,15 +527,20 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 2, lanes: int = 1
     prints = prints.withColumn("node", node)
     nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "nodes")
     groups = components(links(nodes.select("node", "fp"), radius, tables))
+    return _of_groups(prints, nodes, groups, "doc_id", "fp")
+
+
+def _of_groups(prints: DataFrame, nodes: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
+    """These columns of prints with component_id."""
     rooted = nodes.select("node", "least").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = stored(rooted.join(whole, "root").select("node", "component_id"), "components")
-    return prints.join(of, "node").select("doc_id", "fp", "component_id")
+    return prints.join(of, "node").select(*columns, "component_id")
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """docs without the rows that aren't the first (by id) of their group; of rows equal in id, one stays."""
-    found = near_duplicates(docs, **how)
+    found = similar_groups(docs, **how)
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("__again"))
     name = how.get("doc_id", "doc_id")
     keep = docs.join(kept.withColumnRenamed("doc_id", name).hint("shuffle_hash"), name)  # whole texts aren't sorted

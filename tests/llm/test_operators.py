@@ -353,6 +353,47 @@ def test_wide_tables_find_pairs_of_similarity(spark):
     assert found >= 0.9 * pairs and all(r["component_id"] // 2 == i // 2 for i, r in enumerate(got))
 
 
+def brute_similar(texts, n=5, least=0.8):
+    def bag(t):
+        ws = simhash.words(t)
+        return decontaminate.Counter(simhash.shingles(ws, n))
+
+    bags = [bag(t) for t in texts]
+    root = list(range(len(bags)))
+    for i, x in enumerate(bags):
+        for j in range(i):
+            if not x and not bags[j] or x and decontaminate.weighted_jaccard(x, bags[j]) >= least:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_similar_groups_against_all_pairs(spark):
+    """Pairs just above and below the similarity, repeated shingles, a group of near copies, a chain, short texts."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for at in range(60):
+        ws = [word() for _ in range(304)]
+        texts += [" ".join(ws), " ".join(ws[: 244 if at % 2 else 243])]  # 240 of 300 shingles, or one fewer
+        other = ws[:]
+        for i in range(5, 300, 46 if at % 2 else 60):
+            other[i] = "changed"
+        texts.append(" ".join(other))
+    ws = [word() for _ in range(200)]
+    for _ in range(70):
+        other = ws[:]
+        for _ in range(rng.randrange(1, 5)):
+            other[rng.randrange(200)] = word()
+        texts.append(" ".join(other))
+    texts += [" ".join(ws[i : i + 100]) for i in range(0, 80, 8)]
+    texts += ["a b c d e f g h i", "a b c d e f g h", "a b c d e f g", "a b c d", "a b c d", "a b c", "x " * 60, "x " * 76, "x " * 90, "", " ", None]
+    texts += ["p q r s t " * 3 + "p q r s", "p q r s t " * 4 + "p q r s"]
+    got = simhash.similar_groups(docs_of(spark, texts), n=5, similarity=0.8, radius=79, lanes=4).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in got] == brute_similar(texts)
+    assert simhash.similar_groups(docs_of(spark, texts).limit(0), n=5, similarity=0.8, radius=79, lanes=4).count() == 0
+
+
 # ---------------------------------------------------------------- 9
 
 

@@ -38,3 +38,12 @@ def test_stages_on_odd_rows(spark, small):
             got = stage(spark, docs, small)
             assert got.count() <= max(1, len(data))
             docs = got if stage is not P.encode else docs
+
+
+def test_near_duplicates_go_by_exact_similarity(spark, small):
+    """Of 304 words, the first 244 have 240 of the 300 shingles (0.8), the first 243 one fewer."""
+    texts = [[f"d{i}w{j}" for j in range(304)] for i in range(60)]
+    rows = [(2 * i + k, " ".join(ws[:n]), "en", "s", 1) for i, ws in enumerate(texts) for k, n in enumerate((304, 244 if i % 2 else 243))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in P.dedup_documents(spark, docs, small).collect()}
+    assert got == {r[0] for r in rows} - {2 * i + 1 for i in range(1, 60, 2)}
