@@ -3,27 +3,28 @@
 A document is contaminated by a benchmark item if some window of the item's number of words resembles it: exact weighted
 Jaccard similarity (counts as weights) of five-word shingles of at least 0.8.
 
-Windows of an item's size get a SimHash fingerprint of 256 bits. Fingerprints of items are indexed by their 32 blocks of
-eight bits: an item is filed in a block under every value within one bit of its own, so that looking up the 32 blocks of a
-window finds every item whose fingerprint is within RADIUS (63) bits: were all blocks two or more bits off, the distance
-would be at least 64. At similarity 0.8 the expected distance is 39 bits with a deviation of 6. Candidates within the
-radius are verified by the exact similarity.
+Windows of an item's size get a SimHash fingerprint of 256 bits. Items of one size are indexed by the 32 blocks of eight
+bits of their fingerprints. A window is looked up in every block under its own value and the eight one bit away, which
+finds every item whose fingerprint is within RADIUS (63) bits: were all blocks two or more bits off, the distance would be
+at least 64. At similarity 0.8 the expected distance is 39 bits with a deviation of 6. What the blocks propose and what is
+within the radius is verified by the exact similarity. The index alone says which item a window is compared to.
 
-A window of M shingles that has fewer than t (L + M) / (1 + t) of the item's L shingles has similarity below t, so only
-windows with as many are fingerprinted; this drops nothing. M is L but for windows at the end of a text, which may be
-shorter than the item. Prefix sums of bit counts give all windows of a stretch at once. Documents are
-independent of each other: there is no shuffle, and no group that could be hot.
+A window of M shingles of which fewer than t (L + M) / (1 + t) occur anywhere in the benchmark has a similarity below t to
+every item of L shingles, so only windows with as many are fingerprinted; this drops nothing. M is L but for windows at
+the end of a text, which may be shorter than the item. Prefix sums of bit counts give all windows of a stretch at once.
+Documents are independent of each other: there is no shuffle, and no group that could be hot.
 
-The index is broadcast. Its size is bounded: items are taken in blocks of at most BLOCK_BYTES of text, and more items
-mean more passes, not a larger broadcast.
+The index is broadcast. Its size is bounded: items are dealt to blocks of about BLOCK_BYTES of text, of which the driver
+holds one at a time; more items mean more passes over the documents, not a larger broadcast.
 
 Defined results: items and documents that are null or have fewer than five words make no five-word shingle and match
-nothing. Items repeated are items of their own. A row without id can't be an item's answer and keeps its null id.
+nothing. Items without id are left out; items equal in id and text are one. A document without id keeps its null id, and
+rows repeated are found once each.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import short_batches, words
+from .common import row_key, short_batches, stored, words
 
-WORDS, SIMILARITY, RADIUS, LANES = 5, 0.8, 63, 4
-BLOCK_BYTES = 32 << 20
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 63
+BLOCK_BYTES = 8 << 20
+#: Windows fingerprinted at once, and pairs of a window and an item held at once.
+STRETCH, PAIRS = 4096, 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 
@@ -61,62 +64,70 @@ def bit_signs(sh: np.ndarray) -> np.ndarray:
     return np.unpackbits(x.view(np.uint8), axis=1).astype(np.int32) * 2 - 1
 
 
-def weighted_jaccard(a: Counter, b: Counter) -> float:
-    common = sum((a & b).values())
-    return common / max(1, sum(a.values()) + sum(b.values()) - common)
+class Sized:
+    """The items of one size, by the blocks of their fingerprints."""
+
+    NEAR = (0, *(1 << i for i in range(8)))
+
+    def __init__(self, places: list[int], prints: np.ndarray):
+        self.places, self.prints = np.array(places), prints
+        self.order = np.argsort(prints, axis=0, kind="stable")
+        self.starts = np.array([np.searchsorted(np.sort(prints[:, b]), np.arange(257)) for b in range(32)])
+
+    def proposed(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a fingerprint (32 octets) and an item that share a block up to one bit, each pair once."""
+        found, n, most = [], len(self.places), max(1, PAIRS // len(self.places))
+        for base in range(0, len(prints), most):
+            part, keys = prints[base : base + most], []
+            for b in range(32):
+                for flip in self.NEAR:
+                    value = part[:, b] ^ np.uint8(flip)
+                    low, many = self.starts[b, value], self.starts[b, value.astype(int) + 1] - self.starts[b, value]
+                    flat = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    keys.append(np.repeat(np.arange(base, base + len(part)), many) * n + self.order[flat, b])
+            found.append(np.unique(np.concatenate(keys)))
+        pairs = np.concatenate(found)
+        return pairs // n, pairs % n
 
 
 class Index:
-    """Items: their shingles, fingerprints and the tables of blocks."""
+    """Items: their shingles, their fingerprints and, for each size, the tables of blocks."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = WORDS):
-        self.n, self.ids, self.sizes, self.counts, prints, shingle, owner, offset = n, [], [], [], [], [], [], []
+        self.n, self.ids, self.sizes, self.bags = n, [], [], []
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item, text in items:
             ws = words(text)
             if len(ws) < n:
                 continue
             sh = shingle_hashes(word_hashes(ws), n)
-            shingle.append(sh)
-            owner.append(np.full(len(sh), len(self.ids)))
-            offset.append(np.arange(len(sh)))
+            by_size.setdefault(len(sh), []).append((len(self.ids), np.packbits(bit_signs(sh).sum(axis=0) > 0)))
             self.ids.append(item)
             self.sizes.append(len(ws))
-            self.counts.append(Counter(sh.tolist()))
-            prints.append(np.packbits(bit_signs(sh).sum(axis=0) > 0))
+            self.bags.append(np.unique(sh, return_counts=True))
         self.empty = not self.ids
         if self.empty:
             return
-        sh = np.concatenate(shingle)
-        order = np.argsort(sh, kind="stable")
-        self.shingle, self.owner, self.offset = sh[order], np.concatenate(owner)[order], np.concatenate(offset)[order]
+        self.by_size = {length: Sized([i for i, _ in of], np.array([p for _, p in of])) for length, of in sorted(by_size.items())}
+        self.shingles = np.unique(np.concatenate([values for values, _ in self.bags]))
         self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.shingle >> np.uint64(44)).astype(np.int64)] = True
-        self.prints = np.array(prints)
-        self.blocks = self._blocks()
-
-    def _blocks(self) -> np.ndarray:
-        """Bit sets of items by block and value: 32 x 256 x words."""
-        table = np.zeros((32, 256, -(-len(self.ids) // 8)), np.uint8)
-        near = [0, *(1 << i for i in range(8))]
-        for i, p in enumerate(self.prints):
-            for flip in near:
-                table[np.arange(32), p ^ flip, i >> 3] |= np.uint8(1 << (i & 7))
-        return table
-
-    def candidates(self, prints: np.ndarray) -> np.ndarray:
-        """Of each fingerprint (32 octets), which items its blocks find: n x items."""
-        found = np.zeros((len(prints), self.blocks.shape[2]), np.uint8)
-        for b in range(32):
-            found |= self.blocks[b, prints[:, b]]
-        return np.unpackbits(found, axis=1, bitorder="little")[:, : len(self.ids)].astype(bool)
-
-    def shared(self, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of shingles that items have, with the item and the place in it; each occurrence of each item."""
+        self.maybe[(self.shingles >> np.uint64(44)).astype(np.int64)] = True
+        self.compared = 0  # pairs that the blocks proposed
+
+    def known(self, sh: np.ndarray) -> np.ndarray:
+        """Positions of shingles that some item has."""
         at = np.flatnonzero(self.maybe[(sh >> np.uint64(44)).astype(np.int64)])
-        low, high = np.searchsorted(self.shingle, sh[at], "left"), np.searchsorted(self.shingle, sh[at], "right")
-        at, low, many = at[high > low], low[high > low], (high - low)[high > low]
-        flat = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-        return np.repeat(at, many), self.owner[flat], self.offset[flat]
+        place = np.minimum(np.searchsorted(self.shingles, sh[at]), len(self.shingles) - 1)
+        return at[self.shingles[place] == sh[at]]
+
+    def similarity(self, window: np.ndarray, item: int) -> float:
+        """Weighted Jaccard similarity of a window's shingles and an item's."""
+        values, counts = self.bags[item]
+        own, many = np.unique(window, return_counts=True)
+        place = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        hit = values[place] == own
+        common = int(np.minimum(many[hit], counts[place[hit]]).sum())
+        return common / max(1, len(window) + int(counts.sum()) - common)
 
     def matches(self, text: str | None, threshold: float = SIMILARITY) -> list[tuple[int, float, int, int]]:
         """(place of the item, similarity, first word, end word) of the best window of each item found."""
@@ -124,45 +135,39 @@ class Index:
         if self.empty or len(ws) < self.n:
             return []
         sh = shingle_hashes(word_hashes(ws), self.n)
-        at, owner, _ = self.shared(sh)
-        out = []
-        for item in np.unique(owner).tolist():
-            mine, size = np.unique(at[owner == item]), self.sizes[item]
-            length = size - self.n + 1  # shingles of a window
-            best: tuple[float, int] | None = None
-            for first, last in self._stretches(mine, length):
+        at = self.known(sh)
+        best: dict[int, tuple[float, int]] = {}
+        for length, sized in self.by_size.items() if len(at) else ():
+            for first, last in self._stretches(at, length):
                 starts = np.arange(first, last + 1)
-                inside = np.searchsorted(mine, starts + length) - np.searchsorted(mine, starts)
-                # shared shingles without which the similarity is below; windows at the end of the text are shorter
+                inside = np.searchsorted(at, starts + length) - np.searchsorted(at, starts)
                 need = (length + np.minimum(length, len(sh) - starts)) * threshold / (1 + threshold)
                 starts = starts[inside >= need - 1e-9]
                 if len(starts):
-                    best = self._stretch(sh, starts, length, item, threshold, best)
-            if best:
-                out.append((item, best[0], best[1], min(len(ws), best[1] + size)))
-        return out
+                    self._compare(sh, starts, length, sized, threshold, best)
+        return [(i, score, s, min(len(ws), s + self.sizes[i])) for i, (score, s) in sorted(best.items())]
 
     @staticmethod
     def _stretches(at: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
-        """First and last start of windows that hold a shared shingle, as stretches of bounded length."""
+        """First and last start of windows that hold a known shingle, as stretches of bounded length."""
         for part in np.split(at, np.flatnonzero(np.diff(at) > length) + 1):
             first, last = max(0, int(part[0]) - length + 1), int(part[-1])
-            for a in range(first, last + 1, 4096):
-                yield a, min(last, a + 4095)
+            for a in range(first, last + 1, STRETCH):
+                yield a, min(last, a + STRETCH - 1)
 
-    def _stretch(self, sh: np.ndarray, starts: np.ndarray, length: int, item: int, threshold: float, best):
-        """The best of the windows that start at `starts`, which lie within one stretch."""
+    def _compare(self, sh: np.ndarray, starts: np.ndarray, length: int, sized: Sized, threshold: float, best: dict[int, tuple[float, int]]) -> None:
+        """Looks up the windows that start at `starts`, which lie within one stretch, and keeps the best of each item."""
         base = int(starts[0])
         part = sh[base : int(starts[-1]) + length]
         signs = np.vstack([np.zeros((1, 256), np.int32), np.cumsum(bit_signs(part), axis=0, dtype=np.int32)])
         prints = np.packbits(signs[np.minimum(starts - base + length, len(part))] - signs[starts - base] > 0, axis=1)
-        some = np.flatnonzero(self.candidates(prints)[:, item])
-        far = np.bitwise_count(prints[some] ^ self.prints[item]).sum(axis=1)
-        for s in starts[some[far <= RADIUS]].tolist():
-            score = weighted_jaccard(Counter(sh[s : s + length].tolist()), self.counts[item])
-            if score >= threshold and (best is None or score > best[0]):
-                best = (score, s)
-        return best
+        window, item = sized.proposed(prints)
+        self.compared += len(window)
+        near = np.bitwise_count(prints[window] ^ sized.prints[item]).sum(axis=1) <= RADIUS
+        for s, i in zip(starts[window[near]].tolist(), sized.places[item[near]].tolist()):
+            score = self.similarity(sh[s : s + length], i)
+            if score >= threshold and (i not in best or (score, -s) > (best[i][0], -best[i][1])):
+                best[i] = (score, s)
 
 
 MATCH = ArrayType(StructType([StructField("item_id", LongType()), StructField("similarity", DoubleType()), StructField("first_word", LongType()), StructField("end_word", LongType())]))
@@ -176,30 +181,49 @@ def _run(batches: Iterator[pa.RecordBatch], items: list, text: str, n: int, thre
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, "leaks"])
 
 
-def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
-    """Items in blocks of bounded size; the benchmark itself is held by the driver while the query is planned."""
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").toLocalIterator():
-        if size + len(r["text"]) > block_bytes and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    return blocks
-
-
-def leaks(docs: DataFrame, items: DataFrame, text: str = "text", n: int = WORDS, threshold: float = SIMILARITY) -> DataFrame:
-    """docs with leaks, an array of the items found in each text; a column of that name is replaced."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    out, names = docs.drop("leaks"), []
-    for k, block in enumerate(item_blocks(items)):
-        sent = spark.sparkContext.broadcast(block)
-        schema = StructType([*out.schema.fields, StructField("leaks", MATCH)])
-        out = out.mapInArrow(lambda b, sent=sent: _run(b, sent.value, text, n, threshold), schema).withColumnRenamed("leaks", f"__leaks{k}")
-        names.append(f"__leaks{k}")
-    return out.withColumn("leaks", F.concat(*names)).drop(*names)
+def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of bounded size, of which the driver holds one at a time; at least one block, be it empty."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    size = rows.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+    own = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    dealt = stored(rows.withColumn("block", own), "benchmark-items") if blocks > 1 else rows.withColumn("block", F.lit(0))
+    for k in range(blocks):
+        yield [(r["item_id"], r["text"]) for r in dealt.where(F.col("block") == k).orderBy("item_id", "text").collect()]
+
+
+def _marked(docs: DataFrame, block: list, text: str, n: int, threshold: float) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+    return docs.mapInArrow(lambda b: _run(b, sent.value, text, n, threshold), StructType([*docs.schema.fields, StructField("leaks", MATCH)]))
+
+
+def leaks(docs: DataFrame, items: DataFrame, text: str = "text", n: int = WORDS, threshold: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with leaks, an array of the items found in each text; a column of that name is replaced.
+
+    With one block of items the documents are read once. With more, each pass stores what it found by the key of the
+    text, and only those rows are joined.
+    """
+    short_batches(docs.sparkSession)
+    docs = docs.drop("leaks")
+    blocks = item_blocks(items, block_bytes)
+    first, found = next(blocks), None
+    for block in blocks:
+        if found is None:
+            found = _found(docs.select(text), first, text, n, threshold)
+        found = found.unionByName(_found(docs.select(text), block, text, n, threshold))
+    if found is None:
+        return _marked(docs, first, text, n, threshold)
+    per_text = found.groupBy("__k1", "__k2").agg(F.sort_array(F.flatten(F.collect_set("leaks"))).alias("leaks"))
+    keys = row_key(text)
+    joined = docs.withColumns({"__k1": keys[0], "__k2": keys[1]}).join(per_text.hint("shuffle_hash"), ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    return joined.withColumn("leaks", F.coalesce("leaks", F.array().cast(MATCH)))
+
+
+def _found(narrow: DataFrame, block: list, text: str, n: int, threshold: float) -> DataFrame:
+    """Key of the text and leaks of the texts in which an item of the block is found; a text that repeats is one row."""
+    keys = row_key(text)
+    hits = _marked(narrow, block, text, n, threshold).where(F.size("leaks") > 0)
+    return stored(hits.select(keys[0].alias("__k1"), keys[1].alias("__k2"), "leaks").distinct(), "leaks")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
@@ -210,5 +234,3 @@ def contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 def decontaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """docs without those in which an item is found."""
     return leaks(docs, items, **how).where(F.size("leaks") == 0).drop("leaks")
-
-
