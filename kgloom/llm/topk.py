@@ -1,22 +1,27 @@
 """Exact top-k search by inner product, by aggregation without random access.
 
-Every dimension is a list of the block's vectors sorted by that component. A query reads the lists of its positive
-weights from the top and those of its negative weights from the bottom, all in step. What has been read of a vector gives
-a lower bound (unread components take the far end of their list) and an upper bound (unread components take the last
-value read). Vectors whose upper bound is below the k-th lower bound are outsiders; as soon as few others are left, only
-their scores are resolved. Bounds of all queries of a block at one depth are two matrix products.
-
-Queries and candidates are cut into blocks of bounded size; each pair of blocks is one group, so no task grows with the
-table. Each group returns at most k rows for each query, and these are merged by a window.
+In a block of candidates every dimension is a list of the block's vectors sorted by that component. A query reads the
+lists of its positive weights from the top and those of its negative weights from the bottom, all in step, and adds what
+it reads to the partial scores of the vectors it meets. Between rounds, the sum of what has been read of a vector and the
+far ends of the lists it hasn't been met in is its lower bound; with the places the cursors have reached in place of the
+ends it is its upper bound. A vector whose upper bound is below the k-th lower bound, or below the k-th score of the blocks
+before, is an outsider. A query stops only when no more than k vectors are left, or when its lists have been read to the
+end; then the final scores of those few are resolved from the components that haven't been met yet.
+
+Candidates stay where they are: each task reads its own partition in blocks of bounded size and never moves a vector.
+Queries are dealt to blocks of bounded bytes that are broadcast one after the other; more queries mean more passes over
+the candidates. A task keeps k rows for each query of the block, and these are merged by a window.
 
 Defined results: components become floor(256 * x). Rows without id, with a null vector, or with a null, NaN or infinite
 component take no part. A vector shorter than others has zeros at its end. Candidates are all rows whose id is not the
-query's; a query whose id is repeated is asked once for each distinct vector. Scores beyond 64 bits are held at its ends.
+query's, repeated rows each for themselves; a query whose id is repeated is asked once for each distinct vector, and the
+best k of all answers to the id are given. Scores beyond 64 bits are held at its ends.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import stored
+
 K, SCALE, EVERY = 5, 256, 50
-#: Rows of a block of candidates and of a block of queries: a task holds a few matrices of their product.
-CANDIDATES, QUERIES = 4096, 512
-#: Shares of the lists that are read before bounds are compared; the last round reads the rest.
-DEPTHS = (0.25, 0.5, 0.75)
+#: Candidates of a block, and queries asked of it at once: a task holds a few matrices of their product.
+CANDIDATES, QUERIES = 4096, 256
+#: Bytes of the queries that are broadcast at once.
+QUERY_BYTES = 32 << 20
+#: Shares of the lists after which bounds are compared; the last reads them to the end.
+DEPTHS = (0.3, 0.5, 0.65, 0.75, 0.85, 0.93, 1.0)
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -38,41 +47,63 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def bounds(q: np.ndarray, x: np.ndarray, ordered: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of every query's score with every vector after `depth` reads from every list."""
-    low, high = ordered[0], ordered[-1]
-    top, bottom = ordered[len(x) - depth], ordered[depth - 1]  # last values read from either end
-    up, down = x >= top, x <= bottom
-    weights = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
-    upper = weights @ np.hstack([np.where(up, x, top), np.where(down, x, bottom)]).T
-    lower = weights @ np.hstack([np.where(up, x, low), np.where(down, x, high)]).T
-    return lower, upper
-
-
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
-def nra(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of the k best vectors of a block for each query; float64 holds every sum exactly."""
+class Lists:
+    """The sorted lists of a block, read by many queries in step."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.n = x, len(x)
+        self.order = np.argsort(x, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(x, self.order, axis=0)
+        self.reads = self.resolved = 0
+
+    def read(self, q: np.ndarray, partial: np.ndarray, start: int, end: int) -> None:
+        """Adds entries [start, end) of every list to the partial scores (vectors x queries); lists of negative weights are
+        read backwards. A vector stands once in a list, so no addition meets another."""
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        for j in range(self.x.shape[1]):
+            for weights, at in ((up[:, j], slice(self.n - end, self.n - start)), (down[:, j], slice(start, end))):
+                if weights.any():
+                    partial[self.order[at, j]] += self.sorted[at, j, None] * weights[None, :]
+                    self.reads += int(np.count_nonzero(weights)) * (end - start)
+
+    def rest(self, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """What each vector's components that haven't been met can add, at least and at most."""
+        met_top, met_bottom = np.zeros(self.x.shape, bool), np.zeros(self.x.shape, bool)
+        np.put_along_axis(met_top, self.order[self.n - depth :], True, axis=0)
+        np.put_along_axis(met_bottom, self.order[:depth], True, axis=0)
+        weights = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
+        unmet = lambda top, bottom: weights @ np.hstack([np.where(met_top, 0, top), np.where(met_bottom, 0, bottom)]).T
+        return unmet(self.sorted[0], self.sorted[-1]), unmet(self.sorted[self.n - depth], self.sorted[depth - 1])
+
+
+def nra(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, lists: Lists, k: int, floor: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(place of the query, vector, score) of the k best vectors of a block for each query; float64 holds every sum exactly.
+
+    floor: a score for each query; vectors below it may be left out.
+    """
     out: list[tuple[int, int, int]] = []
-    ordered, n = np.sort(x, axis=0), len(x)
+    n, left = lists.n, np.arange(len(q))
+    partial, depth = np.zeros((n, len(q))), 0
     own = q_ids[:, None] == x_ids[None, :]
-    left = np.arange(len(q))
-    for share in (*DEPTHS, 1.0):
-        depth = max(1, math.ceil(n * share))
-        lower, upper = bounds(q[left], x, ordered, depth)
-        mine = own[left]
-        lower[mine] = upper[mine] = -np.inf
+    floor = np.full(len(q), -np.inf) if floor is None else floor
+    for share in DEPTHS:
+        end = max(1, math.ceil(n * share))
+        lists.read(q[left], partial, depth, end)
+        depth = end
+        low, high = lists.rest(q[left], depth)
+        lower, upper = partial.T + low, partial.T + high
+        lower[own] = upper[own] = -np.inf
         kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(left), -np.inf)
-        may = (upper >= kth[:, None]) & (upper > -np.inf)
-        done = (may.sum(axis=1) <= max(4 * k, n // 8)) | (share == 1.0)
-        for at in np.flatnonzero(done):
+        may = (upper >= np.maximum(kth, floor[left])[:, None]) & (upper > -np.inf)
+        done = (may.sum(axis=1) <= k) | (depth == n)
+        for at in np.flatnonzero(done).tolist():
             rest = np.flatnonzero(may[at])
-            scores = x[rest] @ q[left[at]]
-            for i in best(x_ids[rest], scores, k):
-                out.append((int(q_ids[left[at]]), int(x_ids[rest[i]]), int(scores[i])))
-        left = left[~done]
+            if depth < n:
+                lists.resolved += rest.size * q.shape[1]
+            scores = partial[rest, at] if depth == n else lists.x[rest] @ q[left[at]]
+            best = np.lexsort((x_ids[rest], -scores))[:k]
+            out += zip([int(left[at])] * len(best), x_ids[rest[best]].tolist(), scores[best].astype(np.int64).tolist())
+        left, partial, own = left[~done], partial[:, ~done], own[~done]
         if not len(left):
             break
     return out
@@ -81,43 +112,95 @@ def nra(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: i
 def plain(q_ids: np.ndarray, q: list, x_ids: np.ndarray, x: list, k: int) -> list[tuple[int, int, int]]:
     """For components too large for exact sums in float64: Python's integers."""
     out, most = [], 2**63 - 1
-    for qi, a in zip(q_ids.tolist(), q):
+    for place, (qi, a) in enumerate(zip(q_ids.tolist(), q)):
         scored = sorted((-sum(map(int.__mul__, a, b)), xi) for xi, b in zip(x_ids.tolist(), x) if xi != qi)
-        out += [(qi, xi, max(-most - 1, min(most, -s))) for s, xi in scored[:k]]
+        out += [(place, xi, max(-most - 1, min(most, -s))) for s, xi in scored[:k]]
     return out
 
 
-def _group(t: pa.Table, k: int) -> pa.Table:
-    asks = t.column("asks").to_numpy()
-    ids, lists = t.column("vec_id").to_numpy(), t.column("v").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy()
-    m = np.zeros((len(ids), int(sizes.max(initial=0))), np.int64)
-    m[np.arange(m.shape[1]) < sizes[:, None]] = flat
-    out: list[tuple[int, int, int]] = []
-    if asks.any() and not asks.all():
-        q, x = m[asks], m[~asks]
-        most = max(float(np.abs(q.astype(float)).max(initial=0)), 1.0) * max(float(np.abs(x.astype(float)).max(initial=0)), 1.0) * max(m.shape[1], 1)
-        if m.shape[1] == 0:
-            out = plain(ids[asks], q.tolist(), ids[~asks], x.tolist(), k)
-        elif most < 2**52:
-            out = nra(ids[asks], q.astype(float), ids[~asks], x.astype(float), k)
-        else:
-            out = plain(ids[asks], q.tolist(), ids[~asks], x.tolist(), k)
-    columns = list(zip(*out)) or [[], [], []]
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns)})
-
-
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
+def _matrix(lists: pa.Array, width: int = 0) -> np.ndarray:
+    sizes = lists.value_lengths().to_numpy()
+    m = np.zeros((len(sizes), max(width, int(sizes.max(initial=0)))), np.int64)
+    m[np.arange(m.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
+    return m
+
+
+def _most(m: np.ndarray) -> float:
+    return max(1.0, float(np.abs(m.astype(float)).max(initial=0)))
+
+
+class _Best:
+    """The k best of each query over the blocks of one task."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int):
+        self.q_ids, self.q, self.k = q_ids, q, k
+        self.held: list[list[tuple[int, int]]] = [[] for _ in q_ids]
+        self.floor = np.full(len(q_ids), -np.inf)
+        self.size = _most(q)
+
+    def see(self, x_ids: np.ndarray, x: np.ndarray, queries: int) -> None:
+        width = max(x.shape[1], self.q.shape[1])
+        q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (self.q, x))
+        exact = width and self.size * _most(x) * width < 2**52
+        lists = Lists(x.astype(float)) if exact else None
+        for a in range(0, len(q), queries):
+            part = slice(a, a + queries)
+            found = nra(self.q_ids[part], q[part].astype(float), x_ids, lists, self.k, self.floor[part]) if exact else plain(self.q_ids[part], q[part].tolist(), x_ids, x.tolist(), self.k)
+            met: dict[int, list[tuple[int, int]]] = {}
+            for at, vec, score in found:
+                met.setdefault(a + at, []).append((-score, vec))
+            for at, new in met.items():
+                self.held[at] = sorted(self.held[at] + new)[: self.k]
+                if len(self.held[at]) == self.k and abs(self.held[at][-1][0]) < 2**52:
+                    self.floor[at] = -self.held[at][-1][0]
+
+    def rows(self) -> pa.RecordBatch:
+        out = [(q, vec, -s) for q, held in zip(self.q_ids.tolist(), self.held) for s, vec in held]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3, ["query_id", "vec_id", "score"])
+
+
+def _search(batches: Iterator[pa.RecordBatch], asked: tuple[np.ndarray, np.ndarray], k: int, candidates: int, queries: int) -> Iterator[pa.RecordBatch]:
+    best, held, n = _Best(*asked, k), [], 0
+
+    def spend() -> None:
+        t = pa.Table.from_batches(held)
+        lists = t.column("v").combine_chunks()
+        best.see(t.column("vec_id").to_numpy(), _matrix(lists), queries)
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, candidates):
+            part = batch.slice(a, candidates)
+            if n + part.num_rows > candidates:
+                spend()
+                held, n = [], 0
+            held, n = [*held, part], n + part.num_rows
+    if n:
+        spend()
+    yield best.rows()
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, candidates: int = CANDIDATES, queries: int = QUERIES, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id and score: the k best candidates of every row whose id is divisible by `every`."""
+    spark = vectors.sparkSession
     rows = quantised(vectors, scale)
     asking = rows.where(F.col("vec_id") % every == 0).distinct()
-    n, m = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    blocks, asked = max(1, math.ceil(n / candidates)), max(1, math.ceil(m / queries))
-    own = lambda parts, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id", "v"), F.lit(parts)).cast("int")
-    every_one = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    both = rows.select("vec_id", "v", F.lit(False).alias("asks"), own(blocks, 1).alias("cb"), every_one(asked).alias("qb")).unionByName(asking.select("vec_id", "v", F.lit(True).alias("asks"), every_one(blocks).alias("cb"), own(asked, 2).alias("qb")))
-    found = both.groupBy("cb", "qb").applyInArrow(lambda t: _group(t, k), FOUND)
+    size = asking.agg(F.sum(8 * (F.size("v") + 1))).first()[0] or 0
+    blocks = max(1, math.ceil(size / query_bytes))
+    if blocks > 1:
+        asking = stored(asking.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))), "queries")
+    found = None
+    for block in range(blocks):
+        t = (asking.where(F.col("block") == block).select("vec_id", "v") if blocks > 1 else asking).toArrow()
+        sent = spark.sparkContext.broadcast((t.column("vec_id").to_numpy(), _matrix(t.column("v").combine_chunks())))
+        part = rows.mapInArrow(lambda b, sent=sent: _search(b, sent.value, k, candidates, queries), FOUND)
+        part = _ranked(part, k)
+        if blocks > 1:
+            part = stored(part, "answers")
+            sent.unpersist()
+        found = part if found is None else found.unionByName(part)
+    return found.select("query_id", "rank", "vec_id", "score") if blocks == 1 else _ranked(found.drop("rank"), k).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    return found.withColumn("rank", place).where(F.col("rank") <= k)
