@@ -1,20 +1,21 @@
 """Byte-level BPE encoding and decoding.
 
 A text is cut by the tokenizer's pattern; each distinct match is encoded once and remembered. Matches that are new in a
-batch are put in padded numpy matrices by length class. Each round looks up the rank of every adjacent pair in a hash
-table, and every row merges its leftmost pair of least rank; the row closes up, and rows without a pair to merge leave
-the matrix. Matches longer than LONG bytes go through the same merges with a heap, which needs no round for each merge
-over the whole length. A match that is itself a token is that token.
-
-Defined results: a null text is an empty text, with no ids. Extra columns are kept. The memory of matches is emptied when
-it holds REMEMBERED of them, so a worker's memory is bounded whatever the vocabulary of the corpus.
+batch are put in padded numpy matrices by length class, with the rank of every adjacent pair beside them, looked up in a
+hash table by whole arrays. Each round, every row merges its leftmost pair of least rank, closes up, and looks up the two
+pairs that are new; rows without a pair to merge leave the matrix. A match of more than WIDE bytes is folded: its bytes are
+the rows of a matrix of its own, whose rounds merge the leftmost pair of least rank of the whole match and touch one row
+only, so that a round doesn't cost the length of the match. A match that is itself a token is that token.
+
+Defined results: a null text is an empty text, with no ids. Rows repeated are encoded alike. Extra columns are kept; those
+of the result's names are replaced. A matrix has at most CELLS cells, and the memory of matches is emptied when it holds
+REMEMBERED_BYTES of them, so a worker's memory is bounded by the longest text, whatever the vocabulary of the corpus.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,11 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from .common import short_batches
 
-#: Bytes up to which a match goes through the matrices, and the upper ends of the length classes.
-LONG, CLASSES = 256, (4, 8, 12, 16, 24, 32, 64, 128, 256)
-REMEMBERED = 400_000
+#: Upper ends of the length classes in bytes; longer matches are folded into rows of FOLD bytes.
+CLASSES = (4, 8, 12, 16, 24, 32, 64, 128, 256, 512)
+WIDE, FOLD = CLASSES[-1], 256
+#: Cells of a matrix and characters cut at once, and bytes of remembered matches and their ids.
+CELLS, REMEMBERED_BYTES = 1 << 20, 48 << 20
 #: Odd multiplier of the pair hash (2**64 divided by the golden ratio).
 MIX = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.int64(1 << 40)
@@ -80,77 +83,126 @@ class Encoder:
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = [(a, b, i) for t, i in ranks.items() for cut in range(1, len(t)) if (a := ranks.get(t[:cut])) is not None and (b := ranks.get(t[cut:])) is not None]
-        self.pair_rank = {(a, b): i for a, b, i in pairs}
         self.pairs = Pairs(*np.array(pairs, np.int64).reshape(-1, 3).T)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _matrix(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of pieces of one length class."""
-        width = max(map(len, pieces))
+        width = max(2, *map(len, pieces))
         sizes = np.array([len(p) for p in pieces])
         m = np.full((len(pieces), width), -1, np.int64)
         m[np.arange(width) < sizes[:, None]] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
         out: list = [None] * len(pieces)
-        rows = np.arange(len(pieces))
+        rows, ranks = np.arange(len(pieces)), self.pairs.lookup(m[:, :-1], m[:, 1:])
         while len(rows):
-            ranks = self.pairs.lookup(m[:, :-1], m[:, 1:]) if m.shape[1] > 1 else np.full((len(rows), 1), NONE)
+            each = np.arange(len(rows))
             at = ranks.argmin(axis=1)  # the leftmost of the least
-            least = ranks[np.arange(len(rows)), at]
-            over = least == NONE
-            for r, ids in zip(rows[over].tolist(), m[over].tolist()):
-                out[r] = [i for i in ids if i >= 0]
-            m, rows, at, least = m[~over], rows[~over], at[~over], least[~over]
-            if not len(rows):
-                break
-            m[np.arange(len(rows)), at] = least
-            place = np.arange(m.shape[1] - 1)
-            shifted = np.where(place[None, :] > at[:, None], m[:, 1:], m[:, :-1])
-            m = shifted[:, : max(1, int((shifted >= 0).sum(axis=1).max()))]
+            least = ranks[each, at]
+            if (over := least == NONE).any():
+                for r, ids in zip(rows[over].tolist(), m[over].tolist()):
+                    out[r] = [i for i in ids if i >= 0]
+                m, ranks, rows, at, least = m[~over], ranks[~over], rows[~over], at[~over], least[~over]
+                if not len(rows):
+                    break
+                longest = max(2, int((m >= 0).sum(axis=1).max()))  # closes up
+                m, ranks, each = m[:, :longest], ranks[:, : longest - 1], np.arange(len(rows))
+            m[each, at] = least
+            last = m.shape[1] - 1
+            after = np.arange(last)[None, :] > at[:, None]
+            m[:, :-1] = np.where(after, m[:, 1:], m[:, :-1])
+            m[:, -1] = -1
+            ranks[:, :-1] = np.where(after[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = NONE
+            # the two pairs that the merged id stands in
+            ranks[each, np.minimum(at, last - 1)] = self.pairs.lookup(m[each, np.minimum(at, last - 1)], m[each, np.minimum(at, last - 1) + 1])
+            some = np.flatnonzero(at > 0)
+            ranks[some, at[some] - 1] = self.pairs.lookup(m[some, at[some] - 1], m[some, at[some]])
         return out
 
-    def _heap(self, piece: bytes) -> list[int]:
-        """The same merges over a linked list, for long pieces."""
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pair_rank.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if not gone[i] else n
-            if gone[i] or j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], gone[j], after[i] = rank, True, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := self.pair_rank.get((ids[x], ids[y]))) is not None:
-                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return [t for t, g in zip(ids, gone) if not g]
+    def _folded(self, piece: bytes) -> list[int]:
+        """Ids of one long piece, whose rows are the rows of a matrix.
+
+        A row that has become empty is passed over. The rank of a row's last pair, whose right side stands in the next row
+        that isn't empty, is held with the row of its left side.
+        """
+        rows = -(-len(piece) // FOLD)
+        flat = np.full(rows * FOLD, -1, np.int64)
+        flat[: len(piece)] = self.single[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.lookup(flat, np.append(flat[1:], -1)).reshape(rows, FOLD)
+        m, size = flat.reshape(rows, FOLD), (flat.reshape(rows, FOLD) >= 0).sum(axis=1).tolist()
+        before, after = list(range(-1, rows - 1)), list(range(1, rows + 1))
+        least = ranks.min(axis=1)
+        rank = lambda a, b: int(self.pairs.lookup(np.array([a]), np.array([b]))[0])
+
+        def drop(r: int, c: int) -> None:
+            """Takes an id out of its row; a row without ids leaves the chain."""
+            m[r, c : size[r] - 1], ranks[r, c : size[r] - 1] = m[r, c + 1 : size[r]], ranks[r, c + 1 : size[r]]
+            size[r] -= 1
+            m[r, size[r]], ranks[r, size[r]] = -1, NONE
+            if size[r]:
+                least[r] = ranks[r].min()
+                return
+            least[r] = NONE
+            if before[r] >= 0:
+                after[before[r]] = after[r]
+            if after[r] < rows:
+                before[after[r]] = before[r]
+
+        while True:
+            r = int(least.argmin())
+            if least[r] == NONE:
+                return [i for i in m.ravel().tolist() if i >= 0]
+            c = int(ranks[r].argmin())
+            m[r, c] = ranks[r, c]
+            if c + 1 < size[r]:
+                drop(r, c + 1)
+            else:
+                drop(after[r], 0)
+            right = m[r, c + 1] if c + 1 < size[r] else m[after[r], 0] if after[r] < rows else -1
+            ranks[r, c] = rank(m[r, c], right)
+            least[r] = ranks[r].min()
+            if c or before[r] >= 0:
+                p, o = (r, c - 1) if c else (before[r], size[before[r]] - 1)
+                ranks[p, o] = rank(m[p, o], m[r, c])
+                least[p] = ranks[p].min()
+
+    def _remember(self, match: str, ids: list[int]) -> None:
+        self.known[match] = np.array(ids, "<u4").tobytes()
+        self.held += 100 + len(match) + 4 * len(ids)
 
     def learn(self, matches: set[str]) -> None:
         """Encodes matches that aren't known yet."""
-        pieces = {s: s.encode("utf-8", "surrogatepass") for s in matches}
-        classes: dict[int, list[str]] = {}
-        for s, p in pieces.items():
+        classes: dict[int, list[tuple[str, bytes]]] = {}
+        for s in matches:
+            p = s.encode("utf-8", "surrogatepass")
             if (whole := self.ranks.get(p)) is not None:
-                self.known[s] = whole.to_bytes(4, "little")
-            elif len(p) > LONG:
-                self.known[s] = np.array(self._heap(p), "<u4").tobytes()
+                self._remember(s, [whole])
+            elif len(p) > WIDE:
+                self._remember(s, self._folded(p))
             else:
-                classes.setdefault(next(c for c in CLASSES if len(p) <= c), []).append(s)
-        for names in classes.values():
-            for s, ids in zip(names, self._matrix([pieces[s] for s in names])):
-                self.known[s] = np.array(ids, "<u4").tobytes()
+                classes.setdefault(next(c for c in CLASSES if len(p) <= c), []).append((s, p))
+        for width, members in classes.items():
+            most = max(1, CELLS // width)
+            for a in range(0, len(members), most):
+                part = members[a : a + most]
+                for (s, _), ids in zip(part, self._matrix([p for _, p in part])):
+                    self._remember(s, ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.find(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if new := set().union(*cut) - self.known.keys():
-            self.learn(new)
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        """Ids of each text as little-endian unsigned 32-bit integers; texts are cut a few at a time, by their length."""
+        out: list[bytes] = []
+        ends = np.cumsum([len(t) if t else 0 for t in texts])
+        while (first := len(out)) < len(texts):
+            spent = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, spent + CELLS, "right")))
+            cut = [self.find(t) if t else [] for t in texts[first:last]]
+            if self.held > REMEMBERED_BYTES:
+                self.known.clear()
+                self.held = 0
+            self.learn(set().union(*cut).difference(self.known))
+            out += [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
