@@ -2,22 +2,24 @@
 
 Two zstandard dictionaries hold text labelled good and text labelled bad. A text is compressed with either, in pieces of
 PIECE bytes, so that what helps is the dictionary and not the text before; the difference of the two sizes, over the
-larger of them, says which it resembles. A logistic curve fitted
-on training rows that are in neither dictionary turns the difference into a probability.
+larger of them, says which it resembles. A logistic curve fitted on training rows that are in neither dictionary turns the
+difference into a probability.
 
-The model is fitted on at most FIT_ROWS labelled rows for each label (those with the least hash of their id), a bound
-that doesn't depend on the corpus: they are collected to the driver, and the dictionaries are sent to the executors.
-Everything else runs over all rows and whole texts.
+The model is fitted on at most FIT_ROWS labelled rows of each label (those with the least hash of their id), a bound that
+doesn't depend on the corpus. Half of them fill the dictionaries: each gives its whole text or, if that is longer than its
+equal share of DICT_BYTES, SPREAD stretches evenly spread from its first character to its last. Only these stretches reach
+the driver. The other half are compressed whole, by the executors, and give one number each to the curve. Everything else
+runs over all rows and whole texts.
 
 Defined results: null and empty texts get the score of a difference of zero. Rows whose label is null aren't learnt from.
-If a label has no rows, every score is the share of label 1 (0.5 without any labelled row).
+Of several texts with one id, that with the least hash is learnt from; an id with both labels is learnt from for both. If a
+label has fewer than four such rows, every score is the share of label 1 (0.5 without any labelled row).
 """
 
 from __future__ import annotations
 
 import dataclasses
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +28,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
-from .common import short_batches
+from .common import short_batches, stored
 
-#: Labelled rows of each label that are fitted on; characters of each such row; bytes of a dictionary.
-FIT_ROWS, FIT_CHARS, DICT_BYTES = 1500, 20_000, 512 << 10
+#: Labelled rows of each label that are fitted on; bytes of a dictionary; stretches of a text that is longer than its share.
+FIT_ROWS, DICT_BYTES, SPREAD = 1500, 512 << 10, 4
 FOLDS, THRESHOLD, LEVEL, PIECE = 5, 0.3, 3, 96
 #: Bytes that zstandard spends on any frame.
 FRAME = 2
@@ -73,10 +76,12 @@ def difference(text: str | None, good: zstandard.ZstdCompressor, bad: zstandard.
     return (b - a) / max(a, b, 1)
 
 
-def content(texts: list[str], size: int = DICT_BYTES) -> bytes:
-    """Equal parts of the texts, as many as fit."""
-    each = max(64, size // max(1, len(texts)))
-    return b"\n".join(t.encode("utf-8", "replace")[: 4 * each][:each] for t in texts)[-size:]
+def content(text: Column, chars: int) -> Column:
+    """The text, or SPREAD stretches of it, the first and the last at its ends, that have so many characters together."""
+    each = max(1, chars // SPREAD)
+    last = F.char_length(text) - each
+    stretches = F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: F.substring(text, F.floor(last * i / (SPREAD - 1)).cast("int") + 1, F.lit(each)))
+    return F.when(F.char_length(text) <= chars, text).otherwise(F.array_join(stretches, "\n"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -93,41 +98,50 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(w[0]), float(w[1])
 
 
-def fit(rows: list[tuple[str, int]], share: float) -> Model:
-    """rows: text and label; share: of label 1 among all labelled rows. Half of the rows fill the dictionaries, the other half calibrates."""
-    by = {y: [t for t, label in rows if label == y and t] for y in (0, 1)}
-    if min(map(len, by.values())) < 2:
-        share = min(1 - 1e-6, max(1e-6, share))
-        return Model(b"", b"", 0.0, math.log(share / (1 - share)))
-    halves = {y: (t[::2], t[1::2]) for y, t in by.items()}
-    good, bad = content(halves[1][0]), content(halves[0][0])
-    made = _compressors(good, bad)
-    x = np.array([difference(t, *made) for y in (0, 1) for t in halves[y][1]])
-    y = np.repeat([0.0, 1.0], [len(halves[0][1]), len(halves[1][1])])
-    slope, shift = logistic(x, y)
-    shift += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))  # the sample's shares are not the corpus's
-    return Model(good, bad, slope, shift)
-
-
 def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """text, quality and half (0: dictionary, 1: curve) of the rows that are fitted on; none of fold 0."""
+    told = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)).select("doc_id", "quality").distinct()
+    place = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = told.withColumn("place", place).where(F.col("place") <= rows).select("doc_id", "quality", (F.col("place") % 2).alias("half"))
+    found = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(chosen), "doc_id")  # at most two times rows
+    one = F.row_number().over(Window.partitionBy("doc_id", "quality").orderBy(F.xxhash64("text"), "text"))
+    return found.withColumn("one", one).where("one = 1").select("doc_id", "text", "quality", "half")
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learns from labelled rows whose fold is not 0."""
+    short_batches(docs.sparkSession)
     told = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)).select("doc_id", "quality").distinct()
-    counts = {r["quality"]: r["n"] for r in told.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = None
+    of = {r["quality"]: r["n"] for r in told.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = of.get(1, 0) / sum(of.values()) if of else 0.5
+    chosen = stored(sample(docs, labels, rows), "quality-sample")
+    halves = {(r["quality"], r["half"]): r["n"] for r in chosen.groupBy("quality", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(halves) < 4:
+        share = min(1 - 1e-6, max(1e-6, share))
+        return Model(b"", b"", 0.0, math.log(share / (1 - share)))
+    made = {}
     for y in (0, 1):
-        part = told.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    text = F.substring("text", 1, FIT_CHARS)
-    sample = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality", F.xxhash64("doc_id", "text").alias("order")).orderBy("order", "text").limit(2 * rows).collect()
-    total = sum(counts.values())
-    return fit([(r["text"], r["quality"]) for r in sample], counts.get(1, 0) / total if total else 0.5)
+        part = chosen.where((F.col("half") == 0) & (F.col("quality") == y)).orderBy(F.xxhash64("doc_id"), "doc_id")
+        texts = part.select(content(F.col("text"), max(64, DICT_BYTES // halves[y, 0])).alias("text")).collect()
+        made[y] = b"\n".join(r["text"].encode("utf-8", "replace") for r in texts)[-DICT_BYTES:]
+    sent = docs.sparkSession.sparkContext.broadcast((made[1], made[0]))
+    rest = chosen.where("half = 1").select("text", "quality").mapInArrow(lambda b: _differences(b, sent.value), "quality int, x double").collect()
+    rest.sort()
+    x, y = np.array([r["x"] for r in rest]), np.array([float(r["quality"]) for r in rest])
+    slope, shift = logistic(x, y)
+    shift += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))  # the sample's shares are not the corpus's
+    return Model(made[1], made[0], slope, shift)
 
 
-_scorers: dict = {}
+def _differences(batches: Iterator[pa.RecordBatch], dictionaries: tuple[bytes, bytes]) -> Iterator[pa.RecordBatch]:
+    made = _compressors(*dictionaries)
+    for batch in batches:
+        x = [difference(t, *made) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("quality").cast(pa.int32()), pa.array(x, pa.float64())], ["quality", "x"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Iterator[pa.RecordBatch]:
