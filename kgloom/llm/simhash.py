@@ -4,30 +4,33 @@ Fingerprints. XXH64 (seed 42) of every word shingle, repeats included; a bit is
 
 Links, exact (radius up to 2). The Hamming distances of a fingerprint to reference fingerprints (pivots) are its
 coordinates: two fingerprints at distance d differ by at most d in every coordinate. The first pivots are 0 and one mask
-for each block of four bits; distance to 0 less distance to a mask gives the ones in that block. Fingerprints at distance
+for each block of BLOCK bits; distance to 0 less distance to a mask gives the ones in that block. Fingerprints at distance
 2 or less differ by 2 or less in the sum over all blocks, so some cell of block counts is at most one step from both: each
 fingerprint is dealt to its own cell and to those one step away, and each pair within the radius meets. In a cell, pairs
-are discarded whose coordinates to further random pivots differ by more than the radius, and survivors are verified.
-
-Links, wide. For similarity of shingles, fingerprints have 256 bits and the radius is wide; no set of cells finds all such
-pairs in less than quadratic time, so fingerprints are dealt to TABLES tables keyed by sampled bits (the bits of a
-fingerprint are its distances to unit pivots), and met pairs go through the same discarding and verification. A pair at
-the radius is missed with a probability that the number of tables bounds (see `tables_for`).
+are discarded whose coordinates to further random pivots differ by more than the radius, and survivors are verified. With
+blocks of three bits the fullest cell of N different random fingerprints holds about N * 5e-8 of them.
 
 Links, by similarity of shingles. Two texts are linked if the exact weighted Jaccard similarity of their shingles is at
 least `similarity`. Each repeat of a shingle is an element of its own, so that this is the similarity of two sets. Texts
 are dealt to BANDS tables keyed by the least values of BAND_ROWS hash functions over the elements; a pair at similarity s
-shares no key with probability (1 - s ** BAND_ROWS) ** BANDS, 0.0004 at 0.8. In a cell, pairs are discarded whose 256-bit
-fingerprints differ by more than the radius. First each member of a cell is compared to the one nearest to the majority of
-all their bits, and links found are contracted, which leaves little of a group of near copies; then the sets of cells that
-aren't connected yet are compared in blocks, and a spanning forest is kept. Nodes are sets of elements, not fingerprints, which different texts may share.
+shares no key with probability (1 - s ** BAND_ROWS) ** BANDS, 0.0004 at 0.8. Pivot coordinates can't replace these keys: at
+0.8 fingerprints of 256 bits are 39 bits apart, with a deviation of 6, and the coordinates of unrelated ones differ by less
+than that, so the tables would discard next to nothing and every pair of documents would have to be verified.
+
+In a cell the middle fingerprint is the pivot: members whose fingerprints differ from it by more than the radius are
+discarded, the others are verified, and links found are contracted, which leaves little of a group of near copies. Cells
+that hold several components then still have to be compared outside of them. In a cell of more than CELL sets, the largest
+component is the trunk; the others are dealt to blocks, and each block is compared to every block of the trunk and of the
+others. So no task holds more than two blocks, whatever the cell, and members of the trunk are never compared to each other.
+A spanning forest is kept of the links. Nodes are sets of elements, not fingerprints, which different texts may share.
 
-Equal fingerprints are one node from the start: a group of copies of any size is one row. In a cell only a spanning forest
-of the links is kept, not every pair. Components are found by alternating star operations on the stored links; nothing is
-collected to the driver.
+Equal fingerprints (or equal sets) are one node from the start: a group of copies of any size is one row. Components are
+found by alternating star operations on the stored links; nothing is collected to the driver.
 
 Defined results: null and empty texts have no words and fingerprint zero, which links like any other. A row without id
 has a component but never names one (the component's id is null if no row has one). Rows repeated are rows of one group.
+The representative of a group is its row with the least id, of those the one with the least key (row_key) of id and text;
+rows without id come last. Of rows equal in id and text, one stays.
 """
 
 from __future__ import annotations
@@ -38,20 +41,23 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import row_key, short_batches, stored, words
 
-SEED, BLOCK, BLOCKS = 42, 4, 16
+SEED, BLOCK, BLOCKS = 42, 3, 22
 #: Random reference fingerprints besides the block masks.
 PIVOTS = 24
 #: Shingles hashed at a time, and fingerprints compared at a time.
 STEP, SIDE = 1 << 16, 2048
-TABLES, TABLE_BITS = 48, 16
 BANDS, BAND_ROWS = 20, 5
+#: Sets of a cell that one task compares; larger cells are compared in blocks of half as many.
+CELL = 1024
+#: Rows of a cell among which the middle one is looked for.
+MIDDLE = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,7 +145,7 @@ def fingerprinted(docs: DataFrame, n: int = 3, lanes: int = 1, text: str = "text
 
 # ---------------------------------------------------------------- candidates
 
-_MASKS = np.array([((1 << BLOCK) - 1) << (BLOCK * i) for i in range(BLOCKS)], np.uint64)
+_MASKS = np.array([(((1 << BLOCK) - 1) << (BLOCK * i)) % 2**64 for i in range(BLOCKS)], np.uint64)
 
 
 def pivots(lanes: int, n: int = PIVOTS) -> np.ndarray:
@@ -155,7 +161,7 @@ def block_counts(fp: np.ndarray) -> np.ndarray:
     """Ones in each block, from the distances to 0 and to the block's mask."""
     refs = np.concatenate([[np.uint64(0)], _MASKS])[:, None]
     d = distances(fp, refs)
-    return (d[:, :1] - d[:, 1:] + BLOCK) // 2
+    return (d[:, :1] - d[:, 1:] + np.bitwise_count(_MASKS).astype(np.int16)) // 2
 
 
 def cells(fp: np.ndarray) -> np.ndarray:
@@ -165,28 +171,12 @@ def cells(fp: np.ndarray) -> np.ndarray:
     return np.column_stack([own, own[:, None] + base, own[:, None] - base])
 
 
-def tables_for(radius: int, bits: int, key_bits: int = TABLE_BITS, missed: float = 0.05) -> int:
-    """Tables after which a pair at the radius is missed with at most this probability."""
-    hit = np.prod([(bits - radius - i) / (bits - i) for i in range(key_bits)])
-    return int(np.ceil(np.log(missed) / np.log(1 - hit)))
-
-
-def sampled(fp: np.ndarray, tables: int, key_bits: int) -> np.ndarray:
-    """Keys of each fingerprint in every table: the table's number and the bits it samples."""
-    rng, bits = np.random.default_rng(11), 64 * fp.shape[1]
-    flat = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
-    weights = 1 << np.arange(key_bits, dtype=np.int64)
-    return np.column_stack([(np.int64(t) << 40) | (flat[:, rng.permutation(bits)[:key_bits]].astype(np.int64) @ weights) for t in range(tables)])
-
-
-def _deal(batches: Iterator[pa.RecordBatch], tables: int, key_bits: int) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("fp")
-        lanes = len(lists[0]) if len(lists) else 1
-        fp = lists.flatten().to_numpy().view(np.uint64).reshape(-1, lanes)
-        keys = sampled(fp, tables, key_bits) if tables else cells(fp)
-        each = keys.shape[1]
-        rows = np.repeat(np.arange(len(fp)), each)
+        fp = lists.flatten().to_numpy().view(np.uint64).reshape(-1, 1)
+        keys = cells(fp)
+        rows = np.repeat(np.arange(len(fp)), keys.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column("node").take(pa.array(rows)), lists.take(pa.array(rows))], ["cell", "node", "fp"])
 
 
@@ -261,8 +251,11 @@ def _lists(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _whole_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
-    """cell, fp (or elements) and the named columns of whole cells; rows come sorted by cell, and a cell may span batches."""
+def _whole_cells(batches: Iterator[pa.RecordBatch], names: list[str], most: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """cell, fp (or elements) and the named columns of whole cells; rows come sorted by cell, and a cell may span batches.
+
+    most: a cell of more rows is given in parts.
+    """
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         if not batch.num_rows:
@@ -271,6 +264,9 @@ def _whole_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterato
         held.append((batch.column("cell").to_numpy(), fp, *(batch.column(c).to_numpy() for c in names)))
         last = held[-1][0]
         if held[0][0][0] == last[-1]:
+            if most and sum(len(x[0]) for x in held) >= most:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held = []
             continue  # all one cell so far
         whole = [np.concatenate(x) for x in zip(*held)]
         cut = int(np.searchsorted(whole[0], last[-1], "left"))
@@ -287,10 +283,6 @@ def _runs(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[size > 1], size[size > 1]
 
 
-def _far(fp: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64)
-
-
 def _middle(fp: np.ndarray) -> int:
     """The fingerprint nearest to the majority of all bits."""
     bits = np.zeros(fp.shape[1] * 64, np.int64)
@@ -301,17 +293,31 @@ def _middle(fp: np.ndarray) -> int:
 
 
 def _stars(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Each node of a cell with the middle one, and whether their fingerprints are within the radius."""
-    for cell, fp, node in _whole_cells(batches, ["node"]):
-        start, size = _runs(cell)
-        middle = start.copy()
-        for i in np.flatnonzero(size > 2).tolist():
-            middle[i] += _middle(fp[start[i] : start[i] + size[i]])
-        x = np.repeat(middle, size)
-        y = np.repeat(start - np.cumsum(size) + size, size) + np.arange(len(x))
-        x, y = x[x != y], y[x != y]
-        near = np.concatenate([_far(fp, x[a : a + STEP], y[a : a + STEP]) <= radius for a in range(0, len(x), STEP)] or [np.empty(0, bool)])
-        a, b = np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
+    """Each node of a cell with the middle one of its first MIDDLE rows, and whether their fingerprints are within the radius.
+
+    A cell is read through, never held whole.
+    """
+    now, centre, of = None, None, None
+
+    def spokes(cell: int, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal now, centre, of
+        if cell != now:
+            at = _middle(fp[:MIDDLE])
+            now, centre, of = cell, fp[at].copy(), int(node[at])
+        near = np.bitwise_count(fp ^ centre).sum(axis=1, dtype=np.int64) <= radius
+        other = node != of
+        return np.maximum(node, of)[other], np.minimum(node, of)[other], near[other]
+
+    for cell, fp, node in _whole_cells(batches, ["node"], MIDDLE):
+        start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        size = np.diff(np.append(start, len(cell)))
+        more = cell[start] == now  # the rest of a cell that was given in part
+        x = start[(size == 2) & ~more]
+        far = np.bitwise_count(fp[x] ^ fp[x + 1]).sum(axis=1, dtype=np.int64)
+        found = [(np.maximum(node[x], node[x + 1]), np.minimum(node[x], node[x + 1]), far <= radius)]
+        some = (size > 2) | more
+        found += [spokes(int(cell[s]), fp[s : s + n], node[s : s + n]) for s, n in zip(start[some].tolist(), size[some].tolist())]
+        a, b, near = (np.concatenate(x) for x in zip(*found))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], ["a", "b", "near"])
 
 
@@ -388,11 +394,11 @@ def _meet(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
         yield from runs(*(np.concatenate(x) for x in zip(*held)))
 
 
-def links(nodes: DataFrame, radius: int, tables: int = 0, key_bits: int = TABLE_BITS) -> DataFrame:
-    """a > b: a spanning forest, cell by cell, of the links between nodes (node, fp)."""
-    if not tables and radius > 2:
-        raise ValueError("cells guarantee a radius up to 2; beyond, give a number of tables")
-    dealt = nodes.mapInArrow(lambda b: _deal(b, tables, key_bits), "cell long, node long, fp array<long>")
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """a > b: a spanning forest, cell by cell, of the links between nodes (node, fp of one word)."""
+    if radius > 2:
+        raise ValueError("cells guarantee a radius up to 2")
+    dealt = nodes.mapInArrow(_deal, "cell long, node long, fp array<long>")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = dealt.repartition(parts, "cell").sortWithinPartitions("cell")
     return together.mapInArrow(lambda b: _meet(b, radius), "a long, b long")
@@ -468,12 +474,18 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_groups(docs: DataFrame, n: int, similarity: float, radius: int, lanes: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, k1 and k2 (row_key), fp and component_id (the least doc_id of the group) of every row; groups are connected
     by texts of at least the given similarity of shingles."""
+    prints, groups = _similar_groups(docs, n, similarity, radius, lanes, text, doc_id)
+    return _named(prints, groups, "doc_id", "k1", "k2", "fp")
+
+
+def _similar_groups(docs: DataFrame, n: int, similarity: float, radius: int, lanes: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their node, and nodes with the first row of their group."""
     spark = docs.sparkSession
     short_batches(spark)
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row_key(doc_id, text))
     schema = StructType([narrow.schema["doc_id"], *(StructField(c, LongType()) for c in ("k1", "k2", "node")), *(StructField(c, ArrayType(LongType(), False)) for c in ("fp", "keys"))])
     prints = stored(narrow.mapInArrow(lambda b: _described(b, n, lanes), schema), "fingerprints")
-    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("at"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    nodes = stored(prints.groupBy("node").agg(F.min(_first()).alias("least"), F.min(F.struct("k1", "k2")).alias("at"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def met(dealt: DataFrame, how, limit: float, to: str) -> DataFrame:
@@ -488,12 +500,31 @@ def similar_groups(docs: DataFrame, n: int, similarity: float, radius: int, lane
     first = stored(_similar(stars.where("near").select("a", "b"), sets, similarity), "similar")
     rooted = nodes.join(shared, "node").join(components(first), "node", "left").select(F.explode("keys").alias("cell"), "node", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted")
-    # the only pair of a cell of two has been compared, and in a cell of one root nothing is left to connect
-    some = rooted.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low < high").select("cell")
-    left = stored(rooted.join(some.hint("shuffle_hash"), "cell"), "unconnected")
+    left = stored(_split(rooted), "unconnected")
     links = stored(met(left.join(sets, "node"), _unconnected, similarity, "a long, b long"), "links-of-cells")
-    groups = components(first.unionByName(links))
-    return _of_groups(prints, nodes, groups, "doc_id", "k1", "k2", "fp")
+    return prints, _grouped(nodes, components(first.unionByName(links)))
+
+
+def _split(rooted: DataFrame, cell: int = CELL) -> DataFrame:
+    """cell, node and root of the rows of cells that are to be compared; large cells are dealt to several, in blocks.
+
+    The only pair of a cell of two has been compared, and in a cell of one root nothing is left to connect.
+    """
+    roots = rooted.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n"))
+    trunk = F.max(F.struct("n", "root"))
+    of = roots.groupBy("cell").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), trunk["root"].alias("trunk"), trunk["n"].alias("of_trunk")).where("n > 2 and roots > 1")
+    rows = rooted.join(of.drop("roots").hint("shuffle_hash"), "cell")
+    blocks = lambda n: F.ceil(n / (cell // 2)).cast("int")
+    many, wide = blocks(F.col("n") - F.col("of_trunk")), blocks(F.col("of_trunk"))
+    in_trunk = F.col("root") == F.col("trunk")
+    own = F.pmod(F.xxhash64("node"), F.when(in_trunk, wide).otherwise(many)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    key = lambda kind, a, b: F.xxhash64("cell", F.lit(kind), a, b)
+    of_trunk = F.transform(upto(F.col("many")), lambda p: key("trunk", p, F.col("own")))
+    of_others = F.concat(F.transform(upto(F.col("wide")), lambda q: key("trunk", F.col("own"), q)), F.transform(upto(F.col("many")), lambda q: key("others", F.least(q, F.col("own")), F.greatest(q, F.col("own")))))
+    dealt = rows.withColumns({"many": many, "wide": wide, "own": own})
+    to = F.when(F.col("n") <= cell, F.array("cell")).when(in_trunk, of_trunk).otherwise(of_others)
+    return dealt.select(F.explode(to).alias("cell"), "node", "root")
 
 
 # ---------------------------------------------------------------- components
@@ -505,7 +536,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars: each round points the larger neighbours of a node, and then its smaller ones, at the
     least of them, until nothing changes. Every round is written to the shared folder, so no plan grows with the rounds.
     """
-    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
+    state = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first()
     now = stored(edges.select("a", "b").distinct(), "links")
     seen = state(now)
     while True:
@@ -515,36 +546,45 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         after = stored(small.distinct(), "small-star")
-        if (counted := state(after)) == seen:
+        # sums that are equal are no proof: the edges themselves are compared, which are distinct and as many
+        if (counted := state(after)) == seen and after.join(now, ["a", "b"], "left_anti").isEmpty():
             return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         now, seen = after, counted
 
 
-def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 2, lanes: int = 1, tables: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fp and component_id (the least doc_id of the group) of every row."""
-    prints = stored(fingerprinted(docs, n, lanes, text, doc_id), "fingerprints")
-    node = F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")
-    prints = prints.withColumn("node", node)
-    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "nodes")
-    groups = components(links(nodes.select("node", "fp"), radius, tables))
-    return _of_groups(prints, nodes, groups, "doc_id", "fp")
+    prints = stored(fingerprinted(docs, n, 1, text, doc_id), "fingerprints").withColumn("node", F.col("fp")[0])
+    least = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id")
+    nodes = stored(prints.groupBy("node").agg(F.min(least).alias("least"), F.first("fp").alias("fp")), "nodes")
+    return _named(prints, _grouped(nodes, components(links(nodes.select("node", "fp"), radius))), "doc_id", "fp")
 
 
-def _of_groups(prints: DataFrame, nodes: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
-    """These columns of prints with component_id."""
+def _first() -> Column:
+    """The row's place among those of its group."""
+    return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2")
+
+
+def _grouped(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, and the first row of its group."""
     rooted = nodes.select("node", "least").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = stored(rooted.join(whole, "root").select("node", "component_id"), "components")
-    return prints.join(of, "node").select(*columns, "component_id")
-
-
-def representatives(docs: DataFrame, **how) -> DataFrame:
-    """docs without the rows that aren't the first (by id) of their group; of rows equal in id, one stays."""
-    found = similar_groups(docs, **how)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("__again"))
-    name = how.get("doc_id", "doc_id")
-    keep = docs.join(kept.withColumnRenamed("doc_id", name).hint("shuffle_hash"), name)  # whole texts aren't sorted
-    order = Window.partitionBy(name).orderBy(*[F.col(c) for c in docs.columns])
-    again = keep.where("__again").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")  # only repeated ids are sorted
-    out = keep.where("not __again").select(docs.columns).unionByName(again.select(docs.columns))
-    return out.unionByName(docs.where(F.col(name).isNull()))
+    whole = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return stored(rooted.join(whole, "root").select("node", "root", "first"), "components")
+
+
+def _named(prints: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
+    """These columns of prints with component_id."""
+    return prints.join(groups, "node").select(*columns, F.col("first.doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int, similarity: float, radius: int, lanes: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs without the rows that aren't the first of their group; of rows equal in id and text, one stays."""
+    prints, groups = _similar_groups(docs, n, similarity, radius, lanes, text, doc_id)
+    firsts = groups.select("root", "first.k1", "first.k2").distinct()
+    equal = prints.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    kept = firsts.join(equal, ["k1", "k2"]).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), (F.col("n") > 1).alias("__again"))
+    keys = row_key(doc_id, text)
+    keep = docs.withColumns({"__k1": keys[0], "__k2": keys[1]}).join(kept.hint("shuffle_hash"), ["__k1", "__k2"])  # whole texts aren't sorted
+    order = Window.partitionBy("__k1", "__k2").orderBy(*[F.col(c) for c in docs.columns])
+    again = keep.where("__again").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")  # only repeated rows are sorted
+    return keep.where("not __again").select(docs.columns).unionByName(again.select(docs.columns))
