@@ -13,9 +13,10 @@ Those are put in order on the driver, which finds the states at the ends, and ea
 between fixed ends. The result is that of one pass of Viterbi over the whole conversation. The dealt rows are
 checkpointed in the shared folder, so the passes see the same partitions.
 
-Defined results: a null text is one empty line. Rows of a conversation are ordered by turn, then text, then role; a null
-conversation id is a conversation, a null turn comes first. Rows with a null or unknown role are decoded but not learnt
-from. Rows repeated are turns of their own. Extra columns are not carried.
+Defined results: a null text is one empty line. Rows of a conversation are ordered by turn, those of one turn by a hash of
+text and role; a null conversation id is a conversation, a null turn comes first. Ids and turns keep their type, numbers or
+texts. Rows with a null or unknown role are decoded but not learnt from. Rows repeated are turns of their own, dealt to
+several ranges if they are many. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import short_batches, shared_dir
 
@@ -41,6 +44,8 @@ _MARKERS = [re.compile(p, re.IGNORECASE) for p in (r"\s*(?:\[?system\]?|instruct
 _LENGTHS = (0, 24, 64, 128, 192, 256, 384, 640)
 _ROWS = (1, 2, 3, 5, 8)
 _QUESTION = "?¿？"
+#: Equal rows are dealt in so many parts.
+SALTS = 64
 SYMBOLS = 4 * 2 * 2 * (len(_LENGTHS) + 1) * (len(_ROWS) + 1)
 
 
@@ -156,13 +161,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit.update((s, o) for s, o in zip(states, obs) if s is not None)
         trans.update((a, b) for a, b in zip(states, states[1:]) if a is not None and b is not None)
         if first:
-            ends.append((2, part, -1 if states[0] is None else states[0], str(conv)))
+            ends.append((2, part, -1 if states[0] is None else states[0], repr(conv)))
             first = False
         elif states[0] is not None:
             trans[START, states[0]] += 1
         last_state, last_conv = states[-1], conv
     if not first:
-        ends.append((3, part, -1 if last_state is None else last_state, str(last_conv)))
+        ends.append((3, part, -1 if last_state is None else last_state, repr(last_conv)))
     rows = [(0, a, b, None, n) for (a, b), n in trans.items()] + [(1, a, b, None, n) for (a, b), n in emit.items()] + [(k, p, s, c, 1) for k, p, s, c in ends]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["kind", "a", "b", "conv", "n"])
@@ -194,7 +199,7 @@ def _border(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
     """Matrices of the first and the last conversation of the partition."""
     part, out, last = TaskContext.get().partitionId(), [], None
     for i, (conv, rows) in enumerate(_conversations(_rows(batches))):
-        last = (str(conv), [o for r in rows for o in r["obs"]], i)
+        last = (repr(conv), [o for r in rows for o in r["obs"]], i)
         if i == 0:
             out.append((part, 0, last[0], model.segment(last[1]).ravel().tolist()))
     if last is not None and last[2] > 0:
@@ -231,7 +236,7 @@ def ends_of(borders: list[tuple[int, int, str, np.ndarray]]) -> dict[tuple[int,
     return out
 
 
-def _render(batches: Iterator[pa.RecordBatch], model: Model, ends: dict) -> Iterator[pa.RecordBatch]:
+def _render(batches: Iterator[pa.RecordBatch], model: Model, ends: dict, types: tuple) -> Iterator[pa.RecordBatch]:
     part, held, out = TaskContext.get().partitionId(), None, []
     names = ["conv_id", "turn", "part", "role", "recovered_role", "text", "rendered"]
 
@@ -252,7 +257,7 @@ def _render(batches: Iterator[pa.RecordBatch], model: Model, ends: dict) -> Iter
                 yield r["conv_id"], r["turn"], p, r["role"], role, body, canonical(role, body)
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()))], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*types, pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()))], names)
 
     for i, (conv, rows) in enumerate(_conversations(_rows(batches))):
         if held is not None:
@@ -277,11 +282,12 @@ def dealt(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     short_batches(spark)
     shared_dir(spark)
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    seen = rows.mapInArrow(_observe, "conv_id long, turn long, role string, text string, obs array<int>")
+    rows = conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), "text")
+    seen = rows.mapInArrow(_observe, StructType([*rows.schema.fields, StructField("obs", ArrayType(IntegerType()))]))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["conv_id", "turn", "text", "role"]
-    return seen.repartitionByRange(parts, "conv_id", "turn", F.xxhash64("text", "role")).sortWithinPartitions("conv_id", "turn", F.xxhash64("text", "role"), *order[2:]).checkpoint()
+    keyed = seen.withColumns({"__order": F.xxhash64("text", "role"), "__salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))})
+    order = ["conv_id", "turn", "__order", "__salt"]
+    return keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text", "role").drop("__order", "__salt").checkpoint()
 
 
 def format_chats(conversations: DataFrame, model: Model | None = None) -> DataFrame:
@@ -294,4 +300,7 @@ def format_chats(conversations: DataFrame, model: Model | None = None) -> DataFr
     borders = rows.mapInArrow(lambda b: _border(b, model), "part int, side int, conv string, best array<double>").collect()
     borders = sorted(((r["part"], r["side"], r["conv"], np.array(r["best"]).reshape(STATES + 1, STATES)) for r in borders), key=lambda b: b[:2])
     ends = ends_of(borders)
-    return rows.mapInArrow(lambda b: _render(b, model, ends), "conv_id long, turn long, part int, role string, recovered_role string, text string, rendered string")
+    given = [StructField(c, rows.schema[c].dataType) for c in ("conv_id", "turn")]
+    types = tuple(to_arrow_type(f.dataType) for f in given)
+    made = [StructField("part", IntegerType()), *(StructField(c, StringType()) for c in ("role", "recovered_role", "text", "rendered"))]
+    return rows.mapInArrow(lambda b: _render(b, model, ends, types), StructType([*given, *made]))
