@@ -1,19 +1,23 @@
-"""Personal data: patterns, and information-theoretic sanitisation around what they find.
-
-Base spans come from four patterns (email, ip, card, phone). Their values are the protected entities. A term near an
-entity discloses it as far as knowing the term makes the entity certain: with probabilities estimated from the corpus,
-PMI(term; entity) / IC(entity), which is 1 if every document with the term has the entity. Terms whose disclosure is at
-least GENERALISE are generalised to a class ([NAME], [CODE] or [TERM]); at REMOVE they are removed. A term counts only if it
-stands by the entity in MIN_CONTEXTS different contexts, so that copies of one text don't make its words disclosing.
-
-How it scales. Documents give (entity, term) rows only for the WINDOW words on either side of each entity, so the rows grow
-with the entities, not with their product. They are reduced before they are shuffled, and an entity or a term that a
-third of all documents hold is reduced in every task first. Document counts of terms are taken over all documents, but
-only for terms that the contexts alone don't rule out: the contexts' count of documents is a lower bound of the corpus's.
-Disclosing terms are joined to documents by Spark, which broadcasts them only below its size threshold.
-
-Defined results: a null text is an empty one, without spans. Where spans of several kinds overlap, all are listed; in the
-sanitised text the one that starts first, then the longer, is replaced. Rows equal in id and text are treated alike.
+"""Personal data: patterns, and information-theoretic sanitisation of what goes with them.
+
+Base spans come from four patterns (email, ip, card, phone). Their values are the protected entities. A term discloses an
+entity as far as knowing that a document has the term makes it certain that it has the entity: with probabilities counted
+over all documents, PMI(term; entity) / IC(entity), which is 1 if every document with the term has the entity. Terms whose
+disclosure is at least GENERALISE are generalised to a class ([NAME], [CODE] or [TERM]); at REMOVE they are removed,
+wherever in a document and in whichever document they stand. A term counts for an entity only if MIN_TEXTS different texts
+have both, so that the words of one text, however often it is copied, disclose nothing.
+
+How it scales. One pass over the texts counts the documents of every term, in each task first, and lists the entities and
+terms of the documents that have an entity; copies of a text become one row there. Only entities and terms of several
+texts go on, and of the terms only those that are rare enough outside of such documents: as p(entity) is at least 1 / N,
+p(entity | term) has to be N ** -(1 - GENERALISE) or more. Entities that stand in just the same texts are one class, terms
+of the same texts and document count are another, so a document that lists thousands of entities and rare terms gives a
+pair of classes and not the product of its lists. Disclosing terms are broadcast to the last pass up to BROADCAST_TERMS of
+them; beyond, they are joined to the documents that have them.
+
+Defined results: a null text is an empty one, without spans. Where spans of several kinds overlap, all base spans are
+listed, and a term that overlaps one is not; in the sanitised text the span that starts first, then the longer, is
+replaced. Rows equal in text are treated alike. An entity that every document has is disclosed by nothing.
 """
 
 from __future__ import annotations
@@ -21,15 +25,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import BLANKS, short_batches, row_key, stored
+from .common import row_key, short_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, MIN_CONTEXTS, MIN_TERM = 6, 3, 3
+#: Different texts that must have a term with an entity; code points of a term.
+MIN_TEXTS, MIN_TERM = 2, 3
+#: Disclosing terms up to which they are broadcast, hashes counted at once, and words whose hash is remembered.
+BROADCAST_TERMS, CHUNK, REMEMBERED = 200_000, 1 << 20, 1 << 18
 GENERALISE, REMOVE = 0.9, 1.0
 
 #: Characters that don't belong to a term at its ends.
@@ -95,67 +104,107 @@ def terms(text: str) -> Iterator[tuple[str, int, int]]:
             yield t, *m.span()
 
 
-def contexts(text: str) -> set[tuple[str, str, str]]:
-    """(entity, term, context) of the words around the base spans: a row for each entity and term of a text, with one
-    of their contexts; a row with an empty term for each entity, and one with an empty entity for each term."""
-    spans = base_spans(text)
-    taken = [(a, b) for _, a, b in spans]
-    out: dict[tuple[str, str], str] = {}
-    for kind, a, b in spans:
-        # words lie within a bounded stretch on either side; very long words cut it short
-        low, high = max(0, a - 40 * WINDOW), min(len(text), b + 40 * WINDOW)
-        before = [x for x in terms(text[low:a])][-WINDOW:]
-        after = [x for x in terms(text[b:high])][:WINDOW]
-        near = [(t, low + s, low + e) for t, s, e in before] + [(t, b + s, b + e) for t, s, e in after]
-        own = {t for t, s, e in near if not any(x < e and s < y for x, y in taken)}
-        place = " ".join(t for t, _, _ in near)
-        entity = f"{kind}:{text[a:b]}"
-        out[entity, ""] = ""
-        for t in own:
-            out["", t] = ""
-            out[entity, t] = min(place, out.get((entity, t), place))
-    return {(*k, place) for k, place in out.items()}
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def clear_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """The terms of a text that overlap none of the spans."""
+    taken: list[tuple[int, int]] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if taken and a <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    at = 0
+    for t, a, b in terms(text):
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if at == len(taken) or taken[at][0] >= b:
+            yield t, a, b
+
+
+def code_of(term: str) -> int:
+    """64 bits, signed, that stand for a term."""
+    code = xxhash.xxh3_64_intdigest(term.encode("utf-8", "replace"))
+    return code - (code >> 63 << 64)
+
+
+class _Codes:
+    """Codes of the distinct terms of a text; those of words met lately are remembered."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int | None] = {}
+
+    def _code(self, word: str) -> int | None:
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        t = term_of(word)
+        found = self.known[word] = code_of(t) if len(t) >= MIN_TERM else None
+        return found
+
+    def of(self, text: str) -> set[int]:
+        known, words = self.known, set(_WORD.findall(text))
+        found = {known[w] if w in known else self._code(w) for w in words}
+        found.discard(None)
+        return found
+
+
+COUNTED = "k1 long, k2 long, entities array<string>, terms array<long>, term long, n long"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key, entities and terms of each text that has an entity; term and n, the documents of each term, in parts."""
+    codes, held, size = _Codes(), [], 0
+    types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.int64())
+    names = [f.split()[0] for f in COUNTED.split(", ")]
+
+    def counted() -> pa.RecordBatch:
+        of, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(of), t) for t in types[:4]), pa.array(of), pa.array(n, pa.int64())], names)
+
     for batch in batches:
-        rows = [x for t in batch.column("text").to_pylist() if t for x in contexts(t)]
+        rows = []
+        for text, k1, k2 in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2"))):
+            spans = base_spans(text)
+            found = {code_of(t) for t in {t for t, _, _ in clear_terms(text, spans)}} if spans else codes.of(text or "")
+            held.append(np.fromiter(found, np.int64, len(found)))
+            size += len(found)
+            if spans:
+                rows.append((k1, k2, sorted({f"{kind}:{text[a:b]}" for kind, a, b in spans}), sorted(found), None, None))
+            if size > CHUNK:
+                yield counted()
+                held, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["entity", "term", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+    if held:
+        yield counted()
 
 
-def disclosing(docs: DataFrame, generalise: float = GENERALISE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """term, disclosure and entity (the one disclosed most) of the terms to be sanitised. docs: text."""
+def disclosing(docs: DataFrame, generalise: float = GENERALISE, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """term (its code), disclosure and entity (the one disclosed most) of the terms to be sanitised. docs: text."""
     short_batches(docs.sparkSession)
-    near = stored(docs.select("text").mapInArrow(_contexts, "entity string, term string, place string").groupBy("entity", "term", F.xxhash64("place").alias("place")).agg(F.count(F.lit(1)).alias("n")), "contexts")
-    pairs = near.where("term <> '' and entity <> ''").groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("places"))
-    # p(entity | term) >= p(entity) ** (1 - generalise), and p(entity) is at least one in all documents
+    counted = stored(docs.select("text", *row_key("text")).mapInArrow(_count, COUNTED), "terms-and-entities")
     held = docs.count()
-    floor = max(1, held) ** -(1 - generalise)
-    bound = near.where("entity = ''").groupBy("term").agg(F.sum("n").alias("least"))
-    may = pairs.where(F.col("places") >= min_contexts).join(bound, "term").where(F.col("both") >= F.col("least") * floor)
-    may = stored(may.select("entity", "term", "both"), "candidate-terms")
-    some = stored(may.select("term").distinct(), "terms")
-    words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    df = words.join(some, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
-    entities = near.where("term = ''").groupBy("entity").agg(F.sum("n").alias("e_docs"))
-    rated = may.join(df, "term").join(entities, "entity")
-    p_entity, p_given = F.least(F.col("e_docs") / held, F.lit(1.0)), F.least(F.col("both") / F.col("docs"), F.lit(1.0))
+    texts = counted.where("term is null").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    texts = stored(texts, "texts-with-entities")
+    # equal for two of them if they stand in the same texts
+    same = [F.count(F.lit(1)).alias("texts"), *(F.bit_xor(F.xxhash64(F.lit(i), "k1", "k2")).alias(f"x{i}") for i in (1, 2))]
+    entities = texts.select("k1", "k2", "copies", F.explode("entities").alias("entity")).groupBy("entity").agg(*same, F.sum("copies").alias("e_docs"))
+    entities = stored(entities.where((F.col("texts") >= min_texts) & (F.col("e_docs") < held)).withColumn("e_class", F.xxhash64("texts", "x1", "x2")), "entities")
+    of_text = texts.select("k1", "k2", "copies", F.explode("entities").alias("entity")).join(entities.select("entity", "e_class"), "entity")
+    of_text = stored(of_text.groupBy("k1", "k2", "e_class").agg(F.first("copies").alias("copies")), "entities-of-texts")
+    some = texts.join(of_text.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "copies", F.explode("terms").alias("term"))
+    some = stored(some, "terms-of-texts")
+    near = some.groupBy("term").agg(*same, F.sum("copies").alias("least")).where(F.col("texts") >= min_texts)
+    docs_of = counted.where("term is not null").groupBy("term").agg(F.sum("n").alias("docs"))
+    rare = near.join(docs_of, "term").where(F.col("least") >= F.col("docs") * (max(1, held) ** -(1 - generalise) * (1 - 1e-9)))
+    rare = stored(rare.select("term", "docs", F.xxhash64("texts", "x1", "x2", "docs").alias("t_class")), "rare-terms")
+    t_of_text = some.join(rare.select("term", "t_class"), "term").select("k1", "k2", "t_class").distinct()
+    both = of_text.join(t_of_text, ["k1", "k2"]).groupBy("e_class", "t_class").agg(F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_texts)
+    classes = entities.groupBy("e_class").agg(F.min("entity").alias("entity"), F.first("e_docs").alias("e_docs"))
+    rated = both.join(classes, "e_class").join(rare.select("t_class", "docs").distinct(), "t_class")
+    p_entity, p_given = F.col("e_docs") / held, F.least(F.col("both") / F.col("docs"), F.lit(1.0))
     rate = F.when(p_given >= 1, F.lit(1.0)).otherwise(1 + F.log(p_given) / -F.log(p_entity))
-    rated = rated.withColumn("disclosure", rate).where((F.col("disclosure") >= generalise) & (F.col("e_docs") < held))
-    return rated.groupBy("term").agg(F.max(F.struct("disclosure", "entity")).alias("m")).select("term", "m.disclosure", "m.entity")
-
-
-def _terms(text: Column) -> Column:
-    """The terms of a text, as term_of gives them, in Spark's functions.
-
-    Blanks are made one kind first, so that the split needs no pattern.
-    """
-    plain = F.coalesce(text, F.lit(""))
-    for c in BLANKS[1:]:
-        plain = F.replace(plain, F.lit(c), F.lit(" "))
-    long = F.filter(F.split(plain, " "), lambda w: F.octet_length(w) >= MIN_TERM)
-    return F.filter(F.transform(long, lambda w: F.lower(F.btrim(w, F.lit(PUNCTUATION)))), lambda t: F.char_length(t) >= MIN_TERM)
+    rated = rated.withColumn("disclosure", rate).where(F.col("disclosure") >= generalise)
+    most = rated.groupBy("t_class").agg(F.max("disclosure").alias("disclosure"), F.min_by("entity", F.struct(-F.col("disclosure"), "entity")).alias("entity"))
+    return rare.select("term", "t_class").join(most, "t_class").select("term", "disclosure", "entity")
 
 
 def _label(word: str, rate: float) -> str:
@@ -177,16 +226,23 @@ def sanitised(text: str, spans: list[tuple[str, int, int]], rates: dict[str, flo
 SPAN = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], text: str, with_text: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], text: str, with_text: bool, known: dict[int, float] | None) -> Iterator[pa.RecordBatch]:
+    """known: disclosures by a term's code, or null if each row brings its own."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    codes = _Codes()
     for batch in batches:
         found, made = [], []
-        for t, risky in zip(batch.column(text).to_pylist(), batch.column("__risky").to_pylist()):
+        own = batch.column("__risky").to_pylist() if known is None else [None] * batch.num_rows
+        for t, risky in zip(batch.column(text).to_pylist(), own):
             t = t or ""
             spans = base_spans(t)
-            rates = {r["term"]: r["disclosure"] for r in risky or ()}
-            if rates:
-                spans += [("term", a, b) for w, a, b in terms(t) if w in rates and not any(x < b and a < y for _, x, y in spans)]
+            rates: dict[str, float] = {}
+            rated = {r["term"]: r["disclosure"] for r in risky or ()} if known is None else known
+            if rated and not rated.keys().isdisjoint(codes.of(t)):
+                for w, a, b in list(clear_terms(t, spans)):
+                    if (rate := rated.get(code_of(w))) is not None:
+                        rates[w] = rate
+                        spans.append(("term", a, b))
             found.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
             made.append(sanitised(t, spans, rates) if with_text else None)
         keep = [i for i, n in enumerate(batch.schema.names) if n not in ("__risky", text)]
@@ -196,23 +252,38 @@ def _scan(batches: Iterator[pa.RecordBatch], text: str, with_text: bool) -> Iter
         yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], [*names, "spans"])
 
 
-def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = True, **how) -> DataFrame:
+def _occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codes = _Codes()
+    for batch in batches:
+        found = [sorted(codes.of(t or "")) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(found, pa.list_(pa.int64()))], ["k1", "k2", "terms"])
+
+
+def _with_terms(docs: DataFrame, text: str, risky: DataFrame) -> DataFrame:
+    """docs with __risky, the disclosing terms of each text: for more of them than are broadcast."""
+    listed = docs.select(F.col(text).alias("text"), *row_key(text)).mapInArrow(_occurring, "k1 long, k2 long, terms array<long>")
+    narrow = listed.select("k1", "k2", F.explode("terms").alias("term")).join(risky.select("term", "disclosure"), "term")
+    per_text = narrow.groupBy("k1", "k2").agg(F.collect_set(F.struct("term", "disclosure")).alias("__risky"))
+    per_text = stored(per_text, "risky-documents").toDF("__k1", "__k2", "__risky")
+    keys = row_key(text)
+    keyed = docs.withColumns({"__k1": keys[0], "__k2": keys[1]})
+    return keyed.join(per_text.hint("shuffle_hash"), ["__k1", "__k2"], "left").drop("__k1", "__k2")
+
+
+def sanitise(docs: DataFrame, text: str = "text", with_text: bool = True, broadcast_terms: int = BROADCAST_TERMS, **how) -> DataFrame:
     """docs with spans (kind, start, end; code points) and, if asked for, the sanitised text in place of the text."""
-    short_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    short_batches(spark)
     docs = docs.drop("spans")
-    plain = docs.select(F.col(text).alias("text"))
-    risky = stored(disclosing(plain, **how), "disclosing-terms")
-    narrow = docs.select(*row_key(doc_id, text), F.explode(F.array_distinct(_terms(F.col(text)))).alias("term"))
-    per_doc = narrow.join(risky.select("term", "disclosure"), "term").groupBy("k1", "k2").agg(F.collect_set(F.struct("term", "disclosure")).alias("__risky"))
-    per_doc = stored(per_doc, "risky-documents").toDF("__k1", "__k2", "__risky")
-    keys = row_key(doc_id, text)
-    joined = docs.withColumns({"__k1": keys[0], "__k2": keys[1]}).join(per_doc, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    risky = stored(disclosing(docs.select(F.col(text).alias("text")), **how), "disclosing-terms")
     fields = [f for f in docs.schema.fields if f.name != text] + ([StructField(text, StringType())] if with_text else [])
-    return joined.mapInArrow(lambda b: _scan(b, text, with_text), StructType([*fields, StructField("spans", SPAN)]))
+    schema = StructType([*fields, StructField("spans", SPAN)])
+    if risky.count() > broadcast_terms:
+        return _with_terms(docs, text, risky).mapInArrow(lambda b: _scan(b, text, with_text, None), schema)
+    sent = spark.sparkContext.broadcast({r["term"]: r["disclosure"] for r in risky.select("term", "disclosure").collect()})
+    return docs.mapInArrow(lambda b: _scan(b, text, with_text, sent.value), schema)
 
 
 def joined_spans(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
