@@ -6,8 +6,13 @@ shard. Rebalancing edits the map, never the hash, so that only the slots whose e
 The law held is `bytes`: shards are nearly equal in bytes. The map is bounded by the number of slots, a parameter,
 whatever the size of the corpus; it alone is broadcast.
 
-Defined results: a null text has no bytes (size 8, CRC-32 of nothing, 0). A null doc_id takes the slot of its text.
-Rows that are equal in doc_id are in one slot, in the order of CRC-32 and size. An empty table gives no rows.
+A record's slot is the hash of its id and text, so rows that repeat an id are spread by their texts. Equal records are
+interchangeable; those that make up a slot's share of all records or more (there are no more of these than slots) are dealt
+over all slots by a running number, so no slot, and no task that numbers one, holds a hot record. The measured records are
+stored once, so every later step sees the same slots.
+
+Defined results: a null text has no bytes (size 8, CRC-32 of nothing, 0). A null doc_id takes the slot of its text alone.
+Rows of one slot are in the order of id, CRC-32 and size. An empty table gives no rows.
 Columns of the input that carry the names used here are ignored by `assign`, which selects what it needs.
 """
 
@@ -17,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch
+from .common import scratch, stored
 
 SLOTS = 8192
 #: Bytes that a record has besides its text.
@@ -25,14 +30,21 @@ OVERHEAD = 8
 
 
 def measured(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of every record."""
-    text = F.col("text")
-    return docs.select(
+    """doc_id, size, text_crc32 and virtual slot of every record, stored in the shared folder."""
+    text, key = F.col("text"), [F.xxhash64(F.lit(i), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).alias(f"__h{i}") for i in (1, 2)]
+    rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), text, F.lit(""))), F.lit(slots)).cast("int").alias("vslot"),
+        *key,
+        F.monotonically_increasing_id().alias("__number"),
     )
+    rows = stored(rows, "records")
+    again = rows.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = again.where(F.col("n") * slots >= rows.count()).select("__h1", "__h2", F.lit(True).alias("__hot"))
+    marked = rows.join(F.broadcast(hot), ["__h1", "__h2"], "left")  # no more rows than slots
+    own = F.when(F.col("__hot"), F.xxhash64("__h1", "__number")).otherwise(F.col("__h1"))
+    return stored(marked.select("doc_id", "size", "text_crc32", F.pmod(own, F.lit(slots)).cast("int").alias("vslot")), "measured-records")
 
 
 def slot_totals(records: DataFrame) -> DataFrame:
