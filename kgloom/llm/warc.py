@@ -8,9 +8,14 @@ name, and only files named in the manifest (itself a Parquet table in the shared
 what a lost or repeated task left behind does not count.
 
 Reader. Files are cut into byte ranges. The task of a range looks for gzip's magic bytes, takes a place as a member only
-if its first bytes inflate to a WARC version line, owns the members that start inside its range, and reads on past the
-end of the range to finish the last one. Payloads here are UTF-8, in which the magic cannot occur (0x8B never follows
-0x1F), so no stored block holds a false member.
+if its first bytes inflate to the whole head of a WARC record (version, named fields, type, id and a length), owns the
+members that start inside its range, and reads on past the end of the range to finish the last one. Digest and length of a
+response are computed from the payload that was read; `verified` says whether the head gives the same.
+
+Nothing is lost in silence. An archive is members from its first byte to its last: a file that isn't as long as the manifest
+says, a member that doesn't inflate to its end, and bytes between two members are errors, unless strict is off, where such
+bytes are passed over. As each task also looks at what follows its last member, a member whose head is damaged is noticed
+by the task before.
 
 Defined results: a null html is an empty payload. A null url is written as urn:page:<id>. A page without id is a response
 and is referred to by none. Pages equal in id and payload are all responses if theirs is the largest id of the group.
@@ -36,8 +41,11 @@ SALTS = 64
 MAGIC = b"\x1f\x8b\x08"
 #: What a candidate member has to begin with.
 VERSION = b"WARC/1."
+FIELDS = ("warc-type", "warc-record-id", "content-length")
 #: Bytes of a reader's range, of one read, and of the longest head that is tried.
 RANGE, CHUNK, HEAD = 32 << 20, 1 << 20, 1 << 16
+#: Bytes of records that a reader hands on at once.
+BATCH = 16 << 20
 #: A file is closed when it has grown to this; the next record opens another.
 ROLL = 1 << 30
 MANIFEST = "path string, records long, bytes long"
@@ -47,7 +55,7 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload_
 def resolved(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """page_id, url, html, digest and refers_to (null: the page is written as a response)."""
     html = F.coalesce("html", F.lit(""))
-    marked = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).alias("length"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("salt"))
+    marked = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).alias("length"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).alias("salt"))
     parts = marked.where(F.col("length") >= min_bytes).groupBy("digest", "salt").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
     groups = parts.groupBy("digest").agg(F.max("last").alias("last"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1")
     answers = groups.select("digest", "last", F.explode("salts").alias("salt"))
@@ -121,18 +129,38 @@ class _Window:
         self.at, self.data = self.at + n, self.data[n:]
 
 
+def head_of(raw: bytes) -> dict[str, str] | None:
+    """Fields of a record's head, with names in lower case; null if this is no whole head of a record."""
+    head, end, _ = raw.partition(b"\r\n\r\n")
+    if not end or not head.startswith(VERSION):
+        return None
+    fields = {}
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if not colon or not name.strip():
+            return None
+        fields[name.strip().lower()] = value.strip()
+    return fields if all(f in fields for f in FIELDS) and fields["content-length"].isdecimal() else None
+
+
 def _is_member(data: bytes) -> bool:
     try:
-        return zlib.decompressobj(31).decompress(data, HEAD).startswith(VERSION)
+        return head_of(zlib.decompressobj(31).decompress(data, HEAD)) is not None
     except zlib.error:
         return False
 
 
-def members(source: pa.NativeFile, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+def members(source: pa.NativeFile, size: int, start: int, end: int, strict: bool = False) -> Iterator[tuple[int, bytes]]:
     """Offset and inflated bytes of the members that start in [start, end)."""
     w = _Window(source, start, size)
-    while w.at < end:
-        data = w.fill(len(MAGIC))
+    here = start == 0  # a member has to start at this place
+    while w.at < min(end, size) or (here and w.at < size):
+        data = w.fill(HEAD if here and strict else len(MAGIC))
+        if here and strict and not (data.startswith(MAGIC) and _is_member(data[:HEAD])):
+            raise ValueError(f"no record starts at byte {w.at}, where one has to")
+        if w.at >= end:
+            return
+        here = False
         hit = data.find(MAGIC)
         if hit < 0:
             if w.at + len(data) >= size:
@@ -149,18 +177,23 @@ def members(source: pa.NativeFile, size: int, start: int, end: int) -> Iterator[
         while not inflate.eof:
             data = w.fill(1)
             if not data:
-                return  # cut off
+                if strict:
+                    raise ValueError(f"the record at byte {at} is cut off")
+                return
             parts.append(inflate.decompress(data))
             w.skip(len(data) - len(inflate.unused_data))
         yield at, b"".join(parts)
+        here = True
 
 
 def parsed(raw: bytes) -> dict:
     """Header fields of a record in lower case, and its payload."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8").split("\r\n")[1:])
-    fields = {k.lower(): v for k, v in fields.items()}
-    block = rest[: int(fields["content-length"])]
+    fields = head_of(raw)
+    if fields is None:
+        raise ValueError("not a record")
+    block = raw.partition(b"\r\n\r\n")[2][: int(fields["content-length"])]
+    if len(block) < int(fields["content-length"]):
+        raise ValueError(f"the record {fields['warc-record-id']} is shorter than its head says")
     return fields | {"payload": block.partition(b"\r\n\r\n")[2]}
 
 
@@ -168,23 +201,33 @@ def _page(name: str | None) -> int | None:
     return int(name[10:-1]) if name and name.startswith("<urn:page:") else None
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], with_payload: bool, strict: bool) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.binary()][: 10 + with_payload]
+    names = [*(x.split()[0] for x in RECORD.split(", ")), "payload"][: 10 + with_payload]
     for batch in batches:
         for r in batch.to_pylist():
-            rows, files = [], fs.FileSystem.from_uri(r["path"])
+            rows, held, files = [], 0, fs.FileSystem.from_uri(r["path"])
             with files[0].open_input_file(files[1]) as source:
-                for at, raw in members(source, r["bytes"], r["start"], r["start"] + r["span"]):
+                if strict and source.size() != r["bytes"]:
+                    raise ValueError(f"{r['path']} has {source.size()} bytes, not {r['bytes']}")
+                for at, raw in members(source, r["bytes"], r["start"], r["start"] + r["span"], strict):
                     f = parsed(raw)
-                    digest, kind, payload = f["warc-payload-digest"].removeprefix("sha1:"), f["warc-type"], f["payload"]
-                    whole = kind != "response" or (hashlib.sha1(payload).hexdigest() == digest and len(payload) == int(f["x-payload-length"]))
-                    page = _page(f["warc-record-id"])
-                    rows.append((page, f["warc-target-uri"], kind, _page(f.get("warc-refers-to")), digest, int(f["x-payload-length"]), len(payload), whole, r["path"], at))
+                    kind, payload, told = f["warc-type"], f["payload"], f.get("warc-payload-digest", "").removeprefix("sha1:")
+                    digest, length = (hashlib.sha1(payload).hexdigest(), len(payload)) if kind == "response" else (told, int(f["x-payload-length"]))
+                    verified = digest == told and length == int(f.get("x-payload-length", length))
+                    row = (_page(f["warc-record-id"]), f.get("warc-target-uri"), kind, _page(f.get("warc-refers-to")), digest, length, len(payload), verified, r["path"], at, payload)
+                    rows.append(row[: len(names)])
+                    held += len(payload) if with_payload else 100
+                    if held > BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                        rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64()))], [x.split()[0] for x in RECORD.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
-def read_archives(manifest: DataFrame, span: int = RANGE) -> DataFrame:
-    """One row for each record of the archives named in the manifest (path, bytes)."""
+def read_archives(manifest: DataFrame, span: int = RANGE, with_payload: bool = False, strict: bool = True) -> DataFrame:
+    """One row for each record of the archives named in the manifest (path, bytes), if asked for with the stored payload."""
     spark: SparkSession = manifest.sparkSession
     ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(span).cast("long"))).alias("start"), F.lit(span).cast("long").alias("span"))
-    return ranges.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "start").mapInArrow(_read, RECORD)
+    dealt = ranges.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "start")
+    return dealt.mapInArrow(lambda b: _read(b, with_payload, strict), RECORD + (", payload binary" if with_payload else ""))
