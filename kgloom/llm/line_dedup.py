@@ -4,13 +4,15 @@ Lines are normalised, hashed to 128 bits and counted by distinct document; keys
 lines; the others are put together again by position. Everything is a DataFrame expression.
 
 The normalised hashes of each document are computed once and stored, so that counting and dropping read the same narrow
-table. Within a document a key is counted once (array_distinct) before rows are made, so counting needs no shuffle by
-document. Keys over the threshold are stored too: Spark knows the size of that table and broadcasts it only below
+table. Within a row a key is counted once (array_distinct) before rows are made, so this count needs no shuffle by
+document. It is at least the number of documents; only the rows of keys that reach the threshold by it are then counted
+again by distinct document, reduced in each task first. Keys over the threshold are stored too: Spark knows the size of that table and broadcasts it only below
 spark.sql.autoBroadcastJoinThreshold; above, the join is dealt by key, and a key that many documents share is split as a
 skewed join, which adaptive execution can do because nothing but the join stands on the exchange.
 
-Defined results: a null or empty text is one empty line, whose key has no code points and is never counted. Every row is
-a document; rows equal in doc_id and text are equal in what they lose. Extra columns are kept.
+Defined results: a null or empty text is one empty line, whose key has no code points and is never counted. Rows with one
+id are one document, a row without id is one of its own. All rows lose the lines of frequent keys, and stay. Extra columns
+are kept.
 """
 
 from __future__ import annotations
@@ -54,9 +56,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     bare = F.transform(_lines(F.col(text)), bare_line)
     codes = F.transform(bare, lambda x: F.when(F.char_length(x) >= min_chars, folded(x)))
     pairs = F.transform(codes, lambda k: F.when(k.isNotNull(), F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"))))
-    hashes = stored(docs.select(*keys, pairs.alias("hashes")), "line-hashes")
-    found = hashes.select(F.explode(F.array_distinct("hashes")).alias("h")).where("h is not null").select("h.*")
-    frequent = stored(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"), "frequent-lines")
+    # stored with the hashes, so that a row's number is given once
+    document = F.when(F.col(doc_id).isNull(), F.xxhash64(F.lit("no id"), F.monotonically_increasing_id())).otherwise(F.xxhash64(doc_id))
+    hashes = stored(docs.select(*keys, document.alias("document"), pairs.alias("hashes")), "line-hashes")
+    once = hashes.select("document", F.explode(F.array_distinct("hashes")).alias("h")).where("h is not null").select("document", "h.*")
+    at_least = F.col("n") >= min_docs
+    often = stored(once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(at_least).select("h1", "h2"), "lines-of-many-rows")
+    distinct = once.join(often, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "document").agg(F.lit(1).alias("one"))
+    frequent = stored(distinct.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(at_least).select("h1", "h2"), "frequent-lines")
     at = hashes.select("k1", "k2", F.posexplode("hashes").alias("pos", "h")).where("h is not null").select("k1", "k2", "pos", "h.*")
     gone = at.join(frequent, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
     # the narrow side is hashed, so that whole texts aren't sorted to be joined
