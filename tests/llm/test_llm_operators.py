@@ -443,3 +443,376 @@ def test_quality_odd_rows(spark):
     assert got.count() == len(ODD) and all(0 <= r["score"] <= 1 for r in got.collect())
     assert quality.classify(df.limit(0), labels.limit(0)).count() == 0
     assert {r["score"] for r in quality.classify(df, labels.limit(0)).collect()} == {0.5}
+
+
+# ---------------------------------------------------------------- by operator: methods, rows repeated, damage, size
+
+
+def test_sharding_spreads_hot_records(spark):
+    rows = [(7, "same")] * 4000 + [(7, f"other {i}") for i in range(500)] + [(None, "x")] * 500 + [(i, "t" * (i % 50)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.shard_documents(df, shards=5, slots=64).toPandas()
+    assert len(got) == len(rows) and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    assert got.virtual_slot.value_counts().max() < 400
+    load = got.groupby("shard")["size"].sum()
+    assert load.max() < 1.1 * load.min()
+
+
+def test_topk_of_repeated_vectors_and_of_many_query_blocks(spark):
+    rng = np.random.default_rng(0)
+    v = [(int(i), [float(x) for x in rng.integers(-3, 4, 6)]) for i in rng.integers(0, 120, 400)]
+    v += [(60, [1.0] * 6)] * 50 + [(50, [1.0] * 6)] * 3
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(5)
+    ids, x = [i for i, _ in v], np.array([e for _, e in v]) * 256
+    want = []
+    for q in sorted({i for i in ids if i % 50 == 0}):
+        asked = {tuple(e) for i, e in v if i == q}
+        scored = sorted((-int(np.dot(np.array(a) * 256, x[j])), ids[j]) for a in asked for j in range(len(v)) if ids[j] != q)
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:5])]
+    for how in ({}, {"query_bytes": 100}, {"candidates": 7, "queries": 2}):
+        assert rows_of(topk.top_k(df, **how)) == sorted(want, key=str), how
+
+
+def test_nra_reads_less_than_all_and_bounds_hold():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 12)) * 200
+    x = np.floor(centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 12)) * 5)
+    q, ids = np.floor(centres[:20] * 3), np.arange(3000)
+    lists = topk.Lists(x)
+    got = topk.nra(-1 - np.arange(20), q, ids, lists, 5)
+    for i in range(20):
+        s = x @ q[i]
+        assert [(b, c) for a, b, c in got if a == i] == [(int(j), int(s[j])) for j in np.lexsort((ids, -s))[:5]]
+    assert lists.resolved <= 20 * 5 * 12 and lists.reads < 0.95 * 20 * x.size
+    partial, depth = np.zeros((3000, 20)), 700
+    lists.read(q, partial, 0, depth)
+    low, high = lists.rest(q, depth)
+    assert (partial.T + low <= q @ x.T).all() and (q @ x.T <= partial.T + high).all()
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(4)
+    model = chat.Model.from_counts(rng.random((chat.STATES + 1, chat.STATES)), rng.random((chat.STATES, chat.SYMBOLS)))
+    for n in (1, 2, 3, 4):
+        for _ in range(5):
+            obs = rng.integers(0, chat.SYMBOLS, n).tolist()
+
+            def weight(path):
+                return sum(model.trans[a, b] + model.emit[b, o] for a, b, o in zip((chat.START, *path), path, obs))
+
+            best = max(itertools.product(range(chat.STATES), repeat=n), key=weight)
+            assert model.decode(obs) == list(best)
+            assert np.isclose(model.segment(obs)[chat.START].max(), weight(best))
+
+
+def test_chat_against_one_pass_over_each_conversation(spark, small):
+    """Counts by hand, and one Viterbi for each conversation; ids are texts here."""
+    df = table(spark, small, "conversations").withColumn("conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    df = df.unionByName(df.where("turn = 1"))
+    rows = df.select("conv_id", "turn", "role", "text", F.xxhash64("text", "role").alias("h")).orderBy("conv_id", "turn", "h").collect()
+    trans, emit = np.zeros((chat.STATES + 1, chat.STATES)), np.zeros((chat.STATES, chat.SYMBOLS))
+    by = {c: list(g) for c, g in itertools.groupby(rows, key=lambda r: r["conv_id"])}
+    for of in by.values():
+        states = [2 * chat.ROLES.index(r["role"]) + (i > 0) for r in of for i in range(len(r["text"].split("\n")))]
+        trans[chat.START, states[0]] += 1
+        for a, b in zip(states, states[1:]):
+            trans[a, b] += 1
+        for s, o in zip(states, [o for r in of for o in chat.symbols(r["text"])]):
+            emit[s, o] += 1
+    model, want = chat.Model.from_counts(trans, emit), []
+    for c, of in by.items():
+        states, at = model.decode([o for r in of for o in chat.symbols(r["text"])]), 0
+        for r in of:
+            lines = r["text"].split("\n")
+            mine, at = states[at : at + len(lines)], at + len(lines)
+            starts = [0] + [i for i in range(1, len(lines)) if mine[i] % 2 == 0]
+            for p, (a, b) in enumerate(zip(starts, [*starts[1:], len(lines)])):
+                role = chat.ROLES[mine[a] // 2]
+                text = "\n".join([lines[a][chat.marker(lines[a])[1] :], *lines[a + 1 : b]])
+                want.append((c, r["turn"], p, r["role"], role, text, f"<|{role}|>\n{text.strip()}\n<|end|>\n"))
+    assert rows_of(chat.format_chats(df)) == sorted(want, key=str)
+
+
+def test_line_dedup_counts_documents_not_rows(spark):
+    rows = [(1, "often in one\nx")] * 12 + [(i, "in ten\ny") for i in range(10, 20)] + [(None, "null\nz")] * 10 + [(None, "null 2")] * 9
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10).collect()
+    assert sorted({(r["doc_id"] or 0, r["text"]) for r in got if r["doc_id"] not in range(10, 20)}) == [(0, ""), (0, "null 2"), (1, "often in one\nx")]
+    assert len(got) == len(rows) and {r["text"] for r in got if r["doc_id"] in range(10, 20)} == {""}
+
+
+def test_warc_payloads_and_damage(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" + "é" * (i * 30)) for i in range(40)] + [(100, "u", "é" * 900), (101, "u", "é" * 900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages, root=f"file://{tmp_path}/w").cache()
+    got = {r.page_id: r for r in warc.read_archives(manifest, 300, with_payload=True).collect()}
+    assert all(bytes(got[i].payload).decode() == html for i, _, html in rows if i != 100) and bytes(got[100].payload) == b"" and got[100].payload_bytes == 1800
+    assert manifest.agg(F.sum("records")).first()[0] == len(got) == 42
+    path = max((r["path"] for r in manifest.collect()), key=lambda p: len(open(p.removeprefix("file://"), "rb").read())).removeprefix("file://")
+    whole = open(path, "rb").read()
+    starts = [at for at, _ in warc.members(__import__("pyarrow").BufferReader(whole), len(whole), 0, len(whole))]
+    middle = starts[len(starts) // 2]
+    for harm in (whole[:-5], whole[:middle] + b"\0" * 12 + whole[middle + 12 :], whole[: middle + 40] + b"\0" * 40 + whole[middle + 80 :], whole[:middle]):
+        with open(path, "wb") as f:
+            f.write(harm)
+        for span in (100, 1 << 20):
+            with pytest.raises(Exception, match="cut off|record|bytes|Error"):
+                warc.read_archives(manifest, span).collect()
+    with open(path, "wb") as f:
+        f.write(whole[:middle] + b"\0" * 12 + whole[middle + 12 :])
+    assert warc.read_archives(manifest, strict=False).count() == 41
+
+
+def test_block_index_proposes_all_within_the_radius():
+    rng = np.random.default_rng(2)
+    prints = rng.integers(0, 256, (300, 32)).astype(np.uint8)
+    near = np.unpackbits(prints, axis=1)
+    for row in near:
+        row[rng.choice(256, rng.integers(0, decontaminate.RADIUS + 1), replace=False)] ^= 1
+    sized = decontaminate.Sized(list(range(300)), prints)
+    window, item = sized.proposed(np.packbits(near, axis=1))
+    assert {(i, i) for i in range(300)} <= set(zip(window.tolist(), item.tolist()))
+    assert len(set(zip(window.tolist(), item.tolist()))) == len(window) < 300 * 300
+
+
+def test_decontamination_finds_through_the_index(monkeypatch):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(40))) for i in range(50)]
+    index = decontaminate.Index(items)
+    text = f"before {items[3][1]} after " + " ".join(f"other{j}" for j in range(500))
+    assert [(index.ids[i], s) for i, s, _, _ in index.matches(text)] == [(3, 1.0)] and 0 < index.compared < 50 * 540
+    monkeypatch.setattr(decontaminate.Sized, "proposed", lambda self, p: (np.empty(0, int), np.empty(0, int)))
+    assert index.matches(text) == []
+    monkeypatch.undo()
+    assert [i for i, *_ in decontaminate.Index([(1, "to " * 400)]).matches("to " * 40_000)] == [0]
+
+
+def test_decontamination_in_blocks_of_items_and_of_repeated_rows(spark, small):
+    docs = table(spark, small, "documents").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(60))
+    items = table(spark, small, "benchmark").unionByName(table(spark, small, "benchmark"))
+    one = decontaminate.contaminated(docs, items)
+    assert rows_of(one) and rows_of(one) == rows_of(decontaminate.contaminated(docs, items, block_bytes=2000))
+    assert rows_of(decontaminate.decontaminated(docs, items)) == rows_of(decontaminate.decontaminated(docs, items, block_bytes=2000))
+    texts = [(r.doc_id, r.text) for r in docs.where("length(text) < 1500").collect()]
+    short = docs.where("length(text) < 1500")
+    assert sorted((r.doc_id, r.item_id, round(r.similarity, 9)) for r in decontaminate.contaminated(short, items).collect()) == brute_leaks(texts, [tuple(r) for r in table(spark, small, "benchmark").collect()])
+
+
+def test_bpe_matches_of_any_length():
+    import tiktoken
+
+    told = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=bpe.load_ranks(bpe.default_path()), special_tokens={})
+    enc, rng = bpe.encoder(bpe.default_path(), bpe.default_pattern()), random.Random(12)
+    texts = ["".join(rng.choice(alphabet) for _ in range(n)) for alphabet in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "日本語テキスト") for n in (*range(1, 40, 3), 255, 256, 257, 511, 512, 513, 767, 768, 769, 2000, 9000)]
+    texts += ["x" * n for n in range(500, 520)] + ["abc" * n for n in range(168, 175)] + [" " * 700, "\n" * 600]
+    for t, ids in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == told.encode_ordinary(t)
+
+
+def test_bpe_query_rows_are_tiktokens(spark, small, tmp_path):
+    import tiktoken
+
+    told = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=bpe.load_ranks(bpe.default_path()), special_tokens={})
+    docs = table(spark, small, "documents")
+    odd = docs.limit(3).withColumn("text", F.lit(None).cast("string"))
+    docs.unionByName(docs.limit(20)).unionByName(odd).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = rows_of(queries.op7_bpe(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))
+    want = []
+    for r in spark.read.parquet(f"file://{tmp_path}/documents.parquet").collect():
+        ids = np.array(told.encode_ordinary(r.text or ""), "<u4")
+        want.append((r.doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+
+
+def near_pairs(rng, n, words):
+    """Texts of random words, each with a second one of a similarity between 0.80 and 0.86."""
+    texts = []
+    while len(texts) < 2 * n:
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        other = ws[:]
+        while (s := weighted_jaccard(Counter(zip(*(ws[i:] for i in range(5)))), Counter(zip(*(other[i:] for i in range(5)))))) > 0.86:
+            other[rng.randrange(words)] = f"c{rng.randrange(10**6)}"
+        if s >= 0.8:
+            texts += [" ".join(ws), " ".join(other)]
+    return texts
+
+
+@pytest.mark.parametrize("words", [60, 300])
+def test_near_duplicates_just_above_the_similarity_are_found(spark, words):
+    texts = near_pairs(random.Random(words), 300, words)
+    got = simhash.similar_groups(docs_of(spark, texts), n=5, similarity=0.8, radius=79, lanes=4).select("doc_id", "component_id").collect()
+    of = {r.doc_id: r.component_id for r in got}
+    assert sum(of[i] == i - 1 for i in range(1, 600, 2)) >= 0.98 * 300 and all(c // 2 == i // 2 for i, c in of.items())
+
+
+def test_large_cells_are_compared_in_blocks(spark, monkeypatch):
+    """Many texts that share most of their shingles, some linked and some not: all in the same cells."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for share in (0.93, 0.9, 0.87, 0.8):
+        for _ in range(40):
+            ws = base[:]
+            at = rng.randrange(0, 120)
+            for k in range(int(120 * (1 - share))):
+                ws[(at + k) % 120] = f"n{rng.randrange(40)}"
+            texts.append(" ".join(ws))
+    want = brute_similar(texts)
+    split = simhash._split
+    for cell in (8, 32, 10**6):
+        monkeypatch.setattr(simhash, "_split", lambda rooted, cell=cell: split(rooted, cell))
+        got = simhash.similar_groups(docs_of(spark, texts), n=5, similarity=0.8, radius=79, lanes=4).orderBy("doc_id").collect()
+        assert [r["component_id"] for r in got] == want
+    assert 1 < len(set(want)) < len(texts)
+
+
+def test_stars_read_a_cell_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    cell = np.sort(rng.integers(0, 6, 400))
+    fp, node = rng.integers(0, 4, (400, 4)).astype(np.uint64), np.arange(400)
+    cell[100:300] = cell[100]
+    cell.sort()
+
+    def batches():
+        for a in range(0, 400, 37):
+            part = slice(a, a + 37)
+            rows = fp[part].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell[part]), pa.array(node[part]), pa.array(list(rows), pa.list_(pa.int64()))], ["cell", "node", "fp"])
+
+    for most in (16, 1 << 16):
+        monkeypatch.setattr(simhash, "MIDDLE", most)
+        got = [r for b in simhash._stars(batches(), 3) for r in b.to_pylist()]
+        assert len(got) == 400 - len(set(cell.tolist()))
+        for r in got:
+            assert cell[r["a"]] == cell[r["b"]] and r["near"] == (np.bitwise_count(fp[r["a"]] ^ fp[r["b"]]).sum() <= 3)
+
+
+def test_representatives_by_row_key(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    how = dict(n=5, similarity=0.8, radius=79, lanes=4)
+    kept = lambda rows: rows_of(simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string, lang string"), **how).select("doc_id", "text"))
+    assert kept([(5, a, "x"), (5, b, "y"), (7, c, "z")]) == sorted([(5, a), (5, b), (7, c)], key=str)
+    assert kept([(3, a, "x"), (5, a, "x"), (5, b, "y")]) == sorted([(3, a), (5, b)], key=str)
+    assert kept([(None, a, "x"), (None, a + " end", "y"), (None, b, "x")]) in ([(None, a), (None, b)], [(None, a + " end"), (None, b)])
+    assert kept([(1, a, "x"), (1, a, "y"), (1, a, "y"), (2, a + " end", "x")]) == [(1, a)]
+
+
+def plain_disclosing(texts, generalise=0.9, min_texts=2):
+    """Every pair of a term and an entity, by the definition."""
+    docs = []
+    for t in texts:
+        spans = plain_spans(t)
+        own = set()
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", t or ""):
+            w = m[0].strip(pii.PUNCTUATION).lower()
+            if len(w) >= 3 and not any(a < m.end() and m.start() < b for _, a, b in spans):
+                own.add(w)
+        docs.append((t, {f"{k}:{t[a:b]}" for k, a, b in spans}, own))
+    n, out = len(docs), {}
+    for term in set().union(*(o for _, _, o in docs)):
+        have = [d for d in docs if term in d[2]]
+        for entity in set().union(*(e for _, e, _ in have)):
+            both, e_docs = [d for d in have if entity in d[1]], sum(entity in e for _, e, _ in docs)
+            if len({d[0] for d in both}) < min_texts or e_docs == n:
+                continue
+            rate = np.log((len(both) / n) / (len(have) / n * e_docs / n)) / -np.log(e_docs / n)
+            if rate >= generalise - 1e-12:
+                out[term] = max(out.get(term, 0), round(float(rate), 9))
+    return out
+
+
+def pii_texts():
+    rng, fill = random.Random(11), [f"word{i}" for i in range(60)]
+    line = lambda n: " ".join(rng.choice(fill) for _ in range(n))
+    texts = []
+    for k in range(12):
+        who, code = f"jo{k}@ex.org", f"ID-{k}x{k}"
+        for i in range(rng.randrange(1, 5)):
+            texts.append(f"Zor{k}blatt, {line(300)} writes from {who} {line(20)} {code}; {line(rng.randrange(3))}" + (f" and +1 234 567 80{k:02d}" if i % 2 else ""))
+        if k % 3 == 0:
+            texts += [texts[-1]] * 3 + [f"zor{k}blatt {line(30)}"] * (k // 3)
+    return texts + [line(40) for _ in range(200)] + [None, "", "1.2.3.4 Once", "1.2.3.4 Once", "5.6.7.8 twice a", "5.6.7.8 twice b"]
+
+
+def test_disclosure_against_all_pairs(spark):
+    texts = pii_texts()
+    want = plain_disclosing(texts)
+    got = {r.term: round(r.disclosure, 9) for r in pii.disclosing(docs_of(spark, texts)).collect()}
+    assert got == {pii.code_of(t): rate for t, rate in want.items()}
+    assert {"zor4blatt", "twice"} <= want.keys() and "once" not in want and not any(t.startswith("word") for t in want)
+
+
+def test_pii_query_rows(spark, tmp_path):
+    """Whole rows by the plain definitions; broadcast terms and joined terms give the same."""
+    texts = pii_texts()
+    docs_of(spark, texts).write.parquet(f"file://{tmp_path}/documents.parquet")
+    rates, want = plain_disclosing(texts), []
+    for i, t in enumerate(texts):
+        base = plain_spans(t)
+        more = []
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", t or ""):
+            if m[0].strip(pii.PUNCTUATION).lower() in rates:
+                a, b = m.span()
+                if not any(x < b and a < y for _, x, y in base):
+                    more.append(("term", a, b))
+        told = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want.append((i, *(sum(k == kind for k, _, _ in base) for kind in pii.KINDS), hashlib.sha256(told(base).encode()).hexdigest(), told(base + more)))
+    assert rows_of(queries.op9_pii(spark, str(tmp_path))) == sorted(want, key=str)
+    df = docs_of(spark, texts)
+    assert rows_of(pii.sanitise(df)) == rows_of(pii.sanitise(df, broadcast_terms=0))
+    assert any("term" in w[-1] for w in want)
+
+
+def test_quality_against_a_plain_scorer(spark, small, monkeypatch):
+    """The same dictionaries and curve, made by hand from the sample."""
+    import zstandard
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents").unionByName(table(spark, sf, "documents").limit(50)), table(spark, sf, "labels")
+    told = {(r.doc_id, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    filled, curve = {0: [], 1: []}, []
+    for y in (0, 1):
+        ids = sorted((d for d, q in told if q == y and text.get(d)), key=lambda d: (order[d], d))
+        filled[y] = [text[d] for place, d in enumerate(ids, 1) if place % 2 == 0]
+        curve += [(text[d], y) for place, d in enumerate(ids, 1) if place % 2]
+    raw = {}
+    for y, texts in filled.items():
+        chars = max(64, quality.DICT_BYTES // len(texts))
+        each, parts = chars // quality.SPREAD, []
+        for t in texts:
+            last = len(t) - each
+            parts.append(t if len(t) <= chars else "\n".join(t[last * i // (quality.SPREAD - 1) :][:each] for i in range(quality.SPREAD)))
+        raw[y] = "\n".join(parts).encode()[-quality.DICT_BYTES :]
+
+    def size(piece, y):
+        d = zstandard.ZstdCompressionDict(raw[y], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(piece)) - quality.FRAME
+
+    model = quality.train(docs, labels)
+    assert (model.good, model.bad) == (raw[1], raw[0])
+    made = quality._compressors(raw[1], raw[0])
+    x, y = np.array([quality.difference(t, *made) for t, _ in curve]), np.array([q for _, q in curve])
+    p = 1 / (1 + np.exp(-(model.slope * x + model.shift + np.log(y.mean() / (1 - y.mean())) - np.log((s := sum(q for _, q in told) / len(told)) / (1 - s)))))
+    slope, shift = quality.logistic(x, y.astype(float))
+    assert np.isclose(slope, model.slope) and abs((p - y).sum()) < 0.05 and abs(((p - y) * x).sum() + 1e-3 * slope) < 1e-3  # the least loss
+    scores = {(r.doc_id, r.text): r.score for r in quality.score_documents(docs, model).collect()}
+    for (_, t), score in list(scores.items())[:12]:
+        pieces = [t.encode()[i : i + quality.PIECE] for i in range(0, len(t.encode()), quality.PIECE)]
+        a, b = (sum(size(p, y) for p in pieces) for y in (1, 0))
+        assert np.isclose(score, 1 / (1 + np.exp(-(model.slope * (b - a) / max(a, b, 1) + model.shift))))
+
+
+def test_quality_learns_from_whole_texts(spark):
+    """What tells the labels apart stands at the end of texts that are far longer than their share of a dictionary."""
+    rng = random.Random(2)
+    noise = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    mark = {0: " ".join(f"bad{i} sign" for i in range(150)), 1: " ".join(f"good{i} mark" for i in range(150))}
+    rows = [(i, noise(6000) + " " + mark[i % 2]) for i in range(150)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    probe = [(1000 + y, mark[y]) for y in (0, 1)]
+    docs = spark.createDataFrame(rows + rows[:30] + probe, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    assert got[1001] > got[1000]
