@@ -67,7 +67,9 @@ def bit_signs(sh: np.ndarray) -> np.ndarray:
 class Sized:
     """The items of one size, by the blocks of their fingerprints."""
 
-    NEAR = (0, *(1 << i for i in range(8)))
+    #: Every block with every value that is looked up in it: its own, and with one bit flipped.
+    BLOCK, FLIP = np.repeat(np.arange(32), 9), np.tile(np.array([0, *(1 << i for i in range(8))], np.uint8), 32)
+    LOOKUPS = 32 * 9
 
     def __init__(self, places: list[int], prints: np.ndarray):
         self.places, self.prints = np.array(places), prints
@@ -76,16 +78,16 @@ class Sized:
 
     def proposed(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a fingerprint (32 octets) and an item that share a block up to one bit, each pair once."""
-        found, n, most = [], len(self.places), max(1, PAIRS // len(self.places))
+        found, n, most = [], len(self.places), max(1, PAIRS // max(len(self.places), self.LOOKUPS))
         for base in range(0, len(prints), most):
-            part, keys = prints[base : base + most], []
-            for b in range(32):
-                for flip in self.NEAR:
-                    value = part[:, b] ^ np.uint8(flip)
-                    low, many = self.starts[b, value], self.starts[b, value.astype(int) + 1] - self.starts[b, value]
-                    flat = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-                    keys.append(np.repeat(np.arange(base, base + len(part)), many) * n + self.order[flat, b])
-            found.append(np.unique(np.concatenate(keys)))
+            value = prints[base : base + most, self.BLOCK] ^ self.FLIP  # all lookups of all fingerprints at once
+            low = self.starts[self.BLOCK, value]
+            many = (self.starts[self.BLOCK, value.astype(np.int64) + 1] - low).ravel()
+            at = np.flatnonzero(many)
+            many = many[at]
+            flat = np.repeat(low.ravel()[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            block, window = self.BLOCK[at % self.LOOKUPS], base + at // self.LOOKUPS
+            found.append(np.unique(np.repeat(window, many) * n + self.order[flat, np.repeat(block, many)]))
         pairs = np.concatenate(found)
         return pairs // n, pairs % n
 
