@@ -104,8 +104,9 @@ def any_keyword(text: Column, keywords: Column) -> Column:
 
 
 def citations(answer: Column) -> Column:
-    """Distinct citation numbers [n], in order."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), 1), lambda x: x.cast("int"))))
+    """Distinct citation numbers [n], in order; numbers that are no 32-bit ones cite nothing."""
+    found = F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), 1), lambda x: x.try_cast("int"))
+    return F.array_sort(F.array_distinct(F.array_compact(found)))
 
 
 def enriched(text: Column, keywords: Column) -> Column:

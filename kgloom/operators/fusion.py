@@ -27,13 +27,18 @@ def _unique(rows: DataFrame) -> DataFrame:
 
 
 def appended(found: DataFrame, graph: DataFrame, k: int = K) -> DataFrame:
-    """query_id, doc, arm, position: retrieved documents in their order, graph documents after them, k at most.
+    """query_id, doc, text, arm, position: retrieved documents in their order, graph documents after them, k at most.
 
     found: query_id, doc, text, pos; graph: the same.
     """
-    rows = _unique(_ordered(found, graph))
+    return placed(_ordered(found, graph), k).select("query_id", "doc", "text", "arm", "position")
+
+
+def placed(rows: DataFrame, k: int = K) -> DataFrame:
+    """Rows of both arms (query_id, text, arm, pos, ...) with position: the first of those that begin alike, k at most."""
+    rows = _unique(rows)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("arm", "pos"))
-    return rows.withColumn("position", place).where(F.col("position") <= k).select("query_id", "doc", "text", "arm", "position")
+    return rows.withColumn("position", place).where(F.col("position") <= k)
 
 
 def scored(found: DataFrame, graph: DataFrame, k: int = K, graph_weight: float = GRAPH_WEIGHT) -> DataFrame:

@@ -41,7 +41,7 @@ def expanded(seeds: DataFrame, edges: DataFrame, hops: int = 2, limit: int | Non
     """name, related, hops: what is reached from each seed over at most `hops` edges, nearest first.
 
     Each level is joined once and made distinct, and what was reached before doesn't go on: a hub is passed once for each
-    seed, not once for each path.
+    seed, not once for each path. With a limit, seeds that have reached as many don't go on either.
     """
     step = undirected(edges)
     seen = seeds.select("name", F.col("name").alias("related"), F.lit(0).alias("hops")).distinct()
@@ -50,6 +50,9 @@ def expanded(seeds: DataFrame, edges: DataFrame, hops: int = 2, limit: int | Non
         reached = front.join(step, F.col("related") == F.col("src")).select("name", F.col("dst").alias("related")).distinct()
         front = reached.join(seen.select("name", "related"), ["name", "related"], "left_anti").withColumn("hops", F.lit(h))
         seen = seen.unionByName(front)
+        if limit is not None and h < hops:
+            full = seen.where("hops > 0").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+            front = front.join(full, "name", "left_anti")
     out = seen.where("hops > 0")
     if limit is None:
         return out

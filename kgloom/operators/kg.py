@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kgloom.functions import names as N
 
@@ -27,35 +26,43 @@ def in_batch(df: DataFrame) -> DataFrame:
     return df.where(F.col("source_doc_id").isNotNull())
 
 
+def _facts(rows: DataFrame, keys: list[str], best: Column, first: Column, raw: Column) -> DataFrame:
+    """keys, best, first, raws, keywords, chunks: what occurs in the rows of each key.
+
+    Each row gives a fact for itself, its chunk and every keyword. Facts are reduced by key and value first, and only
+    different values come together: a key that a third of all rows have is split by its values, and its arrays are as
+    long as the results.
+    """
+    kind = rows.schema["chunk"].dataType
+    fact = lambda k, text=None, chunk=None: F.struct(F.lit(k).alias("kind"), (F.lit(None) if text is None else text).cast("string").alias("text"), (F.lit(None) if chunk is None else chunk).cast(kind).alias("chunk"))
+    keywords = F.coalesce("keywords", F.array().cast("array<string>"))
+    given = F.concat(F.array(fact(0, raw), fact(1, chunk=F.col("chunk"))), F.transform(keywords, lambda k: fact(2, k)))
+    facts = rows.select(*keys, best.alias("best"), first.alias("first"), F.explode(given).alias("v"))
+    own = F.col("v.kind") == 0
+    values = facts.groupBy(*keys, "v").agg(F.min(F.when(own, F.col("best"))).alias("best"), F.min(F.when(own, F.col("first"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    among = lambda k, x: F.collect_list(F.when(F.col("v.kind") == k, x))
+    return values.groupBy(*keys).agg(
+        F.min("best").alias("best"),
+        F.min("first").alias("first"),
+        among(0, F.struct(F.col("v.text").alias("raw"), "n", "first")).alias("raws"),
+        F.array_sort(among(2, F.col("v.text"))).alias("keywords"),
+        F.array_sort(among(1, F.col("v.chunk"))).alias("chunks"),
+    )
+
+
 def merged_entities(rows: DataFrame, domain: Column | None = None) -> DataFrame:
     """One row for each canonical name and type: name, type, description, keywords, chunks, aliases.
 
-    rows: chunk, seq, name, type, description, keywords; seq is the order of occurrence, on which the result depends: the
-    longest description wins, of equally long ones the first; other names are aliases from the second occurrence on. All
-    are aggregates that reduce before the shuffle, except the sets.
+    rows: chunk, seq, name, type, description, keywords; seq is the order of occurrence, of any type that has an order, on
+    which the result depends: the longest description wins, of equally long ones the first; other names are aliases from
+    the second occurrence on, that of the first only if it occurs again.
     """
     raw = N.clean_name(F.col("name"))
     rows = rows.withColumns({"raw": raw, "name": N.canonical_name(raw, domain), "type": F.upper(F.coalesce("type", F.lit("OTHER"))), "description": F.coalesce("description", F.lit(""))})
-    first = F.min_by("raw", "seq")
-    grouped = rows.groupBy("name", "type").agg(
-        F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("description"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("keywords", F.array().cast("array<string>")))))).alias("keywords"),
-        F.array_sort(F.collect_set("chunk")).alias("chunks"),
-        F.collect_set(F.when(F.col("raw") != F.col("name"), F.col("raw"))).alias("others"),
-        first.alias("first_raw"),
-        F.count(F.when(F.col("raw") != F.col("name"), 1)).alias("n_other"),
-        F.map_from_entries(F.collect_set(F.struct("raw", F.lit(True)))).alias("seen"),
-    )
-    return grouped.select("name", "type", "description", "keywords", "chunks", F.col("others").alias("__others"), "first_raw").transform(lambda g: _aliases(g, rows))
-
-
-def _aliases(grouped: DataFrame, rows: DataFrame) -> DataFrame:
-    """Other names from the second occurrence on: all but the first occurrence's, unless that name occurs again."""
-    again = rows.where("raw <> name").groupBy("name", "type", "raw").agg(F.count(F.lit(1)).alias("n"))
-    again = again.where("n > 1").groupBy("name", "type").agg(F.collect_set("raw").alias("again"))
-    out = grouped.join(again, ["name", "type"], "left")
-    kept = F.filter("__others", lambda x: (x != F.col("first_raw")) | F.array_contains(F.coalesce("again", F.array().cast("array<string>")), x))
-    return out.withColumn("aliases", F.array_sort(kept)).drop("__others", "first_raw", "again")
+    longest = F.struct((-F.length("description")).alias("l"), "seq", "description")
+    found = _facts(rows, ["name", "type"], longest, F.struct("seq", "raw"), F.col("raw"))
+    later = F.filter("raws", lambda r: (r["raw"] != F.col("name")) & ((r["raw"] != F.col("first.raw")) | (r["n"] > 1)))
+    return found.select("name", "type", F.col("best.description").alias("description"), "keywords", "chunks", F.array_sort(F.transform(later, lambda r: r["raw"])).alias("aliases"))
 
 
 def merged_relationships(rows: DataFrame, domain: Column | None = None) -> DataFrame:
@@ -64,14 +71,11 @@ def merged_relationships(rows: DataFrame, domain: Column | None = None) -> DataF
     rows: chunk, seq, source, target, type, description, strength, keywords, semantic_type.
     """
     ends = {end: N.canonical_name(N.clean_name(F.col(end)), domain) for end in ("source", "target")}
-    rows = rows.withColumns({**ends, "type": F.coalesce("type", F.lit(N.DEFAULT_REL_TYPE)), "description": F.coalesce("description", F.lit(""))})
-    return rows.groupBy("source", "target", "type").agg(
-        F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("description"),
-        F.max(F.coalesce("strength", F.lit(N.DEFAULT_STRENGTH))).alias("strength"),
-        F.min_by(F.coalesce("semantic_type", "type"), "seq").alias("semantic_type"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("keywords", F.array().cast("array<string>")))))).alias("keywords"),
-        F.array_sort(F.collect_set("chunk")).alias("chunks"),
-    )
+    rows = rows.withColumns({**ends, "type": F.coalesce("type", F.lit(N.DEFAULT_REL_TYPE)), "description": F.coalesce("description", F.lit("")), "strength": F.coalesce("strength", F.lit(N.DEFAULT_STRENGTH))})
+    longest = F.struct((-F.length("description")).alias("l"), "seq", "description")
+    found = _facts(rows, ["source", "target", "type"], longest, F.struct("seq", F.coalesce("semantic_type", "type").alias("semantic_type")), F.col("strength"))
+    strongest = F.array_max(F.transform("raws", lambda r: r["raw"].cast(rows.schema["strength"].dataType)))
+    return found.select("source", "target", "type", F.col("best.description").alias("description"), strongest.alias("strength"), F.col("first.semantic_type").alias("semantic_type"), "keywords", "chunks")
 
 
 def guarded(rels: DataFrame, entities: DataFrame, compat: bool = False) -> DataFrame:
@@ -89,7 +93,7 @@ def merged_gleaning(initial: DataFrame, gleaned: DataFrame, keys: list[str]) ->
     Both: keys, seq, description. In the second pass too each strictly longer one replaces what is there.
     """
     first = initial.groupBy(*keys).agg(F.max_by("description", "seq").alias("a"))
-    longest = gleaned.groupBy(*keys).agg(F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("b"))
+    longest = gleaned.groupBy(*keys).agg(F.min_by("description", F.struct(-F.length("description"), "seq")).alias("b"))
     both = first.join(longest, keys, "full_outer")
     pick = F.when(F.col("a").isNull() | (F.length("b") > F.length("a")), F.col("b")).otherwise(F.col("a"))
     return both.select(*keys, pick.alias("description"))
@@ -178,20 +182,21 @@ def inferred_type(names: DataFrame, entities: DataFrame) -> DataFrame:
     return names.select("name").join(first, "name", "left").select("name", F.coalesce("type", F.lit("OTHER")).alias("type"))
 
 
-def merge_order(by: str, order: str) -> Column:
-    """Order of occurrence within a group."""
-    return F.row_number().over(Window.partitionBy(by).orderBy(order))
-
-
-def by_document(entities: DataFrame, rels: DataFrame, batch_ids: DataFrame | None = None) -> DataFrame:
-    """doc_id, entities, relationships: arrays of what was found for each document.
+def by_document(entities: DataFrame, rels: DataFrame, batch_ids: DataFrame | None = None, order: str = "line_no") -> DataFrame:
+    """doc_id, entities, relationships: arrays of what was found for each document, in the order column's
+    order or, without one, sorted.
 
     Documents of the batch for which nothing was found have empty arrays; documents outside it are added. Both inputs carry
     doc_id; what one extraction of one document gives is bounded by the model's output.
     """
-    gather = lambda df, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "doc_id"]))).alias(name))
-    e, r = gather(entities, "entities"), gather(rels, "relationships")
-    both = e.join(r, "doc_id", "full_outer")
+
+    def gather(df: DataFrame, name: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in ("doc_id", order)]
+        at = [F.col(order).alias("__at")] if order in df.columns else []
+        found = F.sort_array(F.collect_list(F.struct(*at, F.struct(*rest).alias("x"))))
+        return df.groupBy("doc_id").agg(F.transform(found, lambda r: r["x"]).alias(name))
+
+    both = gather(entities, "entities").join(gather(rels, "relationships"), "doc_id", "full_outer")
     if batch_ids is not None:
         both = both.join(batch_ids.select("doc_id").distinct(), "doc_id", "full_outer")
     empty = lambda c: F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c)
@@ -199,12 +204,12 @@ def by_document(entities: DataFrame, rels: DataFrame, batch_ids: DataFrame | Non
 
 
 def flattened(extractions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of entities and relationships with their chunk and their order: (chunk, position within the chunk).
+    """Occurrences of entities and relationships with their chunk and seq, their order: (chunk, position within the chunk).
 
-    extractions: chunk, result (struct of the arrays entities and relationships). seq orders all occurrences.
+    extractions: chunk, of any type that has an order, and result (struct of the arrays entities and relationships).
     """
     position = lambda name: F.posexplode(f"result.{name}").alias("pos", "x")
-    seq = (F.col("chunk").cast("long") * 100_000 + F.col("pos")).alias("seq")
+    seq = F.struct("chunk", "pos").alias("seq")
     entities = extractions.select("chunk", position("entities")).select("chunk", seq, "x.*")
     rels = extractions.select("chunk", position("relationships")).select("chunk", seq, "x.*")
     return entities, rels.withColumns({"keywords": F.array().cast("array<string>"), "semantic_type": F.col("type")})

@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from kgloom.functions import text as T
+from kgloom.shared import spread, stored
 
 ARM_LIMIT, K, RRF_C, IDK_THRESHOLD = 50, 5, 60, 0.5
 #: Scores are rounded before they are ranked, so that the order of a sum doesn't decide ties.
 DECIMALS = 9
+#: Bytes of the query vectors that are broadcast at once.
+QUERY_BYTES = 32 << 20
 
 
-def postings(docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
+def postings(docs: DataFrame, doc_id: str, text: str = "text", repeated: bool = False) -> DataFrame:
     """doc, token, tf, weight: counts, and counts over the document's largest count. Texts without tokens have none.
 
-    Tokens are sorted and counted by their runs inside each row, so postings are made without any shuffle.
+    Tokens are sorted and counted by their runs inside each row, so postings are made without any shuffle. Ids have to be
+    unique; with repeated=True the rows of one id are parts of one document, whose counts are added up.
     """
+    docs = spread(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")))
 
     def runs(t: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
         counted = lambda b: F.transform(b, lambda p, j: F.struct(F.get(t, p).alias("token"), (F.coalesce(F.get(b, j + 1), F.size(t)) - p).cast("long").alias("tf")))
         return F.when(F.size(t) > 0, T.let(starts, counted))
 
-    found = T.let(F.sort_array(T.tokens(F.col(text))), runs)
+    found = T.let(F.sort_array(T.tokens(F.col("text"))), runs)
     with_top = T.let(found, lambda r: F.struct(r.alias("runs"), F.array_max(F.transform(r, lambda x: x["tf"])).alias("top")))
-    rows = docs.select(F.col(doc_id).alias("doc"), with_top.alias("p"))
-    return rows.select("doc", F.col("p.top").alias("top"), F.inline("p.runs")).select("doc", "token", "tf", (F.col("tf") / F.col("top")).alias("weight"))
+    rows = docs.select("doc", with_top.alias("p"))
+    out = rows.select("doc", F.col("p.top").alias("top"), F.inline("p.runs"))
+    if repeated:
+        out = out.groupBy("doc", "token").agg(F.sum("tf").alias("tf"))
+        out = out.withColumn("top", F.max("tf").over(Window.partitionBy("doc")))
+    return out.select("doc", "token", "tf", (F.col("tf") / F.col("top")).alias("weight"))
 
 
 def idf(posted: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -45,59 +58,82 @@ def ranked(scored: DataFrame, k: int, *ties: str, by: str = "query_id") -> DataF
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def sparse_scores(queries: DataFrame, docs: DataFrame, doc_id: str, query_id: str) -> DataFrame:
+def asked_tokens(queries: DataFrame, query_id: str) -> DataFrame:
+    """query_id, token, q_weight."""
+    return postings(queries, query_id).select(F.col("doc").alias("query_id"), "token", F.col("weight").alias("q_weight"))
+
+
+def scores_of(asked: DataFrame, posted: DataFrame, n_docs: DataFrame) -> DataFrame:
     """query_id, doc, score: the sum of query weight, document weight and idf over shared tokens.
 
-    Only tokens that queries have are joined; documents' postings are reduced to them before anything is summed.
+    posted: all postings of the asked tokens, from a store's buckets or made for the purpose; it is read twice.
     """
-    asked = postings(queries, query_id).select(F.col("doc").alias("query_id"), "token", F.col("weight").alias("q_weight"))
-    vocabulary = asked.select("token").distinct()
-    posted = postings(docs, doc_id).join(vocabulary, "token", "left_semi")
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    rates = idf(posted, n_docs)
-    weighted = asked.join(rates, "token").select("query_id", "token", (F.col("q_weight") * F.col("idf")).alias("w"))
+    weighted = asked.join(idf(posted, n_docs), "token").select("query_id", "token", (F.col("q_weight") * F.col("idf")).alias("w"))
     return posted.join(weighted, "token").groupBy("query_id", "doc").agg(F.round(F.sum(F.col("w") * F.col("weight")), DECIMALS).alias("score"))
 
 
+def sparse_scores(queries: DataFrame, docs: DataFrame, doc_id: str, query_id: str) -> DataFrame:
+    """As scores_of, over documents that aren't indexed. The corpus is tokenised once: the postings of the tokens that
+    queries have are stored in the shared folder. For questions that come again and again, keep a PointStore."""
+    asked = asked_tokens(queries, query_id)
+    posted = stored(postings(docs, doc_id).join(asked.select("token").distinct(), "token", "left_semi").select("doc", "token", "weight"), "postings")
+    return scores_of(asked, posted, docs.agg(F.count(F.lit(1)).alias("n")))
+
+
 def sparse_arm(queries: DataFrame, docs: DataFrame, doc_id: str, query_id: str, k: int = ARM_LIMIT) -> DataFrame:
     return ranked(sparse_scores(queries, docs, doc_id, query_id), k)
 
 
-def _cosines(rows: pa.Table, k: int) -> pa.Table:
-    """The k best points of a block for each query of a block: two matrices and their product."""
-    asks, ids, lists = rows.column("asks").to_numpy(), rows.column("id").to_numpy(), rows.column("v").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    m = np.zeros((len(ids), int(sizes.max(initial=0))))
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Lists as rows of unit length, filled up with zeros to the width; longer ones lose what no query has."""
+    sizes = lists.value_lengths().to_numpy()
+    m = np.zeros((len(sizes), max(width, int(sizes.max(initial=0)))))
     m[np.arange(m.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
     length = np.linalg.norm(m, axis=1, keepdims=True)
-    m = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-    out: list[list] = [[], [], []]
-    if asks.any() and not asks.all():
-        points = ids[~asks]
-        scores = np.round(m[asks] @ m[~asks].T, DECIMALS)
-        for q, row in zip(ids[asks].tolist(), scores):
-            best = np.lexsort((points, -row))[:k]
-            out[0] += [q] * len(best)
-            out[1] += points[best].tolist()
-            out[2] += row[best].tolist()
-    return pa.table({"query_id": pa.array(out[0], pa.int64()), "doc": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-
-def dense_arm(queries: DataFrame, points: DataFrame, k: int = ARM_LIMIT, block: int = 4096) -> DataFrame:
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], asked: pa.Table, k: int, block: int) -> Iterator[pa.RecordBatch]:
+    """The k best points of the partition for each query: blocks of points by blocks of queries, and what is best so far."""
+    lists = asked.column("v").combine_chunks()
+    width = int(lists.value_lengths().to_numpy().max(initial=0))
+    q = _matrix(lists, width)
+    scores, docs = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, block):
+            part = batch.slice(at, block)
+            points, p = part.column("doc").to_numpy(), _matrix(part.column("v"), width)
+            new = np.empty((len(q), len(points)))
+            for a in range(0, len(q), block):
+                new[a : a + block] = np.round(q[a : a + block] @ p[:, :width].T, DECIMALS)
+            scores, docs = np.hstack([scores, new]), np.hstack([docs, np.broadcast_to(points, new.shape)])
+            best = np.lexsort((docs, -scores), axis=1)[:, :k]
+            scores, docs = np.take_along_axis(scores, best, 1), np.take_along_axis(docs, best, 1)
+    n = scores.shape[1]
+    ids = asked.column("query_id").combine_chunks().take(pa.array(np.repeat(np.arange(len(q)), n)))
+    yield pa.RecordBatch.from_arrays([ids, pa.array(docs.ravel()), pa.array(scores.ravel())], ["query_id", "doc", "score"])
+
+
+def dense_arm(queries: DataFrame, points: DataFrame, k: int = ARM_LIMIT, block: int = 1024, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, doc, score, rank: exact cosine of each query's vector with every point.
 
-    queries: query_id, vector; points: doc, vector. Both sides are cut into blocks of about `block` rows; each pair of
-    blocks is one group and keeps k points for each query. So nothing is broadcast, and no task grows with the tables.
+    queries: query_id, vector; points: doc, vector. Points stay where they are. Queries are dealt to blocks of bounded bytes,
+    which are broadcast one after the other: more queries mean more passes over the points. A task holds blocks of points
+    by blocks of queries, and the k best so far.
     """
-    parts = lambda df: max(1, -(-df.count() // block))
-    blocks, asked = parts(points), parts(queries)
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     v = F.col("vector").cast("array<double>").alias("v")
-    p = points.where("vector is not null").select(F.col("doc").cast("long").alias("id"), v, F.lit(False).alias("asks"), own("doc", blocks).alias("cb"), each(asked).alias("qb"))
-    q = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("id"), v, F.lit(True).alias("asks"), each(blocks).alias("cb"), own("query_id", asked).alias("qb"))
-    found = p.unionByName(q).groupBy("cb", "qb").applyInArrow(lambda t: _cosines(t, k), "query_id long, doc long, score double")
-    return ranked(found, k)
+    p = points.where("vector is not null").select(F.col("doc").cast("long").alias("doc"), v)
+    q = queries.where("vector is not null").select("query_id", v)
+    found_type = StructType([q.schema["query_id"], StructField("doc", LongType()), StructField("score", DoubleType())])
+    blocks = max(1, math.ceil((q.agg(F.sum(8 * (F.size("v") + 1))).first()[0] or 0) / query_bytes))
+    if blocks > 1:
+        q = stored(q.withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks))), "query-vectors")
+    found = None
+    for i in range(blocks):
+        sent = q.sparkSession.sparkContext.broadcast((q.where(F.col("block") == i).drop("block") if blocks > 1 else q).toArrow())
+        part = ranked(p.mapInArrow(lambda b, sent=sent: _nearest(b, sent.value, k, block), found_type), k)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def fused(arms: list[tuple[DataFrame, float]], k: int = K, c: int = RRF_C) -> DataFrame:

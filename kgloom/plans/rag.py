@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kgloom.functions import text as T
-from kgloom.operators import fusion, graph
+from kgloom.operators import evaluate, fusion, graph
 from kgloom.operators import retrieval as R
+from kgloom.sources import jsonl
 
 from .providers import PROVIDERS
 
@@ -18,21 +20,31 @@ def rewritten(asked: DataFrame) -> DataFrame:
     return asked.withColumn("standalone", F.when(judged, PROVIDERS["rewrite"](F.col("text"), F.col("history"))).otherwise(F.col("text")))
 
 
-def retrieve(docs: DataFrame, asked: DataFrame, points: DataFrame, query_vectors: DataFrame, entities: DataFrame | None = None, mentions: DataFrame | None = None, k: int = 5) -> DataFrame:
+def query_entities(asked: DataFrame, text: str = "text") -> DataFrame:
+    """query_id, entity_pos, name: what the provider finds in each question, in its order."""
+    found = PROVIDERS["query_entities"](F.col(text))["entities"]
+    return asked.select("query_id", F.posexplode(found).alias("pos", "e")).select("query_id", (F.col("pos") + 1).alias("entity_pos"), F.col("e.name").alias("name"))
+
+
+def retrieve(docs: DataFrame, asked: DataFrame, points: DataFrame, query_vectors: DataFrame, entities: DataFrame | None = None, mentions: DataFrame | None = None, k: int = 5, edges: DataFrame | None = None) -> DataFrame:
     """query_id, doc, text, arm, position, max_score: hybrid search, with graph documents after it if entities are given.
 
-    docs: doc_id, text; asked: query_id, text; entities: query_id, entity_pos, name; mentions: chunk_id, name.
+    docs: doc_id, text; asked: query_id, text and, if questions are to be made standalone first, history; entities:
+    query_id, entity_pos, name; mentions: chunk_id, name. What each arm finds goes through one plan: the best score is a
+    window over it, and texts are joined once.
     """
+    if "history" in asked.columns:
+        asked = rewritten(asked).withColumn("text", F.col("standalone"))
     found = R.hybrid(asked.withColumn("text", T.duplicated(F.col("text"))), docs, points, query_vectors, "doc_id", "query_id", k)
+    rows = found.select("query_id", "doc", F.lit(0).alias("arm"), F.col("rank").alias("pos"), F.col("score_norm").alias("score"))
+    if entities is not None:
+        near = graph.search(entities, mentions, edges, k)
+        rows = rows.unionByName(near.select("query_id", F.col("chunk_id").alias("doc"), F.lit(1).alias("arm"), F.col("position").alias("pos"), F.lit(None).cast("double").alias("score")))
+    best = F.coalesce(F.max("score").over(Window.partitionBy("query_id")), F.lit(0.0))
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
-    best = R.max_scores(asked, found, "query_id")
-    listed = found.join(texts, "doc").select("query_id", "doc", "text", F.col("rank").alias("pos"), "score")
-    if entities is None:
-        out = listed.select("query_id", "doc", "text", F.lit(0).alias("arm"), F.col("pos").alias("position"))
-    else:
-        near = graph.search(entities, mentions, None, k).select("query_id", F.col("chunk_id").alias("doc"), F.col("position").alias("pos"))
-        out = fusion.appended(listed, near.join(texts.where("text <> ''"), "doc").select("query_id", "doc", "text", "pos"), k)
-    return out.join(best, "query_id")
+    rows = rows.withColumn("max_score", best).join(texts, "doc").where("arm = 0 or text <> ''")
+    out = fusion.placed(rows, k) if entities is not None else rows.withColumn("position", F.col("pos"))
+    return out.select("query_id", "doc", "text", "arm", "position", "max_score")
 
 
 def predictions(asked: DataFrame, retrieved: DataFrame, threshold: float = R.IDK_THRESHOLD) -> DataFrame:
@@ -60,3 +72,23 @@ def predicted_tasks(tasks: DataFrame, answered: DataFrame) -> DataFrame:
     joined = tasks.drop("contexts", "predictions").join(got, "task_id", "left")
     made = F.array(F.struct(F.coalesce("answer", F.lit(T.IDK_MESSAGE)).alias("text")))
     return joined.withColumns({"contexts": F.coalesce("found", none), "predictions": made}).drop("found", "answer")
+
+
+def answered(docs: DataFrame, asked: DataFrame, points: DataFrame, query_vectors: DataFrame, k: int = 5, **graph_arm: DataFrame) -> DataFrame:
+    """query_id, contexts, answer of every question: a configured run, with the graph arm if its tables are given."""
+    return predictions(asked.select("query_id", "text"), retrieve(docs, asked, points, query_vectors, k=k, **graph_arm))
+
+
+def run_tasks(tasks: DataFrame, docs: DataFrame, points: DataFrame, path: str, k: int = 5, **graph_arm: DataFrame) -> DataFrame:
+    """Answers the tasks, writes the prediction file and gives it as it is read back. The questions' vectors are made here."""
+    asked = asked_of(tasks)
+    vectors = asked.select("query_id", PROVIDERS["embed"](F.col("text")).alias("vector"))
+    jsonl.write_predictions(predicted_tasks(tasks, answered(docs, asked, points, vectors, k, **graph_arm)), path)
+    return jsonl.load_tasks(tasks.sparkSession, path)
+
+
+def compared_runs(tasks: DataFrame, docs: DataFrame, points: DataFrame, root: str, k: int = 5, **graph_arm: DataFrame) -> DataFrame:
+    """One row of counts: the same tasks answered with and without the graph, both files written below root."""
+    runs = [run_tasks(tasks, docs, points, f"{root}/{name}", k, **arm) for name, arm in (("kg", graph_arm), ("no_kg", {}))]
+    rows = [run.select("task_id", F.lit(0).alias("line_no"), F.get("predictions", F.lit(0))["text"].alias("answer"), F.size("contexts").alias("n_contexts")) for run in runs]
+    return evaluate.compared(*rows)

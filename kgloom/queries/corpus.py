@@ -138,13 +138,13 @@ def files_by_name(spark, sf_dir):
     return docs(spark, sf_dir).where(F.contains(F.lower("source"), F.lit("C1".lower()))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, md5(CASE WHEN lang <> '' THEN text || chr(10) || chr(10) || 'Keywords: ' || lang || ', ' || source ELSE text END) AS digest, CASE WHEN doc_id % 5 = 0 THEN 'replaced' ELSE substr(text, 1, 100) END AS page_content, source FROM documents")
+@query("SELECT doc_id, md5(CASE WHEN lang <> '' THEN text || chr(10) || chr(10) || 'Keywords: ' || lang || ', ' || source ELSE text END) AS digest, md5(CASE WHEN doc_id % 5 = 0 THEN 'replaced' ELSE text END) AS page_content, source FROM documents")
 def payload_enrichment(spark, sf_dir):
     """Text with its keywords, and the payload, in which metadata goes before text."""
     meta = F.when(F.col("doc_id") % 5 == 0, F.create_map(F.lit("page_content"), F.lit("replaced"), F.lit("source"), F.col("source"))).otherwise(F.create_map(F.lit("source"), F.col("source")))
-    made = jsonl.payload(F.substring("text", 1, 100), meta)
+    made = jsonl.payload(F.col("text"), meta)
     keywords = F.when(F.col("lang") != "", F.array("lang", "source")).otherwise(F.array().cast("array<string>"))
-    return docs(spark, sf_dir).select("doc_id", F.md5(T.enriched(F.col("text"), keywords)).alias("digest"), made["page_content"].alias("page_content"), made["source"].alias("source"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(T.enriched(F.col("text"), keywords)).alias("digest"), F.md5(made["page_content"]).alias("page_content"), made["source"].alias("source"))
 
 
 @query("""WITH keyed AS (SELECT doc_id, substr(sha256('extract' || '|||' || substr(text, 1, 500)), 1, 16) AS cache_key FROM documents),

@@ -134,7 +134,7 @@ def task_id_diff(spark, sf_dir):
 
 
 #: Two runs over the conversations: answers differ by the turn, some are the message that nothing was found.
-RUNS = f"""runs AS (SELECT conv_id % 400 AS task, conv_id * 100 + turn AS line_no, text, turn FROM conversations WHERE role = 'assistant'),
+RUNS = f"""runs AS (SELECT conv_id AS task, conv_id * 100 + turn AS line_no, text, turn FROM conversations WHERE role = 'assistant'),
 kg AS (SELECT task AS task_id, arg_max(CASE WHEN line_no % 7 = 0 THEN '{T.IDK_MESSAGE.replace("'", "''")}' ELSE text END, line_no) AS a, arg_max(turn + 1, line_no) AS ca FROM runs WHERE task % 11 <> 0 GROUP BY task),
 no_kg AS (SELECT task AS task_id, arg_max(CASE WHEN line_no % 5 = 0 THEN upper('{T.IDK_MESSAGE.replace("'", "''")}') WHEN line_no % 4 = 0 THEN 'other' ELSE text END, line_no) AS b, arg_max(turn, line_no) AS cb FROM runs WHERE task % 13 <> 0 GROUP BY task)"""
 COUNTS = f"""{RUNS}, both_ AS (SELECT *, contains(lower(a), 'couldn''t find relevant information') AS ia, contains(lower(b), 'couldn''t find relevant information') AS ib FROM kg FULL JOIN no_kg USING (task_id)),
@@ -143,7 +143,7 @@ counts AS (SELECT count(ca) AS total_tasks, count(*) FILTER (WHERE a = b) AS sam
 
 
 def _runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") % 400).alias("task_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("line_no"), "text", "turn")
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("task_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("line_no"), "text", "turn")
     a = rows.where("task_id % 11 <> 0").select("task_id", "line_no", F.when(F.col("line_no") % 7 == 0, T.IDK_MESSAGE).otherwise(F.col("text")).alias("answer"), (F.col("turn") + 1).alias("n_contexts"))
     b = rows.where("task_id % 13 <> 0").select("task_id", "line_no", F.when(F.col("line_no") % 5 == 0, T.IDK_MESSAGE.upper()).when(F.col("line_no") % 4 == 0, "other").otherwise(F.col("text")).alias("answer"), F.col("turn").alias("n_contexts"))
     return a, b

@@ -10,10 +10,11 @@ from kgloom.operators import graph
 from . import query, table
 
 MENTIONS = "mentions AS (SELECT DISTINCT l_orderkey AS chunk_id, p_name AS name, p_brand AS title, p_type AS domain FROM lineitem JOIN part ON p_partkey = l_partkey)"
-#: Two parts are asked for by each of the first twenty items.
-ASKED = "asked AS (SELECT i AS query_id, e AS entity_pos, p_name AS name, p_brand AS title FROM (SELECT unnest(range(0, 20)) AS i), (SELECT unnest(range(1, 3)) AS e), part WHERE p_partkey = i + 10 * e)"
+#: Each benchmark item asks for two parts.
+ASKED = "asked AS (SELECT item_id AS query_id, e AS entity_pos, p_name AS name, p_brand AS title, p_type AS domain FROM benchmark, (SELECT unnest(range(1, 3)) AS e), part WHERE p_partkey = item_id + 10 * e)"
 EDGES = "edges AS (SELECT DISTINCT 'part ' || l_partkey AS src, 'supplier ' || l_suppkey AS dst FROM lineitem), both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
-SEEDS = "seeds AS (SELECT 'part ' || unnest(range(1, 9)) AS name)"
+PARTS = "seeds AS (SELECT 'part ' || p_partkey AS name FROM part)"
+SUPPLIERS = "seeds AS (SELECT 'supplier ' || s_suppkey AS name FROM supplier)"
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,16 +23,17 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spark.range(20).select(F.col("id").alias("query_id"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("entity_pos"))
-    return ids.join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("query_id") + 10 * F.col("entity_pos")).select("query_id", "entity_pos", F.col("p_name").alias("name"), F.col("p_brand").alias("title"))
+    ids = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("entity_pos"))
+    return ids.join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("query_id") + 10 * F.col("entity_pos")).select("query_id", "entity_pos", F.col("p_name").alias("name"), F.col("p_brand").alias("title"), F.col("p_type").alias("domain"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("dst"))
 
 
-def seeds(spark: SparkSession) -> DataFrame:
-    return spark.range(1, 9).select(F.concat(F.lit("part "), F.col("id").cast("string")).alias("name"))
+def seeds(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Every part, or every supplier."""
+    return table(spark, sf_dir, kind).select(F.concat(F.lit(f"{kind} "), F.col({"part": "p_partkey", "supplier": "s_suppkey"}[kind]).cast("string")).alias("name"))
 
 
 def _chunks_sql(where: str) -> str:
@@ -50,26 +52,26 @@ def entity_chunks_v2(spark, sf_dir):
     """Asked by domain or alias: an entity counts if its domain is the title, or the title is one of its aliases."""
     m = mentions(spark, sf_dir)
     kept = m.where(graph.title_filter(F.lit("ECONOMY"), domain=F.col("domain"), aliases=F.array(F.when(F.col("title") == "Brand#2", "ECONOMY").otherwise("none"))))
-    return graph.entity_chunks(asked(spark, sf_dir), kept).select("query_id", "entity_pos", "chunk_id")
+    return graph.entity_chunks(asked(spark, sf_dir).drop("title", "domain"), kept.select("chunk_id", "name")).select("query_id", "entity_pos", "chunk_id")
 
 
-@query(f"WITH {EDGES}, {SEEDS} SELECT name, dst AS related, 1 AS hops FROM (SELECT name, dst, row_number() OVER (PARTITION BY name ORDER BY dst) AS r FROM seeds JOIN both_ ON src = name) WHERE r <= 5")
+@query(f"WITH {EDGES}, {PARTS} SELECT name, dst AS related, 1 AS hops FROM (SELECT name, dst, row_number() OVER (PARTITION BY name ORDER BY dst) AS r FROM seeds JOIN both_ ON src = name) WHERE r <= 5")
 def expand_1hop(spark, sf_dir):
-    return graph.expanded(seeds(spark), edges(spark, sf_dir), 1).select("name", "related", "hops")
+    return graph.expanded(seeds(spark, sf_dir, "part"), edges(spark, sf_dir), 1).select("name", "related", "hops")
 
 
-@query(f"""WITH RECURSIVE {EDGES}, {SEEDS}, walk AS (SELECT name, name AS place, 0 AS hops FROM seeds UNION SELECT w.name, b.dst, w.hops + 1 FROM walk w JOIN both_ b ON b.src = w.place WHERE w.hops < 2)
+@query(f"""WITH RECURSIVE {EDGES}, {SUPPLIERS}, walk AS (SELECT name, name AS place, 0 AS hops FROM seeds UNION SELECT w.name, b.dst, w.hops + 1 FROM walk w JOIN both_ b ON b.src = w.place WHERE w.hops < 2)
 SELECT name, place AS related, min(hops) AS hops FROM walk WHERE place <> name GROUP BY name, place""")
 def expand_2hop(spark, sf_dir):
-    return graph.expanded(seeds(spark), edges(spark, sf_dir), 2, limit=None).select("name", "related", "hops")
+    return graph.expanded(seeds(spark, sf_dir, "supplier"), edges(spark, sf_dir), 2, limit=None).select("name", "related", "hops")
 
 
-@query(f"""WITH {EDGES}, {SEEDS}, rel AS (SELECT name, string_agg(dst, ',' ORDER BY dst) AS related FROM (SELECT name, dst, row_number() OVER (PARTITION BY name ORDER BY dst) AS r FROM seeds JOIN both_ ON src = name) WHERE r <= 5 GROUP BY name),
+@query(f"""WITH {EDGES}, {PARTS}, rel AS (SELECT name, string_agg(dst, ',' ORDER BY dst) AS related FROM (SELECT name, dst, row_number() OVER (PARTITION BY name ORDER BY dst) AS r FROM seeds JOIN both_ ON src = name) WHERE r <= 5 GROUP BY name),
 said AS (SELECT name, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS chunks FROM (SELECT name, c, row_number() OVER (PARTITION BY name ORDER BY c) AS r FROM (SELECT DISTINCT 'part ' || l_partkey AS name, l_orderkey AS c FROM lineitem)) WHERE r <= 5 GROUP BY name)
 SELECT s.name, coalesce(related, '') AS related, coalesce(chunks, '') AS chunks FROM seeds s LEFT JOIN rel USING (name) LEFT JOIN said USING (name)""")
 def entity_context(spark, sf_dir):
     m = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("name"), F.col("l_orderkey").alias("chunk_id"))
-    out = graph.entity_context(seeds(spark), edges(spark, sf_dir), m)
+    out = graph.entity_context(seeds(spark, sf_dir, "part"), edges(spark, sf_dir), m)
     empty = F.array().cast("array<string>")
     return out.select("name", F.array_join(F.coalesce("related", empty), ",").alias("related"), F.array_join(F.coalesce(F.col("chunks").cast("array<string>"), empty), ",").alias("chunks"))
 
@@ -83,7 +85,7 @@ ranked AS (SELECT f.query_id, chunk_id, row_number() OVER (PARTITION BY f.query_
 
 @query(f"WITH {SEARCH} SELECT * FROM ranked WHERE position <= 5")
 def graph_search(spark, sf_dir):
-    return graph.search(asked(spark, sf_dir).drop("title"), mentions(spark, sf_dir)).withColumn("position", F.col("position").cast("long"))
+    return graph.search(asked(spark, sf_dir).drop("title", "domain"), mentions(spark, sf_dir)).withColumn("position", F.col("position").cast("long"))
 
 
 @query(f"WITH {MENTIONS} SELECT name, count(DISTINCT chunk_id) AS chunks FROM mentions GROUP BY name")

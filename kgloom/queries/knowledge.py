@@ -71,15 +71,17 @@ def _rel_columns(df: DataFrame) -> DataFrame:
     return df.select("source", "target", "type", "description", F.col("strength").cast("long").alias("strength"), F.array_join("keywords", ",").alias("keywords"), F.size("chunks").cast("long").alias("n_chunks"))
 
 
-@query(f"""SELECT i, CASE
+@query(f"""SELECT p_partkey, CASE
   WHEN name ILIKE '%napoleon%' OR name = 'bonaparte' THEN 'napoleon bonaparte'
   WHEN lower(trim(name)) = 'the emperor' AND d LIKE '%french%' THEN 'napoleon bonaparte'
   WHEN lower(trim(name)) = 'the convention' AND d LIKE '%french%' THEN 'national convention'
   WHEN name = 'the cloud' AND d LIKE '%ibm%' THEN 'ibm cloud' WHEN name = 'ibm' AND d LIKE '%ibm%' THEN 'international business machines' ELSE name END AS canonical
-FROM (SELECT CAST(i AS INTEGER) AS i, name, lower(coalesce(d, '')) AS d FROM (VALUES {_CASES_SQL}) t(i, name, d))""")
+FROM (SELECT p_partkey, coalesce(name, p_name) AS name, lower(coalesce(d, '')) AS d FROM part LEFT JOIN (VALUES {_CASES_SQL}) t(i, name, d) ON i = p_partkey % 12)""")
 def alias_resolve(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(ALIAS_CASES)], "i int, name string, domain string")
-    return rows.select("i", N.canonical_name(F.col("name"), F.col("domain")).alias("canonical"))
+    """The cases in turn, and names of parts between them."""
+    cases = spark.createDataFrame([(i, *c) for i, c in enumerate(ALIAS_CASES)], "i int, name string, domain string")
+    rows = part(spark, sf_dir).join(F.broadcast(cases), F.col("p_partkey") % 12 == F.col("i"), "left")
+    return rows.select("p_partkey", N.canonical_name(F.coalesce("name", "p_name"), F.col("domain")).alias("canonical"))
 
 
 @query("""SELECT source, CASE WHEN n = 1 THEN 'Product,Technology,Organization,Feature,Concept' WHEN n = 2 THEN 'Person,Organization,Concept,Date,Product,Market' WHEN n = 3 THEN 'Person,Event,Location,Concept,Date,Organization' WHEN n = 4 THEN 'Product,Technology,Organization,Feature,Concept' ELSE 'PERSON,ORGANIZATION,LOCATION,EVENT,CONCEPT,PRODUCT,DATE,OTHER' END AS types
@@ -142,16 +144,16 @@ def merge_initial_gleaned(spark, sf_dir):
 
 @query(r"""SELECT doc_id, CASE WHEN x IN ('', '_') THEN 'RELATED_TO' ELSE upper(substr(x, 1, 100)) END AS rel_type FROM (
   SELECT doc_id, CASE WHEN regexp_matches(x, '^[0-9]') THEN 'REL_' || x ELSE x END AS x FROM (
-    SELECT doc_id, regexp_replace(CASE WHEN doc_id % 5 = 0 THEN '9 ' || substr(text, 1, 20) WHEN doc_id % 5 = 1 THEN '-' ELSE substr(text, 1, 120) END, '[^a-zA-Z0-9_]', '_', 'g') AS x FROM documents))""")
+    SELECT doc_id, regexp_replace(CASE WHEN doc_id % 5 = 0 THEN '9 ' || text WHEN doc_id % 5 = 1 THEN '-' ELSE text END, '[^a-zA-Z0-9_]', '_', 'g') AS x FROM documents))""")
 def sanitize_rel_type_a(spark, sf_dir):
-    raw = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("9 "), F.substring("text", 1, 20))).when(F.col("doc_id") % 5 == 1, "-").otherwise(F.substring("text", 1, 120))
+    raw = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("9 "), "text")).when(F.col("doc_id") % 5 == 1, "-").otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", N.rel_type(raw).alias("rel_type"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN x = '' THEN 'RELATED_TO' ELSE x END AS rel_type FROM (
-  SELECT doc_id, substr(trim(upper(regexp_replace(CASE WHEN doc_id % 5 = 0 THEN ' ,;' ELSE substr(text, 1, 80) END, '[^a-zA-Z0-9]+', '_', 'g')), '_'), 1, 50) AS x FROM documents)""")
+  SELECT doc_id, substr(trim(upper(regexp_replace(CASE WHEN doc_id % 5 = 0 THEN ' ,;' ELSE text END, '[^a-zA-Z0-9]+', '_', 'g')), '_'), 1, 50) AS x FROM documents)""")
 def sanitize_rel_type_b(spark, sf_dir):
-    raw = F.when(F.col("doc_id") % 5 == 0, " ,;").otherwise(F.substring("text", 1, 80))
+    raw = F.when(F.col("doc_id") % 5 == 0, " ,;").otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", N.rel_type_of_keywords(raw).alias("rel_type"))
 
 

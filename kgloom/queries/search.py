@@ -208,11 +208,11 @@ def format_context(spark, sf_dir):
     return fusion.context(_found(spark, sf_dir).withColumnRenamed("pos", "position"), asked).select("query_id", F.md5("context").alias("digest"))
 
 
-ANSWER_SQL = "substr(text, 1, 40) || ' [' || (doc_id % 4 + 1) || '] and [' || (doc_id % 3 + 2) || '][1]'"
+ANSWER_SQL = "text || ' [' || (doc_id % 4 + 1) || '] and [' || (doc_id % 3 + 2) || '][1]'"
 
 
 def _answer() -> F.Column:
-    return F.concat(F.substring("text", 1, 40), F.lit(" ["), (F.col("doc_id") % 4 + 1).cast("string"), F.lit("] and ["), (F.col("doc_id") % 3 + 2).cast("string"), F.lit("][1]"))
+    return F.concat("text", F.lit(" ["), (F.col("doc_id") % 4 + 1).cast("string"), F.lit("] and ["), (F.col("doc_id") % 3 + 2).cast("string"), F.lit("][1]"))
 
 
 @query(rf"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all({ANSWER_SQL}, '\[(\d+)\]', 1), lambda x: CAST(x AS INTEGER)))), ',') AS cited FROM documents")
@@ -220,10 +220,10 @@ def citations(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(T.citations(_answer()), ",").alias("cited"))
 
 
-@query(rf"""SELECT doc_id, md5(a || chr(10) || chr(10) || '---' || chr(10) || '**References:**' || chr(10) || array_to_string(list_transform(list_filter([1, 2, 3], lambda n: contains(a, '[' || n || ']')), lambda n: chr(10) || '[' || n || '] ' || ['s1', 'Unknown source', 's3'][n] || chr(10) || '    ' || [lang, source, substr(text, 1, 50)][n] || chr(10)), '')) AS digest
+@query(rf"""SELECT doc_id, md5(a || chr(10) || chr(10) || '---' || chr(10) || '**References:**' || chr(10) || array_to_string(list_transform(list_filter([1, 2, 3], lambda n: contains(a, '[' || n || ']')), lambda n: chr(10) || '[' || n || '] ' || ['s1', 'Unknown source', 's3'][n] || chr(10) || '    ' || [lang, source, text][n] || chr(10)), '')) AS digest
 FROM (SELECT *, {ANSWER_SQL} AS a FROM documents)""")
 def references(spark, sf_dir):
-    given = F.array(*[F.struct(F.lit(s).cast("string").alias("source"), t.alias("text")) for s, t in (("s1", F.col("lang")), (None, F.col("source")), ("s3", F.substring("text", 1, 50)))])
+    given = F.array(*[F.struct(F.lit(s).cast("string").alias("source"), t.alias("text")) for s, t in (("s1", F.col("lang")), (None, F.col("source")), ("s3", F.col("text")))])
     return docs(spark, sf_dir).select("doc_id", F.md5(fusion.references(_answer(), given)).alias("digest"))
 
 

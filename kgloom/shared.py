@@ -39,3 +39,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Below so many bytes a table is dealt to all cores before costly work on its rows.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores: its file may be one row group, which one task would read.
+
+    A large one has splits enough, and its texts aren't moved.
+    """
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if known < SPREAD_BYTES else df
+
+
+def removed(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder; whether there was one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
