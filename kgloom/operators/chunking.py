@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kgloom.functions import text as T
+from kgloom.shared import shared_dir, spread
 
 # Words are estimated at 0.75 tokens each; characters of a chunk and of its overlap.
 WORDS_PER_TOKEN = 0.75
@@ -21,35 +24,118 @@ def classified(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("n_tokens", T.token_count(F.col(text))).withColumn("size_class", T.size_class(F.col("n_tokens")))
 
 
-def packed(docs: DataFrame, domain: str, order: str, min_tokens: int = T.MIN_TOKENS) -> DataFrame:
-    """Greedy packing within each domain: pack, pack_pos.
+class Packer:
+    """Greedy packing as a fold over token counts: 0 stands for "no open pack", 1 + h for an open one that holds h tokens.
+
+    Packs that were begun and the place in the open pack only add up, so a stretch of documents is told by what it makes
+    of each state it may be entered in. A document that isn't short makes all states one.
+    """
+
+    def __init__(self, min_tokens: int):
+        self.min_tokens = min_tokens
+
+    def step(self, state: int, begun: int, place: int, n: int, short: bool) -> tuple[int, int, int]:
+        """After one more document: its pack is the last begun, its place the last."""
+        if not short or state == 0:
+            begun, place, held = begun + 1, 0, n
+        else:
+            place, held = place + 1, state - 1 + n
+        return (0 if not short or held >= self.min_tokens else 1 + held), begun, place
+
+    def summary(self, counts: list[int], short: list[bool]) -> list[tuple[int, int, int, bool]]:
+        """For each state: the one after the documents, packs begun, place of the last, and whether any was begun."""
+        met: dict[tuple[int, int, int], tuple[int, int]] = {}  # place and state, to the entry that was there first and its packs
+        rows: list[tuple[int, int, int, bool]] = []
+        for entry in range(self.min_tokens + 1):
+            state, begun, place = entry, 0, -1
+            trail = []
+            for i, (n, s) in enumerate(zip(counts, short)):
+                state, begun, place = self.step(state, begun, place, n, s)
+                if begun and (i, state, place) in met:
+                    other, b = met[i, state, place]
+                    end = rows[other]
+                    state, begun, place = end[0], end[1] - b + begun, end[2]
+                    break
+                if begun:
+                    trail.append(((i, state, place), begun))
+            rows.append((state, begun, place, begun > 0))
+            met.update({at: (entry, b) for at, b in trail if at not in met})
+        return rows
+
+
+def packs(docs: DataFrame, domain: str, order: str, min_tokens: int = T.MIN_TOKENS) -> DataFrame:
+    """domain, order, n_tokens, size_class, pack and pack_pos of every document: greedy packing within each domain.
 
     Short documents are gathered until they have min_tokens; any other document closes the pack before it and is one of
-    its own. The sum begins anew with each pack, which no window frame can express, so it is a loop over token counts,
-    never over texts. Between two documents that aren't short the loop is independent of what was before, so it runs for
-    each such stretch, in parallel: a domain is as many groups as it has longer documents.
+    its own. The sum begins anew with each pack, which no window frame can express, so it is a fold over token counts,
+    never over texts. Rows are dealt by ranges of (domain, order), so that a domain of any size is many tasks; what a
+    range makes of each state at its ends (one state for every token below min_tokens) is composed on the driver, two
+    summaries for each range, and each range then numbers its own. order has to be unique within a domain.
     """
-    by = Window.partitionBy(domain).orderBy(order)
-    rows = classified(docs).withColumn("__short", F.col("size_class") == "short")
-    rows = rows.withColumn("__stretch", F.sum(F.when(F.col("__short"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, pack, held, out = frame.sort_values(order), 0, 0, []
-        for n in frame["n_tokens"]:
-            out.append(pack)
-            held += n
-            if held >= min_tokens:
-                pack, held = pack + 1, 0
-        return frame[[domain, "__stretch", order]].assign(__pack=out)
-
-    narrow = rows.where("__short").select(domain, "__stretch", order, "n_tokens")
-    folded = narrow.groupBy(domain, "__stretch").applyInPandas(run, f"`{domain}` {kinds[domain]}, `__stretch` long, `{order}` {kinds[order]}, `__pack` int")
-    joined = rows.join(folded, [domain, "__stretch", order], "left").withColumn("__pack", F.coalesce("__pack", F.lit(-1)))
-    new = F.when(F.lag("__pack").over(by).isNull() | (F.lag("__pack").over(by) != F.col("__pack")) | (F.lag("__stretch").over(by) != F.col("__stretch")), 1).otherwise(0)
-    out = joined.withColumn("__new", new).withColumn("pack", (F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long"))
-    out = out.withColumn("pack_pos", F.row_number().over(Window.partitionBy(domain, "pack").orderBy(order)).cast("long"))
-    return out.drop("__short", "__stretch", "__pack", "__new")
+    shared_dir(docs.sparkSession)
+    narrow = classified(spread(docs)).select(F.col(domain).alias("domain"), F.col(order).alias("order"), "n_tokens", "size_class")
+    dealt = narrow.repartitionByRange("domain", "order").sortWithinPartitions("domain", "order").checkpoint()
+    packer = Packer(min_tokens)
+    ends = _entered(dealt.mapInArrow(lambda b: _summaries(b, packer), "part int, side int, domain string, summary array<struct<state:int,begun:long,place:long,any:boolean>>").collect())
+    schema = StructType([*dealt.schema.fields, StructField("pack", LongType()), StructField("pack_pos", LongType())])
+    return dealt.mapInArrow(lambda b: _numbers(b, packer, ends), schema).withColumnsRenamed({"domain": domain, "order": order})
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
+    """The rows of each domain of a sorted partition; names are told apart from null. Only counts are held."""
+    whole = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+    if whole is None:
+        return
+    names = [repr(x) for x in whole.column("domain").to_pylist()]
+    cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield names[a], whole.slice(a, b - a)
+
+
+def _counts(rows: pa.Table) -> tuple[list[int], list[bool]]:
+    return rows.column("n_tokens").to_pylist(), [c == "short" for c in rows.column("size_class").to_pylist()]
+
+
+def _summaries(batches: Iterator[pa.RecordBatch], packer: Packer) -> Iterator[pa.RecordBatch]:
+    """Summaries of the first and the last domain of the partition."""
+    part, found = TaskContext.get().partitionId(), list(_stretches(batches))
+    at = [(0, found[0])] + ([(1, found[-1])] if len(found) > 1 else []) if found else []
+    kind = pa.list_(pa.struct([("state", pa.int32()), ("begun", pa.int64()), ("place", pa.int64()), ("any", pa.bool_())]))
+    rows = [(part, side, name, [dict(zip(("state", "begun", "place", "any"), x)) for x in packer.summary(*_counts(t))]) for side, (name, t) in at]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), kind))], ["part", "side", "domain", "summary"])
+
+
+def _entered(summaries: list) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(partition, side) -> state, packs begun and place before the first document of the stretch."""
+    out, name, now = {}, None, (0, 0, -1)
+    for r in sorted(summaries, key=lambda r: (r["part"], r["side"])):
+        if r["domain"] != name:
+            name, now = r["domain"], (0, 0, -1)
+        out[r["part"], r["side"]] = now
+        end = r["summary"][now[0]]
+        # the place goes on from that of the open pack if none was begun; places of a stretch start at -1
+        now = (end["state"], now[1] + end["begun"], end["place"] if end["any"] else now[2] + 1 + end["place"])
+    return out
+
+
+def _numbers(batches: Iterator[pa.RecordBatch], packer: Packer, ends: dict) -> Iterator[pa.RecordBatch]:
+    part, found = TaskContext.get().partitionId(), list(_stretches(batches))
+    for i, (_, rows) in enumerate(found):
+        state, begun, place = ends.get((part, 0 if i == 0 else 1), (0, 0, -1)) if i in (0, len(found) - 1) else (0, 0, -1)
+        made = []
+        for n, short in zip(*_counts(rows)):
+            state, begun, place = packer.step(state, begun, place, n, short)
+            made.append((begun - 1, place + 1))
+        out = rows.append_column("pack", pa.array([p for p, _ in made], pa.int64())).append_column("pack_pos", pa.array([p for _, p in made], pa.int64()))
+        yield from out.to_batches()
+
+
+def packed(docs: DataFrame, domain: str, order: str, min_tokens: int = T.MIN_TOKENS) -> DataFrame:
+    """docs with n_tokens, size_class, pack and pack_pos, as `packs` gives them."""
+    found = packs(docs, domain, order, min_tokens).withColumnsRenamed({domain: "__domain", order: "__order"})
+    here = F.col(domain).eqNullSafe(F.col("__domain")) & F.col(order).eqNullSafe(F.col("__order"))
+    return docs.drop("n_tokens", "size_class", "pack", "pack_pos").join(found, here).drop("__domain", "__order")
 
 
 def chunk_line(title: Column, text: Column) -> Column:
@@ -138,17 +224,17 @@ def char_split(docs: DataFrame, keys: list[str], text: str = "text", size: int =
 def numbered(df: DataFrame, *order: str, name: str = "ordinal") -> DataFrame:
     """Gapless numbers from 0 in the given total order, without one task for all rows.
 
-    Rows are dealt by ranges of the order; a partition's numbers start after the rows of those before it, whose counts
-    (one number for each partition) are all that passes the driver.
+    Rows are dealt by ranges of the order and checkpointed, so that every later step sees the same ranges; a partition's
+    numbers start after the rows of those before it, whose counts (one number for each) are all that passes the driver.
     """
-    ranged = df.repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    kept = ranged.persist()
-    counts = {r["__part"]: r["n"] for r in kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shared_dir(df.sparkSession)
+    kept = df.repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order).checkpoint().withColumn("__at", F.monotonically_increasing_id())
+    # the number's upper bits are the partition's, the lower 33 the row's place in it
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["part"]: r["n"] for r in kept.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = [], 0
-    for part in sorted(counts):
-        starts.append((part, total))
-        total += counts[part]
-    first = F.create_map(*[F.lit(x) for pair in starts for x in pair]) if starts else None
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    out = kept.withColumn(name, (F.element_at(first, F.col("__part")) + place - 1).cast("long") if starts else F.lit(0).cast("long"))
-    return out.drop("__part")
+    for p in sorted(counts):
+        starts += [F.lit(p), F.lit(total).cast("long")]
+        total += counts[p]
+    first = F.element_at(F.create_map(*starts), part) if starts else F.lit(0).cast("long")
+    return kept.withColumn(name, (first + place).cast("long")).drop("__at")

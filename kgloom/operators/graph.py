@@ -21,12 +21,25 @@ def title_filter(title: Column | None, entity_title: Column | None = None, domai
     return title.isNull() | (entity_title == title)
 
 
+def of_title(title: Column, columns: list[str]) -> Column:
+    """title_filter by the columns that rows of entities have: aliases and domain (version 2), else title (version 1)."""
+    if "aliases" in columns:
+        return title_filter(title, domain=F.col("domain"), aliases=F.col("aliases"))
+    return title_filter(title, entity_title=F.col("title")) if "title" in columns else F.lit(True)
+
+
 def entity_chunks(asked: DataFrame, mentions: DataFrame, limit: int = CHUNK_LIMIT) -> DataFrame:
     """query_id, entity_pos, chunk_id: chunks that mention each asked entity, the `limit` least ids of each.
 
-    asked: query_id, entity_pos, name; mentions: chunk_id, name.
+    asked: query_id, entity_pos, name and, if entities are to be of a title, title (null: of any); mentions: chunk_id, name
+    and what tells the title of the mentioned entity.
     """
-    found = mentions.where(F.col("chunk_id").isNotNull()).join(asked, "name").select("query_id", "entity_pos", "chunk_id").distinct()
+    said = mentions.where(F.col("chunk_id").isNotNull())
+    if "title" in asked.columns:
+        found = said.join(asked.withColumnRenamed("title", "__title"), "name").where(of_title(F.col("__title"), mentions.columns))
+    else:
+        found = said.join(asked, "name")
+    found = found.select("query_id", "entity_pos", "chunk_id").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id", "entity_pos").orderBy("chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit)
 
@@ -37,55 +50,77 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.where("src <> dst and src is not null and dst is not null").distinct()
 
 
-def expanded(seeds: DataFrame, edges: DataFrame, hops: int = 2, limit: int | None = EXPAND_LIMIT) -> DataFrame:
+def expanded(seeds: DataFrame, edges: DataFrame, hops: int = 2, limit: int | None = EXPAND_LIMIT, entities: DataFrame | None = None) -> DataFrame:
     """name, related, hops: what is reached from each seed over at most `hops` edges, nearest first.
 
     Each level is joined once and made distinct, and what was reached before doesn't go on: a hub is passed once for each
-    seed, not once for each path. With a limit, seeds that have reached as many don't go on either.
+    seed, not once for each path. With a limit, seeds that have reached as many don't go on either. With entities (name and
+    what tells their title) and seeds that have a title, only related entities of that title count; ways lead over any.
     """
+    keys = ["name"] if entities is None else ["name", "title"]
     step = undirected(edges)
-    seen = seeds.select("name", F.col("name").alias("related"), F.lit(0).alias("hops")).distinct()
+    seen = seeds.select(*keys, F.col("name").alias("related"), F.lit(0).alias("hops")).distinct()
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in keys]
+
+    def counted(rows: DataFrame) -> DataFrame:
+        if entities is None:
+            return rows.where("hops > 0")
+        of = entities.withColumnsRenamed({c: f"__{c}" for c in entities.columns if c not in ("domain", "aliases")})
+        met = rows.where("hops > 0").join(of, F.col("related") == F.col("__name"))
+        kind = of_title(F.col("title"), ["aliases"]) if "aliases" in entities.columns else title_filter(F.col("title"), entity_title=F.col("__title"))
+        return met.where(kind).select(rows.columns).distinct()
+
     front = seen
     for h in range(1, hops + 1):
-        reached = front.join(step, F.col("related") == F.col("src")).select("name", F.col("dst").alias("related")).distinct()
-        front = reached.join(seen.select("name", "related"), ["name", "related"], "left_anti").withColumn("hops", F.lit(h))
+        reached = front.join(step, F.col("related") == F.col("src")).select(*keys, F.col("dst").alias("related")).distinct()
+        known = seen.select(*keys, "related")
+        front = reached.alias("a").join(known.alias("b"), [*same("a", "b"), F.col("a.related") == F.col("b.related")], "left_anti").withColumn("hops", F.lit(h))
         seen = seen.unionByName(front)
         if limit is not None and h < hops:
-            full = seen.where("hops > 0").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
-            front = front.join(full, "name", "left_anti")
-    out = seen.where("hops > 0")
+            full = counted(seen).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+            front = front.alias("a").join(full.alias("b"), same("a", "b"), "left_anti")
+    out = counted(seen)
     if limit is None:
         return out
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("hops", "related"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("hops", "related"))
     return out.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 def entity_context(asked: DataFrame, edges: DataFrame, mentions: DataFrame, limit: int = CONTEXT_LIMIT) -> DataFrame:
     """name, related, chunks: the first related entities and chunks of each asked name, as sorted arrays.
 
-    Both sides are aggregated before they meet, so related entities and chunks don't multiply.
+    Both sides are aggregated before they meet, so related entities and chunks don't multiply. If asked has titles, chunks
+    are those whose mention is of the title.
     """
     near = undirected(edges).join(asked.select(F.col("name").alias("src")).distinct(), "src")
     place = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
     related = near.withColumn("r", place).where(F.col("r") <= limit).groupBy(F.col("src").alias("name")).agg(F.array_sort(F.collect_set("dst")).alias("related"))
-    said = mentions.join(asked.select("name").distinct(), "name").select("name", "chunk_id").distinct()
+    if "title" in asked.columns:
+        said = mentions.join(asked.select("name", F.col("title").alias("__title")).distinct(), "name").where(of_title(F.col("__title"), mentions.columns))
+    else:
+        said = mentions.join(asked.select("name").distinct(), "name")
+    said = said.select("name", "chunk_id").distinct()
     place = F.row_number().over(Window.partitionBy("name").orderBy("chunk_id"))
     chunks = said.withColumn("r", place).where(F.col("r") <= limit).groupBy("name").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunks"))
     return asked.select("name").distinct().join(related, "name", "left").join(chunks, "name", "left")
 
 
-def search(asked: DataFrame, mentions: DataFrame, edges: DataFrame | None = None, k: int = K, max_hops: int = 1) -> DataFrame:
+def search(asked: DataFrame, mentions: DataFrame, edges: DataFrame | None = None, k: int = K, max_hops: int = 1, entities: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, position: chunks of the asked entities in their order, k at most.
 
     With edges, entities near each asked one add their chunks after its own. Entities are taken until 2 k chunks have been
-    found, counted after each; later ones aren't looked at.
+    found, counted after each; later ones aren't looked at. With entities (name and what tells their title), asked has a
+    title: entities and the ones near them have to be of it, and only those asked with a title lead to others.
     """
+    titled = ["title"] if entities is not None else []
+    asked = asked.select("query_id", "entity_pos", "name", *titled)
     direct = entity_chunks(asked, mentions, max(k, CHUNK_LIMIT)).select("query_id", "entity_pos", F.lit(0).alias("far"), "chunk_id")
     found = direct
     if edges is not None:
-        near = expanded(asked.select("name").distinct(), edges, max_hops).where(F.col("rank") <= EXPAND_USED)
-        more = asked.join(near, "name").select("query_id", "entity_pos", F.col("related").alias("name"), "rank")
-        via = entity_chunks(more.select("query_id", (F.col("entity_pos") * EXPAND_LIMIT + F.col("rank")).alias("entity_pos"), "name"), mentions, max(k, CHUNK_LIMIT))
+        seeds = asked.select("name", *titled).distinct()
+        near = expanded(seeds if entities is None else seeds.where("title is not null"), edges, max_hops, entities=entities).where(F.col("rank") <= EXPAND_USED)
+        more = asked.join(near, ["name", *titled]).select("query_id", "entity_pos", F.col("related").alias("name"), "rank", *titled)
+        via = entity_chunks(more.select("query_id", (F.col("entity_pos") * EXPAND_LIMIT + F.col("rank")).alias("entity_pos"), "name", *titled), mentions, max(k, CHUNK_LIMIT))
         back = F.floor((F.col("entity_pos") - 1) / EXPAND_LIMIT).cast("int")
         found = direct.unionByName(via.select("query_id", back.alias("entity_pos"), F.lit(1).alias("far"), "chunk_id"))
     first = found.groupBy("query_id", "chunk_id").agg(F.min(F.struct("entity_pos", "far")).alias("at")).select("query_id", "chunk_id", "at.entity_pos", "at.far")

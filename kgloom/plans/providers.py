@@ -6,8 +6,9 @@ with its own retries) under the same name. The defaults make results repeatable;
 
 from __future__ import annotations
 
+import contextlib
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any, TypeVar
 
 import numpy as np
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import text as T
 from kgloom.operators import conversation
+from kgloom.operators.kg import END, FIELD
 
 A = TypeVar("A")
 #: Components of the offline embedding.
 DIMENSIONS = 64
 #: Runs of words with a capital first letter.
-_NAMES = r"\b(\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*)"
+_NAMES = r"(^|[^\p{L}\p{N}_])(\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*)"
 
 
 def embed(text: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -30,12 +32,12 @@ def embed(text: Column, dimensions: int = DIMENSIONS) -> Column:
 
     @F.pandas_udf("array<float>")
     def run(rows: pd.Series) -> pd.Series:
-        import zlib
+        import hashlib
 
         out = np.zeros((len(rows), dimensions), np.float32)
         for i, found in enumerate(rows):
             for t in found if found is not None else ():
-                h = zlib.crc32(t.encode())
+                h = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
                 out[i, h % dimensions] += 1 if h >> 31 else -1
         return pd.Series(list(out))
 
@@ -52,25 +54,64 @@ def rewrite(query: Column, history: Column) -> Column:
 
 def extract(text: Column) -> Column:
     """struct(entities, relationships): capitalised names, each related to the one after it. Too short texts give none."""
-    names = F.when(F.length(F.trim(text)) >= T.MIN_EXTRACT_CHARS, F.regexp_extract_all(text, F.lit(_NAMES), 1))
+    names = F.when(F.length(F.trim(text)) >= T.MIN_EXTRACT_CHARS, F.regexp_extract_all(text, F.lit(_NAMES), 2))
     names = F.coalesce(names, F.array().cast("array<string>"))
     entity = lambda n: F.struct(F.lower(n).alias("name"), F.lit("OTHER").alias("type"), n.alias("description"), F.array().cast("array<string>").alias("keywords"))
     pairs = F.zip_with(F.slice(names, F.lit(1), F.greatest(F.size(names) - 1, F.lit(0))), F.slice(names, F.lit(2), F.greatest(F.size(names) - 1, F.lit(0))), lambda a, b: F.struct(F.lower(a).alias("source"), F.lower(b).alias("target"), F.lit("RELATED_TO").alias("type"), F.concat_ws(" ", a, b).alias("description"), F.lit(5).alias("strength")))
     return F.struct(F.array_distinct(F.transform(names, entity)).alias("entities"), F.array_distinct(pairs).alias("relationships"))
 
 
+def _lines(found: Column, head: Column) -> Column:
+    entities = F.transform(found["entities"], lambda e: F.concat(head, F.concat_ws(FIELD, F.lit("entity"), e["name"], e["type"], e["description"])))
+    rels = F.transform(found["relationships"], lambda r: F.concat(head, F.concat_ws(FIELD, F.lit("relation"), r["source"], r["target"], r["type"], r["description"])))
+    return F.array_join(F.concat(entities, rels), "\n")
+
+
+def extract_delimited(text: Column) -> Column:
+    """What `extract` finds, in the delimited form that a model would write, with the end mark."""
+    return F.concat_ws("\n", _lines(extract(text), F.lit("")), F.lit(END))
+
+
+def extract_batch(docs: Column) -> Column:
+    """One answer for several documents (array of doc_id and text), its lines marked by document; null: the call failed."""
+    each = F.transform(docs, lambda d: _lines(extract(d["text"]), F.concat(F.lit("doc_id:"), d["doc_id"].cast("string"), F.lit(FIELD))))
+    return F.concat_ws("\n", F.array_join(each, "\n"), F.lit(END))
+
+
+def glean(text: Column, names: Column) -> Column:
+    """A second look: the offline rule finds words in capitals that the first look left out. Gives array of entities."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(^|[^\p{L}\p{N}_])(\p{Lu}{2,})(?![\p{L}\p{N}_])"), 2))
+    new = F.filter(found, lambda n: ~F.array_contains(names, F.lower(n)))
+    return F.transform(new, lambda n: F.struct(F.lower(n).alias("name"), F.lit("OTHER").alias("type"), n.alias("description"), F.array().cast("array<string>").alias("keywords")))
+
+
 def answer(query: Column, docs: Column) -> Column:
     """The first sentence of the first document, cited. docs: array of texts."""
     return F.concat(F.regexp_extract(F.get(docs, F.lit(0)), r"^([^.\n]*)", 1), F.lit(". [1]"))
 
 
-PROVIDERS: dict[str, Callable[..., Column]] = {"embed": embed, "judge": judge, "rewrite": rewrite, "extract": extract, "query_entities": extract, "answer": answer}
+PROVIDERS: dict[str, Callable[..., Column]] = {
+    "embed": embed, "judge": judge, "rewrite": rewrite, "extract": extract, "extract_delimited": extract_delimited,
+    "extract_batch": extract_batch, "glean": glean, "query_entities": extract, "answer": answer,
+}
 
 
 def register(name: str, provider: Callable[..., Column]) -> None:
     PROVIDERS[name] = provider
 
 
+@contextlib.contextmanager
+def using(**providers: Callable[..., Column]) -> Iterator[None]:
+    """Other providers for the plans that are made meanwhile."""
+    before = dict(PROVIDERS)
+    PROVIDERS.update(providers)
+    try:
+        yield
+    finally:
+        PROVIDERS.clear()
+        PROVIDERS.update(before)
+
+
 def retried(call: Callable[[], A], attempts: int = 3, delay: float = 1.0, fallback: Any = None, sleep: Callable[[float], None] = time.sleep) -> A | Any:
     """What call returns, tried again after delays that double; the fallback after the last failure. For use in providers."""
     for i in range(attempts):

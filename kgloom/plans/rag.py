@@ -79,16 +79,16 @@ def answered(docs: DataFrame, asked: DataFrame, points: DataFrame, query_vectors
     return predictions(asked.select("query_id", "text"), retrieve(docs, asked, points, query_vectors, k=k, **graph_arm))
 
 
-def run_tasks(tasks: DataFrame, docs: DataFrame, points: DataFrame, path: str, k: int = 5, **graph_arm: DataFrame) -> DataFrame:
-    """Answers the tasks, writes the prediction file and gives it as it is read back. The questions' vectors are made here."""
+def run_tasks(tasks: DataFrame, docs: DataFrame, points: DataFrame, path: str, k: int = 5, vectors: DataFrame | None = None, **graph_arm: DataFrame) -> DataFrame:
+    """Answers the tasks, writes the prediction file and gives it as it is read back. The questions are embedded if no vectors are given."""
     asked = asked_of(tasks)
-    vectors = asked.select("query_id", PROVIDERS["embed"](F.col("text")).alias("vector"))
+    vectors = asked.select("query_id", PROVIDERS["embed"](F.col("text")).alias("vector")) if vectors is None else vectors
     jsonl.write_predictions(predicted_tasks(tasks, answered(docs, asked, points, vectors, k, **graph_arm)), path)
     return jsonl.load_tasks(tasks.sparkSession, path)
 
 
-def compared_runs(tasks: DataFrame, docs: DataFrame, points: DataFrame, root: str, k: int = 5, **graph_arm: DataFrame) -> DataFrame:
+def compared_runs(tasks: DataFrame, docs: DataFrame, points: DataFrame, root: str, k: int = 5, vectors: DataFrame | None = None, **graph_arm: DataFrame) -> DataFrame:
     """One row of counts: the same tasks answered with and without the graph, both files written below root."""
-    runs = [run_tasks(tasks, docs, points, f"{root}/{name}", k, **arm) for name, arm in (("kg", graph_arm), ("no_kg", {}))]
+    runs = [run_tasks(tasks, docs, points, f"{root}/{name}", k, vectors, **arm) for name, arm in (("kg", graph_arm), ("no_kg", {}))]
     rows = [run.select("task_id", F.lit(0).alias("line_no"), F.get("predictions", F.lit(0))["text"].alias("answer"), F.size("contexts").alias("n_contexts")) for run in runs]
     return evaluate.compared(*rows)

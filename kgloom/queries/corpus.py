@@ -75,7 +75,7 @@ def domain_groups(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {PACKED} SELECT doc_id, source, pack, row_number() OVER (PARTITION BY source, pack ORDER BY doc_id) AS pack_pos FROM walk")
 def pack_short_docs(spark, sf_dir):
-    return chunking.packed(docs(spark, sf_dir), "source", "doc_id").select("doc_id", "source", "pack", "pack_pos")
+    return chunking.packs(docs(spark, sf_dir), "source", "doc_id").select("doc_id", "source", "pack", (F.col("pack_pos")).alias("pack_pos"))
 
 
 SPLIT = f"SELECT doc_id, source, CAST(i AS INTEGER) AS chunk_no, CAST(i * 616 AS INTEGER) AS start_word, array_to_string(list_slice(w, i * 616 + 1, i * 616 + 682), ' ') AS text FROM (SELECT *, unnest(range(0, CAST(ceil(len(w) / 616.0) AS BIGINT))) AS i FROM (SELECT doc_id, source, {WORDS} AS w FROM long_docs))"

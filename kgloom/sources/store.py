@@ -1,81 +1,237 @@
-"""Stores as Parquet folders: points with postings, and the graph's tables.
+"""Stores as Parquet folders: points with postings, the graph's tables, the extraction cache.
 
-Plain Parquet has no row-level merge, so an upsert writes the merged table as a new version beside the old one and then
-points to it; a reader sees either version whole, and an upsert repeated after a failure gives the same table.
+Plain Parquet has no row-level merge. A table is dealt to BUCKETS by the hash of its key; an upsert reads and rewrites only
+the buckets that its rows touch, into folders of their own, and an append adds folders. A manifest names the folders of
+every table of a store and is committed last, by creating a file that mustn't exist yet: a reader sees all tables of one
+version, a writer that lost a race fails, and what a failed writer left behind belongs to no version (`clean` deletes it).
+An upsert repeated after a failure gives the same tables.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kgloom.operators import kg
-from kgloom.operators.retrieval import postings
+from kgloom.operators import retrieval as R
+from kgloom.shared import removed
 
+BUCKETS = 32
+#: Tasks that may write one bucket.
+SPLITS = 4
+#: Tries of a call, and seconds before the first of them is repeated.
+ATTEMPTS, DELAY = 5, 5.0
 
-class VersionedTable:
-    """One table below root; version=<n> folders, the highest committed (with _SUCCESS) is current."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _versions(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return []
-        done = (s.getPath() for s in files.listStatus(path))
-        return sorted(int(p.getName().split("=")[1]) for p in done if p.getName().startswith("version=") and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+class Conflict(Exception):
+    """Another writer has committed this version."""
 
-    def exists(self) -> bool:
-        return bool(self._versions())
 
-    def read(self) -> DataFrame:
-        found = self._versions()
-        if not found:
-            raise FileNotFoundError(self.root)
-        return self.spark.read.parquet(f"{self.root}/version={found[-1]}")
+class _Files:
+    """Small files of a folder, by Hadoop's file systems."""
 
-    def write(self, df: DataFrame) -> DataFrame:
-        found = self._versions()
-        df.write.mode("overwrite").parquet(f"{self.root}/version={found[-1] + 1 if found else 0}")
-        return self.read()
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm, self.root = spark._jvm, root
+        self.files = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str = "") -> Any:
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def names(self, folder: str = "") -> list[str]:
+        at = self._path(folder)
+        return [s.getPath().getName() for s in self.files.listStatus(at)] if self.files.exists(at) else []
+
+    def read(self, name: str) -> str:
+        source = self.files.open(self._path(name))
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
+
+    def create(self, name: str, text: str) -> None:
+        """Whole under its name, or Conflict if there is such a file."""
+        draft = self._path(f"{name}.{uuid.uuid4().hex}")
+        out = self.files.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if self.files.exists(self._path(name)) or not self.files.rename(draft, self._path(name)):
+            self.files.delete(draft, False)
+            raise Conflict(name)
+
+
+def last_of_each(rows: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """One row of each key: the last in the order column, or in the order in which the rows are read."""
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    best = rows.select(F.struct(*key).alias("k"), at.alias("o"), F.struct(*rows.columns).alias("r")).groupBy("k").agg(F.max_by("r", "o").alias("r"))
+    return best.select("r.*")
+
+
+class Tables:
+    """The tables below a root, in buckets, under one manifest."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    # ------------------------------------------------------------ manifest
+
+    def _files(self) -> _Files:
+        return _Files(self.spark, self.root)
+
+    def versions(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self._files().names("_manifest") if n.endswith(".json"))
+
+    def manifest(self) -> dict[str, Any]:
+        """table -> schema, key and, by bucket, folders."""
+        found = self.versions()
+        return json.loads(self._files().read(f"_manifest/{found[-1]}.json")) if found else {}
+
+    def commit(self, before: list[int], tables: dict[str, Any]) -> None:
+        self._files().create(f"_manifest/{before[-1] + 1 if before else 0}.json", json.dumps(tables))
+
+    # ------------------------------------------------------------ reading
+
+    def exists(self, name: str) -> bool:
+        return name in self.manifest()
+
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """The table, or only some of its buckets."""
+        return self._read(self.manifest(), name, buckets)
+
+    def _read(self, tables: dict[str, Any], name: str, buckets: list[int] | None = None) -> DataFrame:
+        if name not in tables:
+            raise FileNotFoundError(f"{self.root}/{name}")
+        schema = StructType.fromJson(tables[name]["schema"])
+        parts = tables[name]["parts"]
+        paths = [f"{self.root}/{p}" for b, found in sorted(parts.items()) if buckets is None or int(b) in set(buckets) for p in found]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def bucket_of(self, *key: str) -> Any:
+        return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, rows: DataFrame, *key: str) -> list[int]:
+        """The buckets that rows lie in; no more numbers than buckets."""
+        return sorted(r[0] for r in rows.select(self.bucket_of(*key)).distinct().collect())
+
+    # ------------------------------------------------------------ writing
+
+    def write(self, rows: DataFrame, name: str, key: list[str]) -> dict[str, list[str]]:
+        """Writes rows, dealt to buckets; gives the folders of each. A key that many rows have is written by several tasks."""
+        folder = f"{name}/{uuid.uuid4().hex}"
+        dealt = rows.withColumn("__bucket", self.bucket_of(*key)).repartition("__bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(SPLITS)))
+        dealt.write.partitionBy("__bucket").parquet(f"{self.root}/{folder}")
+        found = [n for n in self._files().names(folder) if n.startswith("__bucket=")]
+        return {n.split("=")[1]: [f"{folder}/{n}"] for n in found}
+
+    def replaced(self, tables: dict[str, Any], name: str, rows: DataFrame, key: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame] | None, more: list[int] | None = None) -> dict[str, Any]:
+        """The table's entry after rows are merged into the buckets they touch (and `more`), or appended without a merge."""
+        entry = tables.get(name)
+        if entry is None or merge is None:
+            both = rows if entry is None else self._read(tables, name).limit(0).unionByName(rows, allowMissingColumns=True)
+            parts = self.write(both, name, key)
+            old = {} if entry is None else entry["parts"]
+            return {"schema": both.schema.jsonValue(), "key": key, "parts": {b: [*old.get(b, []), *parts.get(b, [])] for b in {*old, *parts}}}
+        whole = entry["key"] != key  # dealt by another key: all of it is dealt anew
+        at = list(range(self.buckets)) if whole else sorted({*self.touched(rows, *key), *(more or ())})
+        merged = merge(self._read(tables, name, at), rows)
+        parts = self.write(merged, name, key)
+        kept = {} if whole else {b: p for b, p in entry["parts"].items() if int(b) not in set(at)}
+        return {"schema": merged.schema.jsonValue(), "key": key, "parts": kept | parts}
+
+    def put(self, name: str, rows: DataFrame, key: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> None:
+        before, tables = self.versions(), self.manifest()
+        self.commit(before, tables | {name: self.replaced(tables, name, rows, key, merge)})
+
+    def clean(self, keep: int = 1) -> int:
+        """Deletes folders that the last versions don't name, and older manifests; how many. Not while others write."""
+        files, found = self._files(), self.versions()
+        named = {p.rsplit("/", 1)[0] for v in found[-keep:] for t in json.loads(files.read(f"_manifest/{v}.json")).values() for ps in t["parts"].values() for p in ps}
+        gone = [f"{t}/{f}" for t in files.names() if t != "_manifest" for f in files.names(t) if f"{t}/{f}" not in named]
+        gone += [f"_manifest/{v}.json" for v in found[:-keep]]
+        return sum(removed(self.spark, f"{self.root}/{g}") for g in gone)
 
     def drop(self) -> bool:
         """Whether there was a table to drop."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return bool(files.delete(path, True))
+        there = bool(self.manifest())
+        removed(self.spark, self.root)
+        return there
+
+
+class Table:
+    """One table of a store."""
+
+    def __init__(self, tables: Tables, name: str):
+        self.tables, self.name = tables, name
+
+    def exists(self) -> bool:
+        return self.tables.exists(self.name)
+
+    def read(self) -> DataFrame:
+        return self.tables.read(self.name)
 
 
 class PointStore:
-    """points (doc, vector, text, ...) and their postings."""
+    """points (doc, vector, text, ...) by doc, and their postings by token. Both change in one commit."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.points, self.postings = VersionedTable(spark, f"{root}/points"), VersionedTable(spark, f"{root}/postings")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.tables = Tables(spark, root, buckets)
+        self.points, self.postings = Table(self.tables, "points"), Table(self.tables, "postings")
 
-    def create(self, points: DataFrame, sparse: bool = True) -> None:
+    def create(self, points: DataFrame, sparse: bool = True, order: str | None = None) -> None:
         """Replaces what is there."""
-        self.drop()
-        self.points.write(points)
+        before, points = self.tables.versions(), last_of_each(points, ["doc"], order)
+        made = {"points": self.tables.replaced({}, "points", points, ["doc"], None)}
         if sparse:
-            self.postings.write(postings(points, "doc"))
-
-    def upsert(self, points: DataFrame) -> None:
-        """Points replace those of the same id. Postings follow the points."""
-        if not self.points.exists():
-            return self.create(points)
-        old = self.points.read().join(points.select("doc").distinct(), "doc", "left_anti")
-        merged = old.unionByName(points, allowMissingColumns=True)
-        if self.postings.exists():
-            kept = self.postings.read().join(points.select("doc").distinct(), "doc", "left_anti")
-            self.postings.write(kept.unionByName(postings(points, "doc")))
-        self.points.write(merged)
+            made["postings"] = self.tables.replaced({}, "postings", R.postings(points, "doc"), ["token"], None)
+        self.tables.commit(before, made)
+
+    def upsert(self, points: DataFrame, order: str | None = None, attempts: int = ATTEMPTS, delay: float = DELAY, sleep: Callable[[float], None] = time.sleep) -> None:
+        """Points replace those of the same id; of an id that the rows repeat, the last counts. Postings follow the points.
+
+        A call that fails, or meets another writer, is made again, as often and after as long as told.
+        """
+        for i in range(attempts):
+            try:
+                return self._upsert(points, order)
+            except Exception:
+                if i + 1 == attempts:
+                    raise
+                sleep(delay)
+        return None
+
+    def _upsert(self, points: DataFrame, order: str | None) -> None:
+        before, tables = self.tables.versions(), self.tables.manifest()
+        if "points" not in tables:
+            return self.create(points, order=order)
+        points = last_of_each(points, ["doc"], order)
+        ids = points.select("doc").distinct()
+        over = lambda old, new: old.join(ids, "doc", "left_anti").unionByName(new, allowMissingColumns=True)
+        made = {"points": self.tables.replaced(tables, "points", points, ["doc"], over)}
+        if "postings" in tables:
+            new = R.postings(points, "doc")
+            was = self.tables._read(tables, "points", self.tables.touched(points, "doc")).join(ids, "doc", "left_semi")
+            freed = self.tables.touched(R.postings(was, "doc"), "token")  # where the replaced versions had postings
+            made["postings"] = self.tables.replaced(tables, "postings", new, ["token"], over, freed)
+        self.tables.commit(before, tables | made)
         return None
 
+    def posted(self, tokens: DataFrame) -> DataFrame:
+        """doc, token, weight of the given tokens (token): only the buckets that hold them are read."""
+        at = self.tables.touched(tokens, "token")
+        return self.tables.read("postings", at).join(tokens.select("token").distinct(), "token", "left_semi").select("doc", "token", "weight")
+
+    def sparse_arm(self, queries: DataFrame, query_id: str, k: int = R.ARM_LIMIT) -> DataFrame:
+        """As retrieval.sparse_arm, from the stored postings: no document is tokenised."""
+        asked = R.asked_tokens(queries, query_id)
+        n_docs = self.points.read().agg(F.count(F.lit(1)).alias("n"))
+        return R.ranked(R.scores_of(asked, self.posted(asked), n_docs), k)
+
     def stats(self) -> dict[str, Any]:
         return {"points": self.points.read().count() if self.points.exists() else 0, "has_sparse": self.postings.exists()}
 
@@ -84,99 +240,134 @@ class PointStore:
         return docs.join(self.points.read().select("doc"), "doc", "left_anti") if self.points.exists() else docs
 
     def drop(self) -> bool:
-        return any([self.points.drop(), self.postings.drop()])
+        return self.tables.drop()
 
 
 class GraphStore:
     """nodes (name, type, ...), rels (source, target, type, ...), mentions (chunk_id, name)."""
 
     TABLES = ("nodes", "rels", "mentions")
+    #: Version of the constraints: 1 has one node for each name, 2 one for each name and type.
+    VERSIONS = {1: ["name"], 2: ["name", "type"]}
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.tables = {t: VersionedTable(spark, f"{root}/{t}") for t in self.TABLES}
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.tables = spark, Tables(spark, root, buckets)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in self.TABLES:
-            return self.tables[name].read()
+            return self.tables.read(name)
         raise AttributeError(name)
 
-    def _put(self, table: str, rows: DataFrame, merge) -> None:
-        t = self.tables[table]
-        t.write(merge(t.read(), rows) if t.exists() else rows)
-
-    def merge_nodes(self, rows: DataFrame, key: list[str] | None = None) -> None:
-        """key: the given one, else id, else name, else the first column."""
+    def merge_nodes(self, rows: DataFrame, key: list[str] | None = None, order: str | None = None) -> None:
+        """key: the given one, else id, else name, else the first column. Of rows that repeat a key the last counts."""
         names = rows.columns
         key = key or (["id"] if "id" in names else ["name"] if "name" in names else names[:1])
-        self._put("nodes", rows.dropDuplicates(key), lambda old, new: kg.upserted_nodes(old, new, key))
+        self.tables.put("nodes", last_of_each(rows, key, order), key, lambda old, new: kg.upserted_nodes(old, new, key))
 
     def create_nodes(self, rows: DataFrame) -> None:
-        self._put("nodes", rows, lambda old, new: old.unionByName(new, allowMissingColumns=True))
+        self.tables.put("nodes", rows, self.tables.manifest().get("nodes", {}).get("key", ["name"]))
 
     def create_relationships(self, rows: DataFrame) -> None:
         """Appends, repeats included, where both ends are nodes."""
-        self._put("rels", kg.created_relationships(rows, self.nodes), lambda old, new: old.unionByName(new, allowMissingColumns=True))
+        self.tables.put("rels", kg.created_relationships(rows, self.nodes), ["source", "target", "type"])
 
-    def merge_relationships(self, rows: DataFrame) -> None:
-        found = kg.created_relationships(rows, self.nodes).dropDuplicates(["source", "target", "type"])
-        self._put("rels", found, kg.upserted_relationships)
+    def merge_relationships(self, rows: DataFrame, order: str | None = None) -> None:
+        key = ["source", "target", "type"]
+        self.tables.put("rels", last_of_each(kg.created_relationships(rows, self.nodes), key, order), key, kg.upserted_relationships)
 
     def add_mentions(self, rows: DataFrame) -> None:
-        self._put("mentions", rows.distinct(), lambda old, new: old.unionByName(new).distinct())
+        self.tables.put("mentions", rows.distinct(), ["chunk_id"], lambda old, new: old.unionByName(new).distinct())
 
     def query(self, sql: str, **args: Any) -> DataFrame:
-        """SQL over the store's tables, with named parameters."""
-        for name, t in self.tables.items():
-            if t.exists():
-                t.read().createOrReplaceTempView(name)
-        return self.spark.sql(sql, args=args)
+        """SQL over the store's tables, with named parameters; no rows if there is no store."""
+        there = self.tables.manifest()
+        for name in self.TABLES:
+            if name in there:
+                self.tables._read(there, name).createOrReplaceTempView(name)
+        return self.spark.sql(sql, args=args) if there else self.spark.createDataFrame([], "n long")
 
     def counts(self) -> dict[str, int]:
-        return {name: t.read().count() if t.exists() else 0 for name, t in self.tables.items()}
+        there = self.tables.manifest()
+        return {name: self.tables._read(there, name).count() if name in there else 0 for name in self.TABLES}
+
+    def constraint_faults(self, version: int) -> DataFrame:
+        """key, n: keys of the version's constraint that several nodes have, which a migration has to merge first."""
+        key = self.VERSIONS[version]
+        return self.nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    def migrate(self, version: int, order: str | None = None) -> int:
+        """Brings nodes under the version's constraint, the last of a key's nodes staying; how many keys were at fault."""
+        faults = self.constraint_faults(version).count()
+        key, nodes = self.VERSIONS[version], self.nodes
+        if faults or self.tables.manifest()["nodes"]["key"] != key:
+            before, tables = self.tables.versions(), self.tables.manifest()
+            entry = self.tables.replaced({}, "nodes", last_of_each(nodes, key, order), key, None)
+            self.tables.commit(before, tables | {"nodes": entry})
+        return faults
 
     def drop(self) -> int:
         """How many nodes there were."""
         n = self.counts()["nodes"]
-        for t in self.tables.values():
-            t.drop()
+        self.tables.drop()
         return n
 
     def backup(self, path: str) -> dict[str, int]:
         """Each table as JSON lines below a path."""
-        for name, t in self.tables.items():
-            if t.exists():
-                t.read().write.mode("overwrite").json(f"{path}/{name}")
+        for name in self.TABLES:
+            if self.tables.exists(name):
+                self.tables.read(name).write.mode("overwrite").json(f"{path}/{name}")
         return self.counts()
 
 
 class ExtractionCache:
-    """cache_key -> result, timestamp."""
+    """cache_key -> result, timestamp. What is put one by one is kept in memory and saved for every AUTOSAVE of them."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.table = VersionedTable(spark, root)
+    AUTOSAVE = 100
+    ROW = "cache_key string, result string, timestamp double"
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.tables, self.pending = spark, Tables(spark, root, buckets), {}
 
     def split(self, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows with their cached result, and rows to be computed. keyed has cache_key."""
-        if not self.table.exists():
+        self.save()
+        if not self.tables.exists("results"):
             return keyed.withColumns({"result": F.lit(None).cast("string"), "timestamp": F.lit(None).cast("double")}).limit(0), keyed
-        held = self.table.read()
+        held = self.tables.read("results")
         return keyed.join(held, "cache_key"), keyed.join(held, "cache_key", "left_anti")
 
     def set(self, rows: DataFrame) -> None:
         """rows: cache_key, result, timestamp; the latest of a key stays."""
-        both = self.table.read().unionByName(rows) if self.table.exists() else rows
-        self.table.write(both.groupBy("cache_key").agg(F.max_by("result", "timestamp").alias("result"), F.max("timestamp").alias("timestamp")))
+        latest = lambda both: both.groupBy("cache_key").agg(F.max_by("result", "timestamp").alias("result"), F.max("timestamp").alias("timestamp"))
+        self.tables.put("results", latest(rows.select("cache_key", "result", "timestamp")), ["cache_key"], lambda old, new: latest(old.unionByName(new)))
+
+    def put(self, key: str, result: Any, timestamp: float | None = None) -> None:
+        self.pending[key] = (key, json.dumps(result), time.time() if timestamp is None else timestamp)
+        if len(self.pending) >= self.AUTOSAVE:
+            self.save()
+
+    def save(self) -> None:
+        if self.pending:
+            self.set(self.spark.createDataFrame(list(self.pending.values()), self.ROW))
+            self.pending.clear()
+
+    def _row(self, key: str) -> Any:
+        if not self.tables.exists("results"):
+            return None
+        at = self.tables.touched(self.spark.createDataFrame([(key,)], "cache_key string"), "cache_key")
+        return self.tables.read("results", at).where(F.col("cache_key") == key).first()
 
     def contains(self, key: str) -> bool:
-        return self.table.exists() and not self.table.read().where(F.col("cache_key") == key).isEmpty()
+        return key in self.pending or self._row(key) is not None
 
     def get(self, key: str) -> Any:
-        row = self.table.read().where(F.col("cache_key") == key).first() if self.table.exists() else None
+        row = self._row(key) if key not in self.pending else {"result": self.pending[key][1]}
         return json.loads(row["result"]) if row else None
 
     def __len__(self) -> int:
-        return self.table.read().count() if self.table.exists() else 0
+        self.save()
+        return self.tables.read("results").count() if self.tables.exists("results") else 0
 
     def clear(self) -> None:
-        self.table.drop()
+        self.pending.clear()
+        self.tables.drop()

@@ -7,11 +7,15 @@ Sinks are idempotent: a batch written twice replaces itself.
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kgloom.operators.retrieval import postings
+from kgloom.plans.indexing import index
+from kgloom.sources.store import GraphStore, PointStore
 
 FILES_PER_TRIGGER = 16
 
@@ -36,6 +40,20 @@ def index_stream(docs: DataFrame, root: str, checkpoint: str, once: bool = True)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def store_stream(docs: DataFrame, store: PointStore, graph: GraphStore | None, checkpoint: str, once: bool = True, **how: Any) -> StreamingQuery:
+    """docs (doc_id, text) through extraction into both stores, batch by batch, as `plans.indexing.index` does it.
+
+    Documents that have a point are left out, so a batch that comes again after a failure changes nothing. The call is
+    the store's: tried again, and a failure fails the batch, which the query takes up again when it is started anew.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        index(batch.dropDuplicates(["doc_id"]), store, graph, **how)
+
+    writer = docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def indexed(spark: SparkSession, root: str) -> DataFrame:
     """doc, token, tf, weight of the latest version of each document."""
     rows = spark.read.option("basePath", root).parquet(root)
