@@ -36,6 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import corpus, evaluation, graphs, knowledge, search, streams  # noqa: F401
+    from . import corpus, evaluation, files, graphs, knowledge, search, stores, streams  # noqa: F401
 
     return QUERIES, ORACLES

@@ -34,6 +34,13 @@ def history_text(spark, sf_dir):
     return rows.select("conv_id", "turn", F.md5(conversation.history_text(F.col("history"))).alias("digest"))
 
 
+@query("WITH t AS (SELECT conv_id, turn, text AS query, coalesce(CASE WHEN nr = 'assistant' THEN nt END, '') AS response FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user') SELECT conv_id, turn, md5(coalesce(string_agg('Q: ' || query || chr(10) || 'A: ' || response, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS digest FROM t")
+def history_full(spark, sf_dir):
+    """All turns before each one."""
+    rows = conversation.history(asked(spark, sf_dir), window=None)
+    return rows.select("conv_id", "turn", F.md5(conversation.history_text(F.col("history"))).alias("digest"))
+
+
 @query(rf"WITH {TURNS} SELECT conv_id, turn, n > 0 AND regexp_matches(lower(query), '(^|[^\p{{L}}]){REFERS}([^\p{{L}}]|$)') AS rewrite FROM hist")
 def rewrite_judge_rule(spark, sf_dir):
     from kgloom.plans.providers import PROVIDERS

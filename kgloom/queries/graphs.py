@@ -88,6 +88,62 @@ def graph_search(spark, sf_dir):
     return graph.search(asked(spark, sf_dir).drop("title", "domain"), mentions(spark, sf_dir)).withColumn("position", F.col("position").cast("long"))
 
 
+NEXT = """near_ AS (SELECT x.p_name AS src, y.p_name AS dst FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN part x ON x.p_partkey = a.l_partkey JOIN part y ON y.p_partkey = b.l_partkey),
+next_ AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM near_ UNION ALL SELECT dst, src FROM near_) WHERE src <> dst)"""
+
+
+def titled_sql(same: str, column: str, far: int = 3) -> str:
+    """Search with a title: entities and the ones near them are of it; of at most five near ones three are used."""
+    return f"""WITH {MENTIONS}, {ASKED}, {NEXT},
+titled AS (SELECT query_id, entity_pos, name, {column} AS asked FROM asked),
+start AS (SELECT DISTINCT query_id, entity_pos, 0 AS far, 0 AS rank, chunk_id FROM titled a JOIN mentions m ON m.name = a.name AND ({same})),
+rel AS (SELECT DISTINCT a.name, a.asked, n.dst AS related FROM (SELECT DISTINCT name, asked FROM titled) a JOIN next_ n ON n.src = a.name JOIN (SELECT DISTINCT name, title, domain FROM mentions) m ON m.name = n.dst AND ({same})),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, asked ORDER BY related) AS rank FROM rel) WHERE rank <= {far}),
+via AS (SELECT DISTINCT query_id, entity_pos, 1 AS far, rank, chunk_id FROM titled a JOIN near USING (name, asked) JOIN mentions m ON m.name = near.related AND ({same})),
+own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, entity_pos, far, rank ORDER BY chunk_id) AS r FROM (SELECT * FROM start UNION ALL SELECT * FROM via)) WHERE r <= 10),
+firsts AS (SELECT query_id, chunk_id, min(entity_pos * 2 + far) AS place FROM own GROUP BY ALL),
+open_ AS (SELECT query_id, entity_pos, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY entity_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT query_id, place // 2 AS entity_pos, count(*) AS n FROM firsts GROUP BY ALL)),
+ranked AS (SELECT f.query_id, chunk_id, row_number() OVER (PARTITION BY f.query_id ORDER BY place, chunk_id) AS position FROM firsts f JOIN open_ o ON o.query_id = f.query_id AND o.entity_pos = f.place // 2 AND o.before < 16)
+SELECT * FROM ranked WHERE position <= 8"""
+
+
+def next_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts that follow each other in an order."""
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    rows = pairs(spark, sf_dir).join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst")
+    return rows.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def _titled(spark, sf_dir, said: DataFrame, title: str) -> DataFrame:
+    who = asked(spark, sf_dir).select("query_id", "entity_pos", "name", F.col(title).alias("title"))
+    found = graph.search(who, said, next_names(spark, sf_dir), 8, entities=said.drop("chunk_id").distinct())
+    return found.withColumn("position", F.col("position").cast("long"))
+
+
+@query(titled_sql("m.title = a.asked", "title"))
+def graph_search_titled(spark, sf_dir):
+    """Version 1: an entity is of the title that it has. Near entities add their chunks."""
+    return _titled(spark, sf_dir, mentions(spark, sf_dir).select("chunk_id", "name", "title"), "title")
+
+
+@query(titled_sql("m.domain = a.asked OR m.title = 'Brand#2' AND a.asked LIKE 'E%'", "domain"))
+def graph_search_domain(spark, sf_dir):
+    """Version 2: an entity is of a title that is its domain or one of its aliases."""
+    said = mentions(spark, sf_dir)
+    kinds = table(spark, sf_dir, "part").select(F.col("p_type").alias("t")).distinct().agg(F.array_sort(F.collect_set(F.when(F.startswith("t", F.lit("E")), F.col("t")))).alias("e"))
+    aliases = F.when(F.col("title") == "Brand#2", F.col("e")).otherwise(F.array().cast("array<string>"))
+    said = said.crossJoin(F.broadcast(kinds)).select("chunk_id", "name", "domain", aliases.alias("aliases"))  # one row
+    return _titled(spark, sf_dir, said, "domain")
+
+
+@query(f"WITH {MENTIONS}, {ASKED}, {NEXT}, who AS (SELECT DISTINCT name, title FROM asked), rel AS (SELECT name, string_agg(dst, ',' ORDER BY dst) AS related FROM (SELECT name, dst, row_number() OVER (PARTITION BY name ORDER BY dst) AS r FROM (SELECT DISTINCT name FROM who) JOIN next_ ON src = name) WHERE r <= 5 GROUP BY name), said AS (SELECT name, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) AS chunks FROM (SELECT name, chunk_id, row_number() OVER (PARTITION BY name ORDER BY chunk_id) AS r FROM (SELECT DISTINCT w.name, chunk_id FROM who w JOIN mentions m ON m.name = w.name AND m.title = w.title)) WHERE r <= 5 GROUP BY name) SELECT n.name, coalesce(related, '') AS related, coalesce(chunks, '') AS chunks FROM (SELECT DISTINCT name FROM who) n LEFT JOIN rel USING (name) LEFT JOIN said USING (name)")
+def entity_context_titled(spark, sf_dir):
+    who = asked(spark, sf_dir).select("name", "title")
+    out = graph.entity_context(who, next_names(spark, sf_dir), mentions(spark, sf_dir).select("chunk_id", "name", "title"))
+    empty = F.array().cast("array<string>")
+    return out.select("name", F.array_join(F.coalesce("related", empty), ",").alias("related"), F.array_join(F.coalesce(F.col("chunks").cast("array<string>"), empty), ",").alias("chunks"))
+
+
 @query(f"WITH {MENTIONS} SELECT name, count(DISTINCT chunk_id) AS chunks FROM mentions GROUP BY name")
 def name_lookup(spark, sf_dir):
     return mentions(spark, sf_dir).groupBy("name").agg(F.countDistinct("chunk_id").alias("chunks"))

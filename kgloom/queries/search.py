@@ -148,17 +148,6 @@ def search_with_max_score(spark, sf_dir):
     return as_long(found, "rank").select("query_id", "doc", "rank").join(best, "query_id")
 
 
-@query(search_sql)
-def retrieve_rewritten(spark, sf_dir):
-    """With the offline rewriter, which leaves a question without history as it is, asked twice."""
-    from kgloom.plans.providers import PROVIDERS
-
-    rows = items(spark, sf_dir).withColumn("history", F.array().cast("array<struct<query:string,response:string>>"))
-    asked = rows.withColumn("text", T.duplicated(PROVIDERS["rewrite"](F.col("text"), F.col("history"))))
-    found = R.hybrid(asked, docs(spark, sf_dir), points(spark, sf_dir), query_vectors(spark, sf_dir), "doc_id", "item_id", 10)
-    return as_long(found, "rank").select("query_id", "doc", "rank").join(R.max_scores(items(spark, sf_dir), found, "item_id"), "query_id")
-
-
 @query("SELECT doc_id, n_chars FROM documents WHERE text <> '' AND doc_id IN (SELECT item_id FROM benchmark)")
 def point_lookup(spark, sf_dir):
     ids = items(spark, sf_dir).select(F.col("item_id").alias("doc_id"))

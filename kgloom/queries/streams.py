@@ -1,17 +1,20 @@
-"""Streams run to their end, against the same work as a batch; and the providers' offline rules."""
+"""Streams run to their end, against the same work as a batch; runs from questions to prediction files."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kgloom.functions import text as T
 from kgloom.plans import rag
-from kgloom.plans.providers import PROVIDERS
+from kgloom.plans.providers import using
 from kgloom.shared import scratch
+from kgloom.sources import jsonl
 from kgloom.streaming import indexer
 
 from . import query, table
-from .search import DENSE, GATE, POSTED, SPARSE, fused_sql, items, points, query_vectors
+from .evaluation import REFERS
 from .graphs import ASKED, MENTIONS, asked, mentions
+from .search import DENSE, GATE, IDF, POSTED, SPARSE, _posted, fused_sql, items, points, query_vectors
 
 
 @query(f"WITH {POSTED} SELECT doc, count(*) AS tokens, CAST(sum(tf) AS BIGINT) AS tf, round(max(weight), 6) AS top FROM d GROUP BY doc")
@@ -33,20 +36,13 @@ def stream_dedup_state(spark, sf_dir):
     return indexer.merged(spark, f"{root}/out")
 
 
-@query()
-def extract_rule_based(spark, sf_dir):
-    """Entities and relationships of the offline extractor, counted by document."""
-    got = table(spark, sf_dir, "documents").select("doc_id", PROVIDERS["extract"](F.col("text")).alias("g"))
-    return got.select("doc_id", F.size("g.entities").alias("entities"), F.size("g.relationships").alias("relationships"))
-
-
 def _asked(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("item_id").alias("query_id"), "text")
 
 
 def _retrieved(spark, sf_dir, with_graph: bool):
     rows, q = table(spark, sf_dir, "documents"), _asked(spark, sf_dir)
-    graph = {"entities": asked(spark, sf_dir).drop("title"), "mentions": mentions(spark, sf_dir)} if with_graph else {}
+    graph = {"entities": asked(spark, sf_dir).drop("title", "domain"), "mentions": mentions(spark, sf_dir)} if with_graph else {}
     return q, rag.retrieve(rows, q, points(spark, sf_dir), query_vectors(spark, sf_dir), k=8, **graph)
 
 
@@ -76,7 +72,65 @@ def prediction_rows(spark, sf_dir):
     return out.select("query_id", F.size("contexts").cast("long").alias("n_contexts"), "answer")
 
 
-@query()
+_PLAIN = f"WITH {SPARSE}, {DENSE}, {fused_sql(1, 1, 8)}, {GATE}, first_ AS (SELECT query_id, max(text) FILTER (WHERE rank = 1) AS t, count(*) AS n FROM fused JOIN documents ON doc_id = doc GROUP BY query_id)"
+_IDK = "'" + T.IDK_MESSAGE.replace("'", "''") + "'"
+_SAID = rf"CASE WHEN f.n IS NULL OR b.max_score < 0.5 THEN {_IDK} ELSE regexp_extract(t, '^([^.\n]*)', 1) || '. [1]' END"
+
+
+@query(f"{_PLAIN} SELECT b.query_id, md5({_SAID}) AS digest FROM best b LEFT JOIN first_ f ON f.query_id = b.query_id")
 def answer_extractive(spark, sf_dir):
     q, found = _retrieved(spark, sf_dir, False)
     return rag.predictions(q, found).select("query_id", F.md5("answer").alias("digest"))
+
+
+#: Every second question comes with a history; the judge sends those that refer back to the rewriter, which puts the
+#: question before in front.
+_ASKED = f"""turned AS (SELECT b.item_id, b.text, CASE WHEN b.item_id % 2 = 0 THEN p.text END AS before FROM benchmark b LEFT JOIN benchmark p ON p.item_id = b.item_id + 1),
+rewritten AS (SELECT item_id, CASE WHEN before IS NOT NULL AND regexp_matches(lower(text), '(^|[^\\p{{L}}]){REFERS}([^\\p{{L}}]|$)') THEN before || ' ' || text ELSE text END AS text FROM turned)"""
+
+
+@query(f"WITH {_ASKED}, {_posted('d', 'documents', 'doc_id')}, {_posted('q', 'rewritten', 'item_id')}, {IDF}, {SPARSE.split(IDF + ', ')[1]}, {DENSE}, {fused_sql(1, 1, 10)}, {GATE} SELECT f.query_id, f.doc, f.rank AS position, b.max_score FROM fused f JOIN documents ON doc_id = f.doc JOIN best b ON b.query_id = f.query_id")
+def retrieve_rewritten(spark, sf_dir):
+    """Judged, rewritten, asked twice, searched for."""
+    rows = items(spark, sf_dir)
+    before = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("before"))
+    turn = F.struct(F.col("before").alias("query"), F.lit("").alias("response"))
+    given = F.when((F.col("item_id") % 2 == 0) & F.col("before").isNotNull(), F.array(turn)).otherwise(F.array().cast("array<struct<query:string,response:string>>"))
+    q = rows.join(before, "item_id", "left").select(F.col("item_id").alias("query_id"), "text", given.alias("history"))
+    with using(rewrite=lambda text, history: F.concat_ws(" ", F.element_at(history, -1)["query"], text)):
+        found = rag.retrieve(table(spark, sf_dir, "documents"), q, points(spark, sf_dir), query_vectors(spark, sf_dir), k=10)
+    return found.select("query_id", "doc", F.col("position").cast("long").alias("position"), "max_score")
+
+
+def _tasks(spark, sf_dir):
+    """A task for each benchmark item."""
+    given = F.array(F.struct(F.lit("user").alias("speaker"), "text"))
+    rows = items(spark, sf_dir).select(F.lit("c").alias("conversation_id"), F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("task_id"), F.lit("s").alias("Collection"), given.alias("input"))
+    names = {f.name: f.dataType for f in spark.createDataFrame([], jsonl.TASK_SCHEMA).schema.fields}
+    return rows.withColumns({c: F.lit(None).cast(names[c]) for c in ("contexts", "predictions")})
+
+
+def _run_inputs(spark, sf_dir) -> dict:
+    name = F.concat(F.lit("t"), F.col("query_id").cast("string")).alias("query_id")
+    arm = {"entities": asked(spark, sf_dir).select(name, "entity_pos", "name"), "mentions": mentions(spark, sf_dir)}
+    return {"docs": table(spark, sf_dir, "documents"), "points": points(spark, sf_dir), "vectors": query_vectors(spark, sf_dir).select(name, "vector"), **arm}
+
+
+@query(f"{_PLAIN} SELECT 't' || b.query_id AS task_id, 's' AS collection, CASE WHEN f.n IS NULL THEN 0 ELSE f.n END AS n_contexts, md5({_SAID}) AS digest FROM best b LEFT JOIN first_ f ON f.query_id = b.query_id")
+def evaluation_run(spark, sf_dir):
+    """Tasks answered, written as a prediction file and read back."""
+    given = _run_inputs(spark, sf_dir)
+    for arm in ("entities", "mentions"):
+        given.pop(arm)
+    rows = rag.run_tasks(_tasks(spark, sf_dir), path=scratch(spark, "predictions"), k=8, **given)
+    return rows.select("task_id", F.col("Collection").alias("collection"), F.size("contexts").cast("long").alias("n_contexts"), F.md5(F.get("predictions", F.lit(0))["text"]).alias("digest"))
+
+
+@query(rf"""{_HIT}, kg AS (SELECT b.query_id, coalesce(n, 0) AS c, CASE WHEN p.n IS NULL OR b.max_score < 0.5 THEN {_IDK} ELSE regexp_extract(t, '^([^.
+]*)', 1) || '. [1]' END AS a FROM best b LEFT JOIN (SELECT query_id, count(*) AS n, max(text) FILTER (WHERE position = 1) AS t FROM placed WHERE position <= 8 GROUP BY query_id) p ON p.query_id = b.query_id),
+first_ AS (SELECT query_id, max(text) FILTER (WHERE rank = 1) AS t, count(*) AS n FROM fused JOIN documents ON doc_id = doc GROUP BY query_id),
+no_kg AS (SELECT b.query_id, coalesce(f.n, 0) AS c, {_SAID} AS a FROM best b LEFT JOIN first_ f ON f.query_id = b.query_id)
+SELECT count(*) AS total_tasks, count(*) FILTER (WHERE k.a = n.a) AS same_responses, count(*) FILTER (WHERE k.a <> n.a) AS different_responses, count(*) FILTER (WHERE k.a <> {_IDK} AND n.a = {_IDK}) AS kg_only_answered, count(*) FILTER (WHERE k.a = {_IDK} AND n.a <> {_IDK}) AS no_kg_only_answered, round(avg(k.c), 6) AS avg_contexts_kg, round(avg(n.c), 6) AS avg_contexts_no_kg FROM kg k JOIN no_kg n USING (query_id)""")
+def configured_runs(spark, sf_dir):
+    """The same tasks with and without the graph: both files written, read and compared."""
+    return rag.compared_runs(_tasks(spark, sf_dir), root=scratch(spark, "runs"), k=8, **_run_inputs(spark, sf_dir))

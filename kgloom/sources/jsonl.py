@@ -59,6 +59,28 @@ def listed_datasets(spark: SparkSession, path: str) -> DataFrame:
     return files.select(N.domain_of_path(F.col("path")).alias("name"), "path").distinct().orderBy("name", "path")
 
 
+def write_lines(rows: DataFrame, root: str, order: str) -> int:
+    """rows (file, line, and the order column) as <root>/<file>.jsonl, the lines of each in order; how many files.
+
+    A file is written by one task, so rows have to be dealt to files small enough for one; a line may hold several.
+    """
+    spark = rows.sparkSession
+    dealt = rows.select("file", order, "line").repartition("file").sortWithinPartitions("file", order).select("file", "line")
+    dealt.write.partitionBy("file").text(f"{root}/parts")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    made = 0
+    for folder in files.listStatus(path(f"{root}/parts")):
+        name = folder.getPath().getName()
+        if name.startswith("file="):
+            for part in files.listStatus(folder.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    files.rename(part.getPath(), path(f"{root}/{name.removeprefix('file=')}.jsonl"))
+                    made += 1
+    files.delete(path(f"{root}/parts"), True)
+    return made
+
+
 def load_tasks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TASK_SCHEMA).json(path)
 
