@@ -37,7 +37,7 @@ CANDIDATES, QUERIES = 4096, 256
 #: Bytes of the queries that are broadcast at once.
 QUERY_BYTES = 32 << 20
 #: Shares of the lists after which bounds are compared; the last reads them to the end.
-DEPTHS = (0.3, 0.5, 0.65, 0.75, 0.85, 0.93, 1.0)
+DEPTHS = (0.5, 0.75, 0.9, 1.0)
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -48,50 +48,68 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 class Lists:
-    """The sorted lists of a block, read by many queries in step."""
+    """The sorted lists of a block, read by many queries in step.
+
+    A list is held as the place of every vector in it. What all queries read between two depths is one matrix, which holds
+    the components met there and zeros elsewhere; adding it to the partial scores is one product for all queries.
+    """
 
     def __init__(self, x: np.ndarray):
         self.x, self.n = x, len(x)
-        self.order = np.argsort(x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(x, self.order, axis=0)
+        order = np.argsort(x, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(x, order, axis=0)
+        self.place = np.empty(x.shape, np.int32)
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(self.n, dtype=np.int32)[:, None], x.shape), axis=0)
         self.reads = self.resolved = 0
+        self.made: dict[tuple, np.ndarray] = {}
+
+    def _met(self, start: int, end: int) -> np.ndarray:
+        """Components met between two depths: from the top for positive weights, from the bottom for negative ones."""
+        if ("met", start, end) not in self.made:
+            top = (self.place >= self.n - end) & (self.place < self.n - start)
+            bottom = (self.place >= start) & (self.place < end)
+            self.made["met", start, end] = np.hstack([np.where(top, self.x, 0), np.where(bottom, self.x, 0)]).T.copy()
+        return self.made["met", start, end]
+
+    def _unmet(self, depth: int, top: np.ndarray, bottom: np.ndarray, name: str) -> np.ndarray:
+        """The given value of each list wherever a vector hasn't been met in it."""
+        if (name, depth) not in self.made:
+            self.made[name, depth] = np.hstack([np.where(self.place < self.n - depth, top, 0), np.where(self.place >= depth, bottom, 0)]).T.copy()
+        return self.made[name, depth]
+
+    @staticmethod
+    def weights(q: np.ndarray) -> np.ndarray:
+        return np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
 
     def read(self, q: np.ndarray, partial: np.ndarray, start: int, end: int) -> None:
-        """Adds entries [start, end) of every list to the partial scores (vectors x queries); lists of negative weights are
-        read backwards. A vector stands once in a list, so no addition meets another."""
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        for j in range(self.x.shape[1]):
-            for weights, at in ((up[:, j], slice(self.n - end, self.n - start)), (down[:, j], slice(start, end))):
-                if weights.any():
-                    partial[self.order[at, j]] += self.sorted[at, j, None] * weights[None, :]
-                    self.reads += int(np.count_nonzero(weights)) * (end - start)
+        """Adds entries [start, end) of every list to the partial scores (queries x vectors)."""
+        partial += self.weights(q) @ self._met(start, end)
+        self.reads += int(np.count_nonzero(q)) * (end - start)
 
     def rest(self, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """What each vector's components that haven't been met can add, at least and at most."""
-        met_top, met_bottom = np.zeros(self.x.shape, bool), np.zeros(self.x.shape, bool)
-        np.put_along_axis(met_top, self.order[self.n - depth :], True, axis=0)
-        np.put_along_axis(met_bottom, self.order[:depth], True, axis=0)
-        weights = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
-        unmet = lambda top, bottom: weights @ np.hstack([np.where(met_top, 0, top), np.where(met_bottom, 0, bottom)]).T
-        return unmet(self.sorted[0], self.sorted[-1]), unmet(self.sorted[self.n - depth], self.sorted[depth - 1])
+        w = self.weights(q)
+        low = w @ self._unmet(depth, self.sorted[0], self.sorted[-1], "low")
+        return low, w @ self._unmet(depth, self.sorted[self.n - depth], self.sorted[depth - 1], "high")
 
 
 def nra(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, lists: Lists, k: int, floor: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-    """(place of the query, vector, score) of the k best vectors of a block for each query; float64 holds every sum exactly.
+    """(place of the query, vector, score) of the k best vectors of a block for each query.
 
-    floor: a score for each query; vectors below it may be left out.
+    The floating point type of q and of the lists has to hold every sum exactly. floor: a score for each query; vectors
+    below it may be left out.
     """
     out: list[tuple[int, int, int]] = []
     n, left = lists.n, np.arange(len(q))
-    partial, depth = np.zeros((n, len(q))), 0
+    partial, depth = np.zeros((len(q), n), q.dtype), 0
     own = q_ids[:, None] == x_ids[None, :]
     floor = np.full(len(q), -np.inf) if floor is None else floor
     for share in DEPTHS:
         end = max(1, math.ceil(n * share))
         lists.read(q[left], partial, depth, end)
         depth = end
-        low, high = lists.rest(q[left], depth)
-        lower, upper = partial.T + low, partial.T + high
+        low, high = lists.rest(q[left], depth) if depth < n else (0, 0)
+        lower, upper = partial + low, partial + high
         lower[own] = upper[own] = -np.inf
         kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(left), -np.inf)
         may = (upper >= np.maximum(kth, floor[left])[:, None]) & (upper > -np.inf)
@@ -100,10 +118,10 @@ def nra(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, lists: Lists, k: in
             rest = np.flatnonzero(may[at])
             if depth < n:
                 lists.resolved += rest.size * q.shape[1]
-            scores = partial[rest, at] if depth == n else lists.x[rest] @ q[left[at]]
+            scores = partial[at, rest] if depth == n else lists.x[rest] @ q[left[at]]
             best = np.lexsort((x_ids[rest], -scores))[:k]
             out += zip([int(left[at])] * len(best), x_ids[rest[best]].tolist(), scores[best].astype(np.int64).tolist())
-        left, partial, own = left[~done], partial[:, ~done], own[~done]
+        left, partial, own = left[~done], partial[~done], own[~done]
         if not len(left):
             break
     return out
@@ -141,11 +159,13 @@ class _Best:
     def see(self, x_ids: np.ndarray, x: np.ndarray, queries: int) -> None:
         width = max(x.shape[1], self.q.shape[1])
         q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (self.q, x))
-        exact = width and self.size * _most(x) * width < 2**52
-        lists = Lists(x.astype(float)) if exact else None
+        largest = self.size * _most(x) * max(width, 1)
+        kind = np.float32 if largest < 2**24 else np.float64  # whole numbers below are exact
+        exact = width and largest < 2**52
+        lists = Lists(x.astype(kind)) if exact else None
         for a in range(0, len(q), queries):
             part = slice(a, a + queries)
-            found = nra(self.q_ids[part], q[part].astype(float), x_ids, lists, self.k, self.floor[part]) if exact else plain(self.q_ids[part], q[part].tolist(), x_ids, x.tolist(), self.k)
+            found = nra(self.q_ids[part], q[part].astype(kind), x_ids, lists, self.k, self.floor[part]) if exact else plain(self.q_ids[part], q[part].tolist(), x_ids, x.tolist(), self.k)
             met: dict[int, list[tuple[int, int]]] = {}
             for at, vec, score in found:
                 met.setdefault(a + at, []).append((-score, vec))

@@ -484,10 +484,19 @@ def test_nra_reads_less_than_all_and_bounds_hold():
         s = x @ q[i]
         assert [(b, c) for a, b, c in got if a == i] == [(int(j), int(s[j])) for j in np.lexsort((ids, -s))[:5]]
     assert lists.resolved <= 20 * 5 * 12 and lists.reads < 0.95 * 20 * x.size
-    partial, depth = np.zeros((3000, 20)), 700
-    lists.read(q, partial, 0, depth)
+    partial, depth, before = np.zeros((20, 3000)), 700, lists.reads
+    lists.read(q, partial, 0, 300)
+    lists.read(q, partial, 300, depth)
+    assert lists.reads - before == np.count_nonzero(q) * depth
     low, high = lists.rest(q, depth)
-    assert (partial.T + low <= q @ x.T).all() and (q @ x.T <= partial.T + high).all()
+    assert (partial + low <= q @ x.T).all() and (q @ x.T <= partial + high).all()
+    for i in (0, 7):  # what one query has read, entry by entry
+        seen = np.zeros(3000)
+        for j in range(12):
+            order = np.argsort(x[:, j], kind="stable")
+            for at in order[::-1][:depth] if q[i, j] > 0 else order[:depth]:
+                seen[at] += q[i, j] * x[at, j]
+        assert (seen == partial[i]).all()
 
 
 def test_viterbi_against_all_paths():
