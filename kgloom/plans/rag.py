@@ -57,6 +57,12 @@ def predictions(asked: DataFrame, retrieved: DataFrame, threshold: float = R.IDK
     return joined.select("query_id", contexts.alias("contexts"), R.gated(F.coalesce(made, F.lit(T.IDK_MESSAGE)), F.coalesce("max_score", F.lit(0.0)), threshold).alias("answer"))
 
 
+def with_references(answers: DataFrame) -> DataFrame:
+    """query_id, answer: answers (query_id, contexts, answer) with a block of the documents that they cite."""
+    listed = F.transform("contexts", lambda c: F.struct(c["document_id"].alias("source"), c["text"].alias("text")))
+    return answers.select("query_id", fusion.references(F.col("answer"), listed).alias("answer"))
+
+
 def asked_of(tasks: DataFrame) -> DataFrame:
     """query_id (the task's), text of every task: what its first input says."""
     return tasks.select(F.col("task_id").alias("query_id"), F.coalesce(F.get("input", F.lit(0))["text"], F.lit("")).alias("text"))

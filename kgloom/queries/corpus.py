@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,23 +40,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS chars FROM documents WHERE text IS NOT NULL AND text <> ''")
-def scan_nonempty_docs(spark, sf_dir):
-    return docs(spark, sf_dir).where("text <> ''").select("doc_id", F.length("text").cast("long").alias("chars"))
-
-
 @query(r"SELECT page_id, lower(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(\.jsonl)+$', '', 'i')) AS domain FROM pages")
 def file_domain_from_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", N.domain_of_path(F.col("url")).alias("domain"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(len(json_keys(props)) AS BIGINT) AS n_keys FROM events")
-def json_metadata_projection(spark, sf_dir):
-    """JSON objects as maps of texts, with the listed keys."""
-    m = F.from_json("props", "map<string,string>")
-    return table(spark, sf_dir, "events").select("event_id", F.try_element_at(m, F.lit("k")).alias("k"), F.size(m).cast("long").alias("n_keys"))
-
-
 @query("SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN substr(props, 2) ELSE props END AS line FROM events) WHERE json_valid(line)")
 def malformed_json_filter(spark, sf_dir):
     line = F.when(F.col("event_id") % 7 == 0, F.expr("substr(props, 2)")).otherwise(F.col("props"))
@@ -93,6 +82,25 @@ def char_split_windows(spark, sf_dir):
     return chunking.char_windows(docs(spark, sf_dir), "doc_id").select("doc_id", "start_index", F.md5("text").alias("digest"))
 
 
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text <> ''),
+walk AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS start, CAST(-1 AS BIGINT) AS stop FROM t
+  UNION ALL
+  SELECT doc_id, CASE WHEN stop < 0 THEN 0 WHEN blank > 0 THEN back + blank ELSE back END AS start, fresh FROM (
+    SELECT doc_id, stop, back, blank, n, CASE WHEN most >= n THEN n WHEN para > 0 THEN low + wide - para + 1 WHEN line > 0 THEN low + wide - line + 1 WHEN word > 0 THEN low + wide - word + 1 ELSE most END AS fresh FROM (
+      SELECT *, length(w) AS wide, strpos(reverse(w), chr(10) || chr(10)) AS para, strpos(reverse(w), chr(10)) AS line, strpos(reverse(w), ' ') AS word FROM (
+        SELECT *, substr(text, low + 1, most - low) AS w FROM (
+          SELECT *, least(n, here + 1000) AS most, here + 500 AS low FROM (
+            SELECT *, CASE WHEN stop < 0 THEN 0 WHEN blank > 0 THEN back + blank ELSE back END AS here FROM (
+              SELECT *, CASE WHEN stop < 0 THEN 0 ELSE strpos(substr(text, back + 1, stop - back), ' ') END AS blank FROM (
+                SELECT doc_id, text, n, w.start, w.stop, greatest(w.start + 1, w.stop - 200) AS back FROM walk w JOIN t USING (doc_id) WHERE w.stop < t.n)))))))
+), pieces AS (SELECT doc_id, start, substr(text, start + 1, stop - start) AS piece FROM walk JOIN t USING (doc_id) WHERE stop > 0)
+SELECT doc_id, start + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS start_index, md5(regexp_replace(piece, '^\s+|\s+$', '', 'g')) AS digest FROM pieces WHERE regexp_matches(piece, '\S')""")
+def char_split_recursive(spark, sf_dir):
+    """Chunks that end, if they can, at a paragraph, a line or a blank."""
+    return chunking.char_split(docs(spark, sf_dir), ["doc_id"]).select("doc_id", "start_index", F.md5("text").alias("digest"))
+
+
 @query(f"""WITH RECURSIVE {PACKED}, long_docs AS (SELECT * FROM classed WHERE size_class = 'long'),
 chunks AS (
   SELECT w.source, string_agg(n.text, chr(10) ORDER BY n.doc_id) AS text, string_agg(CAST(n.doc_id AS VARCHAR), ',' ORDER BY n.doc_id) AS ids, 0 AS part
@@ -116,28 +124,6 @@ def batch_assignment(spark, sf_dir):
     return rows.select(F.floor(F.col("ordinal") / 350).alias("batch"), "doc_id")
 
 
-@query("SELECT lang, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY lang")
-def union_sources(spark, sf_dir):
-    """Documents put together again from their parts by language."""
-    rows = docs(spark, sf_dir)
-    parts = [rows.where(F.col("lang") == x) for x in ("en", "fr", "de", "es")] + [rows.where(~F.coalesce("lang", F.lit("")).isin("en", "fr", "de", "es"))]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"))
-
-
-@query("SELECT DISTINCT lower(source) AS name, lang || '/' || source || '.jsonl' AS path FROM documents")
-def dataset_listing(spark, sf_dir):
-    path = F.concat("lang", F.lit("/"), "source", F.lit(".jsonl"))
-    return docs(spark, sf_dir).select(N.domain_of_path(path).alias("name"), path.alias("path")).distinct()
-
-
-@query("SELECT source, count(*) AS n FROM documents WHERE contains(lower(source), 'c1') GROUP BY source")
-def files_by_name(spark, sf_dir):
-    return docs(spark, sf_dir).where(F.contains(F.lower("source"), F.lit("C1".lower()))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT doc_id, md5(CASE WHEN lang <> '' THEN text || chr(10) || chr(10) || 'Keywords: ' || lang || ', ' || source ELSE text END) AS digest, md5(CASE WHEN doc_id % 5 = 0 THEN 'replaced' ELSE text END) AS page_content, source FROM documents")
 def payload_enrichment(spark, sf_dir):
     """Text with its keywords, and the payload, in which metadata goes before text."""
@@ -147,15 +133,6 @@ def payload_enrichment(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(T.enriched(F.col("text"), keywords)).alias("digest"), F.md5(made["page_content"]).alias("page_content"), made["source"].alias("source"))
 
 
-@query("""WITH keyed AS (SELECT doc_id, substr(sha256('extract' || '|||' || substr(text, 1, 500)), 1, 16) AS cache_key FROM documents),
-held AS (SELECT DISTINCT cache_key FROM keyed WHERE doc_id % 3 = 0)
-SELECT doc_id, k.cache_key, h.cache_key IS NOT NULL AS hit FROM keyed k LEFT JOIN held h ON k.cache_key = h.cache_key""")
-def cache_hits_misses(spark, sf_dir):
-    keyed = docs(spark, sf_dir).select("doc_id", T.cache_key(F.lit("extract"), F.col("text")).alias("cache_key"))
-    held = keyed.where("doc_id % 3 = 0").select("cache_key").distinct().withColumn("held", F.lit(True))
-    return keyed.join(held, "cache_key", "left").select("doc_id", "cache_key", F.coalesce("held", F.lit(False)).alias("hit"))
-
-
 @query("SELECT source, greatest(1, least(1000, CAST(floor((128000 - 2000) * CAST(0.8 AS DOUBLE) / (avg(length(text)) / 4.0 + 50)) AS BIGINT))) AS batch_size FROM documents GROUP BY source")
 def batch_size_estimate(spark, sf_dir):
     from kgloom.plans.sizing import batch_size
@@ -195,3 +172,39 @@ def prompt_text(spark, sf_dir):
 
     domain = F.when(F.col("lang") == "en", "ibm cloud").otherwise("nothing known")
     return docs(spark, sf_dir).select("doc_id", F.md5(prompts.extraction(F.col("text"), domain)).alias("single"), F.md5(prompts.batch_document(F.col("doc_id"), F.col("text"))).alias("batch"))
+
+
+@query("""SELECT doc_id, md5('Found so far: ' || lang || ', ' || source || chr(10) || substr(text, 1, 2000)) AS gleaning, md5('Name the entities in this question: ' || text) AS entities,
+md5('Does the question depend on the conversation? Answer yes or no.' || chr(10) || lang || chr(10) || 'Question: ' || text) AS judge, md5('Put the question so that it stands alone.' || chr(10) || lang || chr(10) || 'Question: ' || text) AS rewrite,
+md5('Answer from the numbered documents and cite them as [n].' || chr(10) || source || chr(10) || 'Question: ' || text) AS answer FROM documents""")
+def prompt_builders(spark, sf_dir):
+    from kgloom.plans import prompts
+
+    text, lang, source = F.col("text"), F.col("lang"), F.col("source")
+    made = {"gleaning": prompts.gleaning(text, F.array(lang, source)), "entities": prompts.query_entities(text), "judge": prompts.rewrite_judge(text, lang), "rewrite": prompts.rewrite(text, lang), "answer": prompts.answer(text, source)}
+    return docs(spark, sf_dir).select("doc_id", *[F.md5(c).alias(n) for n, c in made.items()])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'gave up' ELSE md5(text) END AS answer, CASE WHEN doc_id % 7 = 0 THEN 4 WHEN doc_id % 3 = 0 THEN 3 ELSE 1 END AS calls FROM documents")
+def provider_retried(spark, sf_dir):
+    """A registered provider whose calls fail: some twice, some always, which gives the fallback."""
+    from kgloom.plans.providers import PROVIDERS, retried, using
+
+    @F.pandas_udf("struct<answer:string,calls:long>")
+    def answer(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for i, text in zip(ids, texts):
+            made: list[int] = []
+
+            def call(i=i, text=text, made=made) -> str:
+                made.append(1)
+                if i % 7 == 0 or (i % 3 == 0 and len(made) < 3):
+                    raise ConnectionError(i)
+                return text
+
+            out.append((retried(call, attempts=4, fallback="gave up", sleep=lambda _: None), len(made)))
+        return pd.DataFrame(out, columns=["answer", "calls"])
+
+    with using(answer=answer):
+        rows = docs(spark, sf_dir).select("doc_id", PROVIDERS["answer"](F.col("doc_id"), F.md5("text")).alias("a"))
+    return rows.select("doc_id", "a.answer", "a.calls")

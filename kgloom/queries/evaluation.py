@@ -178,13 +178,3 @@ def keyword_hit_rollup(spark, sf_dir):
     return evaluate.hits(rows)
 
 
-@query("SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS asked, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
-def conversation_sizes(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.max("turn").alias("last_turn"))
-
-
-@query("SELECT conv_id, turn, role, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 2")
-def last_turns(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return table(spark, sf_dir, "conversations").withColumn("n", place.cast("long")).where("n <= 2").select("conv_id", "turn", "role", "n")

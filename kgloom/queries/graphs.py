@@ -144,11 +144,6 @@ def entity_context_titled(spark, sf_dir):
     return out.select("name", F.array_join(F.coalesce("related", empty), ",").alias("related"), F.array_join(F.coalesce(F.col("chunks").cast("array<string>"), empty), ",").alias("chunks"))
 
 
-@query(f"WITH {MENTIONS} SELECT name, count(DISTINCT chunk_id) AS chunks FROM mentions GROUP BY name")
-def name_lookup(spark, sf_dir):
-    return mentions(spark, sf_dir).groupBy("name").agg(F.countDistinct("chunk_id").alias("chunks"))
-
-
 def entities(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("title"))
 
@@ -195,8 +190,3 @@ def graph_null_name_check(spark, sf_dir):
     return blanked.where(F.coalesce("name", F.lit("")) == "").select("entity_id")
 
 
-@query("SELECT 'entities' AS part, count(*) AS n FROM part UNION ALL SELECT 'mentions', count(*) FROM (SELECT DISTINCT l_orderkey, p_name, p_brand, p_type FROM lineitem JOIN part ON p_partkey = l_partkey) UNION ALL SELECT 'relationships', count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
-def graph_snapshot(spark, sf_dir):
-    parts = {"entities": entities(spark, sf_dir), "mentions": mentions(spark, sf_dir), "relationships": edges(spark, sf_dir).distinct()}
-    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts.items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])

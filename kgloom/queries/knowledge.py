@@ -172,8 +172,12 @@ def parse_delimited(spark, sf_dir):
     return entities.select("p_partkey", (F.col("line_no") + 1).alias("line_no"), F.lit("entity").alias("kind"), F.col("name").alias("a"), F.col("type").alias("b")).unionByName(rels.select("p_partkey", (F.col("line_no") + 1).alias("line_no"), F.lit("relation").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b")))
 
 
-@query("""WITH p AS (SELECT * FROM part WHERE p_partkey % 2 = 0), e AS (SELECT p_partkey AS doc_id, 1 AS entities, CASE WHEN p_partkey % 3 <> 0 THEN 1 ELSE 0 END AS relationships FROM p)
-SELECT doc_id, CAST(entities AS BIGINT) AS entities, CAST(relationships AS BIGINT) AS relationships FROM e""")
+@query(r"""WITH said AS (SELECT string_split(concat_ws(chr(10), h || 'entity<|#|>' || p_name, h || 'entity<|#|> ' || p_name || '<|#|>' || lower(p_type) || '<|#|>' || p_brand, CASE WHEN p_partkey % 3 = 0 THEN '<|COMPLETE|>' ELSE '' END, '  ', h || 'relation<|#|>' || p_name || '<|#|>' || p_brand || '<|#|>made by<|#|>' || p_type, 'noise'), chr(10)) AS l
+  FROM (SELECT *, 'doc_id:' || p_partkey || '<|#|>' AS h FROM part)),
+lines AS (SELECT unnest(CASE WHEN list_contains(l, '<|COMPLETE|>') THEN l[:list_position(l, '<|COMPLETE|>') - 1] ELSE l END) AS line FROM said),
+fields AS (SELECT CAST(regexp_extract(line, '^doc_id:(-?\d+)<\|#\|>', 1) AS BIGINT) AS doc_id, string_split(regexp_replace(line, '^doc_id:-?\d+<\|#\|>', ''), '<|#|>') AS f FROM lines WHERE regexp_matches(line, '^doc_id:-?\d+<\|#\|>'))
+SELECT doc_id, count(*) FILTER (WHERE f[1] = 'entity') AS entities, count(*) FILTER (WHERE f[1] = 'relation') AS relationships FROM fields
+WHERE (f[1] = 'entity' AND len(f) >= 4 OR f[1] = 'relation' AND len(f) >= 5) AND doc_id IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) GROUP BY doc_id""")
 def parse_batch_delimited(spark, sf_dir):
     """Counts by document; output for documents that weren't asked for is left out."""
     rows = part(spark, sf_dir)
@@ -220,12 +224,6 @@ def grouped_write_counts(spark, sf_dir):
     return part(spark, sf_dir).groupBy(N.label_of(F.col("p_type")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_name AS name, array_to_string(list_sort(list(DISTINCT k)), ',') AS keywords FROM (SELECT p_name, p_brand AS k FROM part UNION ALL SELECT p_name, p_type FROM part) GROUP BY p_name")
-def keyword_union(spark, sf_dir):
-    both = F.array_union(F.collect_set("p_brand"), F.collect_set("p_type"))
-    return part(spark, sf_dir).groupBy(F.col("p_name").alias("name")).agg(F.array_join(F.array_sort(both), ",").alias("keywords"))
-
-
 @query("SELECT p_name AS name, arg_max(p_type, p_partkey) AS type, arg_max(p_brand, p_partkey) AS title FROM part GROUP BY p_name")
 def name_only_merge_last_wins(spark, sf_dir):
     return kg.last_title(part(spark, sf_dir).select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("title")))

@@ -100,7 +100,8 @@ def sparse_topk(spark, sf_dir):
     return as_long(sparse(spark, sf_dir, 10), "rank").select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
 
 
-@query("SELECT count(*) AS queries, CAST(0 AS BIGINT) AS differing FROM benchmark")
+@query(f"""WITH twice AS (SELECT item_id, text || ' ' || text AS text FROM benchmark), {_posted('one_', 'benchmark', 'item_id')}, {_posted('two_', 'twice', 'item_id')}
+SELECT (SELECT count(*) FROM benchmark) AS queries, count(*) AS differing FROM (SELECT doc, token, round(weight, 9) AS w FROM one_) a FULL JOIN (SELECT doc, token, round(weight, 9) AS w FROM two_) b ON a.doc = b.doc AND a.token = b.token AND a.w = b.w WHERE a.doc IS NULL OR b.doc IS NULL""")
 def dup_query_invariance(spark, sf_dir):
     """Asking twice leaves the sparse weights as they are."""
     rows = items(spark, sf_dir)

@@ -267,6 +267,18 @@ def stream_index_stores(spark, sf_dir):
     return _sizes(spark, points.stats() | graph.counts())
 
 
+@query("SELECT count(*) AS rows_, true AS several, true AS timed FROM documents")
+def stream_progress(spark, sf_dir):
+    """What a stream says of itself: rows, whether it took several batches, whether it had a rate."""
+    root = scratch(spark, "progress")
+    docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), "text").repartition(6).write.parquet(f"{root}/in")
+    rows = indexer.stream_table(spark, f"{root}/in", files_per_trigger=2)
+    run = indexer.index_stream(rows, f"{root}/out", f"{root}/checkpoint")
+    run.awaitTermination()
+    seen = indexer.progress(run)
+    return spark.range(1).select(F.lit(seen["rows"]).cast("long").alias("rows_"), F.lit(seen["batches"] > 1).alias("several"), F.lit(seen["rows_a_minute"] > 0).alias("timed"))
+
+
 @query(f"WITH {TURNS} SELECT conv_id, turn, md5(coalesce(h, '')) AS digest FROM hist")
 def stream_memory(spark, sf_dir):
     """The last turns of each conversation, kept as a stream's state."""

@@ -83,6 +83,12 @@ def answer_extractive(spark, sf_dir):
     return rag.predictions(q, found).select("query_id", F.md5("answer").alias("digest"))
 
 
+@query(f"{_PLAIN}, said AS (SELECT b.query_id, {_SAID} AS a, t, f.doc FROM best b LEFT JOIN (SELECT f.*, d.doc FROM first_ f JOIN (SELECT query_id, min(doc) FILTER (WHERE place = 1) AS doc FROM (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM fused JOIN documents ON doc_id = doc) GROUP BY query_id) d USING (query_id)) f ON f.query_id = b.query_id) SELECT query_id, md5(CASE WHEN contains(a, '[1]') THEN a || chr(10) || chr(10) || '---' || chr(10) || '**References:**' || chr(10) || chr(10) || '[1] ' || doc || chr(10) || '    ' || t || chr(10) ELSE a END) AS digest FROM said")
+def answer_with_references(spark, sf_dir):
+    q, found = _retrieved(spark, sf_dir, False)
+    return rag.with_references(rag.predictions(q, found)).select("query_id", F.md5("answer").alias("digest"))
+
+
 #: Every second question comes with a history; the judge sends those that refer back to the rewriter, which puts the
 #: question before in front.
 _ASKED = f"""turned AS (SELECT b.item_id, b.text, CASE WHEN b.item_id % 2 = 0 THEN p.text END AS before FROM benchmark b LEFT JOIN benchmark p ON p.item_id = b.item_id + 1),

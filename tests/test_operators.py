@@ -375,3 +375,153 @@ def test_streamed_memory_is_the_window(spark, tmp_path):
     got = {(r["conv_id"], r["turn"]): r["history"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     want = conversation.history(frame).select("conv_id", "turn", conversation.history_text(F.col("history")).alias("h"))
     assert got == {(r["conv_id"], r["turn"]): r["h"] for r in want.collect()}
+
+
+# ---------------------------------------------------------------- what must hold at any size
+
+
+def test_order_of_occurrence_has_no_width(spark):
+    """More than 100,000 items in a chunk, and chunks named by texts."""
+    entity = "array<struct<name:string,type:string,description:string,keywords:array<string>>>"
+    rels = "array<struct<source:string,target:string,type:string,description:string,strength:int>>"
+    big = spark.range(1).select(F.lit("a").alias("chunk"), F.struct(F.transform(F.sequence(F.lit(0), F.lit(120_000)), lambda i: F.struct(F.when(i == 119_999, "late").otherwise(F.lit("early")).alias("name"), F.lit("T").alias("type"), F.lit("same length").alias("description"), F.array().cast("array<string>").alias("keywords"))).cast(entity).alias("entities"), F.array().cast(rels).alias("relationships")).alias("result"))
+    small = spark.range(1).select(F.lit("b").alias("chunk"), F.struct(F.array(F.struct(F.lit("late").alias("name"), F.lit("T").alias("type"), F.lit("other text!").alias("description"), F.array().cast("array<string>").alias("keywords"))).cast(entity).alias("entities"), F.array().cast(rels).alias("relationships")).alias("result"))
+    got = {r["name"]: r for r in kg.merged_entities(kg.flattened(big.unionByName(small))[0]).collect()}
+    assert got["late"]["description"] == "same length" and got["late"]["chunks"] == ["a", "b"] and got["early"]["chunks"] == ["a"]
+
+
+def test_repeated_ids_are_one_document_if_asked(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "alpha gamma"), (2, "beta")], "doc_id long, text string")
+    got = {(r["doc"], r["token"]): (r["tf"], r["weight"]) for r in R.postings(docs, "doc_id", repeated=True).collect()}
+    assert got == {(1, "alpha"): (2, 1.0), (1, "beta"): (1, 0.5), (1, "gamma"): (1, 0.5), (2, "beta"): (1, 1.0)}
+
+
+def test_packing_over_range_ends(spark):
+    """One domain in many ranges, and a domain for each document: what a fold over each domain gives."""
+    rng = random.Random(8)
+    rows = [(i, "one" if i % 4 else f"d{i}", " ".join(["w"] * rng.choice([0, 1, 30, 60, 130, 400]))) for i in range(600)] + [(600 + i, None, "w " * 50) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want, state = {}, {}
+    for i, s, t in rows:
+        n = int(len(t.split()) * 1.3)
+        pack, place, held, open_ = state.get(s, (-1, 0, 0, False))
+        if n >= 150 or not open_:
+            pack, place, held = pack + 1, 1, n
+        else:
+            place, held = place + 1, held + n
+        state[s] = (pack, place, held, n < 150 and held < 150)
+        want[i] = (pack, place)
+    for parts in ("3", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {r["doc_id"]: (r["pack"], r["pack_pos"]) for r in chunking.packs(docs, "source", "doc_id").collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert got == want
+    assert chunking.packs(docs.limit(0), "source", "doc_id").count() == 0
+    assert {r["doc_id"]: (r["pack"], r["pack_pos"]) for r in chunking.packed(docs, "source", "doc_id").collect()} == want
+
+
+def test_dense_arm_in_many_query_blocks(spark):
+    rng = random.Random(2)
+    v = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)] + [(300, [0.0] * 8), (301, []), (302, [1.0] * 12)]
+    points = spark.createDataFrame(v, "doc long, vector array<double>")
+    asked = points.limit(20).select(F.concat(F.lit("q"), F.col("doc").cast("string")).alias("query_id"), "vector")
+    key = lambda df: sorted(map(tuple, df.select("query_id", "doc", "rank", "score").collect()))
+    assert key(R.dense_arm(asked, points, 7)) == key(R.dense_arm(asked, points, 7, block=3, query_bytes=200))
+    assert R.dense_arm(asked.limit(0), points, 7).count() == 0
+
+
+def test_store_commits_once(spark, tmp_path):
+    from kgloom.sources.store import Conflict
+
+    store = PointStore(spark, f"file://{tmp_path}/s", buckets=4)
+    frame = lambda rows: spark.createDataFrame(rows, "doc long, text string, at int")
+    store.create(frame([(i, f"word{i} common", 0) for i in range(40)]))
+    before, tables = store.tables.versions(), store.tables.manifest()
+    store.upsert(frame([(3, "three", 1), (3, "third", 2), (50, "new", 1)]), order="at")
+    assert store.points.read().where("doc = 3").first()["text"] == "third" and store.stats()["points"] == 41
+    assert {r["doc"] for r in store.postings.read().where("token = 'common'").collect()} == set(range(40)) - {3}
+    with pytest.raises(Conflict):
+        store.tables.commit(before, tables)
+    untouched = [b for b, p in tables["points"]["parts"].items() if store.tables.manifest()["points"]["parts"].get(b) == p]
+    assert untouched  # buckets that hold none of the rows aren't rewritten
+    rows = sorted(map(tuple, store.points.read().collect()))
+    assert store.tables.clean() > 0 and sorted(map(tuple, store.points.read().collect())) == rows and len(store.tables.versions()) == 1
+    tries = []
+    store._upsert = lambda points, order: tries.append(1) or (_ for _ in ()).throw(OSError())
+    with pytest.raises(OSError):
+        store.upsert(frame([(1, "x", 0)]), attempts=3, sleep=tries.append)
+    assert len(tries) == 5
+
+
+def test_stored_postings_answer_as_the_corpus_does(spark, tmp_path):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"word{rng.randrange(60)}" for _ in range(20))) for i in range(200)], "doc long, text string")
+    asked = spark.createDataFrame([(i, f"word{i} word{i + 7} nothing") for i in range(10)], "item long, text string")
+    store = PointStore(spark, f"file://{tmp_path}/s")
+    store.create(docs)
+    key = lambda df: sorted(map(tuple, df.select("query_id", "doc", "score", "rank").collect()))
+    assert key(store.sparse_arm(asked, "item", 5)) == key(R.sparse_arm(asked, docs, "doc", "item", 5))
+
+
+def test_last_node_wins_and_constraints_migrate(spark, tmp_path):
+    g = GraphStore(spark, f"file://{tmp_path}/g")
+    rows = spark.createDataFrame([("a", "T", 1), ("a", "U", 3), ("a", "V", 2), ("b", "T", 1)], "name string, type string, at int")
+    g.merge_nodes(rows, ["name"], order="at")
+    assert {r["name"]: r["type"] for r in g.nodes.collect()} == {"a": "U", "b": "T"}
+    g.create_nodes(rows.where("type = 'V'"))
+    assert g.constraint_faults(1).count() == 1 and g.migrate(1, order="at") == 1 and g.nodes.count() == 2 and g.migrate(1) == 0
+
+
+def test_cache_saves_itself(spark, tmp_path):
+    cache = ExtractionCache(spark, f"file://{tmp_path}/c")
+    cache.AUTOSAVE = 3
+    for i in range(4):
+        cache.put(f"k{i}", {"n": i}, float(i))
+    assert len(cache.pending) == 1 and cache.get("k0") == {"n": 0} and cache.get("k3") == {"n": 3} and cache.contains("k3")
+    assert len(cache) == 4 and not cache.pending
+
+
+def test_ways_of_extraction(spark):
+    from kgloom.plans import extraction
+    from kgloom.plans.providers import extract_batch, using
+
+    docs = spark.createDataFrame([(1, "Then Alice Smith met Bob."), (2, "nothing to see here"), (3, "Carl"), (4, None), (5, "Dora told NASA of Emil.")], "doc_id long, text string")
+    names = lambda df: {r["chunk"]: [e["name"] for e in r["result"]["entities"]] for r in df.collect()}
+    want = {1: ["then alice smith", "bob"], 2: [], 3: [], 4: [], 5: ["dora", "nasa", "emil"]}
+    assert names(extraction.extracted(docs)) == want == names(extraction.extracted(docs, way="delimited")) == names(extraction.extracted(docs, way="batch", size=2))
+    calls = []
+
+    def failing(d):
+        calls.append(1)
+        return F.when(F.get(d, F.lit(0))["doc_id"] != 1, extract_batch(d))
+
+    with using(extract_batch=failing):
+        assert names(extraction.extracted(docs, way="batch", size=2)) == want and calls
+    assert {k: sorted(v) for k, v in names(extraction.extracted(docs, way="gleaning")).items()} == {k: sorted(v) for k, v in want.items()}
+    entities, rels = extraction.extract_document(docs)
+    assert entities.count() == 5 and rels.count() == 3
+
+
+def test_search_by_title(spark):
+    mentions = spark.createDataFrame([(1, "a", "T"), (2, "a", "U"), (3, "b", "T"), (4, "c", "U"), (5, "d", "T")], "chunk_id long, name string, title string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "d")], "src string, dst string")
+    entities = mentions.drop("chunk_id").distinct()
+    ask = lambda t: spark.createDataFrame([(1, 1, "a", t)], "query_id long, entity_pos int, name string, title string")
+    found = lambda t, hops=1: [r["chunk_id"] for r in graph.search(ask(t), mentions, edges, 5, hops, entities=entities).orderBy("position").collect()]
+    assert found("T") == [1, 3] and found("U") == [2, 4] and found(None) == [1, 2]
+    assert found("T", 2) == [1, 3, 5]  # the way to d leads over c, which is of another title
+    second = mentions.withColumns({"domain": F.col("title"), "aliases": F.when(F.col("name") == "c", F.array(F.lit("T"))).otherwise(F.array().cast("array<string>"))}).drop("title")
+    got = graph.search(ask("T"), second, edges, 5, entities=second.drop("chunk_id").distinct()).orderBy("position").collect()
+    assert [r["chunk_id"] for r in got] == [1, 3, 4]
+
+
+def test_stream_fills_both_stores(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"Then Alice{'x' * (i % 3)} met Bob.") for i in range(12)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(f"file://{tmp_path}/in.parquet")
+    store, g = PointStore(spark, f"file://{tmp_path}/p"), GraphStore(spark, f"file://{tmp_path}/g")
+    for _ in range(2):
+        stream = indexer.stream_table(spark, f"file://{tmp_path}/in.parquet", files_per_trigger=1)
+        indexer.store_stream(stream, store, g, f"file://{tmp_path}/check").awaitTermination()
+        assert store.stats()["points"] == 12 and g.counts() == {"nodes": 4, "rels": 3, "mentions": 24}
