@@ -21,7 +21,7 @@ CHUNK_CHARS, OVERLAP_CHARS = 1000, 200
 
 def classified(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_tokens and size_class."""
-    return docs.withColumn("n_tokens", T.token_count(F.col(text))).withColumn("size_class", T.size_class(F.col("n_tokens")))
+    return spread(docs).withColumn("n_tokens", T.token_count(F.col(text))).withColumn("size_class", T.size_class(F.col("n_tokens")))
 
 
 class Packer:
@@ -73,7 +73,7 @@ def packs(docs: DataFrame, domain: str, order: str, min_tokens: int = T.MIN_TOKE
     summaries for each range, and each range then numbers its own. order has to be unique within a domain.
     """
     shared_dir(docs.sparkSession)
-    narrow = classified(spread(docs)).select(F.col(domain).alias("domain"), F.col(order).alias("order"), "n_tokens", "size_class")
+    narrow = classified(docs).select(F.col(domain).alias("domain"), F.col(order).alias("order"), "n_tokens", "size_class")
     dealt = narrow.repartitionByRange("domain", "order").sortWithinPartitions("domain", "order").checkpoint()
     packer = Packer(min_tokens)
     ends = _entered(dealt.mapInArrow(lambda b: _summaries(b, packer), "part int, side int, domain string, summary array<struct<state:int,begun:long,place:long,any:boolean>>").collect())
