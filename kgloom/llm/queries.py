@@ -14,8 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    out = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24, next_shards=25)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("next_shard").alias("shard_in_next_map"))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

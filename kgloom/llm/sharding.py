@@ -102,26 +102,37 @@ def load_map(spark: SparkSession, root: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{root}/version={version}")
 
 
-def assign(records: DataFrame, slot_map: DataFrame) -> DataFrame:
-    """shard of every record, and slot, its gapless place in the shard.
+def assign(records: DataFrame, slot_map: DataFrame, next_map: DataFrame | None = None) -> DataFrame:
+    """shard of every record, and slot, its gapless place in the shard; with a later version of the map, next_shard in it.
 
     Records are numbered within their virtual slot, and each virtual slot starts where the one before it in the shard
     ends: no task holds a whole shard, only its share of the virtual slots.
     """
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = slot_map.select("vslot", "shard", before.alias("first"))
+    later = [] if next_map is None else ["next_shard"]
+    if next_map is not None:
+        starts = starts.join(next_map.select("vslot", F.col("shard").alias("next_shard")), "vslot")
     place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
     return (
         records.withColumn("place", place)
         .join(F.broadcast(starts), "vslot")
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("place") - 1).cast("long").alias("slot"), F.col("vslot").alias("virtual_slot"))
+        .select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("place") - 1).cast("long").alias("slot"), F.col("vslot").alias("virtual_slot"), *later)
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, root: str | None = None) -> DataFrame:
-    """Version 1 of the map is built, stored under root (a new folder in the shared one) and applied to all records."""
+def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, root: str | None = None, next_shards: int | None = None) -> DataFrame:
+    """Version 1 of the map is built, stored under root (a new folder in the shared one) and applied to all records.
+
+    next_shards: version 2, which is version 1 edited for so many shards, is stored too and gives next_shard.
+    """
     spark = docs.sparkSession
     records = measured(docs, slots)
     root = root or scratch(spark, "slot-map")
-    store_map(build_map(slot_totals(records), shards), root, 1)
-    return assign(records, load_map(spark, root, 1))
+    totals = slot_totals(records)
+    store_map(build_map(totals, shards), root, 1)
+    first, then = load_map(spark, root, 1), None
+    if next_shards is not None:
+        store_map(build_map(totals, next_shards, first), root, 2)
+        then = load_map(spark, root, 2)
+    return assign(records, first, then)

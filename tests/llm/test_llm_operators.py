@@ -45,7 +45,9 @@ def test_sharding_bytes_law(spark, small):
     assert set(got["shard"]) == set(range(24))
     load = got.groupby("shard")["size"].sum()
     assert load.max() - load.min() <= got["size"].max()
-    assert got.groupby("virtual_slot")["shard"].nunique().max() == 1
+    assert got.groupby("virtual_slot")["shard"].nunique().max() == 1 == got.groupby("virtual_slot")["shard_in_next_map"].nunique().max()
+    moved = got[got["shard"] != got["shard_in_next_map"]]["size"].sum()
+    assert set(got["shard_in_next_map"]) == set(range(25)) and moved < 0.15 * got["size"].sum()
 
 
 def test_sharding_moves_little_when_a_shard_is_added(spark, small):
