@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.shared import scratch, shared_dir, steady, stored
+from kgloom.shared import Scratch, scratch, shared_dir, steady, stored
 
-__all__ = ["BLANKS", "row_key", "scratch", "shared_dir", "short_batches", "steady", "stored", "table", "words"]
+__all__ = ["BLANKS", "Scratch", "row_key", "scratch", "shared_dir", "short_batches", "steady", "stored", "table", "words"]
 
 #: White space of every contract here: [\x20\x09-\x0D]. bytes.split() splits at the same six bytes.
 BLANKS = " \t\n\x0b\f\r"

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import row_key, short_batches, stored
+from .common import Scratch, row_key, short_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Different texts that must have a term with an entity; code points of a term.
@@ -180,22 +180,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def disclosing(docs: DataFrame, generalise: float = GENERALISE, min_texts: int = MIN_TEXTS) -> DataFrame:
     """term (its code), disclosure and entity (the one disclosed most) of the terms to be sanitised. docs: text."""
     short_batches(docs.sparkSession)
-    counted = stored(docs.select("text", *row_key("text")).mapInArrow(_count, COUNTED), "terms-and-entities")
+    space = Scratch(docs.sparkSession)
+    counted = space.stored(docs.select("text", *row_key("text")).mapInArrow(_count, COUNTED), "terms-and-entities")
     held = docs.count()
     texts = counted.where("term is null").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
-    texts = stored(texts, "texts-with-entities")
+    texts = space.stored(texts, "texts-with-entities")
     # equal for two of them if they stand in the same texts
     same = [F.count(F.lit(1)).alias("texts"), *(F.bit_xor(F.xxhash64(F.lit(i), "k1", "k2")).alias(f"x{i}") for i in (1, 2))]
     entities = texts.select("k1", "k2", "copies", F.explode("entities").alias("entity")).groupBy("entity").agg(*same, F.sum("copies").alias("e_docs"))
-    entities = stored(entities.where((F.col("texts") >= min_texts) & (F.col("e_docs") < held)).withColumn("e_class", F.xxhash64("texts", "x1", "x2")), "entities")
+    entities = space.stored(entities.where((F.col("texts") >= min_texts) & (F.col("e_docs") < held)).withColumn("e_class", F.xxhash64("texts", "x1", "x2")), "entities")
     of_text = texts.select("k1", "k2", "copies", F.explode("entities").alias("entity")).join(entities.select("entity", "e_class"), "entity")
-    of_text = stored(of_text.groupBy("k1", "k2", "e_class").agg(F.first("copies").alias("copies")), "entities-of-texts")
+    of_text = space.stored(of_text.groupBy("k1", "k2", "e_class").agg(F.first("copies").alias("copies")), "entities-of-texts")
     some = texts.join(of_text.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "copies", F.explode("terms").alias("term"))
-    some = stored(some, "terms-of-texts")
+    some = space.stored(some, "terms-of-texts")
     near = some.groupBy("term").agg(*same, F.sum("copies").alias("least")).where(F.col("texts") >= min_texts)
     docs_of = counted.where("term is not null").groupBy("term").agg(F.sum("n").alias("docs"))
     rare = near.join(docs_of, "term").where(F.col("least") >= F.col("docs") * (max(1, held) ** -(1 - generalise) * (1 - 1e-9)))
-    rare = stored(rare.select("term", "docs", F.xxhash64("texts", "x1", "x2", "docs").alias("t_class")), "rare-terms")
+    rare = space.stored(rare.select("term", "docs", F.xxhash64("texts", "x1", "x2", "docs").alias("t_class")), "rare-terms")
     t_of_text = some.join(rare.select("term", "t_class"), "term").select("k1", "k2", "t_class").distinct()
     both = of_text.join(t_of_text, ["k1", "k2"]).groupBy("e_class", "t_class").agg(F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_texts)
     classes = entities.groupBy("e_class").agg(F.min("entity").alias("entity"), F.first("e_docs").alias("e_docs"))
@@ -204,7 +205,9 @@ def disclosing(docs: DataFrame, generalise: float = GENERALISE, min_texts: int =
     rate = F.when(p_given >= 1, F.lit(1.0)).otherwise(1 + F.log(p_given) / -F.log(p_entity))
     rated = rated.withColumn("disclosure", rate).where(F.col("disclosure") >= generalise)
     most = rated.groupBy("t_class").agg(F.max("disclosure").alias("disclosure"), F.min_by("entity", F.struct(-F.col("disclosure"), "entity")).alias("entity"))
-    return rare.select("term", "t_class").join(most, "t_class").select("term", "disclosure", "entity")
+    found = stored(rare.select("term", "t_class").join(most, "t_class").select("term", "disclosure", "entity"), "disclosing-terms")
+    space.clear()
+    return found
 
 
 def _label(word: str, rate: float) -> str:
@@ -275,7 +278,7 @@ def sanitise(docs: DataFrame, text: str = "text", with_text: bool = True, broadc
     spark = docs.sparkSession
     short_batches(spark)
     docs = docs.drop("spans")
-    risky = stored(disclosing(docs.select(F.col(text).alias("text")), **how), "disclosing-terms")
+    risky = disclosing(docs.select(F.col(text).alias("text")), **how)
     fields = [f for f in docs.schema.fields if f.name != text] + ([StructField(text, StringType())] if with_text else [])
     schema = StructType([*fields, StructField("spans", SPAN)])
     if risky.count() > broadcast_terms:
