@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import row_key, short_batches, stored, words
+from .common import Scratch, row_key, short_batches, stored, words
 
 SEED, BLOCK, BLOCKS = 42, 3, 22
 #: Random reference fingerprints besides the block masks.
@@ -485,24 +485,27 @@ def _similar_groups(docs: DataFrame, n: int, similarity: float, radius: int, lan
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row_key(doc_id, text))
     schema = StructType([narrow.schema["doc_id"], *(StructField(c, LongType()) for c in ("k1", "k2", "node")), *(StructField(c, ArrayType(LongType(), False)) for c in ("fp", "keys"))])
     prints = stored(narrow.mapInArrow(lambda b: _described(b, n, lanes), schema), "fingerprints")
-    nodes = stored(prints.groupBy("node").agg(F.min(_first()).alias("least"), F.min(F.struct("k1", "k2")).alias("at"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    space = Scratch(spark)
+    nodes = space.stored(prints.groupBy("node").agg(F.min(_first()).alias("least"), F.min(F.struct("k1", "k2")).alias("at"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def met(dealt: DataFrame, how, limit: float, to: str) -> DataFrame:
         return dealt.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(lambda b: how(b, limit), to)
 
     dealt = nodes.select(F.explode("keys").alias("cell"), "node", "fp")
-    stars = stored(met(dealt, _stars, radius, "a long, b long, near boolean").distinct(), "stars")
-    shared = stored(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
+    stars = space.stored(met(dealt, _stars, radius, "a long, b long, near boolean").distinct(), "stars")
+    shared = space.stored(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
     at = nodes.join(shared, "node").select("at.k1", "at.k2", "node")
     texts = narrow.select("k1", "k2", "text").join(at.hint("shuffle_hash"), ["k1", "k2"])
-    sets = stored(texts.select("node", "text").mapInArrow(lambda b: _elements(b, n), "node long, elements array<long>").dropDuplicates(["node"]), "elements")
-    first = stored(_similar(stars.where("near").select("a", "b"), sets, similarity), "similar")
+    sets = space.stored(texts.select("node", "text").mapInArrow(lambda b: _elements(b, n), "node long, elements array<long>").dropDuplicates(["node"]), "elements")
+    first = space.stored(_similar(stars.where("near").select("a", "b"), sets, similarity), "similar")
     rooted = nodes.join(shared, "node").join(components(first), "node", "left").select(F.explode("keys").alias("cell"), "node", F.coalesce("root", "node").alias("root"))
-    rooted = stored(rooted, "rooted")
-    left = stored(_split(rooted), "unconnected")
-    links = stored(met(left.join(sets, "node"), _unconnected, similarity, "a long, b long"), "links-of-cells")
-    return prints, _grouped(nodes, components(first.unionByName(links)))
+    rooted = space.stored(rooted, "rooted")
+    left = space.stored(_split(rooted), "unconnected")
+    links = space.stored(met(left.join(sets, "node"), _unconnected, similarity, "a long, b long"), "links-of-cells")
+    groups = _grouped(nodes, components(first.unionByName(links)))
+    space.clear()
+    return prints, groups
 
 
 def _split(rooted: DataFrame, cell: int = CELL) -> DataFrame:
@@ -537,18 +540,25 @@ def components(edges: DataFrame) -> DataFrame:
     least of them, until nothing changes. Every round is written to the shared folder, so no plan grows with the rounds.
     """
     state = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first()
-    now = stored(edges.select("a", "b").distinct(), "links")
+    # dealt by both ends before equal ones are dropped, so that nothing ties the join before it to a hub's one partition:
+    # adaptive execution can split it
+    once = lambda e: e.repartition("a", "b").distinct()
+    before, rounds = Scratch(edges.sparkSession), Scratch(edges.sparkSession)
+    now = before.stored(edges.select("a", "b").distinct(), "links")
     seen = state(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        large = rounds.stored(once(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        after = stored(small.distinct(), "small-star")
+        after = rounds.stored(once(small), "small-star")
         # sums that are equal are no proof: the edges themselves are compared, which are distinct and as many
         if (counted := state(after)) == seen and after.join(now, ["a", "b"], "left_anti").isEmpty():
+            before.clear()
             return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        before.clear()  # what this round was made from
+        before, rounds = rounds, Scratch(edges.sparkSession)
         now, seen = after, counted
 
 
