@@ -34,6 +34,8 @@ from .common import stored
 K, SCALE, EVERY = 5, 256, 50
 #: Candidates of a block, and queries asked of it at once: a task holds a few matrices of their product.
 CANDIDATES, QUERIES = 4096, 256
+#: Components of a block of candidates: of long vectors it holds fewer.
+COMPONENTS = 1 << 19
 #: Bytes of the queries that are broadcast at once.
 QUERY_BYTES = 32 << 20
 #: Shares of the lists after which bounds are compared; the last reads them to the end.
@@ -188,9 +190,11 @@ def _search(batches: Iterator[pa.RecordBatch], asked: tuple[np.ndarray, np.ndarr
         best.see(t.column("vec_id").to_numpy(), _matrix(lists), queries)
 
     for batch in batches:
-        for a in range(0, batch.num_rows, candidates):
-            part = batch.slice(a, candidates)
-            if n + part.num_rows > candidates:
+        width = max(1, asked[1].shape[1], int(batch.column("v").value_lengths().to_numpy().max(initial=0)))
+        most = max(1, min(candidates, COMPONENTS // width))
+        for a in range(0, batch.num_rows, most):
+            part = batch.slice(a, most)
+            if n and n + part.num_rows > most:
                 spend()
                 held, n = [], 0
             held, n = [*held, part], n + part.num_rows
