@@ -18,7 +18,9 @@ shares no key with probability (1 - s ** BAND_ROWS) ** BANDS, 0.0004 at 0.8. Piv
 than that, so the tables would discard next to nothing and every pair of documents would have to be verified.
 
 In a cell the middle fingerprint is the pivot: members whose fingerprints differ from it by more than the radius are
-discarded, the others are verified, and links found are contracted, which leaves little of a group of near copies. Cells
+discarded, the others are verified, and links found are contracted, which leaves little of a group of near copies. A cell
+of more than MIDDLE fingerprints is dealt to parts of that size, each with a pivot of its own, and the pivots of the parts
+meet in the cell. Cells
 that hold several components then still have to be compared outside of them. In a cell of more than CELL sets, the largest
 component is the trunk; the others are dealt to blocks, and each block is compared to every block of the trunk and of the
 others. So no task holds more than two blocks, whatever the cell, and members of the trunk are never compared to each other.
@@ -293,20 +295,18 @@ def _middle(fp: np.ndarray) -> int:
 
 
 def _stars(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Each node of a cell with the middle one of its first MIDDLE rows, and whether their fingerprints are within the radius.
-
-    A cell is read through, never held whole.
-    """
+    """Each node of a cell with its hub, the middle one of its first MIDDLE rows, and whether their fingerprints are within
+    the radius. A cell is read through, never held whole."""
     now, centre, of = None, None, None
 
-    def spokes(cell: int, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def spokes(cell: int, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
         nonlocal now, centre, of
         if cell != now:
             at = _middle(fp[:MIDDLE])
             now, centre, of = cell, fp[at].copy(), int(node[at])
         near = np.bitwise_count(fp ^ centre).sum(axis=1, dtype=np.int64) <= radius
         other = node != of
-        return np.maximum(node, of)[other], np.minimum(node, of)[other], near[other]
+        return np.maximum(node, of)[other], np.minimum(node, of)[other], near[other], np.full(int(other.sum()), of)
 
     for cell, fp, node in _whole_cells(batches, ["node"], MIDDLE):
         start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
@@ -314,11 +314,11 @@ def _stars(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         more = cell[start] == now  # the rest of a cell that was given in part
         x = start[(size == 2) & ~more]
         far = np.bitwise_count(fp[x] ^ fp[x + 1]).sum(axis=1, dtype=np.int64)
-        found = [(np.maximum(node[x], node[x + 1]), np.minimum(node[x], node[x + 1]), far <= radius)]
+        found = [(np.maximum(node[x], node[x + 1]), np.minimum(node[x], node[x + 1]), far <= radius, node[x])]
         some = (size > 2) | more
         found += [spokes(int(cell[s]), fp[s : s + n], node[s : s + n]) for s, n in zip(start[some].tolist(), size[some].tolist())]
-        a, b, near = (np.concatenate(x) for x in zip(*found))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], ["a", "b", "near"])
+        a, b, near, hub = (np.concatenate(x) for x in zip(*found))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near), pa.array(hub)], ["a", "b", "near", "hub"])
 
 
 def _common(sets: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -493,7 +493,13 @@ def _similar_groups(docs: DataFrame, n: int, similarity: float, radius: int, lan
         return dealt.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(lambda b: how(b, limit), to)
 
     dealt = nodes.select(F.explode("keys").alias("cell"), "node", "fp")
-    stars = space.stored(met(dealt, _stars, radius, "a long, b long, near boolean").distinct(), "stars")
+    full = space.stored(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MIDDLE), "full-cells")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / MIDDLE))
+    parts_of = dealt.join(full, "cell", "left").select(F.when(F.col("n").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", part)).alias("cell"), "node", "fp")
+    star = "a long, b long, near boolean, hub long"
+    inner = space.stored(met(parts_of, _stars, radius, star).distinct(), "stars-of-parts")
+    hubs = dealt.join(full, "cell", "left_semi").join(inner.select(F.col("hub").alias("node")).distinct(), "node", "left_semi").select("cell", "node", "fp")
+    stars = space.stored(inner.unionByName(met(hubs, _stars, radius, star)).select("a", "b", "near").distinct(), "stars")
     shared = space.stored(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
     at = nodes.join(shared, "node").select("at.k1", "at.k2", "node")
     texts = narrow.select("k1", "k2", "text").join(at.hint("shuffle_hash"), ["k1", "k2"])
