@@ -85,33 +85,42 @@ def sparse_arm(queries: DataFrame, docs: DataFrame, doc_id: str, query_id: str,
 
 
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
-    """Lists as rows of unit length, filled up with zeros to the width; longer ones lose what no query has."""
+    """Lists as rows of unit length, filled up with zeros to the width; components that are no finite number count as 0."""
     sizes = lists.value_lengths().to_numpy()
     m = np.zeros((len(sizes), max(width, int(sizes.max(initial=0)))))
-    m[np.arange(m.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
+    m[np.arange(m.shape[1]) < sizes[:, None]] = np.nan_to_num(lists.flatten().to_numpy(zero_copy_only=False), posinf=0, neginf=0)
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
+def _best(scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, ties to the smaller document; only what reaches the k-th score is sorted."""
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+    row, column = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((docs[row, column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, column = (x[place < k].reshape(len(scores), k) for x in (row, column))
+    return scores[row, column], docs[row, column]
+
+
 def _nearest(batches: Iterator[pa.RecordBatch], asked: pa.Table, k: int, block: int) -> Iterator[pa.RecordBatch]:
     """The k best points of the partition for each query: blocks of points by blocks of queries, and what is best so far."""
     lists = asked.column("v").combine_chunks()
     width = int(lists.value_lengths().to_numpy().max(initial=0))
     q = _matrix(lists, width)
-    scores, docs = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+    scores, docs = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
     for batch in batches:
         for at in range(0, batch.num_rows, block):
             part = batch.slice(at, block)
-            points, p = part.column("doc").to_numpy(), _matrix(part.column("v"), width)
-            new = np.empty((len(q), len(points)))
+            points, p = part.column("doc").to_numpy(), _matrix(part.column("v"), width)[:, :width].T
             for a in range(0, len(q), block):
-                new[a : a + block] = np.round(q[a : a + block] @ p[:, :width].T, DECIMALS)
-            scores, docs = np.hstack([scores, new]), np.hstack([docs, np.broadcast_to(points, new.shape)])
-            best = np.lexsort((docs, -scores), axis=1)[:, :k]
-            scores, docs = np.take_along_axis(scores, best, 1), np.take_along_axis(docs, best, 1)
-    n = scores.shape[1]
-    ids = asked.column("query_id").combine_chunks().take(pa.array(np.repeat(np.arange(len(q)), n)))
-    yield pa.RecordBatch.from_arrays([ids, pa.array(docs.ravel()), pa.array(scores.ravel())], ["query_id", "doc", "score"])
+                rows = slice(a, a + block)
+                new = np.round(q[rows] @ p, DECIMALS)
+                scores[rows], docs[rows] = _best(np.hstack([scores[rows], new]), np.hstack([docs[rows], np.broadcast_to(points, new.shape)]), k)
+    row, column = np.nonzero(scores > -np.inf)
+    ids = asked.column("query_id").combine_chunks().take(pa.array(row))
+    yield pa.RecordBatch.from_arrays([ids, pa.array(docs[row, column]), pa.array(scores[row, column])], ["query_id", "doc", "score"])
 
 
 def dense_arm(queries: DataFrame, points: DataFrame, k: int = ARM_LIMIT, block: int = 1024, query_bytes: int = QUERY_BYTES) -> DataFrame:

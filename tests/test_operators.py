@@ -429,7 +429,10 @@ def test_dense_arm_in_many_query_blocks(spark):
     asked = points.limit(20).select(F.concat(F.lit("q"), F.col("doc").cast("string")).alias("query_id"), "vector")
     key = lambda df: sorted(map(tuple, df.select("query_id", "doc", "rank", "score").collect()))
     assert key(R.dense_arm(asked, points, 7)) == key(R.dense_arm(asked, points, 7, block=3, query_bytes=200))
-    assert R.dense_arm(asked.limit(0), points, 7).count() == 0
+    assert R.dense_arm(asked.limit(0), points, 7).count() == 0 == R.dense_arm(asked, points.limit(0), 7).count()
+    odd = spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [None, 1.0]), (3, [0.0, 2.0]), (4, None)], "doc long, vector array<double>")
+    got = R.dense_arm(odd.where("doc = 3").withColumnRenamed("doc", "query_id"), odd, 5).orderBy("rank").collect()
+    assert [(r["doc"], r["score"]) for r in got] == [(1, 1.0), (2, 1.0), (3, 1.0)]
 
 
 def test_store_commits_once(spark, tmp_path):
