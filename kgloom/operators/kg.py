@@ -72,10 +72,20 @@ def merged_relationships(rows: DataFrame, domain: Column | None = None) -> DataF
     """
     ends = {end: N.canonical_name(N.clean_name(F.col(end)), domain) for end in ("source", "target")}
     rows = rows.withColumns({**ends, "type": F.coalesce("type", F.lit(N.DEFAULT_REL_TYPE)), "description": F.coalesce("description", F.lit("")), "strength": F.coalesce("strength", F.lit(N.DEFAULT_STRENGTH))})
-    longest = F.struct((-F.length("description")).alias("l"), "seq", "description")
-    found = _facts(rows, ["source", "target", "type"], longest, F.struct("seq", F.coalesce("semantic_type", "type").alias("semantic_type")), F.col("strength"))
-    strongest = F.array_max(F.transform("raws", lambda r: r["raw"].cast(rows.schema["strength"].dataType)))
-    return found.select("source", "target", "type", F.col("best.description").alias("description"), strongest.alias("strength"), F.col("first.semantic_type").alias("semantic_type"), "keywords", "chunks")
+    # all but the sets is the same however often a row comes, so that a row for each keyword does
+    facts = rows.select(
+        "source", "target", "type", "strength", "chunk",
+        F.struct((-F.length("description")).alias("l"), "seq", "description").alias("best"),
+        F.struct("seq", F.coalesce("semantic_type", "type").alias("semantic_type")).alias("first"),
+        F.explode_outer("keywords").alias("keyword"),
+    )
+    return facts.groupBy("source", "target", "type").agg(
+        F.min("best")["description"].alias("description"),
+        F.max("strength").alias("strength"),
+        F.min("first")["semantic_type"].alias("semantic_type"),
+        F.array_sort(F.collect_set("keyword")).alias("keywords"),
+        F.array_sort(F.collect_set("chunk")).alias("chunks"),
+    )
 
 
 def guarded(rels: DataFrame, entities: DataFrame, compat: bool = False) -> DataFrame:
