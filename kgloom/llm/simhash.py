@@ -10,12 +10,14 @@ fingerprint is dealt to its own cell and to those one step away, and each pair w
 are discarded whose coordinates to further random pivots differ by more than the radius, and survivors are verified. With
 blocks of three bits the fullest cell of N different random fingerprints holds about N * 5e-8 of them.
 
-Links, by similarity of shingles. Two texts are linked if the exact weighted Jaccard similarity of their shingles is at
-least `similarity`. Each repeat of a shingle is an element of its own, so that this is the similarity of two sets. Texts
-are dealt to BANDS tables keyed by the least values of BAND_ROWS hash functions over the elements; a pair at similarity s
-shares no key with probability (1 - s ** BAND_ROWS) ** BANDS, 0.0004 at 0.8. Pivot coordinates can't replace these keys: at
-0.8 fingerprints of 256 bits are 39 bits apart, with a deviation of 6, and the coordinates of unrelated ones differ by less
-than that, so the tables would discard next to nothing and every pair of documents would have to be verified.
+Links, by similarity of shingles. Two texts are linked if their shingles have a cosine similarity of at least `similarity`:
+what they have in common over the root of the product of their numbers. That is the similarity which SimHash estimates by
+its bits; a repeat of a shingle is an element of its own, so that texts are sets. It is computed exactly. Texts are dealt to
+BANDS tables keyed by the least values of BAND_ROWS hash functions over the elements. A pair that shares a part j of all its
+elements shares no key with probability (1 - j ** BAND_ROWS) ** BANDS: of two texts of one length j is 2/3 at 0.8, where
+that is 0.0004; if one text is part of the other, j is 0.64 and it is 0.0014. Pivot coordinates can't replace these keys:
+at 0.8 fingerprints of 256 bits are 52 bits apart, with a deviation of 6, and the coordinates of unrelated ones differ by
+less than that, so the tables would discard next to nothing and every pair of documents would have to be verified.
 
 In a cell the middle fingerprint is the pivot: members whose fingerprints differ from it by more than the radius are
 discarded, the others are verified, and links found are contracted, which leaves little of a group of near copies. A cell
@@ -55,7 +57,7 @@ SEED, BLOCK, BLOCKS = 42, 3, 22
 PIVOTS = 24
 #: Shingles hashed at a time, and fingerprints compared at a time.
 STEP, SIDE = 1 << 16, 2048
-BANDS, BAND_ROWS = 20, 5
+BANDS, BAND_ROWS = 36, 4
 #: Sets of a cell that one task compares; larger cells are compared in blocks of half as many.
 CELL = 1024
 #: Rows of a cell among which the middle one is looked for.
@@ -356,8 +358,8 @@ def _unconnected(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterat
             size = np.array([len(e) for e in sets[s : s + n]])
             for a, b, common in _common(list(sets[s : s + n])):
                 u, v = common.shape
-                both = size[a : a + u, None] + size[None, b : b + v] - common
-                x, y = np.nonzero((common >= similarity * both - 1e-9) & (group[a : a + u, None] != group[None, b : b + v]))
+                least = similarity * np.sqrt(size[a : a + u, None] * size[None, b : b + v].astype(float))
+                x, y = np.nonzero((common >= least - 1e-9) & (group[a : a + u, None] != group[None, b : b + v]))
                 group = _joined(group, x + a, y + b)
             at = np.flatnonzero(group != np.arange(n))
             found.append(np.column_stack([node[s + at], node[s + group[at]]]))
@@ -467,7 +469,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = pairs.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b")
     small, large = F.least(F.size("ea"), F.size("eb")), F.greatest(F.size("ea"), F.size("eb"))
     common = F.size(F.array_intersect("ea", "eb"))
-    alike = F.when(small >= large * similarity - 1e-9, common >= similarity * (F.size("ea") + F.size("eb") - common) - 1e-9)
+    alike = F.when(small >= large * similarity**2 - 1e-9, common >= similarity * F.sqrt(small.cast("double") * large) - 1e-9)
     return both.where(alike).select("a", "b")
 
 
