@@ -185,7 +185,7 @@ def prompt_builders(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", *[F.md5(c).alias(n) for n, c in made.items()])
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'gave up' ELSE md5(text) END AS answer, CASE WHEN doc_id % 7 = 0 THEN 4 WHEN doc_id % 3 = 0 THEN 3 ELSE 1 END AS calls FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'gave up' ELSE md5(text) END AS answer, CAST(CASE WHEN doc_id % 7 = 0 THEN 4 WHEN doc_id % 3 = 0 THEN 3 ELSE 1 END AS BIGINT) AS calls FROM documents")
 def provider_retried(spark, sf_dir):
     """A registered provider whose calls fail: some twice, some always, which gives the fallback."""
     from kgloom.plans.providers import PROVIDERS, retried, using
