@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, line_dedup, pii, quality, sharding, simhash, topk, warc
+from . import bpe, chat, decontaminate, line_dedup, phrases, pii, quality, sharding, simhash, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +64,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), max_n=3, min_count=10, top=2000, held_by=50)
+
+
+_QUERIES = (op1_sharding, op2_topk, op3_chat, op4_line_dedup, op5_warc, op6_decontaminate, op7_bpe, op8_simhash, op9_pii, op10_quality, op11_phrases)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_topk, op3_chat, op4_line_dedup, op5_warc, op6_decontaminate, op7_bpe, op8_simhash, op9_pii, op10_quality)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 #: DuckDB over the same tables. A-Z and a-z are fixed values; blanks are [\x20\x09-\x0D].
@@ -115,5 +122,48 @@ FROM w
 """
 
 
+_OP11 = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, lang, piece
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece
+    FROM documents
+  )
+), words AS (
+  SELECT p, lang, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM (SELECT p, lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces)
+), suffixes AS (
+  SELECT lang, word AS w1, lead(word) OVER s AS w2, lead(word, 2) OVER s AS w3 FROM words WINDOW s AS (PARTITION BY p ORDER BY i)
+), f AS MATERIALIZED (
+  SELECT lang, w1 AS phrase, 1 AS k, count(*) AS f FROM suffixes GROUP BY ALL
+  UNION ALL SELECT lang, w1 || ' ' || w2, 2, count(*) FROM suffixes WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3, count(*) FROM suffixes WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), totals AS (
+  SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, j.j, array_to_string(string_split(c.phrase, ' ')[:j.j], ' ') AS first, array_to_string(string_split(c.phrase, ' ')[j.j + 1:], ' ') AS rest
+  FROM f c JOIN (VALUES (1), (2)) j(j) ON j.j < c.k
+), firsts AS MATERIALIZED (
+  SELECT cuts.*, f.f AS l FROM cuts JOIN f ON f.lang = cuts.lang AND f.phrase = cuts.first
+), both_parts AS MATERIALIZED (
+  SELECT firsts.*, f.f AS r FROM firsts JOIN f ON f.lang = firsts.lang AND f.phrase = firsts.rest
+), scored AS (
+  SELECT *, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score,
+         row_number() OVER (PARTITION BY lang, phrase ORDER BY (1000000::HUGEINT * a * a) // (l::HUGEINT * r), j) AS place
+  FROM both_parts
+), longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, array_to_string(string_split(phrase, ' ')[:2], ' ') AS phrase, f FROM f WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(string_split(phrase, ' ')[2:], ' '), f FROM f WHERE k = 3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN longer h ON h.lang = s.lang AND h.phrase = s.phrase
+  WHERE place = 1 AND (h.f IS NULL OR 100 * h.f < 50 * a)
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": _OP2, "op4_line_dedup": _OP4, "op5_warc": _OP5}
+    return {"op2_topk": _OP2, "op4_line_dedup": _OP4, "op5_warc": _OP5, "op11_phrases": _OP11}
