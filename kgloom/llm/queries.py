@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, line_dedup, phrases, pii, quality, sharding, simhash, topk, warc
+from . import bpe, chat, decontaminate, line_dedup, phrases, pii, quality, sharding, simhash, topk, trie, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,7 +68,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), max_n=3, min_count=10, top=2000, held_by=50)
 
 
-_QUERIES = (op1_sharding, op2_topk, op3_chat, op4_line_dedup, op5_warc, op6_decontaminate, op7_bpe, op8_simhash, op9_pii, op10_quality, op11_phrases)
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+_QUERIES = (op1_sharding, op2_topk, op3_chat, op4_line_dedup, op5_warc, op6_decontaminate, op7_bpe, op8_simhash, op9_pii, op10_quality, op11_phrases, op12_trie)
 
 
 def queries() -> dict[str, Query]:
