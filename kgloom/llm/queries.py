@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, line_dedup, phrases, pii, quality, sharding, simhash, topk, trie, warc
+from . import bpe, chat, decontaminate, line_dedup, phrases, pii, quality, sharding, simhash, spans, topk, trie, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,7 +72,12 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
 
 
-_QUERIES = (op1_sharding, op2_topk, op3_chat, op4_line_dedup, op5_warc, op6_decontaminate, op7_bpe, op8_simhash, op9_pii, op10_quality, op11_phrases, op12_trie)
+def op13_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+_QUERIES = (op1_sharding, op2_topk, op3_chat, op4_line_dedup, op5_warc, op6_decontaminate, op7_bpe, op8_simhash, op9_pii, op10_quality, op11_phrases, op12_trie, op13_spans)
 
 
 def queries() -> dict[str, Query]:
@@ -168,6 +173,24 @@ WITH pieces AS (
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept JOIN totals USING (lang) WHERE rank <= 2000
 """
 
+_OP13 = r"""
+WITH words AS (
+  SELECT r, doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word
+  FROM (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
+), windows AS (
+  SELECT r, doc_id, i, word, md5(string_agg(word, ' ') OVER f) AS key, count(*) OVER f AS n
+  FROM words WINDOW f AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), judged AS (
+  SELECT r, i, word, n = 20 AND row_number() OVER (PARTITION BY key, n ORDER BY doc_id, i) > 1 AS again FROM windows
+), covered AS (
+  SELECT r, i, word, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM judged
+), kept AS (
+  SELECT r, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM covered GROUP BY r
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) LEFT JOIN kept USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": _OP2, "op4_line_dedup": _OP4, "op5_warc": _OP5, "op11_phrases": _OP11}
+    return {"op2_topk": _OP2, "op4_line_dedup": _OP4, "op5_warc": _OP5, "op11_phrases": _OP11, "op13_spans": _OP13}

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom.llm import phrases, queries, trie
+from kgloom.llm import phrases, queries, spans, trie
 from kgloom.llm.common import table
 
 
@@ -185,3 +185,96 @@ def test_trie_odd_rows(spark):
 def test_trie_of_the_given_table(spark, small):
     rows = [tuple(r) for r in table(spark, small, "conversations").select("conv_id", "turn", "role", "text").collect()]
     assert rows_of(queries.op12_trie(spark, small)) == brute_trie(brute_rebuilt(rows))
+
+
+# ---------------------------------------------------------------- 13
+
+
+def brute_spans(rows, length):
+    """rows: (doc_id, text) with different ids, in any order."""
+    first, out = {}, []
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        w = re.findall("[^\\x20\\x09-\\x0D]+", text or "")
+        gone = set()
+        for i in range(len(w) - length + 1):
+            if first.setdefault(tuple(w[i : i + length]), (doc_id, i)) != (doc_id, i):
+                gone.update(range(i, i + length))
+        out.append((doc_id, " ".join(x for i, x in enumerate(w) if i not in gone), len(w), len(gone)))
+    return sorted(out, key=str)
+
+
+def passages(seed, n, length, vocabulary=30):
+    rng = random.Random(seed)
+    some = lambda k: [rng.choice(["É", "a", "b"]) + str(rng.randrange(vocabulary)) for _ in range(k)]
+    shared = [some(rng.randint(length - 2, 3 * length)) for _ in range(6)]
+    rows = []
+    for i in range(n):
+        w = some(rng.randint(0, 40))
+        for _ in range(rng.randint(0, 3)):
+            w += rng.choice(shared) + some(rng.randint(0, 9))
+        if rows and rng.random() < 0.2:
+            w = rng.choice(rows)[1].split() + some(rng.randint(0, 3))
+        rows.append((i * 3 - 50, rng.choice([" ", "\n", " \t"]).join(w)))
+    return rows
+
+
+def spans_of(spark, rows, **more):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    return rows_of(spans.without_repeats(docs, **more).select("doc_id", "text", "n_words", "n_removed"))
+
+
+@pytest.mark.parametrize(("length", "shingle", "vocabulary"), [(5, 3, 30), (8, 8, 30), (6, 1, 2), (4, 2, 1)])
+def test_spans_against_plain_version(spark, length, shingle, vocabulary):
+    rows = passages(length, 120, length, vocabulary)
+    want = brute_spans(rows, length)
+    assert spans_of(spark, rows, length=length, shingle=shingle) == want and sum(r[3] for r in want) > 100
+
+
+def test_spans_of_hot_anchors_and_full_tasks(spark, monkeypatch):
+    """Anchors dealt by whole windows, shards of few passages, and tasks that forget what they have met."""
+    rows = passages(9, 150, 6)
+    for hot, shard, held in ((1, 3, 5), (4, 1, 100_000), (10_000, 1_000_000, 1)):
+        monkeypatch.setattr(spans, "HOT", hot)
+        monkeypatch.setattr(spans, "SHARD", shard)
+        monkeypatch.setattr(spans, "HELD", held)
+        assert spans_of(spark, rows, length=6, shingle=3) == brute_spans(rows, 6)
+
+
+def test_automaton_knows_all_substrings_and_their_first_places():
+    rng = random.Random(3)
+    for _ in range(60):
+        texts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 6))]
+        order = rng.sample(range(len(texts)), len(texts))
+        a = spans.Automaton()
+        for i in order:
+            a.add(texts[i], i, 0, 0)
+        a.close()
+        assert len(a.size) <= 2 * sum(map(len, texts)) + 1
+        asked = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(15)]
+        for length in (1, 2, 3):
+            found = list(a.earliest(asked, length))
+            for i, place in enumerate(found):
+                w = asked[i : i + length]
+                at = [(d, 0, j + length - 1) for d, t in enumerate(texts) for j in range(len(t) - length + 1) if t[j : j + length] == w]
+                assert place == min(at, default=None)
+
+
+def test_spans_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, long), (3, None), (4, ""), (5, " \n "), (6, "x" * 100_000), (7, long), (8, "a " * 5000), (9, f"{long} {long}"), (-1, "é " + long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("mine")).withColumn("spans", F.lit(1)).withColumn("doc", F.lit(None).cast("date"))
+    got = spans.without_repeats(docs)
+    assert got.columns == ["doc_id", "text", "spans", "doc", "n_words", "n_removed"]
+    assert rows_of(got.select("doc_id", "text", "n_words", "n_removed")) == brute_spans(rows, 20)
+    assert spans.without_repeats(docs.limit(0)).count() == 0
+    # rows that repeat id and text are one document; rows that repeat an id are documents of their own
+    twice = spans.without_repeats(spark.createDataFrame([(1, long), (1, long)], "doc_id long, text string")).collect()
+    assert [r.n_removed for r in twice] == [0, 0]
+    other = spans.without_repeats(spark.createDataFrame([(1, long), (1, long + " z")], "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in other) == [0, 30]
+
+
+def test_spans_of_the_given_table(spark, small):
+    rows = [tuple(r) for r in table(spark, small, "documents").select("doc_id", "text").collect()]
+    want = [(d, n, m, hashlib.sha256(t.encode()).hexdigest()) for d, t, n, m in brute_spans(rows, 20)]
+    assert rows_of(queries.op13_spans(spark, small)) == sorted(want, key=str) and sum(r[2] for r in want) > 0
