@@ -132,6 +132,13 @@ def hits(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), passed.alias("passed")).withColumn("status", F.when(F.col("passed") == F.col("total"), "PASS").otherwise("FAIL"))
 
 
+def hits_by(rows: DataFrame, by: str) -> DataFrame:
+    """The same for each value of a column, as one row for each test conversation."""
+    passed = F.count_if(T.any_keyword(F.col("response"), F.col("keywords")))
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("total"), passed.alias("passed"))
+    return counts.withColumn("status", F.when(F.col("passed") == F.col("total"), "PASS").otherwise("FAIL"))
+
+
 def file_sizes(spark, path: str, max_mb: int = MAX_MB) -> DataFrame:
     """path, length, within_limit of each file; contents aren't read."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")

@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 from kgloom.functions import text as T
 from kgloom.operators import evaluate, fusion, graph
 from kgloom.operators import retrieval as R
+from kgloom.operators.retrieval import K
 from kgloom.sources import jsonl
+from kgloom.sources.points import PointStore
 
 from .providers import PROVIDERS
 
@@ -26,16 +28,23 @@ def query_entities(asked: DataFrame, text: str = "text") -> DataFrame:
     return asked.select("query_id", F.posexplode(found).alias("pos", "e")).select("query_id", (F.col("pos") + 1).alias("entity_pos"), F.col("e.name").alias("name"))
 
 
-def retrieve(docs: DataFrame, asked: DataFrame, points: DataFrame, query_vectors: DataFrame, entities: DataFrame | None = None, mentions: DataFrame | None = None, k: int = 5, edges: DataFrame | None = None) -> DataFrame:
+def retrieve(docs: DataFrame | None, asked: DataFrame, points: DataFrame | None, query_vectors: DataFrame, entities: DataFrame | None = None, mentions: DataFrame | None = None, k: int = K, edges: DataFrame | None = None, store: PointStore | None = None) -> DataFrame:
     """query_id, doc, text, arm, position, max_score: hybrid search, with graph documents after it if entities are given.
 
     docs: doc_id, text; asked: query_id, text and, if questions are to be made standalone first, history; entities:
     query_id, entity_pos, name; mentions: chunk_id, name. What each arm finds goes through one plan: the best score is a
-    window over it, and texts are joined once.
+    window over it, and texts are joined once. store: takes the place of docs and points; no document is tokenised.
     """
+    if store is not None:
+        points = store.points.read()
+        docs = points.select(F.col("doc").alias("doc_id"), "text")
     if "history" in asked.columns:
         asked = rewritten(asked).withColumn("text", F.col("standalone"))
-    found = R.hybrid(asked.withColumn("text", T.duplicated(F.col("text"))), docs, points, query_vectors, "doc_id", "query_id", k)
+    twice = asked.withColumn("text", T.duplicated(F.col("text")))
+    if store is not None:
+        found = R.fused([(R.dense_arm(query_vectors, points), 1.0), (store.sparse_arm(twice, "query_id"), 1.0)], k)
+    else:
+        found = R.hybrid(twice, docs, points, query_vectors, "doc_id", "query_id", k)
     rows = found.select("query_id", "doc", F.lit(0).alias("arm"), F.col("rank").alias("pos"), F.col("score_norm").alias("score"))
     if entities is not None:
         near = graph.search(entities, mentions, edges, k)
@@ -47,14 +56,17 @@ def retrieve(docs: DataFrame, asked: DataFrame, points: DataFrame, query_vectors
     return out.select("query_id", "doc", "text", "arm", "position", "max_score")
 
 
-def predictions(asked: DataFrame, retrieved: DataFrame, threshold: float = R.IDK_THRESHOLD) -> DataFrame:
-    """query_id, contexts, answer of every question: the gate's message where nothing good was found."""
+def predictions(asked: DataFrame, retrieved: DataFrame, threshold: float = R.IDK_THRESHOLD, failed: bool = False) -> DataFrame:
+    """query_id, contexts, answer of every question: the gate's message where nothing good was found.
+
+    A call that failed (null) gives the message too, or with failed=True no answer, if the gate let it pass.
+    """
     rows = F.sort_array(F.collect_list(F.struct("position", F.col("doc").cast("string").alias("document_id"), "text", F.col("max_score").alias("score"))))
     grouped = retrieved.groupBy("query_id").agg(rows.alias("rows"), F.max("max_score").alias("max_score"))  # k rows a question
     joined = asked.select("query_id", F.col("text").alias("question")).join(grouped, "query_id", "left")
     contexts = F.coalesce(F.transform("rows", lambda r: F.struct(r["document_id"], r["text"], r["score"])), F.array().cast("array<struct<document_id:string,text:string,score:double>>"))
     made = PROVIDERS["answer"](F.col("question"), F.transform("rows", lambda r: r["text"]))
-    return joined.select("query_id", contexts.alias("contexts"), R.gated(F.coalesce(made, F.lit(T.IDK_MESSAGE)), F.coalesce("max_score", F.lit(0.0)), threshold).alias("answer"))
+    return joined.select("query_id", contexts.alias("contexts"), R.gated(made if failed else F.coalesce(made, F.lit(T.IDK_MESSAGE)), F.coalesce("max_score", F.lit(0.0)), threshold).alias("answer"))
 
 
 def with_references(answers: DataFrame) -> DataFrame:
@@ -80,7 +92,7 @@ def predicted_tasks(tasks: DataFrame, answered: DataFrame) -> DataFrame:
     return joined.withColumns({"contexts": F.coalesce("found", none), "predictions": made}).drop("found", "answer")
 
 
-def answered(docs: DataFrame, asked: DataFrame, points: DataFrame, query_vectors: DataFrame, k: int = 5, **graph_arm: DataFrame) -> DataFrame:
+def answered(docs: DataFrame | None, asked: DataFrame, points: DataFrame | None, query_vectors: DataFrame, k: int = K, **graph_arm: DataFrame) -> DataFrame:
     """query_id, contexts, answer of every question: a configured run, with the graph arm if its tables are given."""
     return predictions(asked.select("query_id", "text"), retrieve(docs, asked, points, query_vectors, k=k, **graph_arm))
 

@@ -177,3 +177,29 @@ def keyword_hit_rollup(spark, sf_dir):
     return evaluate.hits(rows)
 
 
+@query("SELECT conv_id, count(*) AS total, count(*) FILTER (WHERE contains(lower(text), 'ion') OR contains(lower(text), 'über')) AS passed, CASE WHEN count(*) = count(*) FILTER (WHERE contains(lower(text), 'ion') OR contains(lower(text), 'über')) THEN 'PASS' ELSE 'FAIL' END AS status FROM conversations GROUP BY conv_id")
+def conversation_hits(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("text").alias("response"), F.array(F.lit("ION"), F.lit("über")).alias("keywords"))
+    return evaluate.hits_by(rows, "conv_id")
+
+
+@query(rf"""WITH RECURSIVE t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations WHERE role = 'user'),
+r AS (
+  SELECT conv_id, turn, n, text, 0::BIGINT AS n_before, md5(text || '|') AS answer, ['Q: ' || text || chr(10) || 'A: ' || md5(text || '|')] AS said FROM t WHERE n = 1
+  UNION ALL
+  SELECT conv_id, turn, n, text, len(said), a, list_append(said, 'Q: ' || text || chr(10) || 'A: ' || a)[-5:] FROM (
+    SELECT *, md5(CASE WHEN regexp_matches(lower(text), '(^|[^\p{{L}}]){REFERS}([^\p{{L}}]|$)') THEN text || ' ' || last ELSE text END || '|' || array_to_string(said, chr(10))) AS a
+    FROM (SELECT t.*, r.answer AS last, r.said FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n + 1)))
+SELECT conv_id, turn, n_before, answer FROM r""")
+def conversation_rounds(spark, sf_dir):
+    """Every answer is a digest of the question, made standalone by the last answer, and of the history: a chain of all turns."""
+    from kgloom.plans import rag, rounds
+    from kgloom.plans.providers import using
+
+    def respond(given):
+        made = rag.rewritten(given)
+        return made.select("conv_id", F.md5(F.concat("standalone", F.lit("|"), conversation.history_text(F.col("history")))).alias("answer"))
+
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    with using(rewrite=lambda q, h: F.concat_ws(" ", q, F.element_at(h, -1)["response"])):
+        return rounds.in_rounds(asked, respond).select("conv_id", "turn", F.size("history").cast("long").alias("n_before"), "answer")

@@ -10,13 +10,15 @@ from kgloom.operators import kg
 from kgloom.plans import extraction, indexing, rag
 from kgloom.plans.providers import DIMENSIONS, using
 from kgloom.shared import scratch
-from kgloom.sources.store import ExtractionCache, GraphStore, PointStore
+from kgloom.sources.points import PointStore
+from kgloom.sources.store import ExtractionCache, GraphStore
 from kgloom.streaming import indexer
 from kgloom.streaming.memory import remembered
 
 from . import query, table
 from .evaluation import TURNS, asked as turns
-from .search import SPARSE, _posted, items, tokens_sql
+from .search import DENSE, IDF, SPARSE, _posted, fused_sql, items, query_vectors, tokens_sql
+from .search import points as vectors
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,23 @@ def sparse_topk_stored(spark, sf_dir):
     return store.sparse_arm(items(spark, sf_dir), "item_id", 10).select("query_id", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+#: As SPARSE, where all points count as documents.
+SPARSE_OF_ALL = SPARSE.replace(IDF, IDF.replace("(SELECT count(*) FROM documents)", "(SELECT count(*) FROM (SELECT doc_id FROM documents UNION SELECT vec_id FROM embeddings))"))
+
+
+@query(f"""WITH {SPARSE_OF_ALL}, {DENSE}, {fused_sql(1, 1, 5)}
+SELECT f.query_id, f.doc, f.rank AS position, max(score_norm) OVER (PARTITION BY query_id) AS max_score, md5(coalesce(text, '')) AS digest FROM fused f LEFT JOIN documents ON doc_id = f.doc""")
+def retrieve_stored(spark, sf_dir):
+    """Questions answered by a store alone, after an upsert: texts, vectors and postings, pruned by block maxima."""
+    store = PointStore(spark, scratch(spark, "points"))
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), "text").join(vectors(spark, sf_dir), "doc", "full_outer")
+    store.create(rows.withColumn("text", F.when(F.col("doc") % 10 == 0, F.lit("another text")).otherwise(F.col("text"))).where("doc % 7 <> 0"))
+    store.upsert(rows.where("doc % 7 = 0 or doc % 10 = 0"))
+    asked = items(spark, sf_dir).select(F.col("item_id").alias("query_id"), "text")
+    found = rag.retrieve(None, asked, None, query_vectors(spark, sf_dir), store=store)
+    return found.select("query_id", "doc", F.col("position").cast("long").alias("position"), "max_score", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
 @query("SELECT doc_id AS doc, false AS has_sparse FROM documents WHERE text <> ''")
 def dense_only_store(spark, sf_dir):
     store = PointStore(spark, scratch(spark, "points"))

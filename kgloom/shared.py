@@ -75,3 +75,9 @@ def removed(spark: SparkSession, path: str) -> bool:
     """Deletes a folder; whether there was one."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))

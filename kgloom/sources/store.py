@@ -1,4 +1,4 @@
-"""Stores as Parquet folders: points with postings, the graph's tables, the extraction cache.
+"""Stores as Parquet folders: the graph's tables, the extraction cache, and what they and the point store share.
 
 Plain Parquet has no row-level merge. A table is dealt to BUCKETS by the hash of its key; an upsert reads and rewrites only
 the buckets that its rows touch, into folders of their own, and an append adds folders. A manifest names the folders of
@@ -15,12 +15,12 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kgloom.operators import kg
-from kgloom.operators import retrieval as R
 from kgloom.shared import removed
 
 BUCKETS = 32
@@ -28,6 +28,8 @@ BUCKETS = 32
 SPLITS = 4
 #: Tries of a call, and seconds before the first of them is repeated.
 ATTEMPTS, DELAY = 5, 5.0
+#: Seconds between looks at a manifest that is being written.
+WAITS = (0.1, 0.5, 2.0, 5.0)
 
 
 class Conflict(Exception):
@@ -56,14 +58,15 @@ class _Files:
             source.close()
 
     def create(self, name: str, text: str) -> None:
-        """Whole under its name, or Conflict if there is such a file."""
-        draft = self._path(f"{name}.{uuid.uuid4().hex}")
-        out = self.files.create(draft, False)
+        """Writes a file that mustn't exist yet: of several writers the file system lets one through."""
+        try:
+            out = self.files.create(self._path(name), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                raise Conflict(name) from e
+            raise
         out.write(bytearray(text.encode()))
         out.close()
-        if self.files.exists(self._path(name)) or not self.files.rename(draft, self._path(name)):
-            self.files.delete(draft, False)
-            raise Conflict(name)
 
 
 def last_of_each(rows: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
@@ -90,7 +93,14 @@ class Tables:
     def manifest(self) -> dict[str, Any]:
         """table -> schema, key and, by bucket, folders."""
         found = self.versions()
-        return json.loads(self._files().read(f"_manifest/{found[-1]}.json")) if found else {}
+        for wait in (*WAITS, None):
+            try:
+                return json.loads(self._files().read(f"_manifest/{found[-1]}.json")) if found else {}
+            except ValueError:  # its writer hasn't closed it yet
+                if wait is None:
+                    raise
+                time.sleep(wait)
+        return {}
 
     def commit(self, before: list[int], tables: dict[str, Any]) -> None:
         self._files().create(f"_manifest/{before[-1] + 1 if before else 0}.json", json.dumps(tables))
@@ -176,73 +186,6 @@ class Table:
         return self.tables.read(self.name)
 
 
-class PointStore:
-    """points (doc, vector, text, ...) by doc, and their postings by token. Both change in one commit."""
-
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.tables = Tables(spark, root, buckets)
-        self.points, self.postings = Table(self.tables, "points"), Table(self.tables, "postings")
-
-    def create(self, points: DataFrame, sparse: bool = True, order: str | None = None) -> None:
-        """Replaces what is there."""
-        before, points = self.tables.versions(), last_of_each(points, ["doc"], order)
-        made = {"points": self.tables.replaced({}, "points", points, ["doc"], None)}
-        if sparse:
-            made["postings"] = self.tables.replaced({}, "postings", R.postings(points, "doc"), ["token"], None)
-        self.tables.commit(before, made)
-
-    def upsert(self, points: DataFrame, order: str | None = None, attempts: int = ATTEMPTS, delay: float = DELAY, sleep: Callable[[float], None] = time.sleep) -> None:
-        """Points replace those of the same id; of an id that the rows repeat, the last counts. Postings follow the points.
-
-        A call that fails, or meets another writer, is made again, as often and after as long as told.
-        """
-        for i in range(attempts):
-            try:
-                return self._upsert(points, order)
-            except Exception:
-                if i + 1 == attempts:
-                    raise
-                sleep(delay)
-        return None
-
-    def _upsert(self, points: DataFrame, order: str | None) -> None:
-        before, tables = self.tables.versions(), self.tables.manifest()
-        if "points" not in tables:
-            return self.create(points, order=order)
-        points = last_of_each(points, ["doc"], order)
-        ids = points.select("doc").distinct()
-        over = lambda old, new: old.join(ids, "doc", "left_anti").unionByName(new, allowMissingColumns=True)
-        made = {"points": self.tables.replaced(tables, "points", points, ["doc"], over)}
-        if "postings" in tables:
-            new = R.postings(points, "doc")
-            was = self.tables._read(tables, "points", self.tables.touched(points, "doc")).join(ids, "doc", "left_semi")
-            freed = self.tables.touched(R.postings(was, "doc"), "token")  # where the replaced versions had postings
-            made["postings"] = self.tables.replaced(tables, "postings", new, ["token"], over, freed)
-        self.tables.commit(before, tables | made)
-        return None
-
-    def posted(self, tokens: DataFrame) -> DataFrame:
-        """doc, token, weight of the given tokens (token): only the buckets that hold them are read."""
-        at = self.tables.touched(tokens, "token")
-        return self.tables.read("postings", at).join(tokens.select("token").distinct(), "token", "left_semi").select("doc", "token", "weight")
-
-    def sparse_arm(self, queries: DataFrame, query_id: str, k: int = R.ARM_LIMIT) -> DataFrame:
-        """As retrieval.sparse_arm, from the stored postings: no document is tokenised."""
-        asked = R.asked_tokens(queries, query_id)
-        n_docs = self.points.read().agg(F.count(F.lit(1)).alias("n"))
-        return R.ranked(R.scores_of(asked, self.posted(asked), n_docs), k)
-
-    def stats(self) -> dict[str, Any]:
-        return {"points": self.points.read().count() if self.points.exists() else 0, "has_sparse": self.postings.exists()}
-
-    def missing(self, docs: DataFrame) -> DataFrame:
-        """Documents without a point: what an interrupted indexing still has to do, whatever order it ran in."""
-        return docs.join(self.points.read().select("doc"), "doc", "left_anti") if self.points.exists() else docs
-
-    def drop(self) -> bool:
-        return self.tables.drop()
-
-
 class GraphStore:
     """nodes (name, type, ...), rels (source, target, type, ...), mentions (chunk_id, name)."""
 

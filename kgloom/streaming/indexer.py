@@ -15,7 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kgloom.operators.retrieval import postings
 from kgloom.plans.indexing import index
-from kgloom.sources.store import GraphStore, PointStore
+from kgloom.sources.points import PointStore
+from kgloom.sources.store import GraphStore
 
 FILES_PER_TRIGGER = 16
 

@@ -12,7 +12,8 @@ from kgloom.operators import retrieval as R
 from kgloom.plans import prompts, rag, sizing
 from kgloom.plans.providers import PROVIDERS, register, retried
 from kgloom.sources import jsonl
-from kgloom.sources.store import ExtractionCache, GraphStore, PointStore
+from kgloom.sources.points import PointStore
+from kgloom.sources.store import ExtractionCache, GraphStore
 from kgloom.streaming import indexer
 
 
