@@ -2,11 +2,14 @@
 
 In a block of candidates every dimension is a list of the block's vectors sorted by that component. A query reads the
 lists of its positive weights from the top and those of its negative weights from the bottom, all in step, and adds what
-it reads to the partial scores of the vectors it meets. Between rounds, the sum of what has been read of a vector and the
-far ends of the lists it hasn't been met in is its lower bound; with the places the cursors have reached in place of the
-ends it is its upper bound. A vector whose upper bound is below the k-th lower bound, or below the k-th score of the blocks
-before, is an outsider. A query stops only when no more than k vectors are left, or when its lists have been read to the
-end; then the final scores of those few are resolved from the components that haven't been met yet.
+it reads to the partial scores of the vectors it meets. What has been read of a vector and the places that the cursors
+have reached, in the lists it hasn't been met in, give its upper bound; with the far ends of the lists it is its lower
+bound. A vector whose upper bound is below the k-th lower bound, or below the k-th score of earlier blocks, is an outsider.
+A query stops when all are outsiders but a share RESOLVE of the block, and the final scores of those are resolved from the
+components that haven't been met yet. A task's first block is small, and so gives the others a k-th score to begin with.
+
+Bounds are floating point numbers with as much to spare as sums can lose by rounding; where scores may exceed 2^52, final
+scores are sums of Python's integers, so size changes nothing else.
 
 Candidates stay where they are: each task reads its own partition in blocks of bounded size and never moves a vector.
 Queries are dealt to blocks of bounded bytes that are broadcast one after the other; more queries mean more passes over
@@ -15,7 +18,7 @@ the candidates. A task keeps k rows for each query of the block, and these are m
 Defined results: components become floor(256 * x). Rows without id, with a null vector, or with a null, NaN or infinite
 component take no part. A vector shorter than others has zeros at its end. Candidates are all rows whose id is not the
 query's, repeated rows each for themselves; a query whose id is repeated is asked once for each distinct vector, and the
-best k of all answers to the id are given. Scores beyond 64 bits are held at its ends.
+best k of all answers to the id are given. Scores beyond 64 bits are held at its ends, and are ties there.
 """
 
 from __future__ import annotations
@@ -39,7 +42,11 @@ COMPONENTS = 1 << 19
 #: Bytes of the queries that are broadcast at once.
 QUERY_BYTES = 32 << 20
 #: Shares of the lists after which bounds are compared; the last reads them to the end.
-DEPTHS = (0.5, 0.75, 0.9, 1.0)
+DEPTHS = (0.6, 0.75, 0.9, 1.0)
+#: Share of a block whose final scores are resolved when all others are outsiders, and candidates of a first block.
+RESOLVE, FIRST = 0.1, 256
+#: Scores beyond are held there.
+MOST = 2**63 - 1
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -88,18 +95,26 @@ class Lists:
         partial += self.weights(q) @ self._met(start, end)
         self.reads += int(np.count_nonzero(q)) * (end - start)
 
-    def rest(self, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """What each vector's components that haven't been met can add, at least and at most."""
-        w = self.weights(q)
-        low = w @ self._unmet(depth, self.sorted[0], self.sorted[-1], "low")
-        return low, w @ self._unmet(depth, self.sorted[self.n - depth], self.sorted[depth - 1], "high")
+    def high(self, q: np.ndarray, depth: int) -> np.ndarray:
+        """What each vector's components that haven't been met can add at most: the cursors' places."""
+        return self.weights(q) @ self._unmet(depth, self.sorted[self.n - depth], self.sorted[depth - 1], "high")
+
+    def low(self, q: np.ndarray, depth: int) -> np.ndarray:
+        """What they add at least: the ends of the lists."""
+        return self.weights(q) @ self._unmet(depth, self.sorted[0], self.sorted[-1], "low")
+
+    def resolve(self, q: np.ndarray, rest: np.ndarray, depth: int) -> None:
+        """Counts the components of the given vectors that a query hasn't met."""
+        if depth < self.n:
+            at = self.place[rest]
+            self.resolved += int(((at < self.n - depth) & (q > 0)).sum() + ((at >= depth) & (q < 0)).sum())
 
 
-def nra(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, lists: Lists, k: int, floor: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+def nra(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, lists: Lists, k: int, floor: np.ndarray | None = None, slack: float = 0.0, whole: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int]]:
     """(place of the query, vector, score) of the k best vectors of a block for each query.
 
-    The floating point type of q and of the lists has to hold every sum exactly. floor: a score for each query; vectors
-    below it may be left out.
+    floor: a score for each query; vectors below it may be left out. slack: what rounding can take from a sum. whole:
+    queries and vectors as integers, from which final scores are summed if q's and the lists' type doesn't hold them exactly.
     """
     out: list[tuple[int, int, int]] = []
     n, left = lists.n, np.arange(len(q))
@@ -110,34 +125,32 @@ def nra(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, lists: Lists, k: in
         end = max(1, math.ceil(n * share))
         lists.read(q[left], partial, depth, end)
         depth = end
-        low, high = lists.rest(q[left], depth) if depth < n else (0, 0)
-        lower, upper = partial + low, partial + high
-        lower[own] = upper[own] = -np.inf
-        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(left), -np.inf)
-        may = (upper >= np.maximum(kth, floor[left])[:, None]) & (upper > -np.inf)
-        done = (may.sum(axis=1) <= k) | (depth == n)
+        upper = partial + slack + (lists.high(q[left], depth) if depth < n else 0)
+        upper[own] = -np.inf
+        least = floor[left]
+        if n > k and (depth == n or np.isneginf(least).any()):
+            lower = partial - slack + (lists.low(q[left], depth) if depth < n else 0)
+            lower[own] = -np.inf
+            least = np.maximum(least, np.partition(lower, n - k, axis=1)[:, n - k])
+        may = (upper >= np.minimum(least, float(MOST))[:, None]) & (upper > -np.inf)
+        done = (may.sum(axis=1) <= max(k, RESOLVE * n)) | (depth == n)
         for at in np.flatnonzero(done).tolist():
             rest = np.flatnonzero(may[at])
-            if depth < n:
-                lists.resolved += rest.size * q.shape[1]
-            scores = partial[at, rest] if depth == n else lists.x[rest] @ q[left[at]]
-            best = np.lexsort((x_ids[rest], -scores))[:k]
-            out += zip([int(left[at])] * len(best), x_ids[rest[best]].tolist(), scores[best].astype(np.int64).tolist())
+            place = int(left[at])
+            lists.resolve(q[place], rest, depth)
+            if whole is None:
+                scores = partial[at, rest] if depth == n else lists.x[rest] @ q[place]
+            else:
+                exact = (sum(map(int.__mul__, whole[0][place].tolist(), v)) for v in whole[1][rest].tolist())
+                scores = np.array([max(-MOST - 1, min(MOST, s)) for s in exact], np.int64)
+            best = np.lexsort((x_ids[rest], -scores if whole is None else ~scores))[:k]
+            out += zip([place] * len(best), x_ids[rest[best]].tolist(), scores[best].astype(np.int64).tolist(), strict=True)
         left, partial, own = left[~done], partial[~done], own[~done]
         if not len(left):
             break
     return out
 
 
-def plain(q_ids: np.ndarray, q: list, x_ids: np.ndarray, x: list, k: int) -> list[tuple[int, int, int]]:
-    """For components too large for exact sums in float64: Python's integers."""
-    out, most = [], 2**63 - 1
-    for place, (qi, a) in enumerate(zip(q_ids.tolist(), q)):
-        scored = sorted((-sum(map(int.__mul__, a, b)), xi) for xi, b in zip(x_ids.tolist(), x) if xi != qi)
-        out += [(place, xi, max(-most - 1, min(most, -s))) for s, xi in scored[:k]]
-    return out
-
-
 def _matrix(lists: pa.Array, width: int = 0) -> np.ndarray:
     sizes = lists.value_lengths().to_numpy()
     m = np.zeros((len(sizes), max(width, int(sizes.max(initial=0)))), np.int64)
@@ -157,24 +170,30 @@ class _Best:
         self.held: list[list[tuple[int, int]]] = [[] for _ in q_ids]
         self.floor = np.full(len(q_ids), -np.inf)
         self.size = _most(q)
+        self.reads = self.there = 0  # entries of lists, and those of them that were read
 
     def see(self, x_ids: np.ndarray, x: np.ndarray, queries: int) -> None:
         width = max(x.shape[1], self.q.shape[1])
         q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (self.q, x))
+        if not width:  # without components all scores are 0
+            q, x = np.zeros((len(q), 1), np.int64), np.zeros((len(x), 1), np.int64)
         largest = self.size * _most(x) * max(width, 1)
+        exact = largest < 2**52
         kind = np.float32 if largest < 2**24 else np.float64  # whole numbers below are exact
-        exact = width and largest < 2**52
-        lists = Lists(x.astype(kind)) if exact else None
+        slack = 0.0 if exact else largest * width * 2.0**-51
+        lists = Lists(x.astype(kind))
         for a in range(0, len(q), queries):
             part = slice(a, a + queries)
-            found = nra(self.q_ids[part], q[part].astype(kind), x_ids, lists, self.k, self.floor[part]) if exact else plain(self.q_ids[part], q[part].tolist(), x_ids, x.tolist(), self.k)
+            found = nra(self.q_ids[part], q[part].astype(kind), x_ids, lists, self.k, self.floor[part], slack, None if exact else (q[part], x))
             met: dict[int, list[tuple[int, int]]] = {}
             for at, vec, score in found:
                 met.setdefault(a + at, []).append((-score, vec))
             for at, new in met.items():
                 self.held[at] = sorted(self.held[at] + new)[: self.k]
-                if len(self.held[at]) == self.k and abs(self.held[at][-1][0]) < 2**52:
-                    self.floor[at] = -self.held[at][-1][0]
+                if len(self.held[at]) == self.k:
+                    self.floor[at] = float(-self.held[at][-1][0]) * (1 - np.sign(-self.held[at][-1][0]) * 2.0**-50)
+        self.reads += lists.reads + lists.resolved
+        self.there += int(np.count_nonzero(q)) * len(x)
 
     def rows(self) -> pa.RecordBatch:
         out = [(q, vec, -s) for q, held in zip(self.q_ids.tolist(), self.held) for s, vec in held]
@@ -182,7 +201,7 @@ class _Best:
 
 
 def _search(batches: Iterator[pa.RecordBatch], asked: tuple[np.ndarray, np.ndarray], k: int, candidates: int, queries: int) -> Iterator[pa.RecordBatch]:
-    best, held, n = _Best(*asked, k), [], 0
+    best, held, n, first = _Best(*asked, k), [], 0, True
 
     def spend() -> None:
         t = pa.Table.from_batches(held)
@@ -191,13 +210,14 @@ def _search(batches: Iterator[pa.RecordBatch], asked: tuple[np.ndarray, np.ndarr
 
     for batch in batches:
         width = max(1, asked[1].shape[1], int(batch.column("v").value_lengths().to_numpy().max(initial=0)))
-        most = max(1, min(candidates, COMPONENTS // width))
-        for a in range(0, batch.num_rows, most):
-            part = batch.slice(a, most)
-            if n and n + part.num_rows > most:
+        full, a = max(1, min(candidates, COMPONENTS // width)), 0
+        while a < batch.num_rows:
+            most = min(full, FIRST) if first else full
+            part = batch.slice(a, max(1, most - n))
+            held, n, a = [*held, part], n + part.num_rows, a + part.num_rows
+            if n >= most:
                 spend()
-                held, n = [], 0
-            held, n = [*held, part], n + part.num_rows
+                held, n, first = [], 0, False
     if n:
         spend()
     yield best.rows()

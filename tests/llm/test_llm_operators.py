@@ -479,6 +479,34 @@ def test_topk_of_repeated_vectors_and_of_many_query_blocks(spark):
         assert rows_of(topk.top_k(df, **how)) == sorted(want, key=str), how
 
 
+def share_read(rows, every=50, **blocks):
+    """Of the entries of all lists of the given table, those that queries have read or resolved."""
+    ids, x = np.array([i for i, _ in rows]), np.array([[int(np.floor(256 * float(c))) for c in e] for _, e in rows])
+    asked = ids % every == 0
+    best = topk._Best(ids[asked], x[asked], 5)
+    for a, b in ((0, topk.FIRST), (topk.FIRST, len(ids))):
+        best.see(ids[a:b], x[a:b], 256)
+    return best.reads / best.there
+
+
+def test_bounds_stop_on_the_given_table(spark, small):
+    for sf in (small, small.replace("0.001", "0.1")):
+        rows = [(r[0], r[1]) for r in table(spark, sf, "embeddings").select("vec_id", "embedding").collect()]
+        assert share_read(rows) < 0.95, share_read(rows)
+
+
+def test_sums_beyond_the_floating_point_numbers(spark):
+    """Components of any size: the lists give bounds with room for rounding, integers the scores."""
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([1e4, 3e5, 2e6]) * rng.uniform(-1, 1) for _ in range(7)]) for i in range(700)] + [(701, [2e6] * 7), (702, [2e6] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    assert rows_of(topk.top_k(df)) == sorted(brute_topk(rows, 5, 50), key=str)
+    most = 2**63 - 1
+    huge = [(0, [1e9]), (5, [3e9]), (3, [2e9]), (4, [9e9]), (9, [-1e9])]
+    got = topk.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), k=3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(3, most), (4, most), (5, most)]
+
+
 def test_nra_reads_less_than_all_and_bounds_hold():
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(30, 12)) * 200
@@ -489,12 +517,12 @@ def test_nra_reads_less_than_all_and_bounds_hold():
     for i in range(20):
         s = x @ q[i]
         assert [(b, c) for a, b, c in got if a == i] == [(int(j), int(s[j])) for j in np.lexsort((ids, -s))[:5]]
-    assert lists.resolved <= 20 * 5 * 12 and lists.reads < 0.95 * 20 * x.size
+    assert lists.resolved <= 20 * topk.RESOLVE * x.size and lists.reads + lists.resolved < 0.95 * 20 * x.size
     partial, depth, before = np.zeros((20, 3000)), 700, lists.reads
     lists.read(q, partial, 0, 300)
     lists.read(q, partial, 300, depth)
     assert lists.reads - before == np.count_nonzero(q) * depth
-    low, high = lists.rest(q, depth)
+    low, high = lists.low(q, depth), lists.high(q, depth)
     assert (partial + low <= q @ x.T).all() and (q @ x.T <= partial + high).all()
     for i in (0, 7):  # what one query has read, entry by entry
         seen = np.zeros(3000)
