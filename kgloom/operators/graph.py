@@ -158,6 +158,28 @@ def redirected(edges: DataFrame, mapping: DataFrame, ends: list[str]) -> DataFra
     return out.select(edges.columns).distinct()
 
 
+def collapsed(nodes: DataFrame, rels: DataFrame, mentions: DataFrame, mapping: DataFrame, key: str = "id", mention: str = "name") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables when every entity of the mapping (entity_id, primary_id) has become its primary one.
+
+    Duplicates go; relationships that are then equal in ends, type and description are one, as are mentions. What of equal
+    relationships else differs is taken from the least of them.
+    """
+    gone = mapping.where("entity_id <> primary_id").select("entity_id", "primary_id")
+    left = nodes.join(gone.select(F.col("entity_id").alias(key)), key, "left_anti")
+    moved = _at_primary(rels, gone, ["source", "target"])
+    same = [c for c in ("source", "target", "type", "description") if c in rels.columns]
+    rest = [c for c in rels.columns if c not in same]
+    once = moved.groupBy(*same).agg(F.min(F.struct(*rest)).alias("r")).select(*same, "r.*").select(rels.columns) if rest else moved.distinct()
+    return left.select(nodes.columns), once, _at_primary(mentions, gone, [mention]).distinct()
+
+
+def _at_primary(rows: DataFrame, gone: DataFrame, ends: list[str]) -> DataFrame:
+    out = rows
+    for end in ends:
+        out = out.join(gone.toDF(end, "__to"), end, "left").withColumn(end, F.coalesce("__to", F.col(end))).drop("__to")
+    return out.select(rows.columns)
+
+
 def verified(entities: DataFrame, edges: DataFrame, mentions: DataFrame) -> DataFrame:
     """One row: entities, relationships, entities without a name, entities that no chunk mentions."""
     counts = entities.agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.coalesce("name", F.lit("")) == "").alias("nameless"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from kgloom.functions import names as N
 
@@ -170,6 +171,71 @@ def upserted_merge(old: DataFrame, new: DataFrame, key: list[str], lists: list[s
     return a.join(b, key, "full_outer").select(*key, *map(pick, rest))
 
 
+#: What an upsert makes of a column's values. Lists are united, all else is replaced, unless told otherwise.
+POLICIES = ("last", "first", "greatest", "longest", "unite", "concatenate")
+NODE_POLICIES = {"description": "first", "domain": "first"}
+
+
+def policy_of(schema: StructType, column: str, policies: dict[str, str]) -> str:
+    policy = policies.get(column, "unite" if isinstance(schema[column].dataType, ArrayType) else "last")
+    if policy not in POLICIES:
+        raise ValueError(f"no such policy: {policy}")
+    return policy
+
+
+def reduced(rows: DataFrame, key: list[str], policies: dict[str, str], order: str | None = None) -> DataFrame:
+    """One row of each key, by each column's policy; first and last by the order column, or as the rows are read.
+
+    Elements of united lists are rows of their own until they are different, so a key that a third of all rows have is
+    reduced in each task first, and its lists are as long as the results.
+    """
+    names, kinds = [c for c in rows.columns if c not in key], {c: policy_of(rows.schema, c, policies) for c in rows.columns if c not in key}
+    lists = [c for c in names if kinds[c] == "unite"]
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    numbered = lambda i: lambda x: F.struct(F.lit(i).alias("i"), x.cast("string").alias("x"))
+    elements = [F.transform(c, numbered(i)) for i, c in enumerate(lists)]
+    rows = rows.withColumns({"__at": at, **({"__all": F.concat(*(F.coalesce(e, F.array().cast("array<struct<i:int,x:string>>")) for e in elements))} if lists else {})})
+    spread = rows.select(*key, "__at", *(c for c in names if c not in lists), *(F.col(c).isNotNull().alias(f"__has_{c}") for c in lists), *([F.explode_outer("__all").alias("__e")] if lists else []))
+
+    def one(c: str) -> Column:
+        x, kind = F.col(c), rows.schema[c].dataType
+        if kinds[c] == "unite":
+            found = F.array_sort(F.collect_set(F.when(F.col("__e.i") == lists.index(c), F.col("__e.x")))).cast(kind)
+            return F.when(F.bool_or(f"__has_{c}"), F.array_sort(found)).alias(c)
+        if kinds[c] == "concatenate":
+            parts = F.sort_array(F.collect_set(F.when(x.isNotNull(), F.struct("__at", x.alias("x")))))
+            return F.when(F.count(x) > 0, F.flatten(F.transform(parts, lambda p: p["x"]))).alias(c)
+        if kinds[c] == "greatest":
+            return F.max(x).alias(c)
+        if kinds[c] == "longest":
+            return F.min_by(x, F.when(x.isNotNull(), F.struct((-F.length(x)).alias("l"), F.col("__at")))).alias(c)
+        return (F.max_by if kinds[c] == "last" else F.min_by)(x, F.when(x.isNotNull(), F.col("__at"))).alias(c)
+
+    return spread.groupBy(*key).agg(*map(one, names)) if names else spread.select(*key).distinct()
+
+
+def merged_columns(old: DataFrame, new: DataFrame, key: list[str], policies: dict[str, str]) -> DataFrame:
+    """Full outer merge by key of tables with one row for each, by each column's policy."""
+    rest = [c for c in old.columns if c not in key] + [c for c in new.columns if c not in key and c not in old.columns]
+    a, b = old.select(*key, F.struct(*old.columns).alias("a")), new.select(*key, F.struct(*new.columns).alias("b"))
+
+    def pick(c: str) -> Column:
+        if c not in old.columns or c not in new.columns:
+            return F.col(f"{'a' if c in old.columns else 'b'}.{c}").alias(c)
+        x, y, policy = F.col(f"a.{c}"), F.col(f"b.{c}"), policy_of(old.schema, c, policies)
+        if policy == "unite":
+            return F.coalesce(F.array_sort(F.array_union(x, y)), x, y).alias(c)
+        if policy == "concatenate":
+            return F.coalesce(F.concat(x, y), x, y).alias(c)
+        if policy == "greatest":
+            return F.greatest(x, y).alias(c)
+        if policy == "longest":
+            return F.when(F.length(y) > F.coalesce(F.length(x), F.lit(-1)), y).otherwise(x).alias(c)
+        return (F.coalesce(y, x) if policy == "last" else F.coalesce(x, y)).alias(c)
+
+    return a.join(b, key, "full_outer").select(*key, *map(pick, rest))
+
+
 def created_relationships(rels: DataFrame, nodes: DataFrame, key: str = "name") -> DataFrame:
     """Relationships whose ends are nodes; each given row is one, repeats included."""
     known = nodes.select(key).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import text as T
 from kgloom.operators import kg
+from kgloom.operators.graph import primaries
 from kgloom.plans import extraction, indexing, rag
 from kgloom.plans.providers import DIMENSIONS, using
 from kgloom.shared import scratch
@@ -17,6 +18,7 @@ from kgloom.streaming.memory import remembered
 
 from . import query, table
 from .evaluation import TURNS, asked as turns
+from .graphs import PRIMARY, entities, pairs
 from .search import DENSE, IDF, SPARSE, _posted, fused_sql, items, query_vectors, tokens_sql
 from .search import points as vectors
 
@@ -183,6 +185,76 @@ def graph_constraints(spark, sf_dir):
     return faults.select("name", "n", F.lit(merged).cast("long").alias("merged"), F.lit(store.counts()["nodes"]).cast("long").alias("left_"))
 
 
+#: Parts as occurrences of entities: ORG and ORGANIZATION have one label. Even ones come first, then the others.
+FOUND = """found AS (SELECT p_partkey AS pos, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN 'ORG' WHEN 1 THEN 'ORGANIZATION' ELSE 'PERSON' END AS type, CASE p_partkey % 3 WHEN 2 THEN 'Person' ELSE 'Organization' END AS label,
+  p_brand || ' ' || p_partkey AS description, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS keyword, p_type AS alias, p_partkey % 10 AS chunk, p_partkey % 2 AS batch FROM part)"""
+
+
+def _found(spark, sf_dir) -> DataFrame:
+    key = F.col("p_partkey")
+    kind = F.when(key % 3 == 0, "ORG").when(key % 3 == 1, "ORGANIZATION").otherwise("PERSON")
+    return table(spark, sf_dir, "part").select(
+        key.alias("at"), F.col("p_name").alias("name"), kind.alias("type"), F.concat_ws(" ", "p_brand", key.cast("string")).alias("description"),
+        F.when(key % 5 != 0, F.array("p_brand")).alias("keywords"), F.array("p_type").alias("aliases"), F.array(key % 10).alias("chunks"), (key % 2).alias("batch"),
+    )
+
+
+@query(f"""WITH {FOUND} SELECT name, label, arg_max(type, batch * 1000000000 + pos) AS type, arg_min(description, batch * 1000000000 + pos) AS description,
+  array_to_string(list_sort(list(DISTINCT keyword) FILTER (WHERE keyword IS NOT NULL)), ',') AS keywords, array_to_string(list_sort(list(DISTINCT alias)), ',') AS aliases, array_to_string(list_sort(list(DISTINCT chunk)), ',') AS chunks FROM found GROUP BY ALL""")
+def graph_nodes_united(spark, sf_dir):
+    """Two batches of entities: lists are united, the first description stays, the last type counts, one node for a name and label."""
+    store, rows = GraphStore(spark, scratch(spark, "graph")), _found(spark, sf_dir)
+    for batch in (0, 1):
+        store.merge(rows.where(F.col("batch") == batch), order="at")
+    lists = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("keywords", "aliases", "chunks")]
+    return store.nodes.select("name", "label", "type", "description", *lists)
+
+
+@query(f"""WITH {NODES}, {RELS}, r AS (SELECT source, target, last_order AS pos, last_order % 9 AS strength, 'k' || last_order % 4 AS keyword, last_order % 2 AS batch FROM known)
+SELECT source, target, max(strength) AS strength, array_to_string(list_sort(list(DISTINCT keyword)), ',') AS keywords, arg_min('d' || pos, batch * 1000000000 + pos) AS description FROM r GROUP BY ALL""")
+def graph_rels_united(spark, sf_dir):
+    """Two batches of relationships by policies of the caller: the greatest strength, all keywords, the first description."""
+    store, at = graph_store(spark, sf_dir), F.col("at")
+    rows = _rels(spark, sf_dir).select("source", "target", "type", "at", (at % 9).alias("strength"), F.array(F.concat(F.lit("k"), (at % 4).cast("string"))).alias("keywords"), F.concat(F.lit("d"), at.cast("string")).alias("description"))
+    for batch in (0, 1):
+        store.merge_relationships(rows.where(at % 2 == batch), order="at", policies={"strength": "greatest", "description": "first"})
+    return store.rels.select("source", "target", "strength", F.array_join("keywords", ",").alias("keywords"), "description")
+
+
+@query(f"""WITH {PRIMARY}, p AS (SELECT DISTINCT a.primary_id AS source, b.primary_id AS target FROM pairs JOIN prim a ON a.entity_id = src JOIN prim b ON b.entity_id = dst),
+m AS (SELECT DISTINCT l_orderkey AS chunk, primary_id AS name FROM lineitem JOIN prim ON entity_id = l_partkey)
+SELECT 'node' AS part, primary_id AS a, NULL AS b FROM prim WHERE entity_id = primary_id UNION ALL SELECT 'rel', source, target FROM p UNION ALL SELECT 'mention', chunk, name FROM m
+UNION ALL SELECT 'nodes lost', (SELECT count(*) FROM prim WHERE entity_id <> primary_id), NULL
+UNION ALL SELECT 'rels lost', (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM pairs)) - (SELECT count(*) FROM p), NULL
+UNION ALL SELECT 'mentions lost', (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) - (SELECT count(*) FROM m), NULL""")
+def graph_collapsed(spark, sf_dir):
+    """Entities equal in name and type become one in nodes, relationships and mentions; what a dry run had told."""
+    store = GraphStore(spark, scratch(spark, "graph"))
+    rels = pairs(spark, sf_dir)
+    said = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").alias("name"))
+    found = entities(spark, sf_dir)
+    store.merge(found.withColumnRenamed("entity_id", "id"), key=["id"])
+    store.tables.put("rels", rels.distinct().select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("NEXT_TO").alias("type")), ["source", "target", "type"])
+    store.add_mentions(said)
+    mapping = primaries(found, rels)
+    told = store.collapse(mapping, dry_run=True)
+    if told != store.collapse(mapping) or any(store.collapse(mapping).values()):
+        raise AssertionError("a dry run tells what a run does, and a second run does nothing")
+    none = F.lit(None).cast("long").alias("b")
+    lost = spark.createDataFrame([(f"{name} lost", n) for name, n in told.items()], "part string, a long").withColumn("b", none)
+    return store.nodes.select(F.lit("node").alias("part"), F.col("id").alias("a"), none).unionByName(store.rels.select(F.lit("rel").alias("part"), F.col("source").alias("a"), F.col("target").alias("b"))).unionByName(store.mentions.select(F.lit("mention").alias("part"), F.col("chunk_id").alias("a"), F.col("name").alias("b"))).unionByName(lost)
+
+
+@query("SELECT upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS label, p_partkey AS id, CASE WHEN p_type < 'M' AND p_type IN (SELECT p_type FROM part WHERE p_partkey % 2 = 0) THEN 2 ELSE 1 END AS batch FROM part WHERE NOT (p_type < 'M' AND p_type IN (SELECT p_type FROM part WHERE p_partkey % 2 = 0)) OR p_partkey % 2 = 0")
+def grouped_write(spark, sf_dir):
+    """Nodes written by label; a second write replaces the labels that it has, and no others."""
+    store, path = GraphStore(spark, scratch(spark, "graph")), scratch(spark, "labels")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"))
+    store.write_by_label(path, rows.withColumn("batch", F.lit(1)))
+    store.write_by_label(path, rows.where("type < 'M' and id % 2 = 0").withColumn("batch", F.lit(2)))
+    return spark.read.parquet(path).select("label", "id", "batch")
+
+
 # ---------------------------------------------------------------- cache
 
 KEYED = "keyed AS (SELECT doc_id, substr(sha256('extract' || '|||' || substr(text, 1, 500)), 1, 16) AS cache_key FROM documents)"

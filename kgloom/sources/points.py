@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from kgloom.operators import retrieval as R
 from kgloom.shared import Scratch, stored
 
-from .store import ATTEMPTS, BUCKETS, DELAY, Table, Tables, last_of_each
+from .store import ATTEMPTS, BUCKETS, DELAY, Table, Tables, last_of_each, retried
 
 #: Documents of a block, in the mean, when the store is created or compacted.
 BLOCK_DOCS = 64
@@ -83,19 +83,13 @@ class PointStore:
 
         A call that fails, or meets another writer, is made again, as often and after as long as told.
         """
-        for i in range(attempts):
-            try:
-                return self._upsert(points, order)
-            except Exception:
-                if i + 1 == attempts:
-                    raise
-                sleep(delay)
-        return None
+        retried(lambda: self._upsert(points, order), attempts, delay, sleep)
 
     def _upsert(self, points: DataFrame, order: str | None) -> None:
         before, tables = self.tables.versions(), self.tables.manifest()
         if "points" not in tables:
-            return self.create(points, order=order)
+            self.create(points, order=order)
+            return
         held = Scratch(self.tables.spark)
         points = held.stored(last_of_each(points, ["doc"], order), "points")
         old = self.points.read(self.tables.touched(points, "doc")).join(points.select("doc"), "doc", "left_semi")
@@ -111,7 +105,6 @@ class PointStore:
             made["replaced"] = append("replaced", old.select("doc", version), "doc")
         self.tables.commit(before, tables | made)
         held.clear()
-        return None
 
     # ------------------------------------------------------------ reading
 

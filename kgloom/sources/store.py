@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kgloom.operators import kg
+from kgloom.functions import names as N
+from kgloom.operators import graph, kg
 from kgloom.shared import removed
 
 BUCKETS = 32
@@ -173,6 +174,16 @@ class Tables:
         return there
 
 
+def retried(call: Callable[[], Any], attempts: int, delay: float, sleep: Callable[[float], None]) -> Any:
+    """What call gives, made again after a failure, as often and after as long as told; the last failure is raised."""
+    for _ in range(attempts - 1):
+        try:
+            return call()
+        except Exception:  # noqa: BLE001
+            sleep(delay)
+    return call()
+
+
 class Table:
     """One table of a store."""
 
@@ -201,11 +212,10 @@ class GraphStore:
             return self.tables.read(name)
         raise AttributeError(name)
 
-    def merge_nodes(self, rows: DataFrame, key: list[str] | None = None, order: str | None = None) -> None:
-        """key: the given one, else id, else name, else the first column. Of rows that repeat a key the last counts."""
+    def merge_nodes(self, rows: DataFrame, key: list[str] | None = None, order: str | None = None, policies: dict[str, str] | None = None) -> None:
+        """key: the given one, else id, else name, else the first column. Columns follow kg's policies, those of nodes unless told."""
         names = rows.columns
-        key = key or (["id"] if "id" in names else ["name"] if "name" in names else names[:1])
-        self.tables.put("nodes", last_of_each(rows, key, order), key, lambda old, new: kg.upserted_nodes(old, new, key))
+        self.merge(rows, key=key or (["id"] if "id" in names else ["name"] if "name" in names else names[:1]), order=order, policies=policies)
 
     def create_nodes(self, rows: DataFrame) -> None:
         self.tables.put("nodes", rows, self.tables.manifest().get("nodes", {}).get("key", ["name"]))
@@ -214,20 +224,74 @@ class GraphStore:
         """Appends, repeats included, where both ends are nodes."""
         self.tables.put("rels", kg.created_relationships(rows, self.nodes), ["source", "target", "type"])
 
-    def merge_relationships(self, rows: DataFrame, order: str | None = None) -> None:
-        key = ["source", "target", "type"]
-        self.tables.put("rels", last_of_each(kg.created_relationships(rows, self.nodes), key, order), key, kg.upserted_relationships)
+    def merge_relationships(self, rows: DataFrame, order: str | None = None, policies: dict[str, str] | None = None) -> None:
+        self.merge(rels=rows, order=order, policies=policies)
 
     def add_mentions(self, rows: DataFrame) -> None:
-        self.tables.put("mentions", rows.distinct(), ["chunk_id"], lambda old, new: old.unionByName(new).distinct())
+        self.merge(mentions=rows)
+
+    def merge(self, nodes: DataFrame | None = None, rels: DataFrame | None = None, mentions: DataFrame | None = None, key: list[str] | None = None, order: str | None = None, policies: dict[str, str] | None = None, attempts: int = ATTEMPTS, delay: float = DELAY, sleep: Callable[[float], None] = time.sleep) -> None:
+        """Nodes, relationships between nodes and mentions, in one commit; made again if it fails, as a point store's upsert.
+
+        Nodes are one for each key, by default name and label: types that have one label, as ORG and ORGANIZATION, are one
+        node, whose type the last row gives. policies: of columns that aren't merged as usual.
+        """
+        retried(lambda: self._merge(nodes, rels, mentions, key or ["name", "label"], order, policies or {}), attempts, delay, sleep)
+
+    def _merge(self, nodes: DataFrame | None, rels: DataFrame | None, mentions: DataFrame | None, key: list[str], order: str | None, policies: dict[str, str]) -> None:
+        before, tables = self.tables.versions(), self.tables.manifest()
+        made = {}
+
+        def merged(name: str, rows: DataFrame, by: list[str], how: dict[str, str]) -> None:
+            once = kg.reduced(rows, by, how, order)
+            made[name] = self.tables.replaced(tables, name, once, by, lambda old, new: kg.merged_columns(old, new, by, how))
+
+        if nodes is not None:
+            if "label" in key and "label" not in nodes.columns:
+                nodes = nodes.withColumn("label", N.label_of(F.col("type")))
+            merged("nodes", nodes, key, kg.NODE_POLICIES | policies)
+        if rels is not None:
+            known = self.tables._read(tables | made, "nodes")
+            merged("rels", kg.created_relationships(rels, known), ["source", "target", "type"], policies)
+        if mentions is not None:
+            made["mentions"] = self.tables.replaced(tables, "mentions", mentions.distinct(), ["chunk_id"], lambda old, new: old.unionByName(new).distinct())
+        self.tables.commit(before, tables | made)
+
+    def collapse(self, mapping: DataFrame, dry_run: bool = False) -> dict[str, int]:
+        """Makes every entity of the mapping (entity_id, primary_id) its primary one, in all three tables by one commit.
+
+        Entities are named by the first column of the nodes' key, as are the ends of relationships and mentions. Gives how
+        many entities go and how many rows each table loses; a dry run does no more than that.
+        """
+        before, tables = self.tables.versions(), self.tables.manifest()
+        read = lambda name, like: self.tables._read(tables, name) if name in tables else self.spark.createDataFrame([], like)
+        given = {"nodes": read("nodes", "id string"), "rels": read("rels", "source string, target string, type string"), "mentions": read("mentions", "chunk_id string, name string")}
+        key = tables["nodes"]["key"] if "nodes" in tables else ["id"]
+        out = dict(zip(given, graph.collapsed(*given.values(), mapping, key[0]), strict=True))
+        keys = {"nodes": key, "rels": ["source", "target", "type"], "mentions": ["chunk_id"]}
+        made = {} if dry_run else {name: self.tables.replaced({}, name, rows, keys[name], None) for name, rows in out.items() if name in tables}
+        left = {name: (out[name] if dry_run else self.tables._read(made, name)).count() if name in tables else 0 for name in out}
+        counts = {name: given[name].count() - left[name] for name in given}
+        if not dry_run:
+            self.tables.commit(before, tables | made)
+        return counts
+
+    def write_by_label(self, path: str, rows: DataFrame) -> None:
+        """Nodes as one folder for each label; folders of labels that rows don't have stay as they are."""
+        labelled = rows if "label" in rows.columns else rows.withColumn("label", N.label_of(F.col("type")))
+        dealt = labelled.repartition("label", F.pmod(F.xxhash64(*rows.columns), F.lit(SPLITS)))
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("label").parquet(path)
 
     def query(self, sql: str, **args: Any) -> DataFrame:
-        """SQL over the store's tables, with named parameters; no rows if there is no store."""
+        """SQL over nodes, rels and mentions, with named parameters; no rows if there is no store. Views of the session don't matter."""
         there = self.tables.manifest()
-        for name in self.TABLES:
-            if name in there:
-                self.tables._read(there, name).createOrReplaceTempView(name)
-        return self.spark.sql(sql, args=args) if there else self.spark.createDataFrame([], "n long")
+        known = {name: self.tables._read(there, name) for name in self.TABLES if name in there}
+        if not known:
+            return self.spark.createDataFrame([], "n long")
+        sql = sql.strip().replace("{", "{{").replace("}", "}}")
+        own = ", ".join(f"{name} AS (SELECT * FROM {{{name}}})" for name in known)
+        more = f", {sql[4:]}" if sql[:4].lower() == "with" else f" {sql}"
+        return self.spark.sql(f"WITH {own}{more}", args=args, **known)
 
     def counts(self) -> dict[str, int]:
         there = self.tables.manifest()
