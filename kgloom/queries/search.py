@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.functions import text as T
-from kgloom.operators import fusion
+from kgloom.operators import cells, fusion
 from kgloom.operators import retrieval as R
 
 from . import query, table
@@ -115,6 +115,13 @@ def cosine_topk(spark, sf_dir):
     return as_long(R.dense_arm(query_vectors(spark, sf_dir), points(spark, sf_dir)), "rank").select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {DENSE} SELECT query_id, doc, round(score, 6) AS score, rank FROM dense WHERE rank <= 5")
+def cosine_topk_cells(spark, sf_dir):
+    """As cosine_topk, from cells of which only those that can hold a better point are read."""
+    found = cells.Cells(points(spark, sf_dir)).search(query_vectors(spark, sf_dir), 5)
+    return as_long(found, "rank").select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {SPARSE}, {DENSE}, {fused_sql(1, 1, 50)} SELECT query_id, doc, round(score, 6) AS score, score_norm, rank FROM fused")
 def rrf_fusion(spark, sf_dir):
     return as_long(hybrid(spark, sf_dir, 50), "rank").select("query_id", "doc", F.round("score", 6).alias("score"), "score_norm", "rank")
