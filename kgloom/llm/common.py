@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.shared import Scratch, scratch, shared_dir, steady, stored
 
-__all__ = ["BLANKS", "Scratch", "row_key", "scratch", "shared_dir", "short_batches", "steady", "stored", "table", "words"]
+__all__ = ["BLANKS", "Scratch", "bit_set", "has_bits", "row_key", "scratch", "shared_dir", "short_batches", "steady", "stored", "table", "words"]
 
 #: White space of every contract here: [\x20\x09-\x0D]. bytes.split() splits at the same six bytes.
 BLANKS = " \t\n\x0b\f\r"
@@ -34,3 +35,17 @@ def row_key(*columns: Column | str) -> list[Column]:
 def words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of a text with A-Z lower-cased, as UTF-8."""
     return text.encode("utf-8", "replace").lower().split() if text else []
+
+
+def bit_set(buckets: DataFrame, size: int) -> np.ndarray:
+    """The numbers in column bucket, all below size, as bits. What passes the driver is size / 8 bytes, in parts of 4096."""
+    place = F.col("bucket") + 1
+    parts = buckets.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(-(-size // 32768) * 4096, np.uint8)
+    for row in parts.toLocalIterator():
+        out[(row["part"] - 1) * 4096 :][:4096] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def has_bits(bits: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    return (bits[buckets >> 3] >> (buckets & 7).astype(np.uint8) & 1).astype(bool)

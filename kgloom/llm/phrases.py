@@ -5,6 +5,10 @@ and first word and sorted in reverse order, so that every phrase is a prefix of
 stack of max_n counters counts all phrases: a counter is closed, and handed to the one below it, when its word changes.
 Counts of the two parts of each cut are joined afterwards.
 
+Before that, words and pairs of neighbours are counted by hash in a fixed number of buckets, and those whose bucket has
+min_count or more are a set of bits that is broadcast (33 MB, whatever the corpus). A word or pair outside it is in no
+phrase that counts, so suffixes end before it; what it lets through by chance only costs, and is counted exactly.
+
 Equal suffixes are counted in each task before they are shuffled. First words with 1 / HEAVY of all words or more, which
 are no more than HEAVY, are dealt by whole suffix: what their tasks count for the word and for phrases below max_n is
 summed up at the end, as is everything that passes the stacks. Of the other counters only those of min_count or more
@@ -19,20 +23,26 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import compress
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import short_batches, stored
+from .common import bit_set, has_bits, short_batches, stored
 
 MAX_N, MIN_COUNT, TOP = 3, 10, 2000
 #: A first word with 1 / HEAVY of all words or more is dealt by whole suffix.
 HEAVY = 4096
-#: Different suffixes that a task counts together before it sends them on.
-HELD = 200_000
+#: Different suffixes that a task counts together before it sends them on, and words whose hashes it keeps.
+SUFFIXES, HELD = 400_000, 200_000
+#: Buckets of pairs and of words, as powers of two, and the bucket that counts all words.
+BITS = (28, 23)
+TOTAL = -1
 #: Groups that the best phrases of a language are chosen in first.
 GROUPS = 64
 #: A-Z become a-z, the ends of a piece a line feed, a tab a blank.
@@ -45,53 +55,126 @@ def tokens(text: bytes | None) -> list[bytes]:
     return list(filter(None, (text or b"").translate(_FOLD).replace(b"\n", b" \n ").split(b" ")))
 
 
-def _counted(count: Callable[[Counter, list[bytes]], None], rows: Callable[[str, Counter], Iterator[tuple]], schema: pa.Schema):
-    """For mapInArrow over (lang, text): what `count` adds to the counter of a language, sent on whenever HELD are held."""
+class _Hashes(dict):
+    """Hashes of the words of a language; the end of a piece has 0."""
+
+    def __init__(self, lang: str):
+        self.seed = xxhash.xxh3_64_intdigest(lang.encode())
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        self[word] = h = 0 if word == _END else xxhash.xxh3_64_intdigest(word, self.seed) or 1
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _word_buckets(h: np.ndarray, bits: tuple[int, int]) -> np.ndarray:
+    return (h >> np.uint64(64 - bits[1])).astype(np.int64) + (1 << bits[0])
+
+
+def _pair_buckets(h: np.ndarray, bits: tuple[int, int]) -> np.ndarray:
+    x = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(64 - bits[0])).astype(np.int64)
+
+
+def _bucket_counts(bits: tuple[int, int]) -> Callable:
+    """For mapInArrow over (lang, text): bucket, n, of words and pairs; bucket TOTAL has the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+        known: dict[str, _Hashes] = {}
+        held: list[np.ndarray] = []
+        size = words = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, counter in held.items():
-                if found := list(rows(lang, counter)):
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+        def out() -> pa.RecordBatch:
+            bucket, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
+            return pa.record_batch([pa.array(np.r_[bucket, TOTAL]), pa.array(np.r_[n, words])], names=["bucket", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                count(held.setdefault(lang, Counter()), tokens(text))
-                if sum(map(len, held.values())) >= HELD:
-                    yield from out()
-        yield from out()
+                if lang not in known:
+                    known[lang] = _Hashes(lang)
+                h = known[lang].of(tokens(text))
+                there = h > 0
+                held += [_word_buckets(h[there], bits), _pair_buckets(h, bits)[there[:-1] & there[1:]]]
+                words += int(there.sum())
+                size += len(held[-1]) + len(held[-2])
+                if size >= 4 * HELD:
+                    yield out()
+                    size = words = 0
+        if held:
+            yield out()
 
     return run
 
 
-def _word_counts() -> Callable:
-    def rows(lang: str, counter: Counter) -> Iterator[tuple]:
-        counter.pop(_END, None)
-        return ((lang, w, n) for w, n in counter.items())
+class _Sketch:
+    """Which buckets can hold a word or pair of min_count or more, and the buckets of hot words."""
+
+    def __init__(self, marks: np.ndarray, heavy: frozenset[int], bits: tuple[int, int] = BITS):
+        self.marks, self.heavy, self.bits = marks, heavy, bits
 
-    return _counted(lambda counter, words: counter.update(words), rows, pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())]))
+    def has(self, buckets: np.ndarray) -> np.ndarray:
+        return has_bits(self.marks, buckets)
 
 
-def _suffix_counts(max_n: int, heavy: dict[str, frozenset[bytes]]) -> Callable:
-    ends = [_END] * max_n
+def _suffix_counts(max_n: int, sketch: Callable[[], _Sketch]) -> Callable:
+    """For mapInArrow over (lang, text): suffixes with their counts; the empty one counts all words."""
+    schema = pa.schema([("lang", pa.string()), ("suffix", pa.binary()), ("n", pa.int64()), ("salt", pa.int32())])
 
-    def count(counter: Counter, words: list[bytes]) -> None:
-        padded = words + ends
-        counter.update(zip(*(padded[i : len(words) + i] for i in range(max_n)), strict=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sketch()
+        known: dict[str, _Hashes] = {}
+        held: dict[str, Counter] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, counter in held.items():
+                suffixes = [k and k + b" " for k in counter]
+                firsts = _word_buckets(known[lang].of([k.split(b" ", 1)[0] for k in counter]), often.bits).tolist()
+                salts = [xxhash.xxh32_intdigest(s) % 2**30 if b in often.heavy else -1 for s, b in zip(suffixes, firsts, strict=True)]
+                columns = ([lang] * len(suffixes), suffixes, list(counter.values()), salts)
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            held.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if lang not in known:
+                    known[lang] = _Hashes(lang)
+                words = tokens(text)
+                h = known[lang].of(words)
+                there = h > 0
+                counter = held.setdefault(lang, Counter())
+                counter[b""] += int(there.sum())
+                single = there & often.has(_word_buckets(h, often.bits))
+                pair = np.r_[often.has(_pair_buckets(h, often.bits)) & single[:-1] & single[1:], np.zeros(max_n, bool)] if len(h) else np.zeros(max_n, bool)
+                size, going = single.astype(np.int64), single.copy()
+                for k in range(max_n - 1):
+                    going &= pair[k : k + len(h)]
+                    size += going
+                counter.update(compress(words, (size == 1).tolist()))
+                for k in range(2, max_n + 1):
+                    counter.update([b" ".join(words[i : i + k]) for i in np.flatnonzero(size == k).tolist()])
+                if sum(map(len, held.values())) >= SUFFIXES:
+                    yield from out()
+        yield from out()
+
+    return run
 
-    def rows(lang: str, counter: Counter) -> Iterator[tuple]:
-        hot, cut = heavy.get(lang, frozenset()), Counter()
-        for key, n in counter.items():
-            cut[b" ".join(key[: key.index(_END)] if _END in key else key) + b" "] += n
-        cut.pop(b" ", None)
-        for suffix, n in cut.items():
-            first = suffix[: suffix.index(b" ")]
-            yield lang, suffix, n, xxhash.xxh32_intdigest(suffix) % 2**30 if first in hot else -1
 
-    return _counted(count, rows, pa.schema([("lang", pa.string()), ("suffix", pa.binary()), ("n", pa.int64()), ("salt", pa.int32())]))
+def _runs(b: pa.RecordBatch) -> list[pa.Array]:
+    """The columns of sorted (lang, suffix, n, salt) with equal neighbours as one row, their counts added up."""
+    lang, suffix, n, salt = b.columns
+    if len(n) < 2:
+        return b.columns
+    other = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(suffix[1:], suffix[:-1]))
+    starts = np.flatnonzero(np.r_[True, other.to_numpy(zero_copy_only=False)])
+    at = pa.array(starts)
+    return [lang.take(at), suffix.take(at), pa.array(np.add.reduceat(n.to_numpy(), starts)), salt.take(at)]
 
 
 def _stack(max_n: int, min_count: int) -> Callable:
@@ -121,7 +204,11 @@ def _stack(max_n: int, min_count: int) -> Callable:
             return made
 
         for b in batches:
-            for lang, suffix, n, salt in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for lang, suffix, n, salt in zip(*(c.to_pylist() for c in _runs(b)), strict=True):
+                if not suffix:
+                    for column, value in zip(out, (lang, b"", 0, n), strict=True):
+                        column.append(value)
+                    continue
                 new = suffix.split(b" ")
                 new.pop()
                 common = 0
@@ -146,22 +233,27 @@ def _stack(max_n: int, min_count: int) -> Callable:
     return run
 
 
-def phrase_counts(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT, text: str = "text", lang: str = "lang", bits: tuple[int, int] = BITS) -> tuple[DataFrame, DataFrame]:
     """f of all phrases of up to max_n words that occur min_count times or more (lang, phrase, words, f), and n of each lang."""
     spark = docs.sparkSession
     short_batches(spark)
     given = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    vocabulary = stored(given.mapInArrow(_word_counts(), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "vocabulary")
-    total = vocabulary.agg(F.sum("n")).first()[0] or 0
-    heavy: dict[str, set[bytes]] = {}
-    for row in vocabulary.where(F.col("n") * HEAVY >= total).select("lang", "word").collect():  # HEAVY rows at most
-        heavy.setdefault(row["lang"], set()).add(bytes(row["word"]))
-    suffixes = given.mapInArrow(_suffix_counts(max_n, {k: frozenset(v) for k, v in heavy.items()}), "lang string, suffix binary, n long, salt int")
+    sketch = spark.sparkContext.broadcast(_sketched(given, min_count, bits))
+    suffixes = given.mapInArrow(_suffix_counts(max_n, lambda: sketch.value), "lang string, suffix binary, n long, salt int")
     dealt = suffixes.repartition("lang", F.substring_index(F.col("suffix").cast("string"), " ", 1), "salt").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
     parts = dealt.mapInArrow(_stack(max_n, min_count), "lang string, phrase binary, words int, f long")
-    counted = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+    counted = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("words") == 0))
     counted = stored(counted.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "f"), "phrases")
-    return counted, vocabulary.groupBy("lang").agg(F.sum("n").cast("long").alias("n"))
+    return counted.where("words > 0"), counted.where("words = 0").select("lang", F.col("f").alias("n"))
+
+
+def _sketched(given: DataFrame, min_count: int, bits: tuple[int, int]) -> _Sketch:
+    """The bits of all buckets with min_count or more, and the buckets of words with 1 / HEAVY of all words or more."""
+    counts = stored(given.mapInArrow(_bucket_counts(bits), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("bucket") == TOTAL)), "buckets")
+    total = counts.where(F.col("bucket") == TOTAL).agg(F.sum("n")).first()[0] or 0
+    hot = counts.where((F.col("bucket") >= 1 << bits[0]) & (F.col("n") * HEAVY >= total)).select("bucket").collect()  # HEAVY rows at most
+    out = bit_set(counts.where(F.col("bucket") != TOTAL), (1 << bits[0]) + (1 << bits[1]))
+    return _Sketch(out, frozenset(r["bucket"] for r in hot), bits)
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -170,14 +262,14 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", a * a * F.lit(1_000_000).cast("decimal(7,0)"), left * right)
 
 
-def collocations(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT, top: int = TOP, held_by: int = 50, text: str = "text", lang: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT, top: int = TOP, held_by: int = 50, text: str = "text", lang: str = "lang", bits: tuple[int, int] = BITS) -> DataFrame:
     """Of each language the `top` phrases of 2 to max_n words by score: lang, rank, phrase, a, l, r, n, score.
 
     a is the phrase's count; of all cuts into a first part (l) and a rest (r) that with the least score counts, ties to the
     shortest first part. A phrase goes if a longer one that holds it occurs held_by percent as often or more. Ties go to
     the larger a, then to the phrase that is less by its UTF-8 bytes.
     """
-    counted, totals = phrase_counts(docs, max_n, min_count, text, lang)
+    counted, totals = phrase_counts(docs, max_n, min_count, text, lang, bits)
     candidates = counted.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     some = lambda start, size: F.array_join(F.slice("w", start, size), " ")
 

@@ -22,7 +22,7 @@ or text is empty; repeated rows are turns of their own. Other columns are ignore
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 
@@ -118,7 +118,8 @@ class _Point:
 class _Range:
     """The trie of one sorted range."""
 
-    def __init__(self) -> None:
+    def __init__(self, held: int = HELD) -> None:
+        self.held = held
         self.out: list[list] = [[] for _ in _SCHEMA]
         self.stack = [_Point(0, True)]
         self.key, self.sums, self.first = b"", [0], None  # of the row before
@@ -153,7 +154,7 @@ class _Range:
         top.least = conv_id if top.least is None else min(top.least, conv_id)
         self.key, self.sums = key, sums
         top.ends.append(conv_id)
-        if len(top.ends) >= HELD:
+        if len(top.ends) >= self.held:
             self.name_ends(top)
 
     def name_ends(self, p: _Point) -> None:
@@ -206,7 +207,7 @@ class _Range:
             onto.shared += p.shared
             onto.children += 1
             onto.leaves += p.leaves
-            if len(onto.waiting) >= HELD:
+            if len(onto.waiting) >= self.held:
                 self.name_waiting(onto)
 
     def end(self, number: int) -> None:
@@ -218,16 +219,20 @@ class _Range:
             self.close(top, self.stack[-1] if self.stack else None, last=True)
 
 
-def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tries(held: int) -> Callable:
     """For mapInArrow over sorted (conv_id, key, lengths)."""
-    made = _Range()
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            made.add(*row)
-            if len(made.out[0]) >= BATCH:
-                yield made.batch()
-    made.end(TaskContext.get().partitionId())
-    yield made.batch()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _Range(held)
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                made.add(*row)
+                if len(made.out[0]) >= BATCH:
+                    yield made.batch()
+        made.end(TaskContext.get().partitionId())
+        yield made.batch()
+
+    return run
 
 
 def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,11 +271,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([at], pa.binary()), pa.array([chain.hexdigest()])], schema=schema)
 
 
-def prefix_trie(sequences: DataFrame) -> DataFrame:
+def prefix_trie(sequences: DataFrame, held: int = HELD) -> DataFrame:
     """Nodes of the trie over (conv_id, key, lengths): conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     steady(sequences.sparkSession)
     ordered = stored(sequences.select("conv_id", "key", "lengths"), "sequences").repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
-    parts = stored(ordered.mapInArrow(_tries, _DDL), "trie-parts")
+    parts = stored(ordered.mapInArrow(_tries(held), _DDL), "trie-parts")
 
     borders = parts.where(F.col("kind") == BORDER).select("depth", "first", "last", "lengths").repartition(1).sortWithinPartitions("depth")  # one row for each range
     corrected = borders.select("first", "last", "lengths").mapInArrow(_corrections, _DDL)

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -77,11 +78,24 @@ def test_phrases_of_hot_words_are_summed_up(spark, monkeypatch):
 
 
 def test_phrases_are_sent_on_in_bounded_parts(monkeypatch):
-    monkeypatch.setattr(phrases, "HELD", 7)
+    monkeypatch.setattr(phrases, "SUFFIXES", 7)
+    size = sum(2**b for b in phrases.BITS) // 8
+    every = phrases._Sketch(np.full(size, 255, np.uint8), frozenset())
     batch = pa.record_batch([pa.array(["en"] * 20), pa.array([b"a b c. d e f"] * 20)], names=["lang", "text"])
-    sent = list(phrases._suffix_counts(3, {})([batch]))
-    assert len(sent) == 20 and all(b.num_rows == 6 for b in sent)
-    assert sum(sum(b.column(2).to_pylist()) for b in sent) == 120
+    sent = list(phrases._suffix_counts(3, lambda: every)([batch]))
+    assert len(sent) == 20 and all(b.num_rows == 7 for b in sent)
+    assert sum(sum(b.column(2).to_pylist()) for b in sent) == 240
+    nothing = phrases._Sketch(np.zeros(size, np.uint8), frozenset())
+    assert [b.to_pylist() for b in phrases._suffix_counts(3, lambda: nothing)([batch])] == [[{"lang": "en", "suffix": b"", "n": 120, "salt": -1}]]
+
+
+def test_phrases_in_crowded_buckets(spark):
+    """Buckets that many words share let rare ones through, which changes no count."""
+    rows = random_texts(11, 150, 300, 120)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    want = brute_phrases(rows, 3, 4, 500, 50)
+    for bits in ((15, 15), (20, 16)):
+        assert rows_of(phrases.collocations(docs, min_count=4, top=500, bits=bits)) == want
 
 
 def test_phrases_odd_rows(spark):
@@ -155,18 +169,16 @@ def test_trie_against_plain_version(spark, parts):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_trie_of_many_equal_and_long_conversations(spark, monkeypatch):
+@pytest.mark.parametrize("held", [1, 3, 10_000])
+def test_trie_of_many_equal_and_long_conversations(spark, held):
     """Equal conversations fill several ranges; ids and rows that wait are sent on before their point is closed."""
-    monkeypatch.setattr(trie, "HELD", 3)
     rows = [(c, t, "user", f"hot {t}") for c in range(300) for t in range(3)] + [(1000 + c, t, "user", f"{c} {t}") for c in range(50) for t in range(1 + c % 5)]
     rows += [(5000, t, "user", str(t % 7)) for t in range(700)]
-    got = rows_of(trie.prefix_trie(trie.rebuilt(spark.createDataFrame(rows, TURNS))))
+    got = rows_of(trie.prefix_trie(trie.rebuilt(spark.createDataFrame(rows, TURNS)), held))
     assert got == brute_trie(brute_rebuilt(rows))
 
 
-def test_trie_sorted_ranges_in_process(monkeypatch):
-    """Every way to cut a sorted list in two gives a first range whose complete nodes are right."""
-    monkeypatch.setattr(trie, "HELD", 2)
+def test_trie_names_of_beginnings():
     assert trie.in_common(b"a" * 48, b"a" * 32) == 2 and trie.in_common(b"", b"a" * 16) == 0
     names = trie._prefixes(b"a" * 48)
     assert names == [trie._name(b"a" * 48, d) for d in range(4)] and len(set(names)) == 4
@@ -190,6 +202,18 @@ def test_trie_of_the_given_table(spark, small):
 # ---------------------------------------------------------------- 13
 
 
+def covered(rows, length):
+    """(doc_id, place) of the words that go."""
+    seen, out = set(), []
+    for doc_id, text in sorted(rows):
+        w = text.split()
+        for i in range(len(w) - length + 1):
+            key = tuple(w[i : i + length])
+            out += [(doc_id, i + j) for j in range(length)] if key in seen else []
+            seen.add(key)
+    return out
+
+
 def brute_spans(rows, length):
     """rows: (doc_id, text) with different ids, in any order."""
     first, out = {}, []
@@ -236,8 +260,10 @@ def test_spans_of_hot_anchors_and_full_tasks(spark, monkeypatch):
     for hot, shard, held in ((1, 3, 5), (4, 1, 100_000), (10_000, 1_000_000, 1)):
         monkeypatch.setattr(spans, "HOT", hot)
         monkeypatch.setattr(spans, "SHARD", shard)
-        monkeypatch.setattr(spans, "HELD", held)
-        assert spans_of(spark, rows, length=6, shingle=3) == brute_spans(rows, 6)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        want = {(d, i) for d, i in covered(rows, 6)}
+        got = spans.repeated_spans(docs, 6, 3, held=held, bits=15 + shard % 9).collect()
+        assert {(r["doc"], i) for r in got for s in r["spans"] for i in range(s["first"], s["end"])} == want
 
 
 def test_automaton_knows_all_substrings_and_their_first_places():
