@@ -7,14 +7,17 @@ cover go. Words are compared as words, never as hashes.
 
 Which passages go where: a window of `length` words has as its anchor the least hash of the `shingle`-word shingles in it
 (the leftmost, if several are equal). Equal windows have equal anchors, neighbouring windows mostly the same one, and an
-anchor that only one place in the corpus has marks windows that occur nowhere else. So only anchors are counted over the
-corpus; the stretch of windows of one that occurs again is a passage, of at most 2 length - shingle words, and its shard is
-the hash of the anchor. Sending every document past every automaton instead would cost documents times shards.
+anchor that only one place in the corpus has marks windows that occur nowhere else. So anchors are counted over the corpus,
+by hash in a fixed number of buckets, and those with two places or more are a set of bits that is broadcast (34 MB,
+whatever the corpus; what it lets through by chance only costs). The stretch of windows of such an anchor is a passage, of
+2 length - shingle words at most, and its shard is the hash of the anchor. Sending every document past every automaton
+instead would cost documents times shards.
 
 Hot anchors (over HOT places: text around a passage that many documents share) are dealt by whole windows, so that no
 shard holds all places of one. A passage that a task meets again is decided there: the task keeps the earliest place of
 each passage and drops the others whole, and only that one travels. Shards hold about SHARD passages, whatever the size of
-the corpus. Documents are joined with what they lose, once with their texts.
+the corpus. A passage that is alone with its anchor has no window in common with another and needs no automaton. Documents
+are joined once with what they lose.
 
 Defined results: a null text has no words. Documents are ordered by id, null last, then by a hash of the text; rows that repeat
 id and text are one document and share its fate, rows that repeat only the id are documents of their own. Kept words are
@@ -23,7 +26,9 @@ joined by one blank. Other columns stay. An empty table gives no rows; texts of
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +36,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, short_batches, stored
+from .common import Scratch, bit_set, has_bits, row_key, short_batches, stored
 
 LENGTH, SHINGLE = 20, 8
 #: Places from which on an anchor's windows are dealt one by one.
 HOT = 500
 #: Passages of a shard, in the mean.
 SHARD = 2000
-#: Passages that a task remembers, words whose hashes it keeps, and rows that it sends at once.
-HELD, BATCH = 100_000, 5000
+#: Passages that a task remembers, words whose hashes it keeps, rows that it sends, and words that it hashes at once.
+HELD, BATCH, WORDS = 300_000, 5000, 20_000
+#: Buckets in which anchors are counted, as a power of two, and buckets that are hot together.
+BITS, HOT_GROUP = 28, 16
 #: An id that is null comes after all others.
 _LAST = (1 << 63) - 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -53,9 +60,14 @@ class _Hashes(dict):
         return h
 
 
-def _anchors(words: list[bytes], known: _Hashes, length: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text's windows: hash, first window, number of windows, in order."""
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def _anchors(texts: list[list[bytes]], known: _Hashes, length: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the windows of some texts: hash, number of the text, first window, number of windows, in order."""
+    sizes = np.array([len(w) for w in texts])
+    ends = np.cumsum(sizes)
+    h = np.fromiter(chain.from_iterable(map(known.__getitem__, w) for w in texts), np.uint64, ends[-1])
+    m = len(h) - length + 1
+    if m <= 0:
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
     n = len(h) - shingle + 1
     s = np.zeros(n, np.uint64)
     for i in range(shingle):
@@ -65,34 +77,56 @@ def _anchors(words: list[bytes], known: _Hashes, length: int, shingle: int) -> t
     s ^= s >> np.uint64(27)
     s *= _M2
     s ^= s >> np.uint64(31)
-    span = length - shingle + 1
-    best = s[: n - span + 1].copy()
-    at = np.zeros(len(best), np.int64)
-    for i in range(1, span):
-        other = s[i : i + len(best)]
+    best, at = s[:m].copy(), np.arange(m)
+    for i in range(1, length - shingle + 1):
+        other = s[i : i + m]
         less = other < best
-        best[less] = other[less]
-        at[less] = i
-    at += np.arange(len(best))
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return s[at[starts]], starts, np.diff(np.r_[starts, len(best)])
+        np.copyto(best, other, where=less)
+        at[less] = np.flatnonzero(less) + i
+    text = np.repeat(np.arange(len(sizes)), sizes)[:m]
+    own = np.flatnonzero(np.arange(m) + length <= ends[text])  # windows that end in the text in which they start
+    at, text = at[own], text[own]
+    starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])]) if len(own) else own
+    return s[at[starts]], text[starts], own[starts] - (ends - sizes)[text[starts]], np.diff(np.r_[starts, len(own)])
+
+
+def _some(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list[list[bytes]], list[tuple]]]:
+    """Words of texts, the last column, with the rest of their rows: as many rows as have so many words together."""
+    texts, rest, size = [], [], 0
+    for b in batches:
+        for i, text in enumerate(b.column(b.num_columns - 1)):
+            texts.append((text.as_py() or b"").split())
+            rest.append(tuple(b.column(c)[i].as_py() for c in range(b.num_columns - 1)))
+            size += len(texts[-1])
+            if size >= words:
+                yield texts, rest
+                texts, rest, size = [], [], 0
+    if texts:
+        yield texts, rest
+
 
+def _bucket(anchors: np.ndarray, bits: int) -> np.ndarray:
+    """By bits that don't depend on size: anchors are least hashes, so their first bits are mostly 0."""
+    return ((anchors * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
-def _places(length: int, shingle: int) -> Callable:
-    """For mapInArrow over (document, text): anchor, document and the anchor's windows as first * 64 + number."""
+
+def _bucket_counts(length: int, shingle: int, bits: int) -> Callable:
+    """For mapInArrow over texts: bucket, n, of anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
-        for b in batches:
-            documents, texts = b.column(0).to_pylist(), b.column(1)
-            for low in range(0, len(documents), 50):
-                some = []
-                for document, text in zip(documents[low : low + 50], texts[low : low + 50].to_pylist(), strict=True):
-                    if len(words := text.split()) >= length:
-                        a, start, n = _anchors(words, known, length, shingle)
-                        some.append((a.view(np.int64), np.full(len(a), document), start * 64 + n))
-                if some:
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*some, strict=True)], names=["anchor", "document", "windows"])
+        known, held = _Hashes(), []
+
+        def out() -> pa.RecordBatch:
+            bucket, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.record_batch([pa.array(bucket), pa.array(n)], names=["bucket", "n"])
+
+        for texts, _ in _some(batches, WORDS):
+            held.append(_bucket(_anchors(texts, known, length, shingle)[0], bits))
+            if sum(map(len, held)) >= HELD:
+                yield out()
+        if held:
+            yield out()
 
     return run
 
@@ -101,13 +135,27 @@ _PASSAGE = "route long, doc long, tie long, start int, windows int, words binary
 _PASSAGES = pa.schema([("route", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("words", pa.binary())])
 
 
-def _cut_out(length: int) -> Callable:
-    """For mapInArrow over (doc, tie, text, again): passages, without words if all of their windows start earlier.
+def _joined(gone: list[tuple], length: int) -> list[tuple]:
+    """Passages that go whole, those of a document that touch or overlap as one: a copy of a document is one row."""
+    out: list[tuple] = []
+    for route, doc, tie, start, windows, _ in sorted(gone, key=lambda r: r[1:5]):
+        if out and out[-1][1:3] == (doc, tie) and start <= (end := out[-1][3] + out[-1][4] + length - 1):
+            out[-1] = (route, doc, tie, out[-1][3], max(end, start + windows + length - 1) - out[-1][3] - length + 1, None)
+        else:
+            out.append((route, doc, tie, start, windows, None))
+    return out
+
 
-    again: [(anchor, windows, hot)] of the document. A task keeps the earliest place of each passage it has met.
+def _cut_out(length: int, shingle: int, bits: int, marks: Callable[[], tuple[np.ndarray, np.ndarray]], most: int) -> Callable:
+    """For mapInArrow over (doc, tie, text): passages, without words if all of their windows start earlier.
+
+    marks: buckets of anchors with two places or more, and groups of HOT_GROUP buckets of which one has over HOT. A task keeps
+    the earliest place of each passage it has met, `most` at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        again, hot = marks()
+        known = _Hashes()
         held: dict[bytes, tuple] = {}
         gone: list[tuple] = []
 
@@ -115,35 +163,34 @@ def _cut_out(length: int) -> Callable:
             for low in range(0, len(rows), BATCH):
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows[low : low + BATCH], strict=True), _PASSAGES, strict=True)], schema=_PASSAGES)
 
-        for b in batches:
-            for i in range(b.num_rows):
-                doc, tie, text, again = (c[i].as_py() for c in b.columns)
-                words = text.split()
-                for place in again:
-                    start, n = divmod(place["windows"], 64)
-                    if start + n + length - 1 > len(words):
-                        continue  # of another document with this document's hash
-                    pieces = [(s, 1) for s in range(start, start + n)] if place["hot"] else [(start, n)]
-                    for s, m in pieces:
-                        key = b" ".join(words[s : s + m + length - 1])
-                        route = xxhash.xxh3_64_intdigest(key) - (1 << 63) if place["hot"] else place["anchor"]
-                        here = (doc, tie, s)
-                        was = held.get(key)
-                        if was is None:
-                            held[key] = (route, m, here)
-                        elif here > was[2]:
-                            gone.append((0, *here, m, None))
-                        elif here < was[2]:
-                            gone.append((0, *was[2], m, None))
-                            held[key] = (route, m, here)
-                if len(gone) >= BATCH:
-                    yield from send(gone)
-                    gone.clear()
-                if len(held) >= HELD:
-                    yield from send([(route, *here, m, key) for key, (route, m, here) in held.items()])
-                    held.clear()
-        yield from send(gone)
-        yield from send([(route, *here, m, key) for key, (route, m, here) in held.items()])
+        for texts, rest in _some(batches, WORDS):
+            anchors, text, first, n = _anchors(texts, known, length, shingle)
+            buckets = _bucket(anchors, bits)
+            at = np.flatnonzero(has_bits(again, buckets))
+            by_window = has_bits(hot, buckets[at] // HOT_GROUP).tolist()
+            for route, t, start, m, alone in zip(anchors[at].view(np.int64).tolist(), text[at].tolist(), first[at].tolist(), n[at].tolist(), by_window, strict=True):
+                words, (doc, tie) = texts[t], rest[t]
+                for s, k in [(s, 1) for s in range(start, start + m)] if alone else [(start, m)]:
+                    key = b" ".join(words[s : s + k + length - 1])
+                    if alone:
+                        route = xxhash.xxh3_64_intdigest(key) - (1 << 63)
+                    here = (doc, tie, s)
+                    was = held.get(key)
+                    if was is None:
+                        held[key] = (route, k, here)
+                    elif here > was[2]:
+                        gone.append((0, *here, k, None))
+                    elif here < was[2]:
+                        gone.append((0, *was[2], k, None))
+                        held[key] = (route, k, here)
+            if len(gone) >= 20 * BATCH:
+                yield from send(_joined(gone, length))
+                gone.clear()
+            if len(held) >= most:
+                yield from send([(route, *here, k, key) for key, (route, k, here) in held.items()])
+                held.clear()
+        yield from send(_joined(gone, length))
+        yield from send([(route, *here, k, key) for key, (route, k, here) in held.items()])
 
     return run
 
@@ -220,6 +267,12 @@ class Automaton:
             yield self.place[v]
 
 
+def _repeats(words: list[bytes], length: int) -> bool:
+    """Whether two windows of a passage are equal."""
+    n = len(words) - length + 1
+    return any(words[i : i + length] == words[j : j + length] for i in range(n) for j in range(i + 1, n) if words[i] == words[j])
+
+
 def _covered(flags: list[bool], length: int) -> list[tuple[int, int]]:
     """Stretches of words, as first and end, that the marked windows cover."""
     out: list[tuple[int, int]] = []
@@ -237,29 +290,30 @@ def _matched(length: int) -> Callable:
     schema = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
 
     def shard(rows: dict[bytes, tuple]) -> Iterator[tuple]:
+        alike = Counter(route for route, _ in rows.values())
+        some = [(key.split(b" "), here) for key, (route, here) in rows.items() if alike[route] > 1 or _repeats(key.split(b" "), length)]
         reference = Automaton()
-        for key, here in rows.items():
-            reference.add(key.split(b" "), *here)
+        for words, here in some:
+            reference.add(words, *here)
         reference.close()
-        for key, (doc, tie, start) in rows.items():
-            found = reference.earliest(key.split(b" "), length)
-            earlier = [place is not None and place < (doc, tie, start + i + length - 1) for i, place in enumerate(found)]
+        for words, (doc, tie, start) in some:
+            earlier = [place is not None and place < (doc, tie, start + i + length - 1) for i, place in enumerate(reference.earliest(words, length))]
             for first, end in _covered(earlier, length):
                 yield doc, tie, start + first, start + end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, out = None, {}, []
         for b in batches:
-            for number, doc, tie, start, windows, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for number, route, doc, tie, start, windows, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key is None:
                     out.append((doc, tie, start, start + windows + length - 1))
                     continue
                 if number != at:
                     out += shard(rows)
                     at, rows = number, {}
-                here, was = (doc, tie, start), rows.get(key)
+                here, was = (doc, tie, start), rows.get(key, (route, None))[1]
                 if was is None or here < was:
-                    rows[key] = here
+                    rows[key] = (route, here)
                 if was is not None and here != was:  # the later of two equal passages goes whole
                     out.append((*max(here, was), max(here, was)[2] + windows + length - 1))
             if out:
@@ -272,26 +326,28 @@ def _matched(length: int) -> Callable:
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id", held: int = HELD, bits: int = BITS) -> DataFrame:
     """Stretches of words that start earlier in the corpus: doc, tie, and spans [(first, end)], which may overlap.
 
     doc is the id (null: the greatest long), tie the hash of the text by which rows of one id are told apart.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    if not 0 < shingle <= length or length - shingle >= 63:
-        raise ValueError("a window has at most 63 shingles")
-    body = F.coalesce(F.col(text), F.lit(""))
-    given = docs.select(*_order(doc_id, text), F.xxhash64(doc_id, text).alias("document"), body.cast("binary").alias("text"))
-    places = given.select("document", "text").mapInArrow(_places(length, shingle), "anchor long, document long, windows long")
-    again = stored(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-anchors")
-    passages = again.agg(F.sum(F.when(F.col("n") > HOT, F.col("n") * (length - shingle + 1)).otherwise(F.col("n")))).first()[0] or 0
-    found = places.join(again.select("anchor", (F.col("n") > HOT).alias("hot")), "anchor")
-    of_document = found.groupBy("document").agg(F.collect_set(F.struct("anchor", "windows", "hot")).alias("again"))
-    cut = given.join(of_document.hint("shuffle_hash"), "document").select("doc", "tie", "text", "again").mapInArrow(_cut_out(length), _PASSAGE)
+    if not 0 < shingle <= length:
+        raise ValueError("a shingle is part of a window")
+    given = docs.select(*_order(doc_id, text), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    counts = given.select("text").mapInArrow(_bucket_counts(length, shingle, bits), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1")
+    held_back = Scratch(spark)
+    again = held_back.stored(counts, "repeated-anchors")
+    hot = F.col("n") > HOT
+    passages = again.agg(F.sum(F.when(hot, F.col("n") * (length - shingle + 1)).otherwise(F.col("n")))).first()[0] or 0
+    size = 1 << bits
+    sent = spark.sparkContext.broadcast((bit_set(again.select("bucket"), size), bit_set(again.where(hot).select(F.floor(F.col("bucket") / HOT_GROUP).alias("bucket")).distinct(), size // HOT_GROUP + 1)))
+    held_back.clear()
+    cut = given.mapInArrow(_cut_out(length, shingle, bits, lambda: sent.value, held), _PASSAGE)
     shards = max(1, passages // SHARD)
-    number = F.when(F.col("words").isNull(), F.xxhash64("doc", "tie", "start")).otherwise(F.pmod(F.xxhash64("route"), F.lit(shards)))
-    dealt = cut.select(number.alias("shard"), "doc", "tie", "start", "windows", "words").repartition("shard").sortWithinPartitions("shard")
+    number = F.when(F.col("words").isNull(), F.pmod(F.xxhash64("doc"), F.lit(shards))).otherwise(F.pmod(F.xxhash64("route"), F.lit(shards)))
+    dealt = cut.select(number.alias("shard"), "route", "doc", "tie", "start", "windows", "words").repartition("shard").sortWithinPartitions("shard")
     removed = dealt.mapInArrow(_matched(length), "doc long, tie long, first int, end int")
     return removed.groupBy("doc", "tie").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 
