@@ -312,6 +312,18 @@ def extract_gleaned(spark, sf_dir):
     return found.select(F.col("chunk").alias("doc_id"), F.explode("result.entities").alias("e")).select("doc_id", "e.name", "e.description")
 
 
+@query(rf"""WITH {NAMES}, keyed AS (SELECT doc_id, substr(sha256('structured' || '|||' || substr(text, 1, 500)), 1, 16) AS key, length(trim(text)) >= 10 AS asked FROM documents),
+source AS (SELECT doc_id, CASE WHEN asked THEN min(doc_id) FILTER (WHERE asked) OVER (PARTITION BY key) END AS least FROM keyed)
+SELECT doc_id, (SELECT count(*) FROM ents e WHERE e.doc_id = s.least) AS entities, (SELECT count(*) FROM rels r WHERE r.doc_id = s.least) AS relationships FROM source s""")
+def extract_cached(spark, sf_dir):
+    """Half of the documents, then all: texts that begin alike share the extraction of the least document, out of the cache."""
+    cache = ExtractionCache(spark, scratch(spark, "cache"))
+    rows = docs(spark, sf_dir)
+    least = rows.withColumn("key", T.cache_key(F.lit("structured"), F.col("text"))).where(F.length(F.trim("text")) >= 10).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    extraction.cached(rows.join(least.where("doc_id % 2 = 0").select("doc_id"), "doc_id", "left_semi"), cache)
+    return _counted(extraction.cached(rows, cache))
+
+
 GRAPHED = f"""{NAMES}, canon AS (SELECT doc_id, CASE WHEN name IN ('napoleon', 'napoleon i', 'bonaparte') THEN 'napoleon bonaparte' ELSE name END AS name FROM ents),
 ends AS (SELECT CASE WHEN source IN ('napoleon', 'napoleon i', 'bonaparte') THEN 'napoleon bonaparte' ELSE source END AS source, CASE WHEN target IN ('napoleon', 'napoleon i', 'bonaparte') THEN 'napoleon bonaparte' ELSE target END AS target FROM rels)"""
 STORED = f"WITH {GRAPHED} SELECT (SELECT count(DISTINCT name) FROM canon) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT source, target FROM ends)) AS rels, (SELECT count(*) FROM (SELECT DISTINCT doc_id, name FROM canon)) AS mentions, (SELECT count(*) FROM documents WHERE text <> '') AS points"
