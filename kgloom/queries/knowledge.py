@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.functions import names as N
+from kgloom.functions import tables
 from kgloom.operators import kg
 
 from . import query, table
@@ -172,6 +173,14 @@ def parse_delimited(spark, sf_dir):
     return entities.select("p_partkey", (F.col("line_no") + 1).alias("line_no"), F.lit("entity").alias("kind"), F.col("name").alias("a"), F.col("type").alias("b")).unionByName(rels.select("p_partkey", (F.col("line_no") + 1).alias("line_no"), F.lit("relation").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b")))
 
 
+@query("SELECT p_partkey, 1 + 1 AS line_no, 'entity' AS kind, p_name AS a, upper(p_type) AS b FROM part UNION ALL SELECT p_partkey, 5, 'relation', p_name, p_brand FROM part WHERE p_partkey % 3 <> 0")
+def parse_delimited_sql(spark, sf_dir):
+    """As parse_delimited, by a table function in a SQL text."""
+    tables.register(spark)
+    rows = part(spark, sf_dir).select("p_partkey", _content(False).alias("content"))
+    return spark.sql("SELECT p_partkey, line_no + 1 AS line_no, kind, name AS a, coalesce(target, type) AS b FROM {outputs}, LATERAL extraction_lines(content)", outputs=rows)
+
+
 @query(r"""WITH said AS (SELECT string_split(concat_ws(chr(10), h || 'entity<|#|>' || p_name, h || 'entity<|#|> ' || p_name || '<|#|>' || lower(p_type) || '<|#|>' || p_brand, CASE WHEN p_partkey % 3 = 0 THEN '<|COMPLETE|>' ELSE '' END, '  ', h || 'relation<|#|>' || p_name || '<|#|>' || p_brand || '<|#|>made by<|#|>' || p_type, 'noise'), chr(10)) AS l
   FROM (SELECT *, 'doc_id:' || p_partkey || '<|#|>' AS h FROM part)),
 lines AS (SELECT unnest(CASE WHEN list_contains(l, '<|COMPLETE|>') THEN l[:list_position(l, '<|COMPLETE|>') - 1] ELSE l END) AS line FROM said),
