@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import names as N
 from kgloom.functions import tables
-from kgloom.operators import kg
+from kgloom.operators import aliases, kg
 
 from . import query, table
 
@@ -167,6 +167,18 @@ def _content(batch: bool):
     return F.concat_ws("\n", short, entity, end, F.lit("  "), rel, F.lit("noise"))
 
 
+@query("""WITH rules AS (SELECT p_partkey AS rule, CASE WHEN p_partkey % 4 <> 0 THEN CASE WHEN p_partkey % 3 = 0 THEN substr(p_brand, 1, 6) ELSE p_brand || ' ' || p_type END END AS domain, p_name AS alias, 'entity ' || p_partkey AS canonical FROM part WHERE p_partkey % 5 = 0),
+sq AS (SELECT *, replace(replace(lower(trim(domain)), ' ', ''), '-', '') AS r FROM rules), said AS (SELECT *, replace(replace(lower(trim(p_brand)), ' ', ''), '-', '') AS d FROM part),
+hit AS (SELECT p_partkey, arg_min(canonical, (CASE WHEN domain IS NULL THEN 1000000000 ELSE 0 END) + rule) AS canonical FROM said JOIN sq ON lower(trim(alias)) = lower(trim(p_name)) AND (domain IS NULL OR contains(d, r) OR contains(r, d)) GROUP BY p_partkey)
+SELECT p.p_partkey, coalesce(h.canonical, p.p_name) AS canonical FROM part p LEFT JOIN hit h USING (p_partkey)""")
+def alias_table(spark, sf_dir):
+    """Aliases from a table: a rule for every fifth part, in domains that lie in the brand's or around it."""
+    key, rows = F.col("p_partkey"), part(spark, sf_dir)
+    where = F.when(key % 4 != 0, F.when(key % 3 == 0, F.substring("p_brand", 1, 6)).otherwise(F.concat_ws(" ", "p_brand", "p_type")))
+    rules = rows.where(key % 5 == 0).select(key.alias("rule"), where.alias("domain"), F.col("p_name").alias("alias"), F.concat(F.lit("entity "), key.cast("string")).alias("canonical"))
+    return aliases.resolved(rows.select("p_partkey", "p_name", "p_brand"), rules, "p_name", "p_brand").select("p_partkey", "canonical")
+
+
 @query("SELECT p_partkey, 1 + 1 AS line_no, 'entity' AS kind, p_name AS a, upper(p_type) AS b FROM part UNION ALL SELECT p_partkey, 5, 'relation', p_name, p_brand FROM part WHERE p_partkey % 3 <> 0")
 def parse_delimited(spark, sf_dir):
     entities, rels = kg.parsed(part(spark, sf_dir).select("p_partkey", _content(False).alias("content")), ["p_partkey"])
