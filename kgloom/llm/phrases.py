@@ -6,8 +6,9 @@ stack of max_n counters counts all phrases: a counter is closed, and handed to t
 Counts of the two parts of each cut are joined afterwards.
 
 Before that, words and pairs of neighbours are counted by hash in a fixed number of buckets, and those whose bucket has
-min_count or more are a set of bits that is broadcast (33 MB, whatever the corpus). A word or pair outside it is in no
-phrase that counts, so suffixes end before it; what it lets through by chance only costs, and is counted exactly.
+min_count or more are a set of bits that is broadcast; then the same for three words whose pairs are in the set, and so on
+to max_n (33 MB for max_n of 3, whatever the corpus). What isn't in the set is in no phrase that counts, so suffixes end
+before it; what it lets through by chance only costs, and is counted exactly.
 
 Equal suffixes are counted in each task before they are shuffled. First words with 1 / HEAVY of all words or more, which
 are no more than HEAVY, are dealt by whole suffix: what their tasks count for the word and for phrases below max_n is
@@ -33,15 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bit_set, has_bits, short_batches, stored
+from .common import Scratch, bit_set, has_bits, short_batches, stored
 
 MAX_N, MIN_COUNT, TOP = 3, 10, 2000
 #: A first word with 1 / HEAVY of all words or more is dealt by whole suffix.
 HEAVY = 4096
 #: Different suffixes that a task counts together before it sends them on, and words whose hashes it keeps.
 SUFFIXES, HELD = 400_000, 200_000
-#: Buckets of pairs and of words, as powers of two, and the bucket that counts all words.
-BITS = (28, 23)
+#: Buckets of pairs, of words and of each longer length, as powers of two, and the bucket that counts all words.
+BITS = (27, 23, 27)
 TOTAL = -1
 #: Groups that the best phrases of a language are chosen in first.
 GROUPS = 64
@@ -71,24 +72,44 @@ class _Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def _word_buckets(h: np.ndarray, bits: tuple[int, int]) -> np.ndarray:
-    return (h >> np.uint64(64 - bits[1])).astype(np.int64) + (1 << bits[0])
-
-
-def _pair_buckets(h: np.ndarray, bits: tuple[int, int]) -> np.ndarray:
-    x = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+def _buckets(h: np.ndarray, k: int, bits: tuple[int, int, int]) -> np.ndarray:
+    """Buckets of the k words from each on: those of pairs, of words and of each longer length have their own range."""
+    first, size = {2: (0, bits[0]), 1: (1 << bits[0], bits[1])}.get(k, ((1 << bits[0]) + (1 << bits[1]) + ((k - 3) << bits[2]), bits[2]))
+    n = max(0, len(h) - k + 1)
+    x = np.zeros(n, np.uint64)
+    for j in range(k):
+        x = x * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
     x ^= x >> np.uint64(31)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(64 - bits[0])).astype(np.int64)
+    return (x >> np.uint64(64 - size)).astype(np.int64) + first
+
+
+class _Sketch:
+    """Which buckets can hold a phrase of min_count or more, for phrases of up to `levels` words, and the buckets of hot words."""
+
+    def __init__(self, marks: np.ndarray, heavy: frozenset[int], bits: tuple[int, int, int], levels: int):
+        self.marks, self.heavy, self.bits, self.levels = marks, heavy, bits, levels
+
+    def often(self, h: np.ndarray, most: int) -> list[np.ndarray]:
+        """For k of 1 to `most`: from which words on the k words may be frequent. Words of 0, the ends of pieces, never are."""
+        found = [(h > 0) & has_bits(self.marks, _buckets(h, 1, self.bits))]
+        for k in range(2, most + 1):
+            both = found[-1][:-1] & found[-1][1:]
+            found.append(both & has_bits(self.marks, _buckets(h, k, self.bits)) if k <= self.levels else both)
+        return found
 
 
-def _bucket_counts(bits: tuple[int, int]) -> Callable:
-    """For mapInArrow over (lang, text): bucket, n, of words and pairs; bucket TOTAL has the number of words."""
+def _bucket_counts(bits: tuple[int, int, int], level: int, sketch: Callable[[], _Sketch] | None) -> Callable:
+    """For mapInArrow over (lang, text): bucket, n.
+
+    Level 2: of words and pairs; bucket TOTAL has the number of words. Level k: of k words whose first and last k - 1 are in the sketch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, _Hashes] = {}
         held: list[np.ndarray] = []
         size = words = 0
+        before = sketch() if sketch else None
 
         def out() -> pa.RecordBatch:
             bucket, n = np.unique(np.concatenate(held), return_counts=True)
@@ -100,10 +121,14 @@ def _bucket_counts(bits: tuple[int, int]) -> Callable:
                 if lang not in known:
                     known[lang] = _Hashes(lang)
                 h = known[lang].of(tokens(text))
-                there = h > 0
-                held += [_word_buckets(h[there], bits), _pair_buckets(h, bits)[there[:-1] & there[1:]]]
-                words += int(there.sum())
-                size += len(held[-1]) + len(held[-2])
+                if before is None:
+                    there = h > 0
+                    held += [_buckets(h, 1, bits)[there], _buckets(h, 2, bits)[there[:-1] & there[1:]]]
+                    words += int(there.sum())
+                else:
+                    shorter = before.often(h, level - 1)[-1]
+                    held.append(_buckets(h, level, bits)[shorter[:-1] & shorter[1:]])
+                size += sum(map(len, held[-2:] if before is None else held[-1:]))
                 if size >= 4 * HELD:
                     yield out()
                     size = words = 0
@@ -113,30 +138,20 @@ def _bucket_counts(bits: tuple[int, int]) -> Callable:
     return run
 
 
-class _Sketch:
-    """Which buckets can hold a word or pair of min_count or more, and the buckets of hot words."""
-
-    def __init__(self, marks: np.ndarray, heavy: frozenset[int], bits: tuple[int, int] = BITS):
-        self.marks, self.heavy, self.bits = marks, heavy, bits
-
-    def has(self, buckets: np.ndarray) -> np.ndarray:
-        return has_bits(self.marks, buckets)
-
-
 def _suffix_counts(max_n: int, sketch: Callable[[], _Sketch]) -> Callable:
     """For mapInArrow over (lang, text): suffixes with their counts; the empty one counts all words."""
     schema = pa.schema([("lang", pa.string()), ("suffix", pa.binary()), ("n", pa.int64()), ("salt", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sketch()
+        marked = sketch()
         known: dict[str, _Hashes] = {}
         held: dict[str, Counter] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, counter in held.items():
                 suffixes = [k and k + b" " for k in counter]
-                firsts = _word_buckets(known[lang].of([k.split(b" ", 1)[0] for k in counter]), often.bits).tolist()
-                salts = [xxhash.xxh32_intdigest(s) % 2**30 if b in often.heavy else -1 for s, b in zip(suffixes, firsts, strict=True)]
+                firsts = _buckets(known[lang].of([k.split(b" ", 1)[0] for k in counter]), 1, marked.bits).tolist()
+                salts = [xxhash.xxh32_intdigest(s) % 2**30 if b in marked.heavy else -1 for s, b in zip(suffixes, firsts, strict=True)]
                 columns = ([lang] * len(suffixes), suffixes, list(counter.values()), salts)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
             held.clear()
@@ -147,15 +162,11 @@ def _suffix_counts(max_n: int, sketch: Callable[[], _Sketch]) -> Callable:
                     known[lang] = _Hashes(lang)
                 words = tokens(text)
                 h = known[lang].of(words)
-                there = h > 0
                 counter = held.setdefault(lang, Counter())
-                counter[b""] += int(there.sum())
-                single = there & often.has(_word_buckets(h, often.bits))
-                pair = np.r_[often.has(_pair_buckets(h, often.bits)) & single[:-1] & single[1:], np.zeros(max_n, bool)] if len(h) else np.zeros(max_n, bool)
-                size, going = single.astype(np.int64), single.copy()
-                for k in range(max_n - 1):
-                    going &= pair[k : k + len(h)]
-                    size += going
+                counter[b""] += int((h > 0).sum())
+                size = np.zeros(len(h), np.int64)
+                for k, some in enumerate(marked.often(h, max_n) if len(h) else (), 1):
+                    size[: len(some)] += some
                 counter.update(compress(words, (size == 1).tolist()))
                 for k in range(2, max_n + 1):
                     counter.update([b" ".join(words[i : i + k]) for i in np.flatnonzero(size == k).tolist()])
@@ -233,12 +244,12 @@ def _stack(max_n: int, min_count: int) -> Callable:
     return run
 
 
-def phrase_counts(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT, text: str = "text", lang: str = "lang", bits: tuple[int, int] = BITS) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT, text: str = "text", lang: str = "lang", bits: tuple[int, int, int] = BITS) -> tuple[DataFrame, DataFrame]:
     """f of all phrases of up to max_n words that occur min_count times or more (lang, phrase, words, f), and n of each lang."""
     spark = docs.sparkSession
     short_batches(spark)
     given = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    sketch = spark.sparkContext.broadcast(_sketched(given, min_count, bits))
+    sketch = spark.sparkContext.broadcast(_sketched(given, max_n, min_count, bits))
     suffixes = given.mapInArrow(_suffix_counts(max_n, lambda: sketch.value), "lang string, suffix binary, n long, salt int")
     dealt = suffixes.repartition("lang", F.substring_index(F.col("suffix").cast("string"), " ", 1), "salt").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
     parts = dealt.mapInArrow(_stack(max_n, min_count), "lang string, phrase binary, words int, f long")
@@ -247,13 +258,26 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUN
     return counted.where("words > 0"), counted.where("words = 0").select("lang", F.col("f").alias("n"))
 
 
-def _sketched(given: DataFrame, min_count: int, bits: tuple[int, int]) -> _Sketch:
-    """The bits of all buckets with min_count or more, and the buckets of words with 1 / HEAVY of all words or more."""
-    counts = stored(given.mapInArrow(_bucket_counts(bits), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("bucket") == TOTAL)), "buckets")
+def _sketched(given: DataFrame, max_n: int, min_count: int, bits: tuple[int, int, int]) -> _Sketch:
+    """The bits of all buckets with min_count or more, length by length, and the buckets of words with 1 / HEAVY of all words or more."""
+    held, spark = Scratch(given.sparkSession), given.sparkSession
+    size = (1 << bits[0]) + (1 << bits[1]) + ((max_n - 2) << bits[2])
+
+    def counted(level: int, sketch: Callable[[], _Sketch] | None) -> DataFrame:
+        rows = given.mapInArrow(_bucket_counts(bits, level, sketch), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        return held.stored(rows.where((F.col("n") >= min_count) | (F.col("bucket") == TOTAL)), "buckets")
+
+    counts = counted(2, None)
     total = counts.where(F.col("bucket") == TOTAL).agg(F.sum("n")).first()[0] or 0
     hot = counts.where((F.col("bucket") >= 1 << bits[0]) & (F.col("n") * HEAVY >= total)).select("bucket").collect()  # HEAVY rows at most
-    out = bit_set(counts.where(F.col("bucket") != TOTAL), (1 << bits[0]) + (1 << bits[1]))
-    return _Sketch(out, frozenset(r["bucket"] for r in hot), bits)
+    out = _Sketch(bit_set(counts.where(F.col("bucket") != TOTAL), size), frozenset(r["bucket"] for r in hot), bits, 2)
+    for level in range(3, max_n + 1):
+        sent = spark.sparkContext.broadcast(out)
+        marks = bit_set(counted(level, lambda sent=sent: sent.value).where(F.col("bucket") != TOTAL), size)
+        out = _Sketch(out.marks | marks, out.heavy, bits, level)
+        sent.unpersist()
+    held.clear()
+    return out
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -262,7 +286,7 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", a * a * F.lit(1_000_000).cast("decimal(7,0)"), left * right)
 
 
-def collocations(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT, top: int = TOP, held_by: int = 50, text: str = "text", lang: str = "lang", bits: tuple[int, int] = BITS) -> DataFrame:
+def collocations(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT, top: int = TOP, held_by: int = 50, text: str = "text", lang: str = "lang", bits: tuple[int, int, int] = BITS) -> DataFrame:
     """Of each language the `top` phrases of 2 to max_n words by score: lang, rank, phrase, a, l, r, n, score.
 
     a is the phrase's count; of all cuts into a first part (l) and a rest (r) that with the least score counts, ties to the
@@ -273,8 +297,15 @@ def collocations(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT
     candidates = counted.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     some = lambda start, size: F.array_join(F.slice("w", start, size), " ")
 
-    # cuts, with the counts of both parts
-    cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
+    # what longer phrases hold
+    inner = F.explode(F.sequence(F.lit(2), F.col("words") - 1))
+    within = candidates.where("words > 2").select("lang", "w", "words", F.col("a").alias("longer"), inner.alias("size"))
+    within = within.withColumn("start", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("size") + 1)))
+    within = within.select("lang", some(F.col("start"), F.col("size")).alias("phrase"), "longer").groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
+    left = candidates.join(within, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * held_by))
+
+    # cuts of what stays, with the counts of both parts
+    cuts = left.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     cuts = cuts.select("lang", "phrase", "a", "k", some(F.lit(1), F.col("k")).alias("first"), some(F.col("k") + 1, F.col("words") - F.col("k")).alias("rest"))
     firsts = counted.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
     rests = counted.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
@@ -282,16 +313,9 @@ def collocations(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT
     cuts = cuts.withColumn("score", _score(F.col("a"), F.col("l"), F.col("r")))
     best = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
 
-    # what longer phrases hold
-    inner = F.explode(F.sequence(F.lit(2), F.col("words") - 1))
-    within = candidates.where("words > 2").select("lang", "w", "words", F.col("a").alias("longer"), inner.alias("size"))
-    within = within.withColumn("start", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("size") + 1)))
-    within = within.select("lang", some(F.col("start"), F.col("size")).alias("phrase"), "longer").groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    left = best.join(within, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * held_by))
-
     order = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
     group = F.pmod(F.xxhash64("phrase"), F.lit(GROUPS))
-    some_of = left.withColumn("place", F.row_number().over(Window.partitionBy("lang", group).orderBy(*order))).where(F.col("place") <= top)
+    some_of = best.withColumn("place", F.row_number().over(Window.partitionBy("lang", group).orderBy(*order))).where(F.col("place") <= top)
     ranked = some_of.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     out = ranked.join(totals, "lang")
     return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", F.col("cut.score").cast("long").alias("score"))

@@ -80,12 +80,12 @@ def test_phrases_of_hot_words_are_summed_up(spark, monkeypatch):
 def test_phrases_are_sent_on_in_bounded_parts(monkeypatch):
     monkeypatch.setattr(phrases, "SUFFIXES", 7)
     size = sum(2**b for b in phrases.BITS) // 8
-    every = phrases._Sketch(np.full(size, 255, np.uint8), frozenset())
+    every = phrases._Sketch(np.full(size, 255, np.uint8), frozenset(), phrases.BITS, 3)
     batch = pa.record_batch([pa.array(["en"] * 20), pa.array([b"a b c. d e f"] * 20)], names=["lang", "text"])
     sent = list(phrases._suffix_counts(3, lambda: every)([batch]))
     assert len(sent) == 20 and all(b.num_rows == 7 for b in sent)
     assert sum(sum(b.column(2).to_pylist()) for b in sent) == 240
-    nothing = phrases._Sketch(np.zeros(size, np.uint8), frozenset())
+    nothing = phrases._Sketch(np.zeros(size, np.uint8), frozenset(), phrases.BITS, 3)
     assert [b.to_pylist() for b in phrases._suffix_counts(3, lambda: nothing)([batch])] == [[{"lang": "en", "suffix": b"", "n": 120, "salt": -1}]]
 
 
@@ -94,7 +94,7 @@ def test_phrases_in_crowded_buckets(spark):
     rows = random_texts(11, 150, 300, 120)
     docs = spark.createDataFrame(rows, "lang string, text string")
     want = brute_phrases(rows, 3, 4, 500, 50)
-    for bits in ((15, 15), (20, 16)):
+    for bits in ((15, 15, 15), (20, 16, 17)):
         assert rows_of(phrases.collocations(docs, min_count=4, top=500, bits=bits)) == want
 
 
