@@ -42,8 +42,8 @@ MAGIC = b"\x1f\x8b\x08"
 #: What a candidate member has to begin with.
 VERSION = b"WARC/1."
 FIELDS = ("warc-type", "warc-record-id", "content-length")
-#: Bytes of a reader's range, of one read, and of the longest head that is tried.
-RANGE, CHUNK, HEAD = 32 << 20, 1 << 20, 1 << 16
+#: Bytes of a reader's range, of one read, and of what is inflated at once.
+RANGE, CHUNK, STEP = 32 << 20, 1 << 20, 1 << 12
 #: Bytes of records that a reader hands on at once.
 BATCH = 16 << 20
 #: A file is closed when it has grown to this; the next record opens another.
@@ -113,20 +113,29 @@ def write_archives(pages: DataFrame, root: str | None = None, min_bytes: int = M
 
 
 class _Window:
-    """A file read forwards from a place, in chunks."""
+    """A file read forwards from a place, in chunks. What has been passed is dropped when the next chunk is read."""
 
     def __init__(self, source: pa.NativeFile, at: int, size: int):
-        self.source, self.at, self.size, self.data = source, at, size, b""
+        self.source, self.at, self.size, self.data, self.passed = source, at, size, b"", 0
 
-    def fill(self, n: int) -> bytes:
-        """At least n bytes from here on, if the file has them."""
-        while len(self.data) < n and (start := self.at + len(self.data)) < self.size:
+    def fill(self, n: int) -> int:
+        """Bytes that are there from here on: n at least, if the file has them."""
+        while (there := len(self.data) - self.passed) < n and (start := self.at + there) < self.size:
             self.source.seek(start)
-            self.data += self.source.read(min(CHUNK, self.size - start))
-        return self.data
+            self.data, self.passed = self.data[self.passed :] + self.source.read(min(CHUNK, self.size - start)), 0
+        return there
+
+    def view(self, start: int, n: int) -> memoryview:
+        """n bytes, or those that the file has, from so many bytes after here."""
+        self.fill(start + n)
+        return memoryview(self.data)[self.passed + start : self.passed + start + n]
+
+    def find(self, mark: bytes) -> int:
+        """How far from here the mark is in what has been read; -1 if it isn't there."""
+        return max(self.data.find(mark, self.passed) - self.passed, -1)
 
     def skip(self, n: int) -> None:
-        self.at, self.data = self.at + n, self.data[n:]
+        self.at, self.passed = self.at + n, self.passed + n
 
 
 def head_of(raw: bytes) -> dict[str, str] | None:
@@ -143,11 +152,19 @@ def head_of(raw: bytes) -> dict[str, str] | None:
     return fields if all(f in fields for f in FIELDS) and fields["content-length"].isdecimal() else None
 
 
-def _is_member(data: bytes) -> bool:
-    try:
-        return head_of(zlib.decompressobj(31).decompress(data, HEAD)) is not None
-    except zlib.error:
-        return False
+def _is_member(w: _Window) -> bool:
+    """Whether what is here inflates to the whole head of a record, however long it is."""
+    inflate, head, taken = zlib.decompressobj(31), b"", 0
+    while b"\r\n\r\n" not in head:
+        piece = w.view(taken, STEP)
+        if inflate.eof or not piece or head[: len(VERSION)] != VERSION[: len(head)]:
+            return False
+        try:
+            head += inflate.decompress(piece)
+        except zlib.error:
+            return False
+        taken += len(piece)
+    return head_of(head) is not None
 
 
 def members(source: pa.NativeFile, size: int, start: int, end: int, strict: bool = False) -> Iterator[tuple[int, bytes]]:
@@ -155,33 +172,33 @@ def members(source: pa.NativeFile, size: int, start: int, end: int, strict: bool
     w = _Window(source, start, size)
     here = start == 0  # a member has to start at this place
     while w.at < min(end, size) or (here and w.at < size):
-        data = w.fill(HEAD if here and strict else len(MAGIC))
-        if here and strict and not (data.startswith(MAGIC) and _is_member(data[:HEAD])):
+        known = here and strict
+        if known and not (w.view(0, len(MAGIC)) == MAGIC and _is_member(w)):
             raise ValueError(f"no record starts at byte {w.at}, where one has to")
         if w.at >= end:
             return
         here = False
-        hit = data.find(MAGIC)
+        there, hit = w.fill(len(MAGIC)), w.find(MAGIC)
         if hit < 0:
-            if w.at + len(data) >= size:
+            if w.at + there >= size:
                 return
-            w.skip(max(1, len(data) - len(MAGIC) + 1))
+            w.skip(max(1, there - len(MAGIC) + 1))
             continue
         w.skip(hit)
         if w.at >= end:
             return
-        if not _is_member(w.fill(HEAD)[:HEAD]):
+        if not known and not _is_member(w):
             w.skip(1)
             continue
         at, inflate, parts = w.at, zlib.decompressobj(31), []
         while not inflate.eof:
-            data = w.fill(1)
-            if not data:
+            piece = w.view(0, STEP)
+            if not piece:
                 if strict:
                     raise ValueError(f"the record at byte {at} is cut off")
                 return
-            parts.append(inflate.decompress(data))
-            w.skip(len(data) - len(inflate.unused_data))
+            parts.append(inflate.decompress(piece))
+            w.skip(len(piece) - len(inflate.unused_data))
         yield at, b"".join(parts)
         here = True
 
