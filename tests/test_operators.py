@@ -529,3 +529,26 @@ def test_stream_fills_both_stores(spark, tmp_path):
         stream = indexer.stream_table(spark, f"file://{tmp_path}/in.parquet", files_per_trigger=1)
         indexer.store_stream(stream, store, g, f"file://{tmp_path}/check").awaitTermination()
         assert store.stats()["points"] == 12 and g.counts() == {"nodes": 4, "rels": 3, "mentions": 24}
+
+
+def test_ways_go_to_their_seed_as_lists(spark, monkeypatch):
+    """Two hops over hubs whose neighbours take several lists, against all ways; no way is shuffled on its own."""
+    from itertools import product
+
+    from kgloom.operators import graph
+
+    monkeypatch.setattr(graph, "LIST", 3)
+    edges = [(f"p{i}", f"s{(i * k) % 7}") for i, k in product(range(30), (1, 2, 5))] + [("p0", None), ("p1", "p1")]
+    out = graph.expanded(spark.createDataFrame([(f"s{i}",) for i in range(8)], "name string"), spark.createDataFrame(edges, "src string, dst string"), 2, limit=None)
+    near = {}
+    for a, b in ((a, b) for x, y in edges if y and x != y for a, b in ((x, y), (y, x))):
+        near.setdefault(a, set()).add(b)
+    want = {}
+    for s in (f"s{i}" for i in range(8)):
+        one = near.get(s, set())
+        two = {y for x in one for y in near[x]} - one - {s}
+        want |= {(s, x): 1 for x in one} | {(s, x): 2 for x in two}
+    assert {(r["name"], r["related"]): r["hops"] for r in out.collect()} == want
+    assert out.count() == len(want)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "LeftAnti" not in plan and "explode(near" in plan
