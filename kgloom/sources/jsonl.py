@@ -59,6 +59,28 @@ def listed_datasets(spark: SparkSession, path: str) -> DataFrame:
     return files.select(N.domain_of_path(F.col("path")).alias("name"), "path").distinct().orderBy("name", "path")
 
 
+#: Between a file's name and the number of its part.
+PART = "~"
+
+
+def bounded_files(rows: DataFrame, order: str, most: int) -> DataFrame:
+    """rows (file, line, and the order column) with the part of its file that each line goes to: <file>~<lane>-<number>,
+    or -large-<number>.
+
+    A part has at most `most` bytes, unless one line has more. A large file is dealt to lanes of about four parts, which are
+    numbered side by side; a line of over half a part has a part of its own.
+    """
+    size = (F.octet_length("line") + 1).cast("long")
+    lanes = F.ceil(F.col("__all") / (4 * most)).cast("int")
+    whole = rows.groupBy("file").agg(F.sum(size).alias("__all")).withColumn("__lanes", lanes)
+    dealt = rows.join(whole.select("file", "__lanes"), "file").withColumns({"__lane": F.pmod(F.xxhash64(order), "__lanes"), "__large": size > most // 2})
+    run = Window.partitionBy("file", "__lane", "__large").orderBy(order, "line")
+    before = F.sum(size).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
+    number = F.when(F.col("__large"), -F.row_number().over(run)).otherwise(F.floor(before / (most // 2)))
+    part = F.concat("file", F.lit(PART), F.concat_ws("-", "__lane", F.when(number < 0, "large"), F.abs(number).cast("string")))
+    return dealt.withColumn("file", part).select(rows.columns)
+
+
 def write_lines(rows: DataFrame, root: str, order: str) -> int:
     """rows (file, line, and the order column) as <root>/<file>.jsonl, the lines of each in order; how many files.
 

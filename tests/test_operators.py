@@ -552,3 +552,24 @@ def test_ways_go_to_their_seed_as_lists(spark, monkeypatch):
     assert out.count() == len(want)
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "LeftAnti" not in plan and "explode(near" in plan
+
+
+def test_files_are_written_in_parts_of_the_limit(spark, tmp_path, monkeypatch):
+    """A source of more bytes than the gate lets through takes several files, each within the limit; no line is lost."""
+    rows = spark.range(400).select(F.concat(F.lit("s-"), (F.col("id") % 2).cast("string")).alias("file"), F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.when(F.col("id") == 7, 900).otherwise(F.col("id") % 90).cast("int")).alias("line"))
+    made = jsonl.write_lines(jsonl.bounded_files(rows, "doc_id", 1000), f"file://{tmp_path}/f", "doc_id")
+    sizes = [f.stat().st_size for f in (tmp_path / "f").glob("*.jsonl")]
+    assert len(sizes) == made > 10 and max(sizes) <= 1000
+    assert sorted(len(x) for f in (tmp_path / "f").glob("*.jsonl") for x in f.read_text().splitlines()) == sorted(r[0] for r in rows.select(F.length("line")).collect())
+
+
+def test_file_size_gate_beyond_the_limit(spark, monkeypatch):
+    """All files are within the limit, as the SQL says, where a source has more bytes than that."""
+    from kgloom.queries import load_all
+
+    given = "/root/testdata/sf0.01"
+    most, source = spark.read.parquet(f"{given}/documents.parquet").groupBy("source").agg(F.max(F.octet_length("text")).alias("m"), F.sum(F.octet_length("text")).alias("s")).agg(F.max("m"), F.max("s")).first()
+    assert source > 2.6 * most
+    monkeypatch.setattr(evaluate, "MAX_MB", 1.3 * most / (1 << 20))
+    got = load_all()[0]["file_size_gate"](spark, given).collect()
+    assert len(got) >= 20 and all(r["within_limit"] and r["has_bytes"] for r in got)
