@@ -17,7 +17,9 @@ BANDS tables keyed by the least values of BAND_ROWS hash functions over the elem
 elements shares no key with probability (1 - j ** BAND_ROWS) ** BANDS: of two texts of one length j is 2/3 at 0.8, where
 that is 0.0004; if one text is part of the other, j is 0.64 and it is 0.0014. Pivot coordinates can't replace these keys:
 at 0.8 fingerprints of 256 bits are 52 bits apart, with a deviation of 6, and the coordinates of unrelated ones differ by
-less than that, so the tables would discard next to nothing and every pair of documents would have to be verified.
+less than that, so the tables would discard next to nothing and every pair of documents would have to be verified. So the
+tables find what is within TABLE_RADIUS bits of the fingerprint's first word, as above, and these links are verified like
+the others; the keys go beyond them, to what the similarity allows and the tables can't reach.
 
 In a cell the middle fingerprint is the pivot: members whose fingerprints differ from it by more than the radius are
 discarded, the others are verified, and links found are contracted, which leaves little of a group of near copies. A cell
@@ -58,6 +60,8 @@ PIVOTS = 24
 #: Shingles hashed at a time, and fingerprints compared at a time.
 STEP, SIDE = 1 << 16, 2048
 BANDS, BAND_ROWS = 36, 4
+#: Bits of the fingerprint's first word within which pivot tables find all pairs, when texts are linked by similarity.
+TABLE_RADIUS = 2
 #: Sets of a cell that one task compares; larger cells are compared in blocks of half as many.
 CELL = 1024
 #: Rows of a cell among which the middle one is looked for.
@@ -502,16 +506,18 @@ def _similar_groups(docs: DataFrame, n: int, similarity: float, radius: int, lan
     inner = space.stored(met(parts_of, _stars, radius, star).distinct(), "stars-of-parts")
     hubs = dealt.join(full, "cell", "left_semi").join(inner.select(F.col("hub").alias("node")).distinct(), "node", "left_semi").select("cell", "node", "fp")
     stars = space.stored(inner.unionByName(met(hubs, _stars, radius, star)).select("a", "b", "near").distinct(), "stars")
-    shared = space.stored(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
+    tables = space.stored(links(nodes.select("node", F.slice("fp", 1, 1).alias("fp")), TABLE_RADIUS).distinct(), "pivot-links")
+    pairs = stars.where("near").select("a", "b").unionByName(tables).distinct()
+    shared = space.stored(stars.select("a", "b").unionByName(tables).select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
     at = nodes.join(shared, "node").select("at.k1", "at.k2", "node")
     texts = narrow.select("k1", "k2", "text").join(at.hint("shuffle_hash"), ["k1", "k2"])
     sets = space.stored(texts.select("node", "text").mapInArrow(lambda b: _elements(b, n), "node long, elements array<long>").dropDuplicates(["node"]), "elements")
-    first = space.stored(_similar(stars.where("near").select("a", "b"), sets, similarity), "similar")
+    first = space.stored(_similar(pairs, sets, similarity), "similar")
     rooted = nodes.join(shared, "node").join(components(first), "node", "left").select(F.explode("keys").alias("cell"), "node", F.coalesce("root", "node").alias("root"))
     rooted = space.stored(rooted, "rooted")
     left = space.stored(_split(rooted), "unconnected")
-    links = space.stored(met(left.join(sets, "node"), _unconnected, similarity, "a long, b long"), "links-of-cells")
-    groups = _grouped(nodes, components(first.unionByName(links)))
+    more = space.stored(met(left.join(sets, "node"), _unconnected, similarity, "a long, b long"), "links-of-cells")
+    groups = _grouped(nodes, components(first.unionByName(more)))
     space.clear()
     return prints, groups
 

@@ -880,3 +880,22 @@ def test_heads_of_any_length(spark):
         w.fill(10)
     assert w.data is whole  # passing records copies nothing
     assert [raw for _, raw in warc.members(pa.BufferReader(data), len(data), 0, len(data), True)] == [gzip.decompress(r) for r in records]
+
+
+def test_pivot_tables_link_near_copies_by_themselves(spark, monkeypatch):
+    """The pipeline's near-duplicate stage has SimHash's pivot tables: without least-hash keys near copies are still found."""
+    import corpus_pipeline as P
+
+    def none(batches, limit):
+        yield from ()
+
+    words = [f"w{i * 7919 % 1000}" for i in range(4000)]
+    base = " ".join(words)
+    texts = [base, base + " end", " ".join(words[:2000]), "one", None]
+    made = simhash.fingerprints(texts[:2], P.SHINGLE)[:, 0]
+    assert 0 < int(made[0] ^ made[1]).bit_count() <= simhash.TABLE_RADIUS or int(made[0]) == int(made[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "_stars", none)
+    monkeypatch.setattr(simhash, "_unconnected", none)
+    got = simhash.similar_groups(docs, P.SHINGLE, P.SIMILARITY, P.RADIUS, P.LANES).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
