@@ -35,13 +35,22 @@ def entity_chunks(asked: DataFrame, mentions: DataFrame, limit: int = CHUNK_LIMI
     and what tells the title of the mentioned entity.
     """
     said = mentions.where(F.col("chunk_id").isNotNull())
-    if "title" in asked.columns:
-        found = said.join(asked.withColumnRenamed("title", "__title"), "name").where(of_title(F.col("__title"), mentions.columns))
-    else:
-        found = said.join(asked, "name")
-    found = found.select("query_id", "entity_pos", "chunk_id").distinct()
+    keys = ["name", "title"] if "title" in asked.columns else ["name"]
+    who = asked.select(*keys).distinct().withColumnsRenamed({"title": "__title"})
+    found = said.join(who, "name")
+    if "title" in keys:
+        found = found.where(of_title(F.col("__title"), mentions.columns))
+    # what an entity is asked by decides on its chunks: they are ranked once, whoever asks, and tasks send the first ones only
+    by = [c if c == "name" else "__title" for c in keys]
+    nth = F.dense_rank().over(Window.partitionBy(*by).orderBy("chunk_id"))
+    firsts = found.select(*by, "chunk_id").withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth").distinct()
+    firsts = firsts.withColumnRenamed("name", "__name")
+    same = F.col("name") == F.col("__name")
+    if "title" in keys:
+        same &= F.col("title").eqNullSafe(F.col("__title"))
+    rows = asked.join(firsts, same).select("query_id", "entity_pos", "chunk_id").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id", "entity_pos").orderBy("chunk_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 def undirected(edges: DataFrame) -> DataFrame:

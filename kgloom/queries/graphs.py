@@ -18,8 +18,9 @@ SUPPLIERS = "seeds AS (SELECT 'supplier ' || s_suppkey AS name FROM supplier)"
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As they are said, repeats included: the operators take one for the same as several."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select(F.col("l_orderkey").alias("chunk_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("title"), F.col("p_type").alias("domain")).distinct()
+    return rows.select(F.col("l_orderkey").alias("chunk_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("title"), F.col("p_type").alias("domain"))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -573,3 +573,21 @@ def test_file_size_gate_beyond_the_limit(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "MAX_MB", 1.3 * most / (1 << 20))
     got = load_all()[0]["file_size_gate"](spark, given).collect()
     assert len(got) >= 20 and all(r["within_limit"] and r["has_bytes"] for r in got)
+
+
+def test_chunks_are_ranked_once_for_each_asked_name(spark):
+    """Who asks doesn't matter: rows that meet the mentions, and go on, don't grow with the questions."""
+    mentions = spark.range(3000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("n"), (F.col("id") % 3).cast("string")).alias("name"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("title"))
+    mentions = mentions.unionByName(mentions)
+    rows = [(q, e, f"n{e}", t) for q, t in enumerate(["a", "b", None] * 20) for e in range(3)] + [(0, 0, "n1", "b")]
+    asked = spark.createDataFrame(rows, "query_id long, entity_pos int, name string, title string")
+    got = {}
+    found = graph.entity_chunks(asked, mentions, 4)
+    for r in found.collect():
+        got.setdefault((r["query_id"], r["entity_pos"]), {})[r["rank"]] = r["chunk_id"]
+    of = lambda name, title: [i for i in range(3000) if f"n{i % 3}" == name and title in (None, "ab"[i % 2])]
+    want = {}
+    for q, e, name, title in rows:
+        want.setdefault((q, e), set()).update(of(name, title))
+    assert got == {k: dict(enumerate(sorted(v)[:4], 1)) for k, v in want.items()}
+    assert "denserank" in found._jdf.queryExecution().sparkPlan().toString().lower().replace("_", "")
