@@ -52,5 +52,8 @@ class ExtractionLines:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes extraction_lines known to the session's SQL. Rows travel by Arrow; Spark's Arrow table functions can't be lateral."""
-    spark.udtf.register("extraction_lines", udtf(ExtractionLines, returnType=LINE, useArrow=True))
+    """Makes extraction_lines known to the session's SQL.
+
+    Rows travel pickled in batches: with Arrow, each call would make a batch of its own for the few lines of one text.
+    """
+    spark.udtf.register("extraction_lines", udtf(ExtractionLines, returnType=LINE, useArrow=False))

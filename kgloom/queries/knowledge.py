@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kgloom.functions import names as N
 from kgloom.functions import tables
 from kgloom.operators import aliases, kg
+from kgloom.shared import spread
 
 from . import query, table
 
@@ -189,7 +190,7 @@ def parse_delimited(spark, sf_dir):
 def parse_delimited_sql(spark, sf_dir):
     """As parse_delimited, by a table function in a SQL text."""
     tables.register(spark)
-    rows = part(spark, sf_dir).select("p_partkey", _content(False).alias("content"))
+    rows = spread(part(spark, sf_dir)).select("p_partkey", _content(False).alias("content"))
     return spark.sql("SELECT p_partkey, line_no + 1 AS line_no, kind, name AS a, coalesce(target, type) AS b FROM {outputs}, LATERAL extraction_lines(content)", outputs=rows)
 
 

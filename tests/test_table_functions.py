@@ -31,3 +31,13 @@ def test_lines_of_a_batch(spark):
     text = "doc_id:7<|#|>entity<|#|>A<|#|>t<|#|>d\ndoc_id:-8<|#|>relation<|#|>A<|#|>B<|#|>t<|#|>d\ndoc_id:x<|#|>entity<|#|>A<|#|>t<|#|>d\ndoc_id:99999999999999999999<|#|>entity<|#|>A<|#|>t<|#|>d"
     got = spark.sql("SELECT doc_id, kind FROM extraction_lines(:text)", args={"text": text}).collect()
     assert [tuple(r) for r in got] == [(7, "entity"), (-8, "relation")]
+
+
+def test_all_cores_parse(spark, small, capsys):
+    """A table of one row group is dealt to several tasks, and a call doesn't make an Arrow batch of its own."""
+    from kgloom.queries import knowledge
+
+    found = knowledge.parse_delimited_sql(spark, small)
+    assert found.rdd.getNumPartitions() > 1
+    found.explain()
+    assert "ArrowEvalPythonUDTF" not in capsys.readouterr().out
