@@ -591,3 +591,28 @@ def test_chunks_are_ranked_once_for_each_asked_name(spark):
         want.setdefault((q, e), set()).update(of(name, title))
     assert got == {k: dict(enumerate(sorted(v)[:4], 1)) for k, v in want.items()}
     assert "denserank" in found._jdf.queryExecution().sparkPlan().toString().lower().replace("_", "")
+
+
+def test_providers_of_extraction_are_asked_once(spark):
+    """However many tables come of an answer, a text (or batch) is sent once."""
+    from kgloom.plans import extraction
+    from kgloom.plans.providers import using
+
+    docs = spark.createDataFrame([(i, f"Alice Smith met Bob {i}") for i in range(6)], "doc_id long, text string")
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def alone(text):
+        asked.add(1)
+        return "entity<|#|>A<|#|>t<|#|>d\nrelation<|#|>A<|#|>B<|#|>t<|#|>d\n<|COMPLETE|>\nentity<|#|>B<|#|>t<|#|>d"
+
+    @F.udf("string")
+    def together(ids):
+        asked.add(1)
+        return "\n".join(f"doc_id:{i}<|#|>entity<|#|>A<|#|>t<|#|>d\ndoc_id:{i}<|#|>relation<|#|>A<|#|>B<|#|>t<|#|>d" for i in ids)
+
+    with using(extract_delimited=alone, extract_batch=lambda d: together(F.transform(d, lambda x: x["doc_id"]))):
+        for way, calls in (("delimited", 6), ("batch", 3)):
+            asked.value = 0
+            found = extraction.extracted(docs, way=way, **({"size": 2} if way == "batch" else {})).select("chunk", F.size("result.entities").alias("e"), F.size("result.relationships").alias("r")).collect()
+            assert sorted(map(tuple, found)) == [(i, 1, 1) for i in range(6)] and asked.value == calls
