@@ -143,3 +143,24 @@ def test_second_question_is_searched_with_the_first_answer(spark, tmp_path):
     assert found == {"t1": {"1"}, "t2": {"1", "2"}, "t3": {"3"}, "t4": {"3", "4"}, "t5": set()}
     assert lone == {"t1": {"1"}, "t2": set(), "t3": {"3"}, "t4": set(), "t5": set()}
     assert asked.count() == 5 and conversation.WINDOW == 5
+
+
+def test_stores_move_ids_rather_than_texts(spark, tmp_path, capsys):
+    """Replaced rows are told by ids that are broadcast; a run that finds nothing to do commits nothing."""
+    from kgloom.plans import indexing
+    from kgloom.sources.points import PointStore
+
+    docs = spark.createDataFrame([(i, f"Alice Smith met Bob number{i}") for i in range(12)], "doc_id long, text string")
+    store = PointStore(spark, str(tmp_path / "points"))
+    indexing.index(docs, store)
+    found = store.tables.versions()
+    assert indexing.index(docs, store)["points"] == 12 and store.tables.versions() == found
+    store.upsert(docs.where("doc_id < 5").selectExpr("doc_id AS doc", "'other' AS text"))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store.points.read().explain()
+        assert "SortMergeJoin" not in capsys.readouterr().out
+        assert store.points.read().where("text = 'other'").count() == 5 and store.points.read().count() == 12
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
