@@ -164,3 +164,36 @@ def test_stores_move_ids_rather_than_texts(spark, tmp_path, capsys):
         assert store.points.read().where("text = 'other'").count() == 5 and store.points.read().count() == 12
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_merged_tables_are_not_reduced_again(spark, tmp_path, monkeypatch):
+    """What indexing has merged goes to the graph as it is, mentions come from the occurrences, and blocks are counted once."""
+    from kgloom.operators import kg
+    from kgloom.plans import indexing
+    from kgloom.sources.points import ALL, PointStore
+    from kgloom.sources.store import GraphStore
+
+    docs = spark.createDataFrame([(i, "Napoleon met Alice Smith. Bonaparte met Alice Smith. Napoleon met Alice Smith") for i in range(3)], "doc_id long, text string")
+    points, graph = PointStore(spark, str(tmp_path / "points")), GraphStore(spark, str(tmp_path / "graph"))
+    monkeypatch.setattr(kg, "reduced", lambda *a, **k: 1 / 0)
+    assert indexing.index(docs, points, graph) == {"points": 3, "has_sparse": True, "nodes": 2, "rels": 2, "mentions": 6}
+    assert sorted((r["source"], r["target"]) for r in graph.rels.collect()) == [("alice smith", "napoleon bonaparte"), ("napoleon bonaparte", "alice smith")]
+    assert rows_of(graph.mentions.select("chunk_id", "name")) == sorted((i, n) for i in range(3) for n in ("alice smith", "napoleon bonaparte"))
+    assert "chunks" not in graph.nodes.columns
+    blocks = {(r["token"], r["block"]): (r["df"], r["top"]) for r in points.tables.read("blocks").collect()}
+    assert len(blocks) == points.tables.read("blocks").count() and blocks[ALL, 0] == (3, 0.0) and blocks["bonaparte", 0] == (3, 1 / 3)
+
+
+def test_embedding_is_the_hash_of_each_token(spark):
+    import hashlib
+
+    from kgloom.functions import text as T
+    from kgloom.plans.providers import embed
+
+    rows = spark.createDataFrame([(0, "river stone river"), (1, None), (2, ""), (3, "stone the bridge")], "i long, text string").repartition(2)
+    for r in rows.select(T.tokens(F.col("text")).alias("t"), embed(F.col("text"), 8).alias("v")).collect():
+        want = [0.0] * 8
+        for t in r["t"]:
+            h = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+            want[h % 8] += 1 if h >> 31 else -1
+        assert r["v"] == want
