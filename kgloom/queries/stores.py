@@ -10,7 +10,7 @@ from kgloom.operators import kg
 from kgloom.operators.graph import primaries
 from kgloom.plans import extraction, indexing, rag
 from kgloom.plans.providers import DIMENSIONS, using
-from kgloom.shared import scratch
+from kgloom.shared import scratch, stored
 from kgloom.sources.points import PointStore
 from kgloom.sources.store import ExtractionCache, GraphStore
 from kgloom.streaming import indexer
@@ -230,13 +230,13 @@ UNION ALL SELECT 'mentions lost', (SELECT count(*) FROM (SELECT DISTINCT l_order
 def graph_collapsed(spark, sf_dir):
     """Entities equal in name and type become one in nodes, relationships and mentions; what a dry run had told."""
     store = GraphStore(spark, scratch(spark, "graph"))
-    rels = pairs(spark, sf_dir)
+    rels = stored(pairs(spark, sf_dir), "pairs")  # relationships and the mapping are made of it
     said = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").alias("name"))
     found = entities(spark, sf_dir)
     store.merge(found.withColumnRenamed("entity_id", "id"), key=["id"])
     store.tables.put("rels", rels.distinct().select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("NEXT_TO").alias("type")), ["source", "target", "type"])
     store.add_mentions(said)
-    mapping = primaries(found, rels)
+    mapping = stored(primaries(found, rels), "mapping")  # for three calls
     told = store.collapse(mapping, dry_run=True)
     if told != store.collapse(mapping) or any(store.collapse(mapping).values()):
         raise AssertionError("a dry run tells what a run does, and a second run does nothing")

@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from kgloom.functions import names as N
 from kgloom.operators import graph, kg
-from kgloom.shared import Scratch, removed
+from kgloom.shared import Scratch, removed, sendable
 
 BUCKETS = 32
 #: Tasks that may write one bucket.
@@ -301,13 +301,16 @@ class GraphStore:
         read = lambda name, like: self.tables._read(tables, name) if name in tables else self.spark.createDataFrame([], like)
         given = {"nodes": read("nodes", "id string"), "rels": read("rels", "source string, target string, type string"), "mentions": read("mentions", "chunk_id string, name string")}
         key = tables["nodes"]["key"] if "nodes" in tables else ["id"]
-        out = dict(zip(given, graph.collapsed(*given.values(), mapping, key[0]), strict=True))
+        held = Scratch(self.spark)
+        gone = sendable(held.stored(mapping.where("entity_id <> primary_id").select("entity_id", "primary_id"), "gone"))  # made once for all tables
+        out = dict(zip(given, graph.collapsed(*given.values(), gone, key[0]), strict=True))
         keys = {"nodes": key, "rels": ["source", "target", "type"], "mentions": ["chunk_id"]}
         made = {} if dry_run else {name: self.tables.replaced({}, name, rows, keys[name], None) for name, rows in out.items() if name in tables}
         left = {name: (out[name] if dry_run else self.tables._read(made, name)).count() if name in tables else 0 for name in out}
         counts = {name: given[name].count() - left[name] for name in given}
         if not dry_run:
             self.tables.commit(before, tables | made)
+        held.clear()
         return counts
 
     def write_by_label(self, path: str, rows: DataFrame) -> None:

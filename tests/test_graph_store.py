@@ -120,3 +120,24 @@ def test_index_commits_the_graph_once(spark, tmp_path):
     indexing.index(docs, points, g)
     assert len(g.tables.versions()) == 2
     assert {r["name"] for r in g.nodes.collect()} == {"alice", "bob", "paris", "carol", "rome"}
+
+
+def test_collapse_makes_its_mapping_once(spark, tmp_path):
+    """All three tables use the mapping, which is computed once for a call."""
+    store = GraphStore(spark, str(tmp_path / "g"))
+    store.merge(spark.createDataFrame([(i, "x", "T") for i in range(4)], "id long, name string, type string"), key=["id"])
+    store.tables.put("rels", spark.createDataFrame([(0, 1, "R"), (2, 3, "R"), (1, 2, "R")], "source long, target long, type string"), ["source", "target", "type"])
+    store.add_mentions(spark.createDataFrame([(7, 0), (7, 1), (8, 2)], "chunk_id long, name long"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    mapping = spark.createDataFrame([(i, i // 2 * 2) for i in range(4)], "entity_id long, primary_id long").coalesce(1).mapInArrow(counted, "entity_id long, primary_id long")
+    told = store.collapse(mapping, dry_run=True)
+    assert told == {"nodes": 2, "rels": 0, "mentions": 1} and calls.value == 4
+    assert store.collapse(mapping) == told and calls.value == 8
+    assert sorted(tuple(r) for r in store.rels.collect()) == [(0, 0, "R"), (0, 2, "R"), (2, 2, "R")]
+    assert sorted(tuple(r) for r in store.mentions.collect()) == [(7, 0), (8, 2)]
