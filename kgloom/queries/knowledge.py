@@ -39,7 +39,7 @@ def part(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_rows(spark, sf_dir) -> DataFrame:
     name = F.when(F.col("p_partkey") % 7 == 0, "Napoleon").when(F.col("p_partkey") % 7 == 1, "the emperor ").when(F.col("p_partkey") % 70 == 2, "napoleon bonaparte").otherwise(F.upper("p_name"))
     text = F.substr(F.concat_ws(" ", "p_brand", "p_name"), F.lit(1), (6 + F.col("p_partkey") % 9).cast("int"))
-    return part(spark, sf_dir).select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 50).alias("chunk"), name.alias("name"), F.lower("p_type").alias("type"), text.alias("description"), F.array("p_brand", "p_type").alias("keywords"))
+    return spread(part(spark, sf_dir)).select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 50).alias("chunk"), name.alias("name"), F.lower("p_type").alias("type"), text.alias("description"), F.array("p_brand", "p_type").alias("keywords"))
 
 
 def merged(spark, sf_dir) -> DataFrame:

@@ -616,3 +616,10 @@ def test_providers_of_extraction_are_asked_once(spark):
             asked.value = 0
             found = extraction.extracted(docs, way=way, **({"size": 2} if way == "batch" else {})).select("chunk", F.size("result.entities").alias("e"), F.size("result.relationships").alias("r")).collect()
             assert sorted(map(tuple, found)) == [(i, 1, 1) for i in range(6)] and asked.value == calls
+
+
+def test_occurrences_of_entities_are_dealt_to_all_cores(spark):
+    """One row group of the file isn't sorted by one task."""
+    from kgloom.queries import knowledge
+
+    assert knowledge.entity_rows(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
