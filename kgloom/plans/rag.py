@@ -10,6 +10,7 @@ from kgloom.functions import text as T
 from kgloom.operators import evaluate, fusion, graph
 from kgloom.operators import retrieval as R
 from kgloom.operators.retrieval import K
+from kgloom.shared import stored
 from kgloom.sources import jsonl
 from kgloom.sources.points import PointStore
 
@@ -28,23 +29,20 @@ def query_entities(asked: DataFrame, text: str = "text") -> DataFrame:
     return asked.select("query_id", F.posexplode(found).alias("pos", "e")).select("query_id", (F.col("pos") + 1).alias("entity_pos"), F.col("e.name").alias("name"))
 
 
-def retrieve(docs: DataFrame | None, asked: DataFrame, points: DataFrame | None, query_vectors: DataFrame, entities: DataFrame | None = None, mentions: DataFrame | None = None, k: int = K, edges: DataFrame | None = None, store: PointStore | None = None) -> DataFrame:
+def retrieve(docs: DataFrame | None, asked: DataFrame, points: DataFrame | None, query_vectors: DataFrame, entities: DataFrame | None = None, mentions: DataFrame | None = None, k: int = K, edges: DataFrame | None = None, store: PointStore | None = None, hybrid: DataFrame | None = None) -> DataFrame:
     """query_id, doc, text, arm, position, max_score: hybrid search, with graph documents after it if entities are given.
 
     docs: doc_id, text; asked: query_id, text and, if questions are to be made standalone first, history; entities:
     query_id, entity_pos, name; mentions: chunk_id, name. What each arm finds goes through one plan: the best score is a
-    window over it, and texts are joined once. store: takes the place of docs and points; no document is tokenised.
+    window over it, and texts are joined once. store: takes the place of docs and points; no document is tokenised. hybrid:
+    what hybrid search has found for the questions before, which isn't searched for again.
     """
     if store is not None:
         points = store.points.read()
         docs = points.select(F.col("doc").alias("doc_id"), "text")
     if "history" in asked.columns:
         asked = rewritten(asked).withColumn("text", F.col("standalone"))
-    twice = asked.withColumn("text", T.duplicated(F.col("text")))
-    if store is not None:
-        found = R.fused([(R.dense_arm(query_vectors, points), 1.0), (store.sparse_arm(twice, "query_id"), 1.0)], k)
-    else:
-        found = R.hybrid(twice, docs, points, query_vectors, "doc_id", "query_id", k)
+    found = searched(docs, asked, points, query_vectors, k, store) if hybrid is None else hybrid
     rows = found.select("query_id", "doc", F.lit(0).alias("arm"), F.col("rank").alias("pos"), F.col("score_norm").alias("score"))
     if entities is not None:
         near = graph.search(entities, mentions, edges, k)
@@ -56,6 +54,14 @@ def retrieve(docs: DataFrame | None, asked: DataFrame, points: DataFrame | None,
     return out.select("query_id", "doc", "text", "arm", "position", "max_score")
 
 
+def searched(docs: DataFrame | None, asked: DataFrame, points: DataFrame, query_vectors: DataFrame, k: int = K, store: PointStore | None = None) -> DataFrame:
+    """query_id, doc, rank, score_norm: what hybrid search finds for each question, which is said twice."""
+    twice = asked.withColumn("text", T.duplicated(F.col("text")))
+    if store is not None:
+        return R.fused([(R.dense_arm(query_vectors, points), 1.0), (store.sparse_arm(twice, "query_id"), 1.0)], k)
+    return R.hybrid(twice, docs, points, query_vectors, "doc_id", "query_id", k)
+
+
 def predictions(asked: DataFrame, retrieved: DataFrame, threshold: float = R.IDK_THRESHOLD, failed: bool = False) -> DataFrame:
     """query_id, contexts, answer of every question: the gate's message where nothing good was found.
 
@@ -106,7 +112,13 @@ def run_tasks(tasks: DataFrame, docs: DataFrame, points: DataFrame, path: str, k
 
 
 def compared_runs(tasks: DataFrame, docs: DataFrame, points: DataFrame, root: str, k: int = 5, vectors: DataFrame | None = None, **graph_arm: DataFrame) -> DataFrame:
-    """One row of counts: the same tasks answered with and without the graph, both files written below root."""
-    runs = [run_tasks(tasks, docs, points, f"{root}/{name}", k, vectors, **arm) for name, arm in (("kg", graph_arm), ("no_kg", {}))]
+    """One row of counts: the same tasks answered with and without the graph, both files written below root.
+
+    The documents are searched once for both: the graph only adds to what hybrid search has found.
+    """
+    asked = asked_of(tasks)
+    vectors = asked.select("query_id", PROVIDERS["embed"](F.col("text")).alias("vector")) if vectors is None else vectors
+    found = stored(searched(docs, asked, points, vectors, k), "hybrid")
+    runs = [run_tasks(tasks, docs, points, f"{root}/{name}", k, vectors, hybrid=found, **arm) for name, arm in (("kg", graph_arm), ("no_kg", {}))]
     rows = [run.select("task_id", F.lit(0).alias("line_no"), F.get("predictions", F.lit(0))["text"].alias("answer"), F.size("contexts").alias("n_contexts")) for run in runs]
     return evaluate.compared(*rows)

@@ -197,3 +197,21 @@ def test_embedding_is_the_hash_of_each_token(spark):
             h = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
             want[h % 8] += 1 if h >> 31 else -1
         assert r["v"] == want
+
+
+def test_compared_runs_search_the_documents_once(spark, tmp_path, monkeypatch):
+    """Runs with and without the graph differ in the graph's documents only."""
+    from kgloom.sources import jsonl
+
+    tasks = spark.createDataFrame([(i, f"t{i}", "s", [("user", f"word{i} river")]) for i in range(3)], "c int, task_id string, Collection string, input array<struct<speaker:string,text:string>>")
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], jsonl.TASK_SCHEMA).schema.fields}
+    tasks = tasks.select(F.col("c").cast("string").alias("conversation_id"), "task_id", "Collection", "input", *(F.lit(None).cast(kinds[c]).alias(c) for c in ("contexts", "predictions")))
+    docs = spark.createDataFrame([(i, f"word{i} river. bank") for i in range(4)], "doc_id long, text string")
+    points = docs.select(F.col("doc_id").alias("doc"), F.array(F.lit(1.0)).alias("vector"))
+    vectors = tasks.select(F.col("task_id").alias("query_id"), F.array(F.lit(1.0)).alias("vector"))
+    arm = {"entities": tasks.select(F.col("task_id").alias("query_id"), F.lit(1).alias("entity_pos"), F.lit("x").alias("name")), "mentions": spark.createDataFrame([(3, "x")], "chunk_id long, name string")}
+    calls, search = [], R.hybrid
+    monkeypatch.setattr(R, "hybrid", lambda *a, **k: calls.append(1) or search(*a, **k))
+    got = rag.compared_runs(tasks, docs, points, f"file://{tmp_path}/runs", 2, vectors, **arm).first()
+    assert len(calls) == 1 and got["total_tasks"] == 3 and got["avg_contexts_no_kg"] == 2
+    assert got["same_responses"] + got["different_responses"] == 3
