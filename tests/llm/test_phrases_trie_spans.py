@@ -105,6 +105,41 @@ def test_phrases_odd_rows(spark):
     assert phrases.collocations(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("numbered", "max_n"), [(0, 3), (5, 2), (9, 4)])
+def test_phrases_of_words_without_a_number(spark, monkeypatch, numbered, max_n):
+    """Words beyond those that get a number: phrases that hold one are counted apart, none twice and none lost."""
+    rows = random_texts(21, 150, 40, 80)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    want = brute_phrases(rows, max_n, 3, 500, 50)
+    monkeypatch.setattr(phrases, "WORDS", numbered)
+    for heavy in (4096, 1):
+        monkeypatch.setattr(phrases, "HEAVY", heavy)
+        assert rows_of(phrases.collocations(docs, max_n=max_n, min_count=3, top=500)) == want
+
+
+def test_phrases_sent_grow_no_faster_than_the_text(monkeypatch):
+    """In five times the text most pairs pass min_count; the rows and bytes that are sent must not grow by more than five."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}".encode() for i in range(60)]
+    numbered = phrases._Words(pa.array(["en"] * 60), pa.array(vocabulary), 3)
+    monkeypatch.setattr(phrases, "FLUSH", 1000)
+
+    def sent(words):
+        text = [b" ".join(rng.choices(vocabulary, k=500)) for _ in range(words // 500)]
+        batches = list(phrases._packed(lambda: numbered, 4)([pa.record_batch([pa.array(["en"] * len(text)), pa.array(text)], names=["lang", "text"])]))
+        parts = pa.Table.from_batches(batches)
+        added = pa.concat_tables([phrases._added(lambda: numbered, 1)(parts.filter(pa.array(np.asarray(parts["part"]) == i))) for i in range(16)])
+        want = Counter()
+        for w in (t.split() for t in text):
+            want.update(b" ".join(w[i : i + k]) for k in (2, 3) for i in range(len(w) - k + 1))
+        assert dict(zip(added["phrase"].to_pylist(), added["f"].to_pylist(), strict=True)) == want
+        assert set(added["lang"].to_pylist()) == {"en"} and all(p.count(b" ") == k - 1 for p, k in zip(added["phrase"].to_pylist(), added["words"].to_pylist(), strict=True))
+        return parts.num_rows, parts.nbytes, sum(n >= 10 for n in want.values())
+
+    (rows, size, often), (rows5, size5, often5) = sent(20_000), sent(100_000)
+    assert often5 > 10 * often and rows5 == 5 * rows == 5 * 20 * 16 and size5 < 5.1 * size
+
+
 # ---------------------------------------------------------------- 12
 
 
