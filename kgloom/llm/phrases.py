@@ -4,8 +4,8 @@ First all words are counted. The most frequent ones of min_count or more, WORDS
 and the list of them is broadcast. A phrase of up to max_n numbered words is one number of 63 bits, so that what is sent of
 a phrase is a few bytes: each task counts the numbers of all phrases in about FLUSH words, sorts them and sends one row of
 packed differences for each of the parts that the numbers are dealt into. A part is added up by one call, which gives back
-the phrases of min_count or more. What is sent grows no faster than the text, whatever occurs how often in it; a phrase
-that is everywhere is sent once for each FLUSH words. A word below min_count is in no phrase that counts.
+the phrases of min_count or more. At most max_n - 1 numbers are sent for each word, whatever occurs how often; a phrase that
+is everywhere is sent once for each FLUSH words. A word below min_count is in no phrase that counts.
 
 Frequent words beyond the numbered ones are few, and rare, but nothing may be lost: if there are any, the phrases that hold
 one are counted by suffix-sigma. From each word of a piece of text its suffix starts, cut after max_n words or before a word
@@ -47,7 +47,7 @@ MAX_N, MIN_COUNT, TOP = 3, 10, 2000
 WORDS = 1 << 19
 #: Words whose phrases a task counts together before it sends them on.
 FLUSH = 1 << 20
-#: Numbers of phrases are dealt into 2 ** PARTS parts: fewer in a small corpus, and more beyond 2 ** (PARTS + 23) words.
+#: Numbers of phrases are dealt into 2 ** PARTS parts: fewer in a small corpus, and more beyond 2 ** (PARTS + 21) words.
 PARTS = 10
 #: A first word with 1 / HEAVY of all words or more is dealt by whole suffix.
 HEAVY = 4096
@@ -368,7 +368,7 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUN
     sent = spark.sparkContext.broadcast(numbered)
     schema = "lang string, phrase binary, words int, f long"
 
-    parts = min(numbered.width, max(min(PARTS, (total >> 12).bit_length()), (total >> 23).bit_length()))
+    parts = min(numbered.width, max(min(PARTS, (total >> 12).bit_length()), (total >> 21).bit_length()))
     packed = given.mapInArrow(_packed(lambda: sent.value, parts), "part int, keys binary, counts binary")
     counted = packed.groupBy("part").applyInArrow(_added(lambda: sent.value, min_count), schema)
     if others:
