@@ -623,3 +623,33 @@ def test_occurrences_of_entities_are_dealt_to_all_cores(spark):
     from kgloom.queries import knowledge
 
     assert knowledge.entity_rows(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+
+
+def test_seeds_that_reach_alike_share_lists(spark, monkeypatch):
+    """Two and three hops in blocks of a few ways, with hubs of several lists, titles and edges between seeds; a list moves once to a block."""
+    from kgloom.operators import graph
+
+    monkeypatch.setattr(graph, "LIST", 3)
+    edges = [(c * 100 + i, c * 100 + 50 + (i * k) % 7) for c in range(4) for i in range(20) for k in (1, 2, 5)] + [(51, 52), (52, 351), (7, None), (7, 7)]
+    near = {}
+    for a, b in ((a, b) for x, y in edges if y and x != y for a, b in ((x, y), (y, x))):
+        near.setdefault(a, set()).add(b)
+    want = {}
+    for s in (c * 100 + 50 + i for c in range(4) for i in range(8)):
+        far, front = {s: 0}, {s}
+        for h in (1, 2, 3):
+            front = {y for x in front for y in near.get(x, ())} - set(far)
+            far |= dict.fromkeys(front, h)
+        want |= {(s, t, x): h for t in ("a", None) for x, h in far.items() if h}
+    rows = spark.createDataFrame(edges, "src long, dst long")
+    kinds = spark.createDataFrame([(x, "a") for x in near], "name long, title string")
+    seeds = spark.createDataFrame([(s, t) for s, t in {(s, t) for s, t, _ in want}], "name int, title string")
+    for most in (1 << 23, 8):
+        monkeypatch.setattr(graph, "BLOCK_LEAST", min(most, 1 << 20))
+        monkeypatch.setattr(graph, "BLOCK_MOST", most)
+        for hops in (2, 3):
+            out = graph.expanded(seeds, rows, hops, limit=None, entities=kinds).collect()
+            assert {(r["name"], r["title"], r["related"]): r["hops"] for r in out} == {k: h for k, h in want.items() if h <= hops}
+            assert len(out) == sum(h <= hops for h in want.values())
+    plan = graph.expanded(seeds.select("name").distinct(), rows, 2, limit=None)._jdf.queryExecution().sparkPlan().toString()
+    assert "hashpartitioning(block" in plan.replace("RepartitionByExpression [block", "hashpartitioning(block") and "collect_list(who" in plan
