@@ -1,5 +1,6 @@
 """The appending point store and its pruned search, and runs with memory."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -215,3 +216,52 @@ def test_compared_runs_search_the_documents_once(spark, tmp_path, monkeypatch):
     got = rag.compared_runs(tasks, docs, points, f"file://{tmp_path}/runs", 2, vectors, **arm).first()
     assert len(calls) == 1 and got["total_tasks"] == 3 and got["avg_contexts_no_kg"] == 2
     assert got["same_responses"] + got["different_responses"] == 3
+
+
+def test_postings_of_many_tasks_and_blocks_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Texts beyond what a bucket's tasks hold have more tasks, blocks are counted where postings lie, and many points are met by ids."""
+    from kgloom.sources import points as P
+
+    rows = spark.createDataFrame([(i, f"word{i % 7} common river{i} common") for i in range(60)], "doc long, text string")
+    monkeypatch.setattr(P, "SPLIT_CHARS", 40)
+    monkeypatch.setattr(P, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(P, "SENT_POINTS", 10)
+    store, shuffled, runs = P.PointStore(spark, f"file://{tmp_path}/s", buckets=4), [], P._blocks
+    monkeypatch.setattr(P, "_blocks", lambda *a: shuffled.append(runs(*a)) or shuffled[-1])
+    store.create(rows.where("doc < 50"))
+    plan = shuffled[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "[token#" not in plan.split("MapInArrow")[0] and "Aggregate [__bucket" not in plan
+    files = {f for ps in store.tables.manifest()["postings"]["parts"].values() for p in ps for f in os.listdir(f"{tmp_path}/s/{p}") if f.endswith(".parquet")}
+    assert len(files) > 16
+    store.upsert(rows.where("doc >= 45").withColumn("text", F.concat("text", F.lit(" again"))))
+    want = R.postings(rows.withColumn("text", F.when(F.col("doc") >= 45, F.concat("text", F.lit(" again"))).otherwise(F.col("text"))), "doc")
+    assert rows_of(store.postings.read()) == rows_of(want)
+    n = store.tables.manifest()["blocks"]["n"]
+    counted = lambda df: {(r["token"], r["block"]): r["df"] for r in df.groupBy("token", "block").agg(F.sum("df").alias("df")).where("df <> 0").collect()}
+    assert n == 12 and counted(store.tables.read("blocks")) == counted(want.select("token", P._block("doc", n).alias("block"), F.lit(1).alias("df"))) | {(P.ALL, 0): 60}
+    more = spark.createDataFrame([(3, "x"), (99, "y"), (99, "z"), (None, "n")], "doc long, text string")
+    assert sorted(r["text"] for r in store.missing(more).collect()) == ["n", "y", "z"]
+
+
+def test_only_loose_ends_are_looked_up(spark, tmp_path, monkeypatch):
+    """Ends that an extraction names itself aren't looked up; others are known by another document or go."""
+    from kgloom.operators import kg
+    from kgloom.plans import extraction, indexing
+    from kgloom.sources.store import GraphStore
+
+    monkeypatch.setattr(kg, "guarded", lambda *a, **k: 1 / 0)
+    monkeypatch.setattr(kg, "created_relationships", lambda *a, **k: 1 / 0)
+    entity = lambda *names: [(n, "OTHER", n, []) for n in names]
+    rel = lambda *ends: [(a, b, "RELATED_TO", "d", 5) for a, b in ends]
+    found = [(1, (entity("Alice", "Bonaparte"), rel(("alice", "napoleon"), ("Alice", "Carol"), ("alice", "nobody"), ("alice", None)))), (2, (entity("carol"), rel(("carol", "alice"), ("ghost", "carol")))), (3, (entity(), rel(("bonaparte", "carol"))))]
+    found = spark.createDataFrame(found, f"chunk long, result {extraction.RESULT}")
+    nodes, rels, mentions, loose = indexing.graph_tables(found)
+    store = GraphStore(spark, f"file://{tmp_path}/g")
+    store.merge(nodes, rels, mentions, once=("nodes", "rels"), loose=loose)
+    assert sorted((r["source"], r["target"]) for r in store.rels.collect()) == [("alice", "carol"), ("alice", "napoleon bonaparte"), ("carol", "alice"), ("napoleon bonaparte", "carol")]
+    other = GraphStore(spark, f"file://{tmp_path}/o")
+    other.merge(spark.createDataFrame([("ghost", "OTHER")], "name string, type string"), key=["name"])
+    nodes, rels, mentions, loose = indexing.graph_tables(found, deduplicate=False)
+    other.merge(nodes, rels, mentions.unionByName(mentions), ["name"], once=("nodes",), loose=loose)
+    assert sorted((r["source"], r["target"]) for r in other.rels.collect()) == [("ghost", "carol")]
+    assert rows_of(other.mentions.select("chunk_id", "name")) == [(1, "Alice"), (1, "Bonaparte"), (2, "carol")]
